@@ -30,7 +30,8 @@ def top_keywords_per_category(pages: DataFrame, k: int = KEYWORDS_PER_CATEGORY,
     ``as_rows``, ``(category, rank, keyword, pages)``.
     """
     per_kw = (pages.filter(F.col("category").isNotNull())
-              .select("category", F.explode("keywords").alias("keyword"))
+              # explode_outer: see keywords.keyword_counts (no inferred pre-filter).
+              .select("category", F.explode_outer("keywords").alias("keyword"))
               .filter(F.col("keyword").isNotNull())
               .groupBy("category", "keyword").agg(F.count(F.lit(1)).alias("pages")))
     w = Window.partitionBy("category").orderBy(F.desc("pages"), F.asc("keyword"))

@@ -55,7 +55,10 @@ def keyword_counts(pages: DataFrame, key: str = "doc_id", text: str = "content",
     """AG1: one row per (key, keyword) with its count ``n`` in that page."""
     if lexicon is None:
         counted = with_keyword_counts(pages.select(key, text), text, "_kw_counts")
-        return (counted.select(key, F.inline("_kw_counts"))
+        # inline_outer: a plain inline makes the optimizer infer `size(array) > 0` and
+        # push it to the scan, evaluating the whole extraction twice.
+        return (counted.select(key, F.inline_outer("_kw_counts"))
+                .filter(F.col("token").isNotNull())
                 .select(key, F.col("token").alias("keyword"), "n"))
     return _lexicon_counts(pages.repartition(key), key, text, lexicon)
 
@@ -64,7 +67,8 @@ def _lexicon_counts(pages: DataFrame, key: str, text: str, lexicon: DataFrame) -
     lex = (lexicon.select(F.col("token").alias("_tok"), F.col("tag").alias("_lex_tag"))
            .dropDuplicates(["_tok"]))
     lex = maybe_broadcast(lex, row_bytes=96)
-    toks = pages.select(key, F.explode(keyword_tokens(text)).alias("_tok"))
+    toks = (pages.select(key, F.explode_outer(keyword_tokens(text)).alias("_tok"))
+            .filter(F.col("_tok").isNotNull()))
     tagged = (toks.join(lex, "_tok", "left")
               .withColumn("_tag", F.coalesce("_lex_tag", rule_tag("_tok"))))
     cands = (tagged.filter(F.col("_tag").isin(list(RELEVANT_TAGS)))
