@@ -7,7 +7,6 @@ when the session has none (local tests) do we create one under the system temp d
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -46,22 +45,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint directory of the session, set to a temp dir only if unset."""
+    """The session's shared checkpoint directory; one is set only when none is configured."""
     sc = spark.sparkContext
     root = sc.getCheckpointDir()
-    if not root:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        # Unset: local tests only.  A cluster names a shared folder here.
-        root = tempfile.mkdtemp(prefix="adlens-ckpt-")
-    sc.setCheckpointDir(root)
-    return root
+    if root:
+        return root
+    # ``spark.checkpoint.dir`` is normally applied at start-up; unset means local tests.
+    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None)
+                        or tempfile.mkdtemp(prefix="adlens-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, unique directory under the shared checkpoint root."""
+    """A fresh, unique (not yet created) path under the shared checkpoint root."""
     root = checkpoint_root(spark)
-    path = root.rstrip("/") + f"/adlens-{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", "", 1), exist_ok=True)
-    return path
+    return root.rstrip("/") + f"/adlens-{name}-{uuid.uuid4().hex[:12]}"

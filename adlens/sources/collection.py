@@ -16,8 +16,9 @@ from adlens.schemas import COLLECTION
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    # The text reader needs no schema inference, so an empty collection still "exists".
     try:
-        spark.read.parquet(path).schema
+        spark.read.format("text").load(path)
         return True
     except AnalysisException:
         return False
@@ -67,7 +68,12 @@ def append_classified(docs: DataFrame, path: str, content: str = "content",
 
 def read(spark: SparkSession, path: str, category: str | None = None) -> DataFrame:
     """IO5: the collection, optionally restricted to one category (partition pruning)."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+    try:
+        df = spark.read.option("mergeSchema", "true").parquet(path)
+    except AnalysisException as exc:
+        if "UNABLE_TO_INFER_SCHEMA" not in str(exc):
+            raise
+        df = spark.createDataFrame([], COLLECTION)  # initialized, nothing appended yet
     if category is not None:
         df = df.filter(F.col("category") == F.lit(category))
     return df

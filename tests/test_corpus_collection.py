@@ -1,0 +1,58 @@
+from pyspark.sql import functions as F
+
+from adlens.operators import corpus
+from adlens.session import scratch_dir
+from adlens.sources import collection, text as textio
+from planutil import plan_text
+
+
+def test_label_lines_and_parse_roundtrip(spark):
+    ex = spark.createDataFrame([(1, 0, "  world news \n"), (2, 3, "tech news"), (3, 4, "no name"),
+                                (4, 2, "multi\nline\r\nbody")], "doc_id long, label int, text string")
+    lines = corpus.label_lines(ex).orderBy("doc_id")
+    vals = [r["value"] for r in lines.collect()]
+    assert vals == ["__label__World  world news", "__label__Sci/Tech  tech news", None,
+                    "__label__Business  multi\nline\r\nbody"]
+    path = scratch_dir(spark, "t-corpus")
+    textio.write_lines(lines, path)
+    back = textio.read_lines(spark, path)
+    parsed = sorted((r["category"], r["content"]) for r in corpus.parse_lines(back).collect())
+    assert parsed == [("Business", "multi"), ("World", "world news")]
+    # Sci/Tech and the two continuation lines do not match
+    assert corpus.dropped_lines(back).first()["dropped"] == 3
+
+
+def test_parse_skips_blank_and_unlabelled(spark):
+    df = spark.createDataFrame([("",), ("   ",), ("plain text",), ("__label__Sports\tgame on ",)], "value string")
+    got = [(r["category"], r["content"]) for r in corpus.parse_lines(df).collect()]
+    assert got == [("Sports", "game on")]
+
+
+def test_parse_with_wider_label_pattern(spark):
+    df = spark.createDataFrame([("__label__Sci/Tech  chips",)], "value string")
+    got = corpus.parse_lines(df, pattern=r"^__label__(\S+)\s+(.*)$").first()
+    assert (got["category"], got["content"]) == ("Sci/Tech", "chips")
+
+
+def test_first_rows(spark):
+    df = spark.range(500).selectExpr("500 - id AS k")
+    assert [r["k"] for r in corpus.first_rows(df, "k", 3).collect()] == [1, 2, 3]
+
+
+def test_collection_roundtrip_union_and_pruning(spark):
+    path = scratch_dir(spark, "t-coll")
+    assert collection.initialize(spark, path) is True
+    assert collection.initialize(spark, path) is False
+    pages = spark.createDataFrame([("u1", "c1", "tech", ["a"]), ("u2", "c2", "travel", [])],
+                                  "url string, content string, category string, keywords array<string>")
+    assert collection.save(pages, path).first()["rows"] == 2
+    docs = spark.createDataFrame([("text", "finance")], "content string, category string")
+    collection.append_classified(docs, path)
+    training = spark.createDataFrame([("World", "news")], "category string, content string")
+    collection.save(training, path)
+    allrows = collection.read(spark, path)
+    assert allrows.count() == 4
+    assert allrows.filter(F.col("timestamp").isNotNull()).count() == 1
+    tech = collection.read(spark, path, "tech")
+    assert [r["url"] for r in tech.collect()] == ["u1"]
+    assert "PartitionFilters: [isnotnull(category" in plan_text(tech)
