@@ -116,6 +116,10 @@ def _period(unit: str) -> str:
     )
 
 
+# Queries without SQL: word-vector training is iterative (rows-only check).
+NO_ORACLE = ("w2v_classify",)
+
+
 def oracle_sql() -> dict[str, str]:
     kw = "WITH " + _keyword_ctes()
     vec = "WITH " + VECTOR_CTES

@@ -13,21 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlens.schemas import COLLECTION
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    # The text reader needs no schema inference, so an empty collection still "exists".
-    try:
-        spark.read.format("text").load(path)
-        return True
-    except AnalysisException:
-        return False
+from adlens.sources.paths import exists
 
 
 def initialize(spark: SparkSession, path: str) -> bool:
     """IO7/FI10: create an empty collection with the fixed schema if ``path`` is absent.
     Returns True when it was created."""
-    if _exists(spark, path):
+    if exists(spark, path):
         return False
     (spark.createDataFrame([], COLLECTION).write.mode("append")
      .partitionBy("category").parquet(path))

@@ -56,3 +56,23 @@ def test_collection_roundtrip_union_and_pruning(spark):
     tech = collection.read(spark, path, "tech")
     assert [r["url"] for r in tech.collect()] == ["u1"]
     assert "PartitionFilters: [isnotnull(category" in plan_text(tech)
+
+
+def test_word2vec_load_or_train_and_determinism(spark):
+    from adlens.operators import word2vec
+    lines = spark.createDataFrame([("__label__World  a b c a b c d e",)] * 30 + [("x y z x y z",)] * 10, "value string")
+    path = scratch_dir(spark, "t-w2v")
+    calls = []
+
+    def sents():
+        calls.append(1)
+        return word2vec.sentences(lines)
+
+    m1 = word2vec.load_or_train(spark, path, sents, vector_size=8, max_iter=2)
+    m2 = word2vec.load_or_train(spark, path, sents, vector_size=8, max_iter=2)
+    assert len(calls) == 1  # second call loaded the saved model
+    v1 = {r["token"]: list(r["vector"]) for r in word2vec.vocabulary(m1).collect()}
+    v2 = {r["token"]: list(r["vector"]) for r in word2vec.vocabulary(m2).collect()}
+    assert v1 == v2 and "__label__world" in v1 and len(v1["a"]) == 8
+    m3 = word2vec.train(word2vec.sentences(lines), vector_size=8, max_iter=2)
+    assert {r["token"]: list(r["vector"]) for r in word2vec.vocabulary(m3).collect()} == v1
