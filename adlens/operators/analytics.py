@@ -49,16 +49,21 @@ def pages_per_period(pages: DataFrame, period: str | None = "hour", ts: str = "t
     first and the last filled with 0.  Rows without a timestamp are ignored.
 
     Output ``(period, count)`` where ``period`` is the bucket start as an ISO string.
-    The bucket range is one row expanded by ``sequence``; its size is the time span in
-    periods, independent of the number of pages.
+    One scan: the rows are counted per period (partial aggregation), then each
+    non-empty period emits itself plus the empty periods up to the next non-empty one
+    (``lead`` over the per-period rows, whose number is the time span in periods,
+    independent of the number of pages).
     """
     unit = period_unit(period)
+    step = F.expr("INTERVAL 1 DAY") if unit == "day" else F.expr("INTERVAL 1 HOUR")
     counts = (pages.filter(F.col(ts).isNotNull())
               .groupBy(bucket(ts, unit).alias("bucket"))
               .agg(F.count(F.lit(1)).alias("count")))
-    step = F.expr("INTERVAL 1 DAY") if unit == "day" else F.expr("INTERVAL 1 HOUR")
-    span = counts.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
-    every = span.select(F.explode(F.sequence("lo", "hi", step)).alias("bucket"))
-    return (every.join(counts, "bucket", "left")
-            .select(bucket_key("bucket").alias("period"),
-                    F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
+    nxt = F.lead("bucket").over(Window.orderBy("bucket"))
+    first_gap, last_gap = F.col("bucket") + step, F.col("_next") - step
+    gaps = F.when(F.col("_next").isNotNull() & (first_gap <= last_gap),
+                  F.sequence(first_gap, last_gap, step)).otherwise(F.array().cast("array<timestamp>"))
+    rows = F.concat(F.array(F.struct(F.col("bucket").alias("b"), F.col("count").alias("c"))),
+                    F.transform(gaps, lambda g: F.struct(g.alias("b"), F.lit(0).cast("bigint").alias("c"))))
+    filled = counts.withColumn("_next", nxt).select(F.inline_outer(rows))
+    return filled.select(bucket_key("b").alias("period"), F.col("c").cast("bigint").alias("count"))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adlens.functions.text import keyword_tokens
 from adlens.operators import analytics, corpus, keywords, search
@@ -60,7 +61,8 @@ def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
         collection.initialize(spark, path)
         collection.save(_keyworded(spark, sf_dir), path)
         _COLLECTIONS[memo] = path
-    return collection.read(spark, _COLLECTIONS[memo])
+    key = T.StructField("doc_id", T.LongType())
+    return collection.read(spark, _COLLECTIONS[memo], schema=collection.collection_schema(key))
 
 
 def _hits(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adlens.schemas import COLLECTION
 from adlens.sources.paths import exists
@@ -26,6 +27,12 @@ def initialize(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def collection_schema(*extra: T.StructField) -> T.StructType:
+    """The fixed collection schema plus extra fields (a key, for instance), partition column last."""
+    base = [f for f in COLLECTION.fields if f.name != "category"]
+    return T.StructType(base + list(extra) + [COLLECTION["category"]])
+
+
 def conform(df: DataFrame) -> DataFrame:
     """SO1: bring any of the three document shapes to the collection schema (missing -> NULL).
     Extra columns (a key, for instance) are kept after the fixed ones."""
@@ -42,8 +49,12 @@ def save(df: DataFrame, path: str, observe_name: str | None = None) -> DataFrame
     write itself (``observe``), so the plan is not run a second time to count."""
     from pyspark.sql import Observation
     obs = Observation(observe_name or "saved")
-    conform(df).observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append") \
-        .partitionBy("category").parquet(path)
+    # Rebalance on the partition column: each output task writes few categories (no
+    # tasks x categories small files) and adaptive execution splits a hot category
+    # into several tasks by size.
+    (conform(df).observe(obs, F.count(F.lit(1)).alias("rows"))
+     .hint("rebalance", "category")
+     .write.mode("append").partitionBy("category").parquet(path))
     return df.sparkSession.createDataFrame([(int(obs.get["rows"]),)], "rows bigint")
 
 
@@ -58,8 +69,16 @@ def append_classified(docs: DataFrame, path: str, content: str = "content",
     return save(shaped, path, "classified")
 
 
-def read(spark: SparkSession, path: str, category: str | None = None) -> DataFrame:
-    """IO5: the collection, optionally restricted to one category (partition pruning)."""
+def read(spark: SparkSession, path: str, category: str | None = None,
+         schema: T.StructType | None = None) -> DataFrame:
+    """IO5: the collection, optionally restricted to one category (partition pruning).
+
+    With ``schema`` no file footer is read to plan the scan (use it on large
+    collections); without, the schemas of the writers are merged from the footers.
+    """
+    if schema is not None:
+        df = spark.read.schema(schema).parquet(path)
+        return df if category is None else df.filter(F.col("category") == F.lit(category))
     try:
         df = spark.read.option("mergeSchema", "true").parquet(path)
     except AnalysisException as exc:
