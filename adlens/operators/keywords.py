@@ -1,15 +1,20 @@
 """Keyword extraction: tokenize, tag, drop stop words, count, keep the most frequent.
 
-Two physical strategies, same result:
-
-* **Rule tagger (default)** - every step is an array expression on the page's own row
-  (tokenize, tag, filter, lower, sort, run-length count, top-k).  The plan is
-  scan -> project: no exchange at all, so it scales linearly with the table and a long
-  or hot page costs only its own task time.
-* **Lexicon tagger** - a caller-supplied ``(token, tag)`` table must be joined, so tokens
-  are exploded.  The pages are hash-partitioned on the key once; the broadcast lexicon
-  join, the per-(key, keyword) aggregate, the per-key top-k window and the join back all
-  reuse that partitioning, so the plan has exactly one exchange of the page table.
+Physical strategies, same result:
+
+* **Row-local (default, and any lexicon up to ``MAX_LEXICON_ROWS``)** - every step is an
+  array expression on the page's own row (tokenize, tag, filter, lower, sort,
+  run-length count, top-k).  The plan is scan -> project: no exchange, so it scales
+  linearly with the table, and a long page or a repeated key costs only its own rows.
+  A caller's ``(token, tag)`` lexicon is a bounded dictionary: it is read once (with a
+  hard row bound) and becomes two hash sets of tokens whose lexicon tag keeps or drops
+  them, overriding the rules inside the same per-row filter.
+* **Join (lexicon beyond the bound)** - tokens are exploded and joined to the lexicon
+  (broadcast when its size is proven small, else a sort-merge join with adaptive skew
+  splitting), counted per (key, keyword) with map-side partials, cut to the top k per
+  key by a window planned with a partial group limit, and joined back to the pages.
+  Nothing is hash-partitioned by key up front, so a key repeated in many rows is only
+  ever k keyword rows per task.
 """
 
 from __future__ import annotations
@@ -22,72 +27,102 @@ from adlens.functions.text import is_stop_word, keyword_tokens, rule_tag
 from adlens.operators.sizing import maybe_broadcast
 from adlens.schemas import KEYWORDS_PER_PAGE, PAGE_FIELDS, RELEVANT_TAGS
 
+# Largest lexicon applied as in-row hash sets; larger ones are joined.
+MAX_LEXICON_ROWS = 200_000
 
-def _candidates(text_col: str):
-    """TX1 -> TX3 rules -> FI6 -> TX4 -> FI5 as one array expression."""
+
+def _relevant(tag):
+    return tag.isin(list(RELEVANT_TAGS))
+
+
+def lexicon_sets(lexicon: DataFrame, max_rows: int = MAX_LEXICON_ROWS):
+    """``(keep, drop)`` token lists from a ``(token, tag)`` lexicon, or None when it has more
+    than ``max_rows`` distinct tokens.  A token listed with several tags takes the least."""
+    lex = lexicon.groupBy("token").agg(F.min("tag").alias("tag"))
+    rows = lex.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return None
+    keep = sorted(r["token"] for r in rows if r["tag"] in RELEVANT_TAGS)
+    drop = sorted(r["token"] for r in rows if r["tag"] not in RELEVANT_TAGS)
+    return keep, drop
+
+
+def _candidates(text_col: str, sets=None):
+    """TX1 -> TX3 (rules, lexicon sets first) -> FI6 -> TX4 -> FI5 as one array expression."""
     toks = keyword_tokens(text_col)
-    tagged = F.filter(toks, lambda t: rule_tag(t).isin(list(RELEVANT_TAGS)))
+    if sets is None:
+        tagged = F.filter(toks, lambda t: _relevant(rule_tag(t)))
+    else:
+        keep, drop = sets
+        keep_c = (lambda t: t.isin(keep)) if keep else (lambda t: F.lit(False))
+        drop_c = (lambda t: t.isin(drop)) if drop else (lambda t: F.lit(False))
+        tagged = F.filter(toks, lambda t: keep_c(t) | (~drop_c(t) & _relevant(rule_tag(t))))
     lowered = F.transform(tagged, lambda t: F.lower(t))
     return F.filter(lowered, lambda t: ~is_stop_word(t))
 
 
-def with_keyword_counts(pages: DataFrame, text: str = "content", out: str = "_kw_counts") -> DataFrame:
+def with_keyword_counts(pages: DataFrame, text: str = "content", out: str = "_kw_counts",
+                        sets=None) -> DataFrame:
     """AG1 as a column: ``out`` = ``array<struct<token, n>>`` of the page's keyword candidates."""
-    return with_token_counts(pages, _candidates(text), out)
+    return with_token_counts(pages, _candidates(text, sets), out)
 
 
 def extract_keywords(pages: DataFrame, key: str = "doc_id", text: str = "content",
                      k: int = KEYWORDS_PER_PAGE, lexicon: DataFrame | None = None,
-                     out: str = "keywords") -> DataFrame:
+                     out: str = "keywords", max_lexicon_rows: int = MAX_LEXICON_ROWS) -> DataFrame:
     """TK1: add ``out`` = the ``k`` most frequent keywords (count desc, token asc).
 
     Pages without any keyword get ``[]``.  ``lexicon`` is an optional ``(token, tag)``
     table looked up by the token's original case; tokens it lacks fall back to the rules.
     """
-    if lexicon is None:
-        counted = with_keyword_counts(pages, text, "_kw_counts")
-        return counted.withColumn(out, top_tokens("_kw_counts", k)).drop("_kw_counts")
-    return _extract_with_lexicon(pages, key, text, k, lexicon, out)
+    sets = None
+    if lexicon is not None:
+        sets = lexicon_sets(lexicon, max_lexicon_rows)
+        if sets is None:
+            return _extract_with_join(pages, key, text, k, lexicon, out)
+    counted = with_keyword_counts(pages, text, "_kw_counts", sets)
+    return counted.withColumn(out, top_tokens("_kw_counts", k)).drop("_kw_counts")
 
 
 def keyword_counts(pages: DataFrame, key: str = "doc_id", text: str = "content",
-                   lexicon: DataFrame | None = None) -> DataFrame:
+                   lexicon: DataFrame | None = None, max_lexicon_rows: int = MAX_LEXICON_ROWS) -> DataFrame:
     """AG1: one row per (key, keyword) with its count ``n`` in that page."""
-    if lexicon is None:
-        counted = with_keyword_counts(pages.select(key, text), text, "_kw_counts")
-        # inline_outer: a plain inline makes the optimizer infer `size(array) > 0` and
-        # push it to the scan, evaluating the whole extraction twice.
-        return (counted.select(key, F.inline_outer("_kw_counts"))
-                .filter(F.col("token").isNotNull())
-                .select(key, F.col("token").alias("keyword"), "n"))
-    return _lexicon_counts(pages.repartition(key), key, text, lexicon)
-
-
-def _lexicon_counts(pages: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
-    lex = (lexicon.select(F.col("token").alias("_tok"), F.col("tag").alias("_lex_tag"))
-           .dropDuplicates(["_tok"]))
+    sets = None
+    if lexicon is not None:
+        sets = lexicon_sets(lexicon, max_lexicon_rows)
+        if sets is None:
+            return _joined_counts(pages, key, text, lexicon)
+    counted = with_keyword_counts(pages.select(key, text), text, "_kw_counts", sets)
+    # inline_outer: a plain inline makes the optimizer infer `size(array) > 0` and
+    # push it to the scan, evaluating the whole extraction twice.
+    return (counted.select(key, F.inline_outer("_kw_counts"))
+            .filter(F.col("token").isNotNull())
+            .select(key, F.col("token").alias("keyword"), "n"))
+
+
+def _joined_counts(pages: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
+    lex = (lexicon.groupBy(F.col("token").alias("_tok"))
+           .agg(F.min("tag").alias("_lex_tag")))
     lex = maybe_broadcast(lex, row_bytes=96)
     toks = (pages.select(key, F.explode_outer(keyword_tokens(text)).alias("_tok"))
             .filter(F.col("_tok").isNotNull()))
     tagged = (toks.join(lex, "_tok", "left")
               .withColumn("_tag", F.coalesce("_lex_tag", rule_tag("_tok"))))
-    cands = (tagged.filter(F.col("_tag").isin(list(RELEVANT_TAGS)))
+    cands = (tagged.filter(_relevant(F.col("_tag")))
              .select(key, F.lower("_tok").alias("keyword"))
              .filter(~is_stop_word("keyword")))
     return cands.groupBy(key, "keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _extract_with_lexicon(pages: DataFrame, key: str, text: str, k: int,
-                          lexicon: DataFrame, out: str) -> DataFrame:
-    # One exchange: everything downstream is keyed by `key` and reuses this partitioning.
-    parted = pages.repartition(key)
-    counts = _lexicon_counts(parted, key, text, lexicon)
+def _extract_with_join(pages: DataFrame, key: str, text: str, k: int,
+                       lexicon: DataFrame, out: str) -> DataFrame:
+    counts = _joined_counts(pages, key, text, lexicon)
     w = Window.partitionBy(key).orderBy(F.desc("n"), F.asc("keyword"))
     top = (counts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
            .groupBy(key)
            .agg(F.transform(F.sort_array(F.collect_list(F.struct("_rn", "keyword"))),
                             lambda r: r["keyword"]).alias(out)))
-    return (parted.join(top, key, "left")
+    return (pages.join(top, key, "left")
             .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>"))))
 
 

@@ -43,6 +43,19 @@ def test_lexicon_overrides_rules(spark):
     assert kws(spark, ["Bank bank bank quickly art"], lexicon=lex) == [["art", "bank", "quickly"]]
 
 
+def test_lexicon_join_path_equals_set_path(spark):
+    lex = spark.createDataFrame([("bank", "PRP"), ("quickly", "JJ"), ("art", "DT"), ("art", "NN")],
+                                "token string, tag string")
+    texts = ["Bank bank bank quickly art", "art art quickly", None, "the and of", "x " * 12]
+    sets = kws(spark, texts, lexicon=lex)
+    joined = kws(spark, texts, lexicon=lex, max_lexicon_rows=0)
+    assert sets == joined
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
+    a = sorted(tuple(r) for r in keyword_counts(df, lexicon=lex).collect())
+    b = sorted(tuple(r) for r in keyword_counts(df, lexicon=lex, max_lexicon_rows=0).collect())
+    assert a == b
+
+
 def test_keyword_counts(spark):
     df = spark.createDataFrame([(1, "Bank bank art"), (2, "")], "doc_id long, content string")
     got = sorted((r["doc_id"], r["keyword"], r["n"]) for r in keyword_counts(df).collect())
