@@ -25,7 +25,8 @@ def with_token_counts(df: DataFrame, tokens, out: str) -> DataFrame:
     its own: counting the words of a page needs no shuffle, whatever the table size.
     """
     s, e = f"__{out}_sorted", f"__{out}_ends"
-    df = df.withColumn(s, F.array_sort(_col(tokens)))
+    # sort_array compares natively; array_sort would call a comparator lambda per comparison.
+    df = df.withColumn(s, F.sort_array(_col(tokens)))
     succ = F.concat(F.slice(F.col(s), 2, F.greatest(F.size(s), F.lit(1))),
                     F.array(F.lit(None).cast("string")))
     pairs = F.arrays_zip(F.col(s).alias("a"), succ.alias("b"))

@@ -68,6 +68,20 @@ def rule_tag(token) -> Column:
             .otherwise(F.lit("NN")))
 
 
+def is_letter_run(token: str) -> bool:
+    """Python-side check that a literal token is a run of letters (one letter-run token)."""
+    return bool(token) and all(ch.isalpha() for ch in token)
+
+
+def rule_keeps_letters(token) -> Column:
+    """``rule_tag(token)`` is a noun/verb/adjective tag, for a token made of letters only.
+
+    Of the rules, only ``-ly`` (RB) drops a letter token: ``-ing``/``-ed`` give verbs,
+    capitalised NNP, anything else NN.  (Digit and punctuation tokens are never kept.)
+    """
+    return ~_col(token).endswith("ly")
+
+
 def is_stop_word(lower_token) -> Column:
     """FI5: stop-word test on an already lower-cased token."""
     return _col(lower_token).isin(list(dict.fromkeys(STOP_WORDS)))

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlens.functions.arrays import top_tokens, with_token_counts
-from adlens.functions.text import is_stop_word, keyword_tokens, rule_tag
+from adlens.functions.text import (is_letter_run, is_stop_word, keyword_tokens, letter_tokens,
+                                   rule_keeps_letters, rule_tag)
 from adlens.operators.sizing import maybe_broadcast
 from adlens.schemas import KEYWORDS_PER_PAGE, PAGE_FIELDS, RELEVANT_TAGS
 
@@ -48,15 +49,22 @@ def lexicon_sets(lexicon: DataFrame, max_rows: int = MAX_LEXICON_ROWS):
 
 
 def _candidates(text_col: str, sets=None):
-    """TX1 -> TX3 (rules, lexicon sets first) -> FI6 -> TX4 -> FI5 as one array expression."""
-    toks = keyword_tokens(text_col)
-    if sets is None:
-        tagged = F.filter(toks, lambda t: _relevant(rule_tag(t)))
+    """TX1 -> TX3 (lexicon sets first, then rules) -> FI6 -> TX4 -> FI5 as one array expression.
+
+    The rules keep letter tokens only, so unless the lexicon keeps some digit or
+    punctuation token, the tokenizer's letter runs (its maximal letter runs) are the
+    only tokens that can survive: extract just those and test the one rule that can
+    drop them, instead of tagging every token.
+    """
+    keep, drop = sets if sets is not None else ([], [])
+    keep_c = (lambda t: t.isin(keep)) if keep else (lambda t: F.lit(False))
+    drop_c = (lambda t: t.isin(drop)) if drop else (lambda t: F.lit(False))
+    if all(is_letter_run(t) for t in keep):
+        tagged = F.filter(letter_tokens(text_col),
+                          lambda t: keep_c(t) | (~drop_c(t) & rule_keeps_letters(t)))
     else:
-        keep, drop = sets
-        keep_c = (lambda t: t.isin(keep)) if keep else (lambda t: F.lit(False))
-        drop_c = (lambda t: t.isin(drop)) if drop else (lambda t: F.lit(False))
-        tagged = F.filter(toks, lambda t: keep_c(t) | (~drop_c(t) & _relevant(rule_tag(t))))
+        tagged = F.filter(keyword_tokens(text_col),
+                          lambda t: keep_c(t) | (~drop_c(t) & _relevant(rule_tag(t))))
     lowered = F.transform(tagged, lambda t: F.lower(t))
     return F.filter(lowered, lambda t: ~is_stop_word(t))
 

@@ -77,3 +77,13 @@ def test_period_units_and_key(spark):
     assert period_unit("week") == "hour" and period_unit(None) == "hour"
     k = spark.sql("SELECT timestamp'2024-01-01 05:00:00' AS b").select(bucket_key("b").alias("k")).first()["k"]
     assert k == "2024-01-01T05:00:00.000Z"
+
+
+def test_letter_rule_equals_full_tagger_on_letter_tokens(spark):
+    from adlens.functions.text import letter_tokens, rule_keeps_letters
+    from adlens.schemas import RELEVANT_TAGS
+    text = "It's 42--go!! a_b café Quickly quickly RUNNING jumped fly Only ÉLAN 3x4 naïve"
+    df = spark.createDataFrame([(text,)], "x string")
+    full = one(spark, F.filter(keyword_tokens("x"), lambda t: rule_tag(t).isin(list(RELEVANT_TAGS))), text)
+    fast = one(spark, F.filter(letter_tokens("x"), lambda t: rule_keeps_letters(t)), text)
+    assert full == fast
