@@ -15,8 +15,9 @@ def period_unit(period: str | None) -> str:
 
 
 def bucket(ts, unit: str) -> Column:
+    """Start of the hour/day containing ``ts``; keeps ``timestamp_ntz`` input zone-free."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.date_trunc(unit, c.cast("timestamp"))
+    return F.date_trunc(unit, c)
 
 
 def bucket_key(b) -> Column:

@@ -77,4 +77,5 @@ def timestamped(spark: SparkSession, sf_dir: str, event_type: str | None = None)
     e = table(spark, sf_dir, "events")
     if event_type is not None:
         e = e.filter(F.col("event_type") == F.lit(event_type))
-    return e.select("event_id", F.col("ts").cast("timestamp").alias("timestamp"))
+    # timestamp_ntz: buckets and their keys are wall-clock, whatever the session time zone.
+    return e.select("event_id", F.col("ts").alias("timestamp"))
