@@ -262,17 +262,17 @@ def q_word2vec_vocab(spark, sf_dir):
 
 
 def q_w2v_classify(spark, sf_dir):
-    """ML1 -> IO12 -> ML2: train word vectors on the labelled corpus file, save and load the
-    model, then classify every page with the learned vectors (no SQL oracle: training is
-    iterative; the check is on rows)."""
+    """ML1 -> IO12 -> ML2: train word vectors on the labelled corpus file (label tokens
+    included, as the reference trains on raw lines), save the model, load it back, and
+    classify every page with the learned vectors (no SQL oracle: training is iterative;
+    the check is on rows)."""
     lines = _written_corpus(spark, sf_dir)
     path = scratch_dir(spark, "w2v-model")
-    model = word2vec.load_or_train(spark, path, lambda: word2vec.sentences(lines),
-                                   num_partitions=spark.sparkContext.defaultParallelism)
-    vocab = word2vec.vocabulary(word2vec.load_or_train(spark, path, None))  # loads the saved model
+    word2vec.load_or_train(spark, path, lambda: word2vec.sentences(lines),
+                           num_partitions=spark.sparkContext.defaultParallelism)
+    learned = word2vec.vocabulary(word2vec.load_or_train(spark, path, None))  # loads the saved model
     cats = standins.categories(standins.vocabulary(spark, sf_dir))
-    del model
-    return CategoryModel(vocab, cats).transform(standins.pages(spark, sf_dir))
+    return CategoryModel(learned, cats).transform(standins.pages(spark, sf_dir))
 
 
 # --- streaming --------------------------------------------------------------------------

@@ -64,14 +64,19 @@ def start(raw: DataFrame, sink_path: str, checkpoint: str, rejects_path: str | N
     trigger = trigger or {"availableNow": True}
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        good = batch.filter(F.col("content").isNotNull())
-        if content_fn is not None:
-            good = apply_content_fn(good, content_fn)
-        out = batch_fn(good.drop("json")) if batch_fn is not None else good.drop("json")
-        _write_batch(out, sink_path, sink_format, batch_id, sink_options)
-        if rejects_path:
-            bad = batch.filter(F.col("content").isNull()).select("json")
-            _write_batch(bad, rejects_path, "parquet", batch_id, {})
+        # Two outputs read the batch: keep it for the duration of this call only.
+        batch.persist()
+        try:
+            good = batch.filter(F.col("content").isNotNull())
+            if content_fn is not None:
+                good = apply_content_fn(good, content_fn)
+            out = batch_fn(good.drop("json")) if batch_fn is not None else good.drop("json")
+            _write_batch(out, sink_path, sink_format, batch_id, sink_options)
+            if rejects_path:
+                bad = batch.filter(F.col("content").isNull()).select("json")
+                _write_batch(bad, rejects_path, "parquet", batch_id, {})
+        finally:
+            batch.unpersist()
 
     writer = parsed.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger)
     if query_name:
