@@ -1,8 +1,8 @@
 """Array column expressions: token counting without a shuffle, ranked top-k, overlap.
 
-Lambdas here only reference their own variables.  An outer array referenced inside a
-lambda would be re-evaluated for every element, which turns linear work quadratic; the
-multi-step counting below therefore materialises each array as its own column first.
+An outer array *expression* referenced inside a lambda would be re-evaluated for every
+element, which turns linear work quadratic; the multi-step counting below therefore
+materialises each array as its own column and lambdas reference only those columns.
 """
 
 from __future__ import annotations
@@ -20,24 +20,22 @@ def _col(c) -> Column:
 def with_token_counts(df: DataFrame, tokens, out: str) -> DataFrame:
     """Add ``out``: equal tokens of one row's array counted, ``array<struct<token, n>>``.
 
-    Sort (n log n), pair every element with its successor, keep the positions where a
-    run ends and take differences of consecutive end positions.  Each row is handled on
-    its own: counting the words of a page needs no shuffle, whatever the table size.
+    Sort (n log n), keep the 1-based positions where a run of equal tokens ends, and
+    take differences of consecutive end positions.  Each row is handled on its own:
+    counting the words of a page needs no shuffle, whatever the table size.  The sorted
+    array and the end positions are columns of their own, so the lambdas below read
+    them by reference (O(1) per element) instead of recomputing them.
     """
     s, e = f"__{out}_sorted", f"__{out}_ends"
     # sort_array compares natively; array_sort would call a comparator lambda per comparison.
     df = df.withColumn(s, F.sort_array(_col(tokens)))
-    succ = F.concat(F.slice(F.col(s), 2, F.greatest(F.size(s), F.lit(1))),
-                    F.array(F.lit(None).cast("string")))
-    pairs = F.arrays_zip(F.col(s).alias("a"), succ.alias("b"))
-    ends = F.filter(
-        F.transform(pairs, lambda p, i: F.struct((i + 1).alias("pos"), p["a"].alias("token"),
-                                                 p["a"].eqNullSafe(p["b"]).alias("same"))),
-        lambda x: ~x["same"])
-    df = df.withColumn(e, ends)
-    prev = F.slice(F.concat(F.array(F.lit(0)), F.transform(e, lambda x: x["pos"])), 1, F.size(e))
-    counts = F.zip_with(F.col(e), prev, lambda x, p: F.struct(
-        x["token"].alias("token"), (x["pos"] - p).cast("bigint").alias("n")))
+    n = F.size(s)
+    ends = F.filter(F.sequence(F.lit(1), n),
+                    lambda i: (i == n) | (F.element_at(F.col(s), i) != F.try_element_at(F.col(s), i + 1)))
+    df = df.withColumn(e, F.when(n > 0, ends).otherwise(F.array().cast("array<int>")))
+    counts = F.transform(F.col(e), lambda x, j: F.struct(
+        F.element_at(F.col(s), x).alias("token"),
+        (x - F.when(j == 0, F.lit(0)).otherwise(F.element_at(F.col(e), j))).cast("bigint").alias("n")))
     return df.withColumn(out, counts.cast(COUNTS_TYPE)).drop(s, e)
 
 
