@@ -46,6 +46,8 @@ def spread(df: DataFrame, target: int | None = None) -> DataFrame:
     split per file block and is left as it is (no shuffle of the raw text).  Round-robin,
     not hash on a key: a key that repeats in many rows must not land in one task.
     """
+    if df.isStreaming:  # a stream's partitions come from its source
+        return df
     target = target or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df

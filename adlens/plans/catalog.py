@@ -261,6 +261,30 @@ def q_word2vec_vocab(spark, sf_dir):
     return word2vec.vocabulary(model).select("token")
 
 
+def _message_source(spark, sf_dir) -> str:
+    """Page messages (JSON lines) written from the page table: the stand-in for a topic."""
+    src = scratch_dir(spark, "stream-src")
+    msgs = standins.pages(spark, sf_dir).select(
+        F.to_json(F.struct("doc_id", "url", "content", F.lit(None).cast("timestamp").alias("timestamp")))
+        .alias("value"))
+    msgs.repartition(4).write.mode("overwrite").text(src)
+    return src
+
+
+STREAM_DDL = "doc_id bigint, url string, content string, timestamp timestamp"
+
+
+def q_stream_keywords(spark, sf_dir):
+    """ST1 stateless: keyword extraction as a plain streaming projection into a file sink."""
+    src = _message_source(spark, sf_dir)
+    sink, ckpt = scratch_dir(spark, "kw-out"), scratch_dir(spark, "kw-ckpt")
+    raw = read_stream(spark, "text", {"maxFilesPerTrigger": "1"}, path=src)
+    q = enrich.start_stateless(raw, sink, ckpt, lambda d: keywords.extract_keywords(d, "doc_id"),
+                               schema_ddl=STREAM_DDL)
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("doc_id", _joined("keywords"))
+
+
 def q_w2v_classify(spark, sf_dir):
     """ML1 -> IO12 -> ML2: train word vectors on the labelled corpus file (label tokens
     included, as the reference trains on raw lines), save the model, load it back, and
@@ -280,16 +304,12 @@ def q_w2v_classify(spark, sf_dir):
 def q_stream_classify(spark, sf_dir):
     """ST1-ST3/U1: page messages through the stateless stream, classified per micro-batch."""
     model = _model(spark, sf_dir)
-    src = scratch_dir(spark, "stream-src")
-    msgs = standins.pages(spark, sf_dir).select(
-        F.to_json(F.struct("doc_id", "url", "content", F.lit(None).cast("timestamp").alias("timestamp")))
-        .alias("value"))
-    msgs.repartition(4).write.mode("overwrite").text(src)
+    src = _message_source(spark, sf_dir)
     sink, rejects, ckpt = (scratch_dir(spark, n) for n in ("stream-out", "stream-rejects", "stream-ckpt"))
     raw = read_stream(spark, "text", {"maxFilesPerTrigger": "1"}, path=src)
     q = enrich.start(raw, sink, ckpt, rejects,
                      batch_fn=lambda b: model.transform(b, key="doc_id", carry=["url", "timestamp"]),
-                     schema_ddl="doc_id bigint, url string, content string, timestamp timestamp")
+                     schema_ddl=STREAM_DDL)
     q.awaitTermination()
     return spark.read.parquet(sink).select("doc_id", "category")
 
@@ -321,5 +341,6 @@ QUERIES: dict[str, Query] = {
     "union_collections": q_union_collections,
     "word2vec_vocab": q_word2vec_vocab,
     "stream_classify": q_stream_classify,
+    "stream_keywords": q_stream_keywords,
     "w2v_classify": q_w2v_classify,
 }

@@ -166,4 +166,5 @@ def oracle_sql() -> dict[str, str]:
         "word2vec_vocab": "WITH " + VECTOR_CTES.split(",\nfreq AS")[0] +
                           " SELECT token FROM tf GROUP BY token HAVING sum(n) >= 5",
         "stream_classify": vec + " SELECT doc_id, category FROM classified",
+        "stream_keywords": kw + " SELECT doc_id, keywords FROM kw",
     }

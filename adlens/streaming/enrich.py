@@ -84,6 +84,23 @@ def start(raw: DataFrame, sink_path: str, checkpoint: str, rejects_path: str | N
     return writer.foreachBatch(per_batch).start()
 
 
+def start_stateless(raw: DataFrame, sink_path: str, checkpoint: str,
+                    transform: Callable[[DataFrame], DataFrame],
+                    schema_ddl: str = STREAM_MESSAGE_DDL, sink_format: str = "parquet",
+                    trigger: dict | None = None, query_name: str | None = None) -> StreamingQuery:
+    """ST1 for row-local transforms (keyword extraction, a content function): a plain
+    streaming projection into a file sink, exactly-once through the sink's commit log.
+    Messages without ``content`` are dropped here (``parse_messages`` + a filter on
+    ``content IS NULL`` gives them to a separate rejects query)."""
+    parsed = parse_messages(raw, schema_ddl).filter(F.col("content").isNotNull()).drop("json")
+    writer = (transform(parsed).writeStream.format(sink_format)
+              .option("checkpointLocation", checkpoint).option("path", sink_path)
+              .outputMode("append").trigger(**(trigger or {"availableNow": True})))
+    if query_name:
+        writer = writer.queryName(query_name)
+    return writer.start()
+
+
 def stop(query: StreamingQuery | None) -> None:
     """IO3: stop a running stream (no-op for None)."""
     if query is not None:

@@ -56,3 +56,21 @@ def test_classify_stream_equals_batch_and_restart_is_idempotent(spark):
              for r in model.transform(spark.createDataFrame(docs, "doc_id long, content string")).collect()}
     assert streamed == batch
     assert streamed[2] == "unknown"
+
+
+def test_stateless_keyword_stream_and_pandas_content_fn(spark):
+    import pandas as pd
+    from adlens.operators.keywords import extract_keywords
+
+    @F.pandas_udf("string")
+    def shout(s: pd.Series) -> pd.Series:
+        return s.str.upper() + " bank"
+
+    src, sink, ck = (scratch_dir(spark, n) for n in ("k-src", "k-out", "k-ck"))
+    write_messages(src, "a.json", [json.dumps({"url": "u1", "content": "Bank bank art"}), "nope"])
+    raw = read_stream(spark, "text", path=src)
+    q = enrich.start_stateless(raw, sink, ck, lambda d: extract_keywords(
+        enrich.apply_content_fn(d, shout), "url"))
+    q.awaitTermination()
+    rows = spark.read.parquet(sink).collect()
+    assert [(r["url"], r["content"], r["keywords"]) for r in rows] == [("u1", "BANK BANK ART bank", ["bank", "art"])]
