@@ -23,7 +23,7 @@ from adlens.operators.ranking import global_rank
 from adlens.operators.sizing import maybe_broadcast
 from adlens.operators.vectors import doc_token_counts
 from adlens.schemas import DEFAULT_CATEGORY_ORDER
-from adlens.session import checkpoint_root
+from adlens.session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +41,8 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(token, vector array<float>, label)``.
 
-    Materialised once with ``checkpoint()`` in the session's shared checkpoint folder:
-    the classifier reads it several times (dimension, size check, centroids, join).
+    Materialised once as a table in the session's shared checkpoint folder: the
+    classifier reads it several times (dimension, size check, centroids, join).
     """
     docs = pages(spark, sf_dir)
     freq = (doc_token_counts(docs, "doc_id", "content")
@@ -52,8 +52,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings").select(
         (F.col("vec_id") + 1).alias("rank"), F.col("embedding").alias("vector"), "label")
     emb = maybe_broadcast(emb, row_bytes=4 * 128 + 32)
-    checkpoint_root(spark)
-    return ranked.join(emb, "rank").select("token", "vector", "label").checkpoint(eager=True)
+    return materialize(ranked.join(emb, "rank").select("token", "vector", "label"), "vocabulary")
 
 
 def categories(vocab: DataFrame) -> DataFrame:
