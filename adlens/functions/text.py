@@ -68,6 +68,21 @@ def rule_tag(token) -> Column:
             .otherwise(F.lit("NN")))
 
 
+def sql_string(value: str) -> str:
+    """A Spark SQL string literal for ``value``."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def rule_tag_sql(var: str) -> str:
+    """``rule_tag`` as a Spark SQL expression on the lambda variable ``var`` (for filters
+    built as one SQL string, e.g. with large literal sets)."""
+    return (f"CASE WHEN NOT {var} RLIKE r'[\\p{{L}}\\p{{Nd}}]' THEN '.' "
+            f"WHEN {var} RLIKE r'^\\p{{Nd}}+$' THEN 'CD' "
+            f"WHEN endswith({var}, 'ing') THEN 'VBG' WHEN endswith({var}, 'ed') THEN 'VBD' "
+            f"WHEN endswith({var}, 'ly') THEN 'RB' "
+            f"WHEN {var} RLIKE r'^\\p{{Lu}}' THEN 'NNP' ELSE 'NN' END")
+
+
 def is_letter_run(token: str) -> bool:
     """Python-side check that a literal token is a run of letters (one letter-run token)."""
     return bool(token) and all(ch.isalpha() for ch in token)

@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from adlens.functions.arrays import top_tokens, with_token_counts
 from adlens.functions.text import (is_letter_run, is_stop_word, keyword_tokens, letter_tokens,
-                                   rule_keeps_letters, rule_tag)
+                                   rule_keeps_letters, rule_tag, rule_tag_sql, sql_string)
 from adlens.operators.sizing import maybe_broadcast
 from adlens.schemas import KEYWORDS_PER_PAGE, PAGE_FIELDS, RELEVANT_TAGS
 
 # Largest lexicon applied as in-row hash sets; larger ones are joined.
-MAX_LEXICON_ROWS = 200_000
+MAX_LEXICON_ROWS = 100_000
 
 
 def _relevant(tag):
@@ -48,31 +48,48 @@ def lexicon_sets(lexicon: DataFrame, max_rows: int = MAX_LEXICON_ROWS):
     return keep, drop
 
 
-def _candidates(text_col: str, sets=None):
-    """TX1 -> TX3 (lexicon sets first, then rules) -> FI6 -> TX4 -> FI5 as one array expression.
+def _candidates(text_col: str):
+    """TX1 -> TX3 rules -> FI6 -> TX4 -> FI5 as one array expression.
 
-    The rules keep letter tokens only, so unless the lexicon keeps some digit or
-    punctuation token, the tokenizer's letter runs (its maximal letter runs) are the
-    only tokens that can survive: extract just those and test the one rule that can
-    drop them, instead of tagging every token.
+    The rules keep letter tokens only, so the tokenizer's letter runs (its maximal
+    runs of letters) are the only tokens that can survive: extract just those and test
+    the one rule that can drop them, instead of tagging every token.
     """
-    keep, drop = sets if sets is not None else ([], [])
-    keep_c = (lambda t: t.isin(keep)) if keep else (lambda t: F.lit(False))
-    drop_c = (lambda t: t.isin(drop)) if drop else (lambda t: F.lit(False))
-    if all(is_letter_run(t) for t in keep):
-        tagged = F.filter(letter_tokens(text_col),
-                          lambda t: keep_c(t) | (~drop_c(t) & rule_keeps_letters(t)))
-    else:
-        tagged = F.filter(keyword_tokens(text_col),
-                          lambda t: keep_c(t) | (~drop_c(t) & _relevant(rule_tag(t))))
-    lowered = F.transform(tagged, lambda t: F.lower(t))
-    return F.filter(lowered, lambda t: ~is_stop_word(t))
+    tagged = F.filter(letter_tokens(text_col), lambda t: rule_keeps_letters(t))
+    return _lower_unstopped(tagged)
+
+
+def _lower_unstopped(tokens):
+    return F.filter(F.transform(tokens, lambda t: F.lower(t)), lambda t: ~is_stop_word(t))
+
+
+def _with_lexicon_candidates(pages: DataFrame, text: str, sets, out: str) -> DataFrame:
+    """``out`` = candidates when a lexicon's keep/drop token sets override the rules.
+
+    The per-token test is one SQL lambda whose ``IN`` lists Spark turns into hash sets
+    (building it as Column literals would cost one driver call per token).  Unless the
+    lexicon keeps a digit or punctuation token, only letter runs are extracted.
+    """
+    keep, drop = sets
+    letters_only = all(is_letter_run(t) for t in keep)
+    toks = f"__{out}_toks"
+    pages = pages.withColumn(toks, letter_tokens(text) if letters_only else keyword_tokens(text))
+    in_keep = f"t IN ({', '.join(sql_string(v) for v in keep)})" if keep else "false"
+    in_drop = f"t IN ({', '.join(sql_string(v) for v in drop)})" if drop else "false"
+    rule = "NOT endswith(t, 'ly')" if letters_only else \
+        f"({rule_tag_sql('t')}) IN ({', '.join(sql_string(v) for v in RELEVANT_TAGS)})"
+    tagged = F.expr(f"filter({toks}, t -> {in_keep} OR (NOT ({in_drop}) AND {rule}))")
+    return pages.withColumn(out, _lower_unstopped(tagged)).drop(toks)
 
 
 def with_keyword_counts(pages: DataFrame, text: str = "content", out: str = "_kw_counts",
                         sets=None) -> DataFrame:
     """AG1 as a column: ``out`` = ``array<struct<token, n>>`` of the page's keyword candidates."""
-    return with_token_counts(pages, _candidates(text, sets), out)
+    if sets is None:
+        return with_token_counts(pages, _candidates(text), out)
+    cands = f"__{out}_cands"
+    with_c = _with_lexicon_candidates(pages, text, sets, cands)
+    return with_token_counts(with_c, cands, out).drop(cands)
 
 
 def extract_keywords(pages: DataFrame, key: str = "doc_id", text: str = "content",

@@ -87,3 +87,14 @@ def test_letter_rule_equals_full_tagger_on_letter_tokens(spark):
     full = one(spark, F.filter(keyword_tokens("x"), lambda t: rule_tag(t).isin(list(RELEVANT_TAGS))), text)
     fast = one(spark, F.filter(letter_tokens("x"), lambda t: rule_keeps_letters(t)), text)
     assert full == fast
+
+
+def test_sql_rule_tagger_equals_column_tagger(spark):
+    from adlens.functions.text import rule_tag_sql, sql_string
+    toks = ["!!", "42", "running", "jumped", "quickly", "Paris", "house", "ÉLAN", "café", "--", "x"]
+    df = spark.createDataFrame([(toks,)], "a array<string>")
+    col_tags = df.select(F.transform("a", lambda t: rule_tag(t)).alias("r")).first()["r"]
+    sql_tags = df.select(F.expr(f"transform(a, t -> {rule_tag_sql('t')})").alias("r")).first()["r"]
+    assert col_tags == sql_tags
+    odd = "it's a \\ back'slash"
+    assert spark.sql(f"SELECT {sql_string(odd)} AS v").first()["v"] == odd

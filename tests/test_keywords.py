@@ -43,6 +43,13 @@ def test_lexicon_overrides_rules(spark):
     assert kws(spark, ["Bank bank bank quickly art"], lexicon=lex) == [["art", "bank", "quickly"]]
 
 
+def test_lexicon_keeping_non_letter_tokens(spark):
+    lex = spark.createDataFrame([("42", "NN"), ("!!", "JJ"), ("it's", "NN")], "token string, tag string")
+    texts = ["42 42 go !! !! !! art"]
+    assert kws(spark, texts, lexicon=lex) == [["!!", "42", "art", "go"]]
+    assert kws(spark, texts, lexicon=lex) == kws(spark, texts, lexicon=lex, max_lexicon_rows=0)
+
+
 def test_lexicon_join_path_equals_set_path(spark):
     lex = spark.createDataFrame([("bank", "PRP"), ("quickly", "JJ"), ("art", "DT"), ("art", "NN")],
                                 "token string, tag string")
