@@ -62,10 +62,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return root.rstrip("/") + f"/adlens-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize_path(df, name: str) -> str:
+    """Write ``df`` once as Parquet under the shared checkpoint folder; return the path."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
 def materialize(df, name: str):
     """Cut ``df``'s lineage by writing it once as Parquet under the shared checkpoint folder
     and reading it back (one computation; a reliable ``checkpoint()`` of an uncached
     frame computes it twice).  Survives executor loss like a checkpoint does."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(materialize_path(df, name))
