@@ -99,6 +99,8 @@ def extract_keywords(pages: DataFrame, key: str = "doc_id", text: str = "content
 
     Pages without any keyword get ``[]``.  ``lexicon`` is an optional ``(token, tag)``
     table looked up by the token's original case; tokens it lacks fall back to the rules.
+    ``key`` must identify a page: the row-local path works per row, but the join path
+    (a lexicon over ``max_lexicon_rows``) counts the rows of one key together.
     """
     sets = None
     if lexicon is not None:
