@@ -267,10 +267,15 @@ def _message_source(spark, sf_dir) -> str:
     msgs = standins.pages(spark, sf_dir).select(
         F.to_json(F.struct("doc_id", "url", "content", F.lit(None).cast("timestamp").alias("timestamp")))
         .alias("value"))
-    msgs.repartition(4).write.mode("overwrite").text(src)
+    # Two micro-batches of `parallelism` files each (a topic's partitions play this role).
+    msgs.repartition(2 * spark.sparkContext.defaultParallelism).write.mode("overwrite").text(src)
     return src
 
 
+def _per_trigger(spark) -> dict:
+    return {"maxFilesPerTrigger": str(spark.sparkContext.defaultParallelism)}
+
+
 STREAM_DDL = "doc_id bigint, url string, content string, timestamp timestamp"
 
 
@@ -278,7 +283,7 @@ def q_stream_keywords(spark, sf_dir):
     """ST1 stateless: keyword extraction as a plain streaming projection into a file sink."""
     src = _message_source(spark, sf_dir)
     sink, ckpt = scratch_dir(spark, "kw-out"), scratch_dir(spark, "kw-ckpt")
-    raw = read_stream(spark, "text", {"maxFilesPerTrigger": "1"}, path=src)
+    raw = read_stream(spark, "text", _per_trigger(spark), path=src)
     q = enrich.start_stateless(raw, sink, ckpt, lambda d: keywords.extract_keywords(d, "doc_id"),
                                schema_ddl=STREAM_DDL)
     q.awaitTermination()
@@ -306,7 +311,7 @@ def q_stream_classify(spark, sf_dir):
     model = _model(spark, sf_dir)
     src = _message_source(spark, sf_dir)
     sink, rejects, ckpt = (scratch_dir(spark, n) for n in ("stream-out", "stream-rejects", "stream-ckpt"))
-    raw = read_stream(spark, "text", {"maxFilesPerTrigger": "1"}, path=src)
+    raw = read_stream(spark, "text", _per_trigger(spark), path=src)
     q = enrich.start(raw, sink, ckpt, rejects,
                      batch_fn=lambda b: model.transform(b, key="doc_id", carry=["url", "timestamp"]),
                      schema_ddl=STREAM_DDL)
