@@ -198,6 +198,12 @@ def q_classify(spark, sf_dir):
     return _model(spark, sf_dir).transform(standins.pages(spark, sf_dir))
 
 
+def q_classify_bucketed(spark, sf_dir):
+    """ML2 on the page table stored bucketed by key: the per-page aggregation reuses the
+    scan's partitioning, so the plan has no shuffle (only the vocabulary broadcast)."""
+    return _model(spark, sf_dir).transform(standins.bucketed_pages(spark, sf_dir))
+
+
 # --- corpus -----------------------------------------------------------------------------
 
 def q_label_lines(spark, sf_dir):
@@ -339,6 +345,7 @@ QUERIES: dict[str, Query] = {
     "category_centroid": q_category_centroid,
     "cosine_per_category": q_cosine_per_category,
     "classify": q_classify,
+    "classify_bucketed": q_classify_bucketed,
     "label_lines": q_label_lines,
     "label_parse": q_label_parse,
     "first_n": q_first_n,

@@ -154,6 +154,7 @@ def oracle_sql() -> dict[str, str]:
         "category_centroid": vec + " SELECT category, dim::BIGINT AS dim, round(value, 6) AS value FROM cv",
         "cosine_per_category": vec + " SELECT doc_id, category, round(similarity, 6) AS similarity FROM sims",
         "classify": vec + " SELECT doc_id, category FROM classified",
+        "classify_bucketed": vec + " SELECT doc_id, category FROM classified",
         "label_lines": "WITH " + LABEL_CTES + " SELECT doc_id, value FROM label_lines",
         "label_parse": "WITH " + LABEL_CTES + " SELECT category, content FROM parsed",
         "first_n": f"SELECT doc_id, source, n_chars FROM documents ORDER BY doc_id LIMIT {FIRST_N}",

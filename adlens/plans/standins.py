@@ -15,6 +15,8 @@ an operator's work.  Mapping:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ from adlens.operators.ranking import global_rank
 from adlens.operators.sizing import maybe_broadcast
 from adlens.operators.vectors import doc_token_counts
 from adlens.schemas import DEFAULT_CATEGORY_ORDER
-from adlens.session import materialize_path
+from adlens.session import materialize_path, scratch_dir
+from adlens.sources.pages import save_bucketed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +70,21 @@ def _build_vocabulary(spark: SparkSession, sf_dir: str) -> str:
     return materialize_path(ranked.join(emb, "rank").select("token", "vector", "label"), "vocabulary")
 
 
+# Bucketed page tables built by this application, keyed by (application, sf_dir).
+_BUCKETED: dict[tuple[str, str], str] = {}
+
+
+def bucketed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page table stored bucketed by ``doc_id`` (a layout choice made once per table)."""
+    memo = (spark.sparkContext.applicationId, sf_dir)
+    if memo not in _BUCKETED:
+        name = f"adlens_pages_{uuid.uuid4().hex[:12]}"
+        save_bucketed(pages(spark, sf_dir), "doc_id", 2 * spark.sparkContext.defaultParallelism,
+                      scratch_dir(spark, "pages-bucketed"), name)
+        _BUCKETED[memo] = name
+    return spark.table(_BUCKETED[memo])
+
+
 def categories(vocab: DataFrame) -> DataFrame:
     """Long-form dictionary ``(category, ord, keyword)`` from the vocabulary's labels."""
     names = F.array(*[F.lit(n) for n in DEFAULT_CATEGORY_ORDER])

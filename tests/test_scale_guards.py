@@ -77,3 +77,15 @@ def test_kafka_option_sets():
     assert src == {"kafka.bootstrap.servers": "broker:9092", "subscribe": "web-pages",
                    "startingOffsets": "latest"}
     assert kafka_sink_options("broker:9092")["topic"] == "classified-pages"
+
+
+def test_bucketed_pages_classify_without_shuffle(spark):
+    from adlens.session import scratch_dir
+    from adlens.sources.pages import save_bucketed
+    table = save_bucketed(docs(spark), "doc_id", 4, scratch_dir(spark, "t-bucketed"), "t_pages_bucketed")
+    cats = spark.createDataFrame([("a", 0, "w1"), ("b", 1, "w40")], "category string, ord int, keyword string")
+    res = classify(table, vocab(spark), cats)
+    plan = plan_text(res, "simple")
+    assert "Exchange hashpartitioning" not in plan and "BroadcastExchange" in plan
+    plain = {r["doc_id"]: r["category"] for r in classify(docs(spark), vocab(spark), cats).collect()}
+    assert {r["doc_id"]: r["category"] for r in res.collect()} == plain
