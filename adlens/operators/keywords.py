@@ -155,6 +155,11 @@ def _extract_with_join(pages: DataFrame, key: str, text: str, k: int,
 
 def pages_with_keywords(pages: DataFrame, key: str = "doc_id", k: int = KEYWORDS_PER_PAGE,
                         lexicon: DataFrame | None = None) -> DataFrame:
-    """PR5: S2 page -> S3 page (key, url, title, content, category, author, publishedAt, keywords)."""
+    """PR5: S2 page -> S3 page (key, url, title, content, category, author, publishedAt, keywords).
+
+    S2 fields the input lacks come out as NULL strings."""
+    missing = [f for f in PAGE_FIELDS if f not in pages.columns]
+    if missing:
+        pages = pages.select("*", *[F.lit(None).cast("string").alias(f) for f in missing])
     kw = extract_keywords(pages, key=key, text="content", k=k, lexicon=lexicon)
     return kw.select(key, *PAGE_FIELDS, "keywords")
