@@ -162,4 +162,4 @@ def pages_with_keywords(pages: DataFrame, key: str = "doc_id", k: int = KEYWORDS
     if missing:
         pages = pages.select("*", *[F.lit(None).cast("string").alias(f) for f in missing])
     kw = extract_keywords(pages, key=key, text="content", k=k, lexicon=lexicon)
-    return kw.select(key, *PAGE_FIELDS, "keywords")
+    return kw.select(*([key] if key not in PAGE_FIELDS else []), *PAGE_FIELDS, "keywords")

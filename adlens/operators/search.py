@@ -35,7 +35,7 @@ def search(pages: DataFrame, keywords: Sequence[str], category: str | None = Non
 
 def hits(results: DataFrame, key: str | None = None) -> DataFrame:
     """PR6: the search-hit projection (drops ``content``); keeps ``key`` first if given."""
-    cols = ([key] if key else []) + SEARCH_HIT_FIELDS
+    cols = ([key] if key and key not in SEARCH_HIT_FIELDS else []) + SEARCH_HIT_FIELDS
     return results.select(*cols)
 
 

@@ -77,6 +77,13 @@ def test_page_schema_order(spark):
     assert out.columns == ["doc_id", "url", "title", "content", "category", "author", "publishedAt", "keywords"]
 
 
+def test_url_as_key_is_not_duplicated(spark):
+    df = spark.createDataFrame([("u1", "Bank bank art")], "url string, content string")
+    out = pages_with_keywords(df, key="url")
+    assert out.columns == ["url", "title", "content", "category", "author", "publishedAt", "keywords"]
+    assert out.first()["keywords"] == ["bank", "art"]
+
+
 def test_rule_path_has_no_exchange_beyond_spread(spark):
     df = spark.range(100).selectExpr("id AS doc_id", "concat('word ', id) AS content").repartition(8)
     plan = plan_text(extract_keywords(df), "simple")
