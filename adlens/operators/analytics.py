@@ -31,7 +31,7 @@ def top_keywords_per_category(pages: DataFrame, k: int = KEYWORDS_PER_CATEGORY,
     """
     per_kw = (pages.filter(F.col("category").isNotNull())
               # explode_outer: see keywords.keyword_counts (no inferred pre-filter).
-              .select("category", F.explode_outer("keywords").alias("keyword"))
+              .select("category", F.explode_outer(F.array_distinct("keywords")).alias("keyword"))
               .filter(F.col("keyword").isNotNull())
               .groupBy("category", "keyword").agg(F.count(F.lit(1)).alias("pages")))
     w = Window.partitionBy("category").orderBy(F.desc("pages"), F.asc("keyword"))

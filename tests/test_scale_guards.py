@@ -89,3 +89,38 @@ def test_bucketed_pages_classify_without_shuffle(spark):
     assert "Exchange hashpartitioning" not in plan and "BroadcastExchange" in plan
     plain = {r["doc_id"]: r["category"] for r in classify(docs(spark), vocab(spark), cats).collect()}
     assert {r["doc_id"]: r["category"] for r in res.collect()} == plain
+
+
+def test_hot_category_results_and_partial_aggregation(spark):
+    from collections import Counter
+    from adlens.operators import analytics
+    rows = [(i, "hot" if i % 3 == 0 else f"c{i % 7}", [f"k{i % 5}", f"k{(i * 3) % 11}"]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, category string, keywords array<string>")
+    got = {r["category"]: r["count"] for r in analytics.pages_per_category(df).collect()}
+    want = Counter(c for _, c, _ in rows)
+    assert got == dict(sorted(want.items(), key=lambda kv: (-kv[1], kv[0]))[:10])
+    assert "partial_count" in plan_text(analytics.pages_per_category(df), "simple")
+    top = {r["category"]: r["keywords"] for r in analytics.top_keywords_per_category(df, k=3).collect()}
+    per = Counter((c, k) for _, c, ks in rows for k in set(ks))
+    for cat, kws in top.items():
+        ranked = sorted(((-n, k) for (c, k), n in per.items() if c == cat))[:3]
+        assert kws == [k for _, k in ranked]
+
+
+def test_lexicon_join_path_with_a_repeated_key(spark):
+    lex = spark.createDataFrame([("art", "DT")], "token string, tag string")
+    rows = [(1, "bank bank art hotel")] * 50 + [(2, "art gallery")]
+    df = spark.createDataFrame(rows, "doc_id long, content string")
+    out = extract_keywords(df, lexicon=lex, max_lexicon_rows=0)
+    got = {(r["doc_id"], tuple(r["keywords"])) for r in out.collect()}
+    assert got == {(1, ("bank", "hotel")), (2, ("gallery",))}
+    assert out.count() == 51
+
+
+def test_gap_fill_over_a_year_of_hours(spark):
+    from adlens.operators import analytics
+    df = spark.createDataFrame([("2023-01-01 00:30:00",), ("2024-01-01 00:10:00",)], "s string") \
+        .select(F.col("s").cast("timestamp_ntz").alias("timestamp"))
+    res = analytics.pages_per_period(df, "hour")
+    assert res.count() == 8761
+    assert res.agg(F.sum("count")).first()[0] == 2
