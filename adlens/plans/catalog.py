@@ -16,7 +16,7 @@ from adlens.functions.text import keyword_tokens
 from adlens.operators import analytics, corpus, keywords, search
 from adlens.operators.classify import CategoryModel
 from adlens.operators.sizing import spread
-from adlens.operators.vectors import category_vectors
+from adlens.operators.vectors import category_vectors, doc_vectors
 from adlens.operators import word2vec
 from adlens.plans import standins
 from adlens.session import scratch_dir
@@ -173,7 +173,7 @@ def _model(spark, sf_dir) -> CategoryModel:
 
 def q_doc_vector_norm(spark, sf_dir):
     """AG5/JN1: norm of each page's mean vector, rounded to 6 places."""
-    dv = _model(spark, sf_dir).doc_vectors(standins.pages(spark, sf_dir))
+    dv = doc_vectors(standins.pages(spark, sf_dir), standins.vocabulary(spark, sf_dir))
     return dv.select("doc_id", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 6)
                      .alias("norm"), "n_known")
 
