@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from adlens.functions.text import is_stop_word
 from adlens.operators.ranking import global_rank
-from adlens.operators.sizing import maybe_broadcast
+from adlens.operators.sizing import maybe_broadcast, spread
 from adlens.operators.vectors import doc_token_counts
 from adlens.schemas import DEFAULT_CATEGORY_ORDER
 from adlens.session import materialize_path, scratch_dir
@@ -95,7 +95,7 @@ def categories(vocab: DataFrame) -> DataFrame:
 
 def labelled_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, label int, text)``."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     lab = table(spark, sf_dir, "labels").select(
         "doc_id", (F.col("quality") * 2 + F.col("toxic")).cast("int").alias("label"))
     return d.join(lab, "doc_id").select("doc_id", "label", "text")
