@@ -29,3 +29,23 @@ def test_cli_index_search_report_classify(spark):
     cls = scratch_dir(spark, "cli-cls")
     cli.main(["classify", "--pages", pages_path, "--vectors", vec, "--key", "doc_id", "--output", cls], spark)
     assert spark.read.parquet(cls).count() == 200
+
+
+def test_cli_stream_once_with_file_source(spark):
+    import json
+    import os
+    src = scratch_dir(spark, "cli-stream-src")
+    local = src.replace("file:", "", 1)
+    os.makedirs(local, exist_ok=True)
+    with open(os.path.join(local, "m.json"), "w") as f:
+        f.write("\n".join([json.dumps({"url": "u1", "content": "bank money bank"}),
+                           json.dumps({"url": "u2", "content": "hotel travel"}), "nope"]) + "\n")
+    vec = scratch_dir(spark, "cli-stream-vec")
+    spark.createDataFrame([("bank", [1.0, 0.1]), ("money", [0.9, 0.0]), ("hotel", [0.0, 1.0])],
+                          "token string, vector array<float>").write.parquet(vec)
+    out, rej, ck = (scratch_dir(spark, n) for n in ("cli-s-out", "cli-s-rej", "cli-s-ck"))
+    cli.main(["stream", "--vectors", vec, "--format", "text", "--source", src, "--output", out,
+              "--rejects", rej, "--checkpoint", ck, "--once"], spark)
+    got = {r["url"]: r["category"] for r in spark.read.parquet(out).collect()}
+    assert got == {"u1": "finance", "u2": "travel"}
+    assert [r["json"] for r in spark.read.parquet(rej).collect()] == ["nope"]
