@@ -124,3 +124,13 @@ def test_gap_fill_over_a_year_of_hours(spark):
     res = analytics.pages_per_period(df, "hour")
     assert res.count() == 8761
     assert res.agg(F.sum("count")).first()[0] == 2
+
+
+def test_counting_lambdas_read_materialised_columns(spark):
+    """Guard against Catalyst inlining the sorted array into the per-element lambdas
+    (which would make counting quadratic)."""
+    df = spark.createDataFrame([(1, "b a b c")], "doc_id long, content string")
+    plan = plan_text(extract_keywords(df), "extended")
+    optimized = plan.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert "element_at(___kw_counts_sorted" in optimized
+    assert "element_at(sort_array(" not in optimized
