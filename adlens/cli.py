@@ -19,7 +19,6 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from adlens.operators import analytics, corpus, keywords, search, word2vec
 from adlens.operators.classify import CategoryModel
