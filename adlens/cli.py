@@ -16,10 +16,14 @@ never collected (``search`` also prints its one-row total).
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
+if __package__ in (None, ""):  # run as a file by spark-submit: make the package importable
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 from adlens.operators import analytics, corpus, keywords, search, word2vec
 from adlens.operators.classify import CategoryModel
 from adlens.session import build_session
