@@ -283,8 +283,19 @@ def q_w2v_classify(spark, sf_dir):
 
 # --- streaming --------------------------------------------------------------------------
 
+_SOURCES: dict[tuple[str, str], str] = {}
+
+
 def _message_source(spark, sf_dir) -> str:
-    """Page messages (JSON lines) written from the page table: the stand-in for a topic."""
+    """Page messages (JSON lines) written once from the page table: the stand-in for a
+    topic.  Every stream query starts from a fresh checkpoint, so it reads them all."""
+    memo = (spark.sparkContext.applicationId, sf_dir)
+    if memo not in _SOURCES:
+        _SOURCES[memo] = _write_messages(spark, sf_dir)
+    return _SOURCES[memo]
+
+
+def _write_messages(spark, sf_dir) -> str:
     src = scratch_dir(spark, "stream-src")
     msgs = standins.pages(spark, sf_dir).select(
         F.to_json(F.struct("doc_id", "url", "content", F.lit(None).cast("timestamp").alias("timestamp")))
