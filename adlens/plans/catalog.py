@@ -247,8 +247,11 @@ def q_union_collections(spark, sf_dir):
     pages = _keyworded(spark, sf_dir)
     collection.save(pages.drop("doc_id"), path)
     model = _model(spark, sf_dir)
-    labelled = model.transform(standins.pages(spark, sf_dir))
-    texts = standins.pages(spark, sf_dir).select("doc_id", "content")
+    # On the key-bucketed page table both the per-page sums and the join back to the
+    # texts reuse the bucket partitioning: no page content is shuffled.
+    bucketed = standins.bucketed_pages(spark, sf_dir)
+    labelled = model.transform(bucketed)
+    texts = bucketed.select("doc_id", "content")
     collection.append_classified(texts.join(labelled, "doc_id").drop("doc_id"), path)
     collection.save(corpus.parse_lines(_written_corpus(spark, sf_dir)).select("category", "content"), path)
     back = collection.read(spark, path)
