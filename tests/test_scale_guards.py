@@ -134,3 +134,19 @@ def test_counting_lambdas_read_materialised_columns(spark):
     optimized = plan.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     assert "element_at(___kw_counts_sorted" in optimized
     assert "element_at(sort_array(" not in optimized
+
+
+def test_join_back_on_bucketed_pages_has_no_shuffle(spark):
+    from adlens.session import scratch_dir
+    from adlens.sources.pages import save_bucketed
+    table = save_bucketed(docs(spark), "doc_id", 4, scratch_dir(spark, "t-bucketed2"), "t_pages_bucketed2")
+    cats = spark.createDataFrame([("a", 0, "w1"), ("b", 1, "w40")], "category string, ord int, keyword string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        labelled = classify(table, vocab(spark), cats)
+        joined = table.select("doc_id", "content").join(labelled, "doc_id")
+        plan = plan_text(joined, "simple")
+        assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+        assert joined.count() == 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
