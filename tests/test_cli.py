@@ -49,3 +49,29 @@ def test_cli_stream_once_with_file_source(spark):
     got = {r["url"]: r["category"] for r in spark.read.parquet(out).collect()}
     assert got == {"u1": "finance", "u2": "travel"}
     assert [r["json"] for r in spark.read.parquet(rej).collect()] == ["nope"]
+
+
+def test_cli_corpus_train_and_reports(spark):
+    ex = scratch_dir(spark, "cli-ex")
+    (spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+     .select((F.col("quality") * 2 + F.col("toxic")).alias("label"), "text").write.parquet(ex))
+    text_out = scratch_dir(spark, "cli-corpus")
+    cli.main(["corpus", "--examples", ex, "--output", text_out], spark)
+    lines = spark.read.text(text_out)
+    assert lines.filter(F.col("value").startswith("__label__")).count() > 0
+    model, vec = scratch_dir(spark, "cli-model"), scratch_dir(spark, "cli-vectors")
+    cli.main(["train", "--corpus", text_out, "--model", model, "--vectors", vec, "--partitions", "2"], spark)
+    vocab = spark.read.parquet(vec)
+    assert vocab.count() > 0 and set(vocab.columns) == {"token", "vector"}
+    pages_path = scratch_dir(spark, "cli-pages2")
+    (spark.read.parquet(f"{SF}/documents.parquet")
+     .select("doc_id", F.col("text").alias("content"), F.col("source").alias("category"))
+     .write.parquet(pages_path))
+    coll = scratch_dir(spark, "cli-coll2")
+    cli.main(["index", "--pages", pages_path, "--collection", coll, "--key", "doc_id"], spark)
+    top = scratch_dir(spark, "cli-top")
+    cli.main(["report", "--collection", coll, "--kind", "top-keywords", "--output", top], spark)
+    assert spark.read.parquet(top).count() == 20
+    per = scratch_dir(spark, "cli-per")
+    cli.main(["report", "--collection", coll, "--kind", "per-period", "--period", "day", "--output", per], spark)
+    assert spark.read.parquet(per).count() == 0  # keyworded pages carry no timestamp
