@@ -48,21 +48,17 @@ def _keyworded(spark: SparkSession, sf_dir: str, lexicon: DataFrame | None = Non
                                         lexicon=lexicon)
 
 
-# Collections built by this process, keyed by (application, sf_dir): indexing runs once,
-# searches read the stored table (as the reference's searches read its index).
-_COLLECTIONS: dict[tuple[str, str], str] = {}
-
-
 def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IO4 then IO5: the keyworded pages stored partitioned by category, read back."""
-    memo = (spark.sparkContext.applicationId, sf_dir)
-    if memo not in _COLLECTIONS:
+    """IO4 then IO5: the keyworded pages stored partitioned by category (indexed once per
+    application, as the reference's searches read its index), read back."""
+    def build() -> str:
         path = scratch_dir(spark, "pages-collection")
         collection.initialize(spark, path)
         collection.save(_keyworded(spark, sf_dir), path)
-        _COLLECTIONS[memo] = path
+        return path
     key = T.StructField("doc_id", T.LongType())
-    return collection.read(spark, _COLLECTIONS[memo], schema=collection.collection_schema(key))
+    return collection.read(spark, standins.stored(spark, sf_dir, "collection", build),
+                           schema=collection.collection_schema(key))
 
 
 def _hits(df: DataFrame) -> DataFrame:
@@ -286,16 +282,10 @@ def q_w2v_classify(spark, sf_dir):
 
 # --- streaming --------------------------------------------------------------------------
 
-_SOURCES: dict[tuple[str, str], str] = {}
-
-
 def _message_source(spark, sf_dir) -> str:
     """Page messages (JSON lines) written once from the page table: the stand-in for a
     topic.  Every stream query starts from a fresh checkpoint, so it reads them all."""
-    memo = (spark.sparkContext.applicationId, sf_dir)
-    if memo not in _SOURCES:
-        _SOURCES[memo] = _write_messages(spark, sf_dir)
-    return _SOURCES[memo]
+    return standins.stored(spark, sf_dir, "messages", lambda: _write_messages(spark, sf_dir))
 
 
 def _write_messages(spark, sf_dir) -> str:

@@ -29,6 +29,19 @@ from adlens.session import materialize_path, scratch_dir
 from adlens.sources.pages import save_bucketed
 
 
+# Stored inputs built by this application: (application id, sf_dir, kind) -> path or name.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, kind: str, build) -> str:
+    """Build an input a deployment keeps stored (a table path or name) once per
+    application and test directory; later calls reuse it."""
+    memo = (spark.sparkContext.applicationId, sf_dir, kind)
+    if memo not in _STORED:
+        _STORED[memo] = build()
+    return _STORED[memo]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -41,10 +54,6 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     none.alias("publishedAt"))
 
 
-# Vocabulary tables built by this application, keyed by (application, sf_dir).
-_VOCABULARIES: dict[tuple[str, str], str] = {}
-
-
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(token, vector array<float>, label)``.
 
@@ -52,10 +61,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     checkpoint folder (the stand-in for a saved model): the classifier reads it several
     times (dimension, size check, centroids, join), and queries reuse it.
     """
-    memo = (spark.sparkContext.applicationId, sf_dir)
-    if memo not in _VOCABULARIES:
-        _VOCABULARIES[memo] = _build_vocabulary(spark, sf_dir)
-    return spark.read.parquet(_VOCABULARIES[memo])
+    return spark.read.parquet(stored(spark, sf_dir, "vocabulary", lambda: _build_vocabulary(spark, sf_dir)))
 
 
 def _build_vocabulary(spark: SparkSession, sf_dir: str) -> str:
@@ -70,19 +76,14 @@ def _build_vocabulary(spark: SparkSession, sf_dir: str) -> str:
     return materialize_path(ranked.join(emb, "rank").select("token", "vector", "label"), "vocabulary")
 
 
-# Bucketed page tables built by this application, keyed by (application, sf_dir).
-_BUCKETED: dict[tuple[str, str], str] = {}
-
-
 def bucketed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page table stored bucketed by ``doc_id`` (a layout choice made once per table)."""
-    memo = (spark.sparkContext.applicationId, sf_dir)
-    if memo not in _BUCKETED:
+    def build() -> str:
         name = f"adlens_pages_{uuid.uuid4().hex[:12]}"
         save_bucketed(pages(spark, sf_dir), "doc_id", 2 * spark.sparkContext.defaultParallelism,
                       scratch_dir(spark, "pages-bucketed"), name)
-        _BUCKETED[memo] = name
-    return spark.table(_BUCKETED[memo])
+        return name
+    return spark.table(stored(spark, sf_dir, "bucketed-pages", build))
 
 
 def categories(vocab: DataFrame) -> DataFrame:
