@@ -87,3 +87,27 @@ def test_pages_per_period_units(spark):
     assert [r["count"] for r in days] == [1, 0, 1]
     for p in ("week", None):
         assert analytics.pages_per_period(df, p).count() == 52
+
+
+from datetime import datetime, timedelta  # noqa: E402
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.integers(0, 24 * 60 * 20), min_size=1, max_size=40), st.sampled_from(["hour", "day"]))
+def test_pages_per_period_equals_python_model(spark, minutes, unit):
+    base = datetime(2024, 3, 1)
+    stamps = [base + timedelta(minutes=m) for m in minutes]
+    df = spark.createDataFrame([(t,) for t in stamps], "timestamp timestamp_ntz")
+    got = [(r["period"], r["count"]) for r in analytics.pages_per_period(df, unit).orderBy("period").collect()]
+    step = timedelta(hours=1) if unit == "hour" else timedelta(days=1)
+    trunc = (lambda t: t.replace(minute=0, second=0, microsecond=0)) if unit == "hour" else \
+        (lambda t: t.replace(hour=0, minute=0, second=0, microsecond=0))
+    buckets = [trunc(t) for t in stamps]
+    want, b = [], min(buckets)
+    while b <= max(buckets):
+        want.append((b.strftime("%Y-%m-%dT%H:%M:%S.000Z"), buckets.count(b)))
+        b += step
+    assert got == want
