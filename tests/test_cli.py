@@ -20,6 +20,10 @@ def test_cli_index_search_report_classify(spark):
               "--key", "doc_id", "--output", out], spark)
     hits = spark.read.parquet(out)
     assert hits.filter(F.col("category") != "src3").count() == 0
+    cat_out = scratch_dir(spark, "cli-bycat")
+    cli.main(["by-category", "--collection", coll, "--category", "src3", "--key", "doc_id", "--output", cat_out], spark)
+    bycat = spark.read.parquet(cat_out)
+    assert bycat.count() == 10 and "content" not in bycat.columns
     rep = scratch_dir(spark, "cli-report")
     cli.main(["report", "--collection", coll, "--kind", "per-category", "--output", rep], spark)
     assert spark.read.parquet(rep).count() == 10
