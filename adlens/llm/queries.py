@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import langid, mixing, packing, simhash, spans
+from adlens.llm import graph, langid, mixing, packing, quality, simhash, spans, topk, toxicity
 from adlens.llm.tables import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,30 @@ def q_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def q_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def q_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    return toxicity.score(docs, model).select(
+        "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def q_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
+    return quality.score(docs, model).select(
+        "doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def q_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = simhash.classes(table(spark, sf_dir, "documents"))
     return c.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,6 +71,10 @@ QUERIES: dict[str, Query] = {
     "op1_substring_dedup": q_substring_dedup,
     "op2_source_mix": q_source_mix,
     "op3_packing": q_packing,
+    "op4_ann": q_ann,
+    "op5_toxicity": q_toxicity,
+    "op6_exact_topk": q_exact_topk,
+    "op8_quality": q_quality,
     "op7_simhash": q_simhash,
     "op10_langid": q_langid,
 }
