@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import graph, langid, mixing, packing, quality, simhash, spans, topk, toxicity
+from adlens.llm import graph, langid, lm, mixing, packing, quality, simhash, spans, topk, toxicity
 from adlens.llm.tables import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,11 @@ def q_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def q_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1)
+    return scored.withColumn("held_out", crc_mod("doc_id", 5) == 1)
+
+
 def q_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(crc_mod("doc_id", 5) != 0))
@@ -76,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op6_exact_topk": q_exact_topk,
     "op8_quality": q_quality,
     "op7_simhash": q_simhash,
+    "op9_lm_score": q_lm_score,
     "op10_langid": q_langid,
 }
 
