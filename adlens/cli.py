@@ -20,12 +20,14 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 if __package__ in (None, ""):  # run as a file by spark-submit: make the package importable
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from adlens.operators import analytics, corpus, keywords, search, word2vec
 from adlens.operators.classify import CategoryModel
+from adlens.schemas import COLLECTION
 from adlens.session import build_session
 from adlens.sources import collection, text as textio
 from adlens.sources.stream import kafka_sink_options, kafka_source_options, read_stream
@@ -43,14 +45,22 @@ def cmd_index(spark: SparkSession, a) -> None:
     saved.show()
 
 
+def _collection(spark: SparkSession, a) -> DataFrame:
+    """The collection with the key column, if it has one of its own (``--key-type``)."""
+    if not a.key or a.key in COLLECTION.fieldNames():
+        return collection.read(spark, a.collection)
+    key = StructType.fromDDL(f"`{a.key}` {a.key_type}").fields[0]
+    return collection.read(spark, a.collection, schema=collection.collection_schema(key))
+
+
 def cmd_search(spark: SparkSession, a) -> None:
-    res = search.search(collection.read(spark, a.collection), a.keywords.split(","), a.category)
+    res = search.search(_collection(spark, a), a.keywords.split(","), a.category)
     search.total(res).show()
     _write(search.hits(res, a.key), a.output)
 
 
 def cmd_by_category(spark: SparkSession, a) -> None:
-    _write(search.hits(search.by_category(collection.read(spark, a.collection), a.category), a.key), a.output)
+    _write(search.hits(search.by_category(_collection(spark, a), a.category), a.key), a.output)
 
 
 def cmd_report(spark: SparkSession, a) -> None:
@@ -114,6 +124,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--keywords", required=True, help="comma-separated")
     s.add_argument("--category")
     s.add_argument("--key")
+    s.add_argument("--key-type", default="string")
     s.add_argument("--output", required=True)
     s.set_defaults(fn=cmd_search)
 
@@ -121,6 +132,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--collection", required=True)
     s.add_argument("--category", required=True)
     s.add_argument("--key")
+    s.add_argument("--key-type", default="string")
     s.add_argument("--output", required=True)
     s.set_defaults(fn=cmd_by_category)
 
@@ -160,7 +172,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--bootstrap", default="localhost:9092")
     s.add_argument("--source", help="directory for a file source")
     s.add_argument("--output", required=True, help="sink directory (file sink) or unused for kafka")
-    s.add_argument("--rejects")
+    s.add_argument("--rejects", required=True, help="directory for messages that do not parse")
     s.add_argument("--checkpoint", required=True)
     s.add_argument("--interval", default="10 seconds")
     s.add_argument("--once", action="store_true", help="process what is available, then stop")

@@ -25,6 +25,8 @@ STRIP_PATTERN = rf"^{PY_WHITESPACE}+|{PY_WHITESPACE}+$"
 # ``\w+`` (letters, numbers, underscore) and ``(?s)`` lets the dot take any character
 # of the line, as Python's does once lines are split.
 LABEL_LINE_PATTERN = rf"(?s)^__label__([\p{{L}}\p{{N}}_]+){PY_WHITESPACE}+(.*)$"
+# The same for a label of any non-space characters (``Sci/Tech``).
+ANY_LABEL_PATTERN = rf"(?s)^__label__(\S+?){PY_WHITESPACE}+(.*)$"
 LABEL_PREFIX = "__label__"
 
 
@@ -68,26 +70,6 @@ def rule_tag(token) -> Column:
             .otherwise(F.lit("NN")))
 
 
-def sql_string(value: str) -> str:
-    """A Spark SQL string literal for ``value``."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def rule_tag_sql(var: str) -> str:
-    """``rule_tag`` as a Spark SQL expression on the lambda variable ``var`` (for filters
-    built as one SQL string, e.g. with large literal sets)."""
-    return (f"CASE WHEN NOT {var} RLIKE r'[\\p{{L}}\\p{{Nd}}]' THEN '.' "
-            f"WHEN {var} RLIKE r'^\\p{{Nd}}+$' THEN 'CD' "
-            f"WHEN endswith({var}, 'ing') THEN 'VBG' WHEN endswith({var}, 'ed') THEN 'VBD' "
-            f"WHEN endswith({var}, 'ly') THEN 'RB' "
-            f"WHEN {var} RLIKE r'^\\p{{Lu}}' THEN 'NNP' ELSE 'NN' END")
-
-
-def is_letter_run(token: str) -> bool:
-    """Python-side check that a literal token is a run of letters (one letter-run token)."""
-    return bool(token) and all(ch.isalpha() for ch in token)
-
-
 def rule_keeps_letters(token) -> Column:
     """``rule_tag(token)`` is a noun/verb/adjective tag, for a token made of letters only.
 
@@ -114,8 +96,10 @@ def label_name(label) -> Column:
 
 
 def label_line(name, text) -> Column:
-    """TX5: ``__label__<name>`` two spaces, then the stripped text."""
-    return F.concat(F.lit(LABEL_PREFIX), _col(name), F.lit("  "), strip_ws(text))
+    """TX5: ``__label__<name>`` two spaces, then the stripped text on one line (line breaks
+    become spaces: one example is one line of the corpus file)."""
+    one_line = F.regexp_replace(strip_ws(text), r"\r\n|\r|\n", " ")
+    return F.concat(F.lit(LABEL_PREFIX), _col(name), F.lit("  "), one_line)
 
 
 def parse_label(line, pattern: str = LABEL_LINE_PATTERN) -> tuple[Column, Column]:

@@ -11,15 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adlens.functions.time import bucket, bucket_key, period_unit
-from adlens.schemas import KEYWORDS_PER_CATEGORY, TERMS_DEFAULT_SIZE
+from adlens.functions.time import HOURS, bucket, bucket_key, period_unit
+from adlens.schemas import KEYWORDS_PER_CATEGORY
 
 
-def pages_per_category(pages: DataFrame, size: int = TERMS_DEFAULT_SIZE) -> DataFrame:
-    """AG2/TK2: the ``size`` largest categories (count desc, name asc); NULL category ignored."""
-    return (pages.filter(F.col("category").isNotNull())
-            .groupBy("category").agg(F.count(F.lit(1)).alias("count"))
-            .orderBy(F.desc("count"), F.asc("category")).limit(size))
+def pages_per_category(pages: DataFrame, size: int | None = None) -> DataFrame:
+    """AG2: pages of every category; NULL category ignored.  TK2: with ``size`` only the
+    largest ones (count desc, name asc)."""
+    counts = (pages.filter(F.col("category").isNotNull())
+              .groupBy("category").agg(F.count(F.lit(1)).alias("count")))
+    return counts if size is None else counts.orderBy(F.desc("count"), F.asc("category")).limit(size)
 
 
 def top_keywords_per_category(pages: DataFrame, k: int = KEYWORDS_PER_CATEGORY,
@@ -48,22 +49,22 @@ def pages_per_period(pages: DataFrame, period: str | None = "hour", ts: str = "t
     """AG4: pages per calendar hour (default) or day, with empty periods between the
     first and the last filled with 0.  Rows without a timestamp are ignored.
 
-    Output ``(period, count)`` where ``period`` is the bucket start as an ISO string.
-    One scan: the rows are counted per period (partial aggregation), then each
-    non-empty period emits itself plus the empty periods up to the next non-empty one
-    (``lead`` over the per-period rows, whose number is the time span in periods,
-    independent of the number of pages).
+    Output ``(period, count)`` where ``period`` is the bucket start as an ISO string in UTC.
+    Rows are counted per period (partial aggregation).  The span of the counts is laid
+    out by days first and then, a day at a time, by hours, and the counts are joined to it.
     """
     unit = period_unit(period)
-    step = F.expr("INTERVAL 1 DAY") if unit == "day" else F.expr("INTERVAL 1 HOUR")
+    per_day = 24 // HOURS[unit]
+    zoned = dict(pages.dtypes)[ts] != "timestamp_ntz"
     counts = (pages.filter(F.col(ts).isNotNull())
-              .groupBy(bucket(ts, unit).alias("bucket"))
+              .groupBy(bucket(ts, unit, zoned).alias("bucket"))
               .agg(F.count(F.lit(1)).alias("count")))
-    nxt = F.lead("bucket").over(Window.orderBy("bucket"))
-    first_gap, last_gap = F.col("bucket") + step, F.col("_next") - step
-    gaps = F.when(F.col("_next").isNotNull() & (first_gap <= last_gap),
-                  F.sequence(first_gap, last_gap, step)).otherwise(F.array().cast("array<timestamp>"))
-    rows = F.concat(F.array(F.struct(F.col("bucket").alias("b"), F.col("count").alias("c"))),
-                    F.transform(gaps, lambda g: F.struct(g.alias("b"), F.lit(0).cast("bigint").alias("c"))))
-    filled = counts.withColumn("_next", nxt).select(F.inline_outer(rows))
-    return filled.select(bucket_key("b").alias("period"), F.col("c").cast("bigint").alias("count"))
+    span = counts.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).filter("lo IS NOT NULL")
+    day = F.sequence(F.floor(F.col("lo") / per_day), F.floor(F.col("hi") / per_day))
+    first = F.col("day") * per_day
+    all_ = (span.select("lo", "hi", F.explode(day).alias("day"))
+            .select("lo", "hi", F.explode(F.sequence(first, first + (per_day - 1))).alias("bucket"))
+            .filter("bucket BETWEEN lo AND hi").select("bucket"))
+    return (all_.join(counts, "bucket", "left")
+            .select(bucket_key("bucket", unit).alias("period"),
+                    F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))

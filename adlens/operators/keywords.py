@@ -1,20 +1,17 @@
 """Keyword extraction: tokenize, tag, drop stop words, count, keep the most frequent.
 
-Physical strategies, same result:
-
-* **Row-local (default, and any lexicon up to ``MAX_LEXICON_ROWS``)** - every step is an
-  array expression on the page's own row (tokenize, tag, filter, lower, sort,
-  run-length count, top-k).  The plan is scan -> project: no exchange, so it scales
-  linearly with the table, and a long page or a repeated key costs only its own rows.
-  A caller's ``(token, tag)`` lexicon is a bounded dictionary: it is read once (with a
-  hard row bound) and becomes two hash sets of tokens whose lexicon tag keeps or drops
-  them, overriding the rules inside the same per-row filter.
-* **Join (lexicon beyond the bound)** - tokens are exploded and joined to the lexicon
-  (broadcast when its size is proven small, else a sort-merge join with adaptive skew
-  splitting), counted per (key, keyword) with map-side partials, cut to the top k per
-  key by a window planned with a partial group limit, and joined back to the pages.
-  Nothing is hash-partitioned by key up front, so a key repeated in many rows is only
-  ever k keyword rows per task.
+* **Rules only** - every step is an array expression on the page's own row (tokenize, tag,
+  filter, lower, sort, run-length count, top-k).  The plan is scan -> project: no exchange,
+  so it scales linearly with the table, and a long page or a repeated key costs only its
+  own rows.
+* **With a lexicon** (``(token, tag)``, any size) - keywords depend on the text alone, so
+  each distinct text is worked once: its distinct tokens are joined to the lexicon (a plain
+  join; Spark broadcasts a small side and splits hot tokens), counted with map-side partials,
+  cut to the top k by a window with a partial group limit, and joined back to all
+  pages by the text's hash.  Pages that share a key, or have none, stay rows of their own.
+
+A lexicon entry overrides the rules for its token (original case).  Entries without a token
+or a tag are ignored; of several tags of a token the least counts.
 """
 
 from __future__ import annotations
@@ -23,31 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlens.functions.arrays import top_tokens, with_token_counts
-from adlens.functions.text import (is_letter_run, is_stop_word, keyword_tokens, letter_tokens,
-                                   rule_keeps_letters, rule_tag, rule_tag_sql, sql_string)
-from adlens.operators.sizing import maybe_broadcast
+from adlens.functions.text import (is_stop_word, keyword_tokens, letter_tokens,
+                                   rule_keeps_letters, rule_tag)
 from adlens.schemas import KEYWORDS_PER_PAGE, PAGE_FIELDS, RELEVANT_TAGS
 
-# Largest lexicon applied as in-row hash sets; larger ones are joined.
-MAX_LEXICON_ROWS = 100_000
-
 
 def _relevant(tag):
     return tag.isin(list(RELEVANT_TAGS))
 
 
-def lexicon_sets(lexicon: DataFrame, max_rows: int = MAX_LEXICON_ROWS):
-    """``(keep, drop)`` token lists from a ``(token, tag)`` lexicon, or None when it has more
-    than ``max_rows`` distinct tokens.  A token listed with several tags takes the least."""
-    lex = lexicon.groupBy("token").agg(F.min("tag").alias("tag"))
-    rows = lex.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    keep = sorted(r["token"] for r in rows if r["tag"] in RELEVANT_TAGS)
-    drop = sorted(r["token"] for r in rows if r["tag"] not in RELEVANT_TAGS)
-    return keep, drop
-
-
 def _candidates(text_col: str):
     """TX1 -> TX3 rules -> FI6 -> TX4 -> FI5 as one array expression.
 
@@ -63,63 +44,41 @@ def _lower_unstopped(tokens):
     return F.filter(F.transform(tokens, lambda t: F.lower(t)), lambda t: ~is_stop_word(t))
 
 
-def _with_lexicon_candidates(pages: DataFrame, text: str, sets, out: str) -> DataFrame:
-    """``out`` = candidates when a lexicon's keep/drop token sets override the rules.
-
-    The per-token test is one SQL lambda whose ``IN`` lists Spark turns into hash sets
-    (building it as Column literals would cost one driver call per token).  Unless the
-    lexicon keeps a digit or punctuation token, only letter runs are extracted.
-    """
-    keep, drop = sets
-    letters_only = all(is_letter_run(t) for t in keep)
-    toks = f"__{out}_toks"
-    pages = pages.withColumn(toks, letter_tokens(text) if letters_only else keyword_tokens(text))
-    in_keep = f"t IN ({', '.join(sql_string(v) for v in keep)})" if keep else "false"
-    in_drop = f"t IN ({', '.join(sql_string(v) for v in drop)})" if drop else "false"
-    rule = "NOT endswith(t, 'ly')" if letters_only else \
-        f"({rule_tag_sql('t')}) IN ({', '.join(sql_string(v) for v in RELEVANT_TAGS)})"
-    tagged = F.expr(f"filter({toks}, t -> {in_keep} OR (NOT ({in_drop}) AND {rule}))")
-    return pages.withColumn(out, _lower_unstopped(tagged)).drop(toks)
-
-
-def with_keyword_counts(pages: DataFrame, text: str = "content", out: str = "_kw_counts",
-                        sets=None) -> DataFrame:
+def with_keyword_counts(pages: DataFrame, text: str = "content", out: str = "_kw_counts") -> DataFrame:
     """AG1 as a column: ``out`` = ``array<struct<token, n>>`` of the page's keyword candidates."""
-    if sets is None:
-        return with_token_counts(pages, _candidates(text), out)
-    cands = f"__{out}_cands"
-    with_c = _with_lexicon_candidates(pages, text, sets, cands)
-    return with_token_counts(with_c, cands, out).drop(cands)
+    return with_token_counts(pages, _candidates(text), out)
 
 
 def extract_keywords(pages: DataFrame, key: str = "doc_id", text: str = "content",
                      k: int = KEYWORDS_PER_PAGE, lexicon: DataFrame | None = None,
-                     out: str = "keywords", max_lexicon_rows: int = MAX_LEXICON_ROWS) -> DataFrame:
+                     out: str = "keywords") -> DataFrame:
     """TK1: add ``out`` = the ``k`` most frequent keywords (count desc, token asc).
 
     Pages without any keyword get ``[]``.  ``lexicon`` is an optional ``(token, tag)``
     table looked up by the token's original case; tokens it lacks fall back to the rules.
-    ``key`` must identify a page: the row-local path works per row, but the join path
-    (a lexicon over ``max_lexicon_rows``) counts the rows of one key together.
     """
-    sets = None
-    if lexicon is not None:
-        sets = lexicon_sets(lexicon, max_lexicon_rows)
-        if sets is None:
-            return _extract_with_join(pages, key, text, k, lexicon, out)
-    counted = with_keyword_counts(pages, text, "_kw_counts", sets)
-    return counted.withColumn(out, top_tokens("_kw_counts", k)).drop("_kw_counts")
+    if lexicon is None:
+        counted = with_keyword_counts(pages, text, "_kw_counts")
+        return counted.withColumn(out, top_tokens("_kw_counts", k)).drop("_kw_counts")
+    counts = _counts_by_text(pages, text, lexicon)
+    w = Window.partitionBy("_text_hash").orderBy(F.desc("n"), F.asc("keyword"))
+    top = (counts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
+           .groupBy("_text_hash")
+           .agg(F.transform(F.sort_array(F.collect_list(F.struct("_rn", "keyword"))),
+                            lambda r: r["keyword"]).alias(out)))
+    return (pages.withColumn("_text_hash", F.sha2(F.col(text), 256)).join(top, "_text_hash", "left")
+            .drop("_text_hash")
+            .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>"))))
 
 
 def keyword_counts(pages: DataFrame, key: str = "doc_id", text: str = "content",
-                   lexicon: DataFrame | None = None, max_lexicon_rows: int = MAX_LEXICON_ROWS) -> DataFrame:
-    """AG1: one row per (key, keyword) with its count ``n`` in that page."""
-    sets = None
+                   lexicon: DataFrame | None = None) -> DataFrame:
+    """AG1: one row per (page, keyword) with its count ``n`` in that page."""
     if lexicon is not None:
-        sets = lexicon_sets(lexicon, max_lexicon_rows)
-        if sets is None:
-            return _joined_counts(pages, key, text, lexicon)
-    counted = with_keyword_counts(pages.select(key, text), text, "_kw_counts", sets)
+        counts = _counts_by_text(pages, text, lexicon)
+        return (pages.select(key, F.sha2(F.col(text), 256).alias("_text_hash"))
+                .join(counts, "_text_hash").select(key, "keyword", "n"))
+    counted = with_keyword_counts(pages.select(key, text), text, "_kw_counts")
     # inline_outer: a plain inline makes the optimizer infer `size(array) > 0` and
     # push it to the scan, evaluating the whole extraction twice.
     return (counted.select(key, F.inline_outer("_kw_counts"))
@@ -127,30 +86,21 @@ def keyword_counts(pages: DataFrame, key: str = "doc_id", text: str = "content",
             .select(key, F.col("token").alias("keyword"), "n"))
 
 
-def _joined_counts(pages: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
-    lex = (lexicon.groupBy(F.col("token").alias("_tok"))
-           .agg(F.min("tag").alias("_lex_tag")))
-    lex = maybe_broadcast(lex, row_bytes=96)
-    toks = (pages.select(key, F.explode_outer(keyword_tokens(text)).alias("_tok"))
-            .filter(F.col("_tok").isNotNull()))
+def _counts_by_text(pages: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
+    """``(_text_hash, keyword, n)`` of every distinct text."""
+    lex = (lexicon.filter(F.col("token").isNotNull() & F.col("tag").isNotNull())
+           .groupBy(F.col("token").alias("_tok")).agg(F.min("tag").alias("_lex_tag")))
+    texts = (pages.filter(F.col(text).isNotNull())
+             .groupBy(F.sha2(F.col(text), 256).alias("_text_hash")).agg(F.first(text).alias("_text")))
+    counted = with_token_counts(texts, keyword_tokens("_text"), "_tc")
+    toks = (counted.select("_text_hash", F.inline_outer("_tc"))
+            .filter(F.col("token").isNotNull()).withColumnRenamed("token", "_tok"))
     tagged = (toks.join(lex, "_tok", "left")
               .withColumn("_tag", F.coalesce("_lex_tag", rule_tag("_tok"))))
     cands = (tagged.filter(_relevant(F.col("_tag")))
-             .select(key, F.lower("_tok").alias("keyword"))
+             .select("_text_hash", F.lower("_tok").alias("keyword"), F.col("n").alias("_n"))
              .filter(~is_stop_word("keyword")))
-    return cands.groupBy(key, "keyword").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _extract_with_join(pages: DataFrame, key: str, text: str, k: int,
-                       lexicon: DataFrame, out: str) -> DataFrame:
-    counts = _joined_counts(pages, key, text, lexicon)
-    w = Window.partitionBy(key).orderBy(F.desc("n"), F.asc("keyword"))
-    top = (counts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-           .groupBy(key)
-           .agg(F.transform(F.sort_array(F.collect_list(F.struct("_rn", "keyword"))),
-                            lambda r: r["keyword"]).alias(out)))
-    return (pages.join(top, key, "left")
-            .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>"))))
+    return cands.groupBy("_text_hash", "keyword").agg(F.sum("_n").alias("n"))
 
 
 def pages_with_keywords(pages: DataFrame, key: str = "doc_id", k: int = KEYWORDS_PER_PAGE,

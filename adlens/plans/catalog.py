@@ -27,7 +27,6 @@ from adlens.streaming import enrich
 # Query parameters (the oracle uses the same values).
 SEARCH_CATEGORY = "src3"
 SEARCH_KEYWORDS = ("der", "les", "hotel")
-HISTOGRAM_EVENT_TYPE = "error"
 FIRST_N = 200
 # A small part-of-speech lexicon (token in its original case -> tag).
 LEXICON = (
@@ -44,7 +43,7 @@ def _joined(c: str, sep: str = ",") -> F.Column:
 
 
 def _keyworded(spark: SparkSession, sf_dir: str, lexicon: DataFrame | None = None) -> DataFrame:
-    return keywords.pages_with_keywords(spread(standins.pages(spark, sf_dir)), "doc_id",
+    return keywords.pages_with_keywords(spread(standins.linked_pages(spark, sf_dir)), "doc_id",
                                         lexicon=lexicon)
 
 
@@ -69,10 +68,9 @@ def _hits(df: DataFrame) -> DataFrame:
 # --- keywords ---------------------------------------------------------------------------
 
 def q_tokenize(spark, sf_dir):
-    """TX1 + TX4: the page's letter tokens, lower-cased, in text order."""
+    """TX1 + TX4: the page's tokens of all classes, lower-cased, in text order."""
     p = spread(standins.pages(spark, sf_dir))
-    letters = F.filter(keyword_tokens("content"), lambda t: t.rlike(r"^\p{L}"))
-    toks = F.transform(letters, lambda t: F.lower(t))
+    toks = F.transform(keyword_tokens("content"), lambda t: F.lower(t))
     return p.select("doc_id", toks.alias("_t")).select(
         "doc_id", F.size("_t").cast("bigint").alias("n_tokens"), F.array_join("_t", " ").alias("tokens"))
 
@@ -136,6 +134,11 @@ def q_pages_per_category(spark, sf_dir):
     return analytics.pages_per_category(standins.pages(spark, sf_dir))
 
 
+def q_pages_per_category_top10(spark, sf_dir):
+    """TK2: the ten largest categories."""
+    return analytics.pages_per_category(standins.pages(spark, sf_dir), 10)
+
+
 def q_top_keywords_per_category(spark, sf_dir):
     """AG3 (flagship): top 5 keywords per category over the keyworded pages."""
     top = analytics.top_keywords_per_category(_keyworded(spark, sf_dir))
@@ -143,11 +146,11 @@ def q_top_keywords_per_category(spark, sf_dir):
 
 
 def q_pages_per_hour(spark, sf_dir):
-    return analytics.pages_per_period(standins.timestamped(spark, sf_dir, HISTOGRAM_EVENT_TYPE), "hour")
+    return analytics.pages_per_period(standins.timestamped(spark, sf_dir), "hour")
 
 
 def q_pages_per_day(spark, sf_dir):
-    return analytics.pages_per_period(standins.timestamped(spark, sf_dir, HISTOGRAM_EVENT_TYPE), "DAY")
+    return analytics.pages_per_period(standins.timestamped(spark, sf_dir), "DAY")
 
 
 def q_json_fields(spark, sf_dir):
@@ -219,6 +222,17 @@ def q_label_parse(spark, sf_dir):
     return corpus.parse_lines(_written_corpus(spark, sf_dir)).select("category", "content")
 
 
+def q_label_parse_all(spark, sf_dir):
+    """As label_parse, with labels of any non-space characters: every example comes back."""
+    return corpus.parse_lines(_written_corpus(spark, sf_dir), pattern=corpus.ANY_LABEL_PATTERN) \
+        .select("category", "content")
+
+
+def q_dropped_lines(spark, sf_dir):
+    """How many lines the default label pattern leaves out."""
+    return corpus.dropped_lines(_written_corpus(spark, sf_dir))
+
+
 def q_first_n(spark, sf_dir):
     """IO8/TK3: the first 200 examples by key."""
     d = standins.table(spark, sf_dir, "documents")
@@ -232,10 +246,17 @@ def q_collection_roundtrip(spark, sf_dir):
     path = scratch_dir(spark, "collection")
     collection.initialize(spark, path)
     collection.save(_keyworded(spark, sf_dir), path)
-    back = collection.read(spark, path, SEARCH_CATEGORY)
+    key = T.StructField("doc_id", T.LongType())
+    back = collection.read(spark, path, SEARCH_CATEGORY, schema=collection.collection_schema(key))
     return _hits(back)
 
 
+def q_saved_rows(spark, sf_dir):
+    """AG9: the row count that saving the keyworded pages reports."""
+    path = scratch_dir(spark, "saved")
+    return collection.save(_keyworded(spark, sf_dir), path)
+
+
 def q_union_collections(spark, sf_dir):
     """SO1/IO6/IO11: three writers into one collection, read back whole."""
     path = scratch_dir(spark, "union")
@@ -291,7 +312,8 @@ def _message_source(spark, sf_dir) -> str:
 def _write_messages(spark, sf_dir) -> str:
     src = scratch_dir(spark, "stream-src")
     msgs = standins.pages(spark, sf_dir).select(
-        F.to_json(F.struct("doc_id", "url", "content", F.lit(None).cast("timestamp").alias("timestamp")))
+        F.to_json(F.struct("doc_id", F.concat(F.lit("http://pages.test/"), "doc_id").alias("url"), "content",
+                           F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("timestamp")))
         .alias("value"))
     # Two micro-batches of `parallelism` files each (a topic's partitions play this role).
     msgs.repartition(2 * spark.sparkContext.defaultParallelism).write.mode("overwrite").text(src)
@@ -308,11 +330,11 @@ STREAM_DDL = "doc_id bigint, url string, content string, timestamp timestamp"
 def q_stream_keywords(spark, sf_dir):
     """ST1 stateless: keyword extraction as a plain streaming projection into a file sink."""
     src = _message_source(spark, sf_dir)
-    sink, ckpt = scratch_dir(spark, "kw-out"), scratch_dir(spark, "kw-ckpt")
+    sink, rejects, ckpt = (scratch_dir(spark, n) for n in ("kw-out", "kw-rejects", "kw-ckpt"))
     raw = read_stream(spark, "text", _per_trigger(spark), path=src)
-    q = enrich.start_stateless(raw, sink, ckpt, lambda d: keywords.extract_keywords(d, "doc_id"),
-                               schema_ddl=STREAM_DDL)
-    q.awaitTermination()
+    for q in enrich.start_stateless(raw, sink, ckpt, rejects, lambda d: keywords.extract_keywords(d, "doc_id"),
+                                    schema_ddl=STREAM_DDL):
+        q.awaitTermination()
     return spark.read.parquet(sink).select("doc_id", _joined("keywords"))
 
 
@@ -329,7 +351,27 @@ def q_stream_classify(spark, sf_dir):
     return spark.read.parquet(sink).select("doc_id", "category")
 
 
+def q_stream_content_fn(spark, sf_dir):
+    """PR4/U1: every message with a function (e becomes E) applied to its content; url and
+    timestamp (as seconds) stay."""
+    src = _message_source(spark, sf_dir)
+    sink, rejects, ckpt = (scratch_dir(spark, n) for n in ("fn-out", "fn-rejects", "fn-ckpt"))
+    raw = read_stream(spark, "text", _per_trigger(spark), path=src)
+    enrich.start(raw, sink, ckpt, rejects, content_fn=lambda c: F.translate(c, "e", "E"), schema_ddl=STREAM_DDL).awaitTermination()
+    return spark.read.parquet(sink).select("url", "content", F.unix_seconds("timestamp").alias("seconds"))
+
+
+def q_classify_by_url(spark, sf_dir):
+    """ML2 where keys repeat and are missing: the url is one of 50, or NULL for every tenth
+    page; one row per page comes back."""
+    url = F.when(F.col("doc_id") % 10 != 0, F.concat(F.lit("u"), (F.col("doc_id") % 50).cast("string")))
+    pages = standins.pages(spark, sf_dir).withColumn("url", url)
+    return _model(spark, sf_dir).transform(pages, key="url")
+
+
 QUERIES: dict[str, Query] = {
+    "stream_content_fn": q_stream_content_fn,
+    "classify_by_url": q_classify_by_url,
     "tokenize": q_tokenize,
     "keyword_counts": q_keyword_counts,
     "keywords_top10": q_keywords_top10,
@@ -341,6 +383,7 @@ QUERIES: dict[str, Query] = {
     "search_keywords_only": q_search_keywords_only,
     "search_total": q_search_total,
     "pages_per_category": q_pages_per_category,
+    "pages_per_category_top10": q_pages_per_category_top10,
     "top_keywords_per_category": q_top_keywords_per_category,
     "pages_per_hour": q_pages_per_hour,
     "pages_per_day": q_pages_per_day,
@@ -352,6 +395,9 @@ QUERIES: dict[str, Query] = {
     "classify_bucketed": q_classify_bucketed,
     "label_lines": q_label_lines,
     "label_parse": q_label_parse,
+    "label_parse_all": q_label_parse_all,
+    "dropped_lines": q_dropped_lines,
+    "saved_rows": q_saved_rows,
     "first_n": q_first_n,
     "collection_roundtrip": q_collection_roundtrip,
     "union_collections": q_union_collections,

@@ -1,15 +1,35 @@
 """ANSI SQL (DuckDB dialect) equivalents of the catalogue queries, over the raw test tables.
 
 Each string is self-contained; common CTEs are composed here in Python.  DuckDB's RE2
-has no back-references, so tokenizers use the letter and digit classes only: the other
-token class is never a keyword (its tag is punctuation), so results are unchanged.
+has no back-references: ``tokenize`` cuts runs of other characters where the character
+changes, and the keyword queries use the letter and digit classes only (another token is
+never a keyword, as its tag is punctuation).
 """
 
 from __future__ import annotations
 
-from adlens.plans.catalog import (FIRST_N, HISTOGRAM_EVENT_TYPE, LEXICON, SEARCH_CATEGORY,
-                                  SEARCH_KEYWORDS)
-from adlens.schemas import DEFAULT_CATEGORY_ORDER, NEWS_LABELS, RELEVANT_TAGS, STOP_WORDS
+# The values the results depend on, written out here and not taken from the code under test.
+SEARCH_CATEGORY = "src3"
+SEARCH_KEYWORDS = ("der", "les", "hotel")
+FIRST_N = 200
+LEXICON = (
+    ("It", "PRP"), ("it", "PRP"), ("Le", "DT"), ("le", "DT"), ("La", "DT"), ("la", "DT"),
+    ("les", "DT"), ("des", "DT"), ("de", "IN"), ("Der", "DT"), ("der", "DT"), ("die", "DT"),
+    ("und", "CC"), ("el", "DT"), ("en", "IN"), ("y", "CC"), ("only", "JJ"), ("early", "JJ"),
+)
+DEFAULT_CATEGORY_ORDER = ("health", "technology", "travel", "finance")
+NEWS_LABELS = ("World", "Sports", "Business", "Sci/Tech")
+RELEVANT_TAGS = (
+    "NN", "NNS", "NNP", "NNPS", "JJ", "JJR", "JJS", "VB", "VBD", "VBG", "VBN", "VBP", "VBZ",
+)
+STOP_WORDS = (
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "about", "as",
+    "like", "through", "over", "before", "between", "after", "since", "without", "under", "within", "along",
+    "following", "across", "behind", "beyond", "plus", "except", "up", "down", "from", "into", "out", "off",
+    "above", "below", "near", "far", "this", "that", "these", "those", "is", "are", "was", "were", "be",
+    "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "shall", "should", "may",
+    "might", "must", "can", "could",
+)
 
 
 def _strs(values) -> str:
@@ -25,6 +45,8 @@ WS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{
 STRIP = rf"^{WS}+|{WS}+$"
 LABEL_PAT = rf"(?s)^__label__([\p{{L}}\p{{N}}_]+){WS}+(.*)$"
 
+ANY_LABEL = rf"(?s)^__label__(\S+?){WS}+(.*)$"
+
 
 def _rule_tag(t: str) -> str:
     return (rf"CASE WHEN NOT regexp_matches({t}, '[\p{{L}}\p{{Nd}}]') THEN '.' "
@@ -52,9 +74,11 @@ def _keyword_ctes(lexicon: bool = False) -> str:
         "FROM kw_counts),\n"
         "kw AS (SELECT d.doc_id, coalesce(string_agg(r.keyword, ',' ORDER BY r.rn), '') AS keywords "
         "FROM documents d LEFT JOIN kw_ranked r ON r.doc_id = d.doc_id AND r.rn <= 10 GROUP BY d.doc_id),\n"
-        "pages AS (SELECT d.doc_id, NULL::VARCHAR AS url, NULL::VARCHAR AS title, d.text AS content, "
+        "web AS (SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages),\n"
+        "kpages AS (SELECT d.doc_id, w.url, w.title, d.text AS content, "
         "d.source AS category, d.lang AS author, NULL::VARCHAR AS publishedAt, kw.keywords "
-        "FROM documents d JOIN kw USING (doc_id))"
+        "FROM documents d JOIN kw USING (doc_id) "
+        "LEFT JOIN web w ON w.page_id = d.doc_id % (SELECT count(*) FROM pages))"
     )
 
 
@@ -96,9 +120,8 @@ VECTOR_CTES = (
 LABEL_CTES = (
     "ex AS (SELECT d.doc_id, l.quality * 2 + l.toxic AS label, d.text FROM documents d JOIN labels l USING (doc_id)),\n"
     f"label_lines AS (SELECT doc_id, '__label__' || {LABEL_NAMES}[label + 1] || '  ' || "
-    f"regexp_replace(text, '{STRIP}', '', 'g') AS value FROM ex),\n"
-    "raw_lines AS (SELECT unnest(string_split_regex(value, '\\r\\n|\\r|\\n')) AS raw FROM label_lines "
-    "WHERE value IS NOT NULL),\n"
+    f"regexp_replace(regexp_replace(text, '{STRIP}', '', 'g'), '\\r\\n|\\r|\\n', ' ', 'g') AS value FROM ex),\n"
+    "raw_lines AS (SELECT value AS raw FROM label_lines WHERE value IS NOT NULL),\n"
     f"stripped AS (SELECT regexp_replace(raw, '{STRIP}', '', 'g') AS line FROM raw_lines),\n"
     f"parsed AS (SELECT regexp_extract(line, '{LABEL_PAT}', 1) AS category, "
     f"regexp_extract(line, '{LABEL_PAT}', 2) AS content FROM stripped "
@@ -109,7 +132,7 @@ LABEL_CTES = (
 def _period(unit: str) -> str:
     return (
         f"WITH b AS (SELECT date_trunc('{unit}', ts) AS bucket, count(*) AS count FROM events "
-        f"WHERE event_type = '{HISTOGRAM_EVENT_TYPE}' AND ts IS NOT NULL GROUP BY 1), "
+        "WHERE ts IS NOT NULL GROUP BY 1), "
         f"r AS (SELECT unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 {unit.upper()})) AS bucket FROM b) "
         "SELECT strftime(r.bucket, '%Y-%m-%dT%H:%M:%S.000Z') AS period, coalesce(b.count, 0)::BIGINT AS count "
         "FROM r LEFT JOIN b USING (bucket)"
@@ -125,21 +148,26 @@ def oracle_sql() -> dict[str, str]:
     vec = "WITH " + VECTOR_CTES
     return {
         "tokenize": r"SELECT doc_id, len(l)::BIGINT AS n_tokens, "
-                    r"array_to_string(list_transform(l, lambda x: lower(x)), ' ') AS tokens "
-                    r"FROM (SELECT doc_id, regexp_extract_all(text, '\p{L}+') AS l FROM documents)",
+                    r"array_to_string(list_transform(l, lambda x: lower(x)), ' ') AS tokens FROM (SELECT doc_id, "
+                    r"flatten(list_transform(regexp_extract_all(text, '\p{L}+|\p{Nd}+|[^\p{L}\p{Nd}\x09-\x0D ]+'), "
+                    r"lambda x: CASE WHEN regexp_matches(x, '^[\p{L}\p{Nd}]') THEN [x] ELSE string_split(list_reduce("
+                    r"string_split(x, ''), lambda a, c: a || CASE WHEN right(a, 1) = c THEN '' ELSE chr(1) END || c), "
+                    r"chr(1)) END)) AS l FROM documents)",
         "keyword_counts": kw + " SELECT doc_id, keyword, n FROM kw_counts",
         "keywords_top10": kw + " SELECT doc_id, keywords FROM kw",
-        "keywords_page": kw + " SELECT doc_id, url, title, content, category, author, publishedAt, keywords FROM pages",
+        "keywords_page": kw + " SELECT doc_id, url, title, content, category, author, publishedAt, keywords FROM kpages",
         "keywords_by_tag": "WITH " + _keyword_ctes(lexicon=True) + " SELECT doc_id, keywords FROM kw",
-        "by_category": kw + f" SELECT {HIT_COLS} FROM pages WHERE category = '{SEARCH_CATEGORY}'",
-        "by_keywords": kw + f" SELECT {HIT_COLS} FROM pages WHERE {KW_MATCH}",
-        "search_both": kw + f" SELECT {HIT_COLS} FROM pages WHERE category = '{SEARCH_CATEGORY}' AND {KW_MATCH}",
-        "search_keywords_only": kw + f" SELECT {HIT_COLS} FROM pages WHERE {KW_MATCH}",
-        "search_total": kw + f" SELECT count(*) AS total FROM pages WHERE category = '{SEARCH_CATEGORY}' AND {KW_MATCH}",
+        "by_category": kw + f" SELECT {HIT_COLS} FROM kpages WHERE category = '{SEARCH_CATEGORY}'",
+        "by_keywords": kw + f" SELECT {HIT_COLS} FROM kpages WHERE {KW_MATCH}",
+        "search_both": kw + f" SELECT {HIT_COLS} FROM kpages WHERE category = '{SEARCH_CATEGORY}' AND {KW_MATCH}",
+        "search_keywords_only": kw + f" SELECT {HIT_COLS} FROM kpages WHERE {KW_MATCH}",
+        "search_total": kw + f" SELECT count(*) AS total FROM kpages WHERE category = '{SEARCH_CATEGORY}' AND {KW_MATCH}",
         "pages_per_category": "SELECT source AS category, count(*) AS count FROM documents WHERE source IS NOT NULL "
-                              "GROUP BY source ORDER BY count DESC, category LIMIT 10",
+                              "GROUP BY source",
+        "pages_per_category_top10": "SELECT source AS category, count(*) AS count FROM documents "
+                                    "WHERE source IS NOT NULL GROUP BY source ORDER BY count DESC, category LIMIT 10",
         "top_keywords_per_category": kw + (
-            ", ex AS (SELECT category, unnest(string_split(keywords, ',')) AS keyword FROM pages "
+            ", ex AS (SELECT category, unnest(string_split(keywords, ',')) AS keyword FROM kpages "
             "WHERE keywords <> '' AND category IS NOT NULL), "
             "c AS (SELECT category, keyword, count(*) AS pages FROM ex GROUP BY category, keyword), "
             "r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY pages DESC, keyword) AS rn FROM c) "
@@ -157,10 +185,20 @@ def oracle_sql() -> dict[str, str]:
         "classify_bucketed": vec + " SELECT doc_id, category FROM classified",
         "label_lines": "WITH " + LABEL_CTES + " SELECT doc_id, value FROM label_lines",
         "label_parse": "WITH " + LABEL_CTES + " SELECT category, content FROM parsed",
+        "label_parse_all": "WITH " + LABEL_CTES + f" SELECT regexp_extract(line, '{ANY_LABEL}', 1) AS category, "
+                           f"regexp_extract(line, '{ANY_LABEL}', 2) AS content FROM stripped "
+                           f"WHERE line <> '' AND regexp_matches(line, '{ANY_LABEL}')",
+        "dropped_lines": "WITH " + LABEL_CTES + " SELECT count(*) AS dropped FROM stripped "
+                         f"WHERE line <> '' AND NOT regexp_matches(line, '{LABEL_PAT}')",
+        "saved_rows": "SELECT count(*) AS rows FROM documents",
+        "stream_content_fn": "SELECT 'http://pages.test/' || doc_id AS url, replace(text, 'e', 'E') AS content, "
+                             "(1704067200 + doc_id)::BIGINT AS seconds FROM documents WHERE text IS NOT NULL",
+        "classify_by_url": vec + " SELECT CASE WHEN doc_id % 10 <> 0 THEN 'u' || (doc_id % 50) END AS url, category "
+                                 "FROM classified",
         "first_n": f"SELECT doc_id, source, n_chars FROM documents ORDER BY doc_id LIMIT {FIRST_N}",
-        "collection_roundtrip": kw + f" SELECT {HIT_COLS} FROM pages WHERE category = '{SEARCH_CATEGORY}'",
+        "collection_roundtrip": kw + f" SELECT {HIT_COLS} FROM kpages WHERE category = '{SEARCH_CATEGORY}'",
         "union_collections": "WITH " + _keyword_ctes() + ",\n" + VECTOR_CTES + ",\n" + LABEL_CTES + (
-            " SELECT category, content, keywords, false AS stamped FROM pages"
+            " SELECT category, content, keywords, false AS stamped FROM kpages"
             " UNION ALL SELECT c.category, d.text AS content, NULL::VARCHAR AS keywords, true AS stamped"
             " FROM classified c JOIN documents d USING (doc_id)"
             " UNION ALL SELECT category, content, NULL::VARCHAR AS keywords, false AS stamped FROM parsed"),

@@ -54,6 +54,18 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     none.alias("publishedAt"))
 
 
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` with ``url`` and the ``<title>`` of the web page of number doc_id modulo the
+    number of web pages."""
+    web = table(spark, sf_dir, "pages")
+    n = web.count()
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    web = web.select("page_id", F.col("url").alias("_url"), title.alias("_title"))
+    docs = pages(spark, sf_dir).withColumn("page_id", F.pmod("doc_id", F.lit(n)))
+    return docs.join(web, "page_id", "left").withColumns({"url": F.col("_url"), "title": F.col("_title")}) \
+        .drop("page_id", "_url", "_title")
+
+
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(token, vector array<float>, label)``.
 
@@ -102,10 +114,6 @@ def labelled_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(lab, "doc_id").select("doc_id", "label", "text")
 
 
-def timestamped(spark: SparkSession, sf_dir: str, event_type: str | None = None) -> DataFrame:
-    """Rows with a ``timestamp`` (from ``events.ts``), optionally of one event type."""
-    e = table(spark, sf_dir, "events")
-    if event_type is not None:
-        e = e.filter(F.col("event_type") == F.lit(event_type))
-    # timestamp_ntz: buckets and their keys are wall-clock, whatever the session time zone.
-    return e.select("event_id", F.col("ts").alias("timestamp"))
+def timestamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a ``timestamp`` (all of ``events.ts``)."""
+    return table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("timestamp"))

@@ -7,19 +7,11 @@ from pyspark.sql import types as T
 # --- Schemas --------------------------------------------------------------------------
 
 # S1: JSON message on the page stream.
-STREAM_MESSAGE = T.StructType([
-    T.StructField("url", T.StringType()),
-    T.StructField("content", T.StringType()),
-    T.StructField("timestamp", T.TimestampType()),
-])
 STREAM_MESSAGE_DDL = "url string, content string, timestamp timestamp"
 
 # S2: a page as it enters keyword extraction (all strings); operators also take a key.
 PAGE_FIELDS = ["url", "title", "content", "category", "author", "publishedAt"]
 
-# S3: page with keywords, in output order.
-PAGE_WITH_KEYWORDS_FIELDS = PAGE_FIELDS + ["keywords"]
-
 # S7: search hit projection (no content).
 SEARCH_HIT_FIELDS = ["url", "title", "category", "author", "publishedAt", "keywords"]
 
@@ -35,23 +27,6 @@ COLLECTION = T.StructType([
     T.StructField("category", T.StringType()),   # partition column, last
 ])
 
-# S6: training document.
-TRAINING_DOC = T.StructType([
-    T.StructField("category", T.StringType()),
-    T.StructField("content", T.StringType()),
-])
-
-# Word vectors and the category dictionary (long form: one keyword per row).
-WORD_VECTOR = T.StructType([
-    T.StructField("token", T.StringType()),
-    T.StructField("vector", T.ArrayType(T.FloatType())),
-])
-CATEGORY_KEYWORD = T.StructType([
-    T.StructField("category", T.StringType()),
-    T.StructField("ord", T.IntegerType()),
-    T.StructField("keyword", T.StringType()),
-])
-
 # --- Fixed values (must equal the reference's for the same results) -----------------
 
 # Stop words, matched after lower-casing ("but" appears twice in the source list).
@@ -92,11 +67,8 @@ W2V_VECTOR_SIZE = 100
 W2V_SEED = 42
 W2V_WINDOW = 5
 
-# Elasticsearch terms-aggregation default bucket count (pages per category keeps 10).
-TERMS_DEFAULT_SIZE = 10
 # Keywords kept per page, and per category in the per-category report.
 KEYWORDS_PER_PAGE = 10
 KEYWORDS_PER_CATEGORY = 5
 
 UNKNOWN_CATEGORY = "unknown"
-COLLECTION_NAME = "ad-categories"

@@ -1,13 +1,11 @@
 """Session defaults and the shared scratch location.
 
 Scratch output (intermediate tables, stream sinks, checkpoints) always goes under the
-directory the cluster names in ``spark.checkpoint.dir`` so every executor sees it.  Only
-when the session has none (local tests) do we create one under the system temp dir.
+directory the cluster names in ``spark.checkpoint.dir`` so every executor sees it.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -45,15 +43,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The session's shared checkpoint directory; one is set only when none is configured."""
-    sc = spark.sparkContext
-    root = sc.getCheckpointDir()
-    if root:
-        return root
-    # ``spark.checkpoint.dir`` is normally applied at start-up; unset means local tests.
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None)
-                        or tempfile.mkdtemp(prefix="adlens-ckpt-"))
-    return sc.getCheckpointDir()
+    """The session's shared checkpoint directory (``spark.checkpoint.dir``, or
+    ``setCheckpointDir``).  There is no machine-local fallback: executors on other
+    machines could not read it."""
+    root = spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise RuntimeError("intermediate tables need a shared folder: set spark.checkpoint.dir")
+    return root
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -62,6 +58,16 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return root.rstrip("/") + f"/adlens-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove_scratch(spark: SparkSession) -> None:
+    """Deletes the tables this application wrote under its checkpoint folder (call it last)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(checkpoint_root(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(root):
+        if status.getPath().getName().startswith("adlens-"):
+            fs.delete(status.getPath(), True)
+
+
 def materialize_path(df, name: str) -> str:
     """Write ``df`` once as Parquet under the shared checkpoint folder; return the path."""
     path = scratch_dir(df.sparkSession, name)

@@ -8,7 +8,6 @@ where all of them index into one collection.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +16,10 @@ from adlens.schemas import COLLECTION
 from adlens.sources.paths import exists
 
 
+# Stands for the empty category in partition names, which cannot hold one (it reads back as NULL).
+EMPTY_CATEGORY = "__empty__"
+
+
 def initialize(spark: SparkSession, path: str) -> bool:
     """IO7/FI10: create an empty collection with the fixed schema if ``path`` is absent.
     Returns True when it was created."""
@@ -52,7 +55,9 @@ def save(df: DataFrame, path: str, observe_name: str | None = None) -> DataFrame
     # Rebalance on the partition column: each output task writes few categories (no
     # tasks x categories small files) and adaptive execution splits a hot category
     # into several tasks by size.
-    (conform(df).observe(obs, F.count(F.lit(1)).alias("rows"))
+    named = conform(df).withColumn(
+        "category", F.when(F.col("category") == "", F.lit(EMPTY_CATEGORY)).otherwise(F.col("category")))
+    (named.observe(obs, F.count(F.lit(1)).alias("rows"))
      .hint("rebalance", "category")
      .write.mode("append").partitionBy("category").parquet(path))
     return df.sparkSession.createDataFrame([(int(obs.get["rows"]),)], "rows bigint")
@@ -73,18 +78,12 @@ def read(spark: SparkSession, path: str, category: str | None = None,
          schema: T.StructType | None = None) -> DataFrame:
     """IO5: the collection, optionally restricted to one category (partition pruning).
 
-    With ``schema`` no file footer is read to plan the scan (use it on large
-    collections); without, the schemas of the writers are merged from the footers.
+    The scan is planned from ``schema`` (default: the fixed fields; see
+    ``collection_schema`` for extra ones), so no footer is read and a category such as
+    ``007`` stays a string.
     """
-    if schema is not None:
-        df = spark.read.schema(schema).parquet(path)
-        return df if category is None else df.filter(F.col("category") == F.lit(category))
-    try:
-        df = spark.read.option("mergeSchema", "true").parquet(path)
-    except AnalysisException as exc:
-        if "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-            raise
-        df = spark.createDataFrame([], COLLECTION)  # initialized, nothing appended yet
+    df = spark.read.schema(schema or collection_schema()).parquet(path)
     if category is not None:
-        df = df.filter(F.col("category") == F.lit(category))
-    return df
+        df = df.filter(F.col("category") == F.lit(category or EMPTY_CATEGORY))
+    return df.withColumn(
+        "category", F.when(F.col("category") == EMPTY_CATEGORY, F.lit("")).otherwise(F.col("category")))

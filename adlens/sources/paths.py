@@ -1,15 +1,11 @@
-"""Path checks through the DataFrame reader (works for any Hadoop file system)."""
+"""Path checks on any Hadoop file system."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """True when ``path`` exists, even as an empty directory (the text reader infers nothing)."""
-    try:
-        spark.read.format("text").load(path)
-        return True
-    except AnalysisException:
-        return False
+    """True when ``path`` exists, even as an empty directory; other errors propagate."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

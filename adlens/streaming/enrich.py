@@ -9,14 +9,16 @@ user transform -> sink.  Two transform kinds:
   keeps no state.
 
 Both kinds run through ``foreachBatch`` so one query feeds the result and the rejects
-sink.  Each batch's output goes to ``<sink>/batch=<id>`` with overwrite, so a batch
-replayed after a failure replaces its own output instead of duplicating it.
+sink.  Each batch's output goes to ``<sink>/run=<checkpoint>/batch=<id>`` with overwrite, so a
+batch replayed after a failure replaces its own output instead of duplicating it, and a
+stream started anew (another checkpoint, ids from 0) replaces nobody's.
 
 Messages whose JSON does not parse (or has no ``content``) go to a rejects sink.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -43,16 +45,16 @@ def apply_content_fn(parsed: DataFrame, content_fn: Callable[[Column], Column])
     return parsed.withColumn("content", content_fn(F.col("content")))
 
 
-def _write_batch(df: DataFrame, path: str, fmt: str, batch_id: int, options: dict) -> None:
+def _write_batch(df: DataFrame, path: str, fmt: str, checkpoint: str, batch_id: int, options: dict) -> None:
     if fmt == "kafka":
         # At-least-once, as Kafka writes are; consumers dedupe on the message.
         to_messages(df).write.format("kafka").options(**options).save()
     else:
         df.write.mode("overwrite").format(fmt).options(**options) \
-            .save(f"{path.rstrip('/')}/batch={batch_id}")
+            .save(f"{path.rstrip('/')}/run={zlib.crc32(checkpoint.encode()):08x}/batch={batch_id}")
 
 
-def start(raw: DataFrame, sink_path: str, checkpoint: str, rejects_path: str | None = None,
+def start(raw: DataFrame, sink_path: str, checkpoint: str, rejects_path: str,
           content_fn: Callable[[Column], Column] | None = None,
           batch_fn: Callable[[DataFrame], DataFrame] | None = None,
           schema_ddl: str = STREAM_MESSAGE_DDL, sink_format: str = "parquet",
@@ -71,10 +73,9 @@ def start(raw: DataFrame, sink_path: str, checkpoint: str, rejects_path: str | N
             if content_fn is not None:
                 good = apply_content_fn(good, content_fn)
             out = batch_fn(good.drop("json")) if batch_fn is not None else good.drop("json")
-            _write_batch(out, sink_path, sink_format, batch_id, sink_options)
-            if rejects_path:
-                bad = batch.filter(F.col("content").isNull()).select("json")
-                _write_batch(bad, rejects_path, "parquet", batch_id, {})
+            _write_batch(out, sink_path, sink_format, checkpoint, batch_id, sink_options)
+            bad = batch.filter(F.col("content").isNull()).select("json")
+            _write_batch(bad, rejects_path, "parquet", checkpoint, batch_id, {})
         finally:
             batch.unpersist()
 
@@ -84,21 +85,29 @@ def start(raw: DataFrame, sink_path: str, checkpoint: str, rejects_path: str | N
     return writer.foreachBatch(per_batch).start()
 
 
-def start_stateless(raw: DataFrame, sink_path: str, checkpoint: str,
+def start_stateless(raw: DataFrame, sink_path: str, checkpoint: str, rejects_path: str,
                     transform: Callable[[DataFrame], DataFrame],
                     schema_ddl: str = STREAM_MESSAGE_DDL, sink_format: str = "parquet",
-                    trigger: dict | None = None, query_name: str | None = None) -> StreamingQuery:
+                    sink_options: dict | None = None, trigger: dict | None = None,
+                    query_name: str | None = None) -> tuple[StreamingQuery, StreamingQuery]:
     """ST1 for row-local transforms (keyword extraction, a content function): a plain
-    streaming projection into a file sink, exactly-once through the sink's commit log.
-    Messages without ``content`` are dropped here (``parse_messages`` + a filter on
-    ``content IS NULL`` gives them to a separate rejects query)."""
-    parsed = parse_messages(raw, schema_ddl).filter(F.col("content").isNotNull()).drop("json")
-    writer = (transform(parsed).writeStream.format(sink_format)
-              .option("checkpointLocation", checkpoint).option("path", sink_path)
-              .outputMode("append").trigger(**(trigger or {"availableNow": True})))
+    streaming projection into a file sink (exactly-once through the sink's commit log) or into
+    Kafka (``sink_options``; each row one JSON message).  Messages without ``content`` go to
+    ``rejects_path`` by a query of their own.  Returns both queries."""
+    trigger = trigger or {"availableNow": True}
+    parsed = parse_messages(raw, schema_ddl)
+    out = transform(parsed.filter(F.col("content").isNotNull()).drop("json"))
+    writer = (to_messages(out) if sink_format == "kafka" else out).writeStream.format(sink_format)
+    if sink_format != "kafka":
+        writer = writer.option("path", sink_path)
+    writer = writer.options(**(sink_options or {})).option("checkpointLocation", f"{checkpoint.rstrip('/')}/results") \
+        .outputMode("append").trigger(**trigger)
     if query_name:
         writer = writer.queryName(query_name)
-    return writer.start()
+    bad = parsed.filter(F.col("content").isNull()).select("json").writeStream.format("parquet") \
+        .option("path", rejects_path).option("checkpointLocation", f"{checkpoint.rstrip('/')}/rejects") \
+        .outputMode("append").trigger(**trigger)
+    return writer.start(), bad.start()
 
 
 def stop(query: StreamingQuery | None) -> None:

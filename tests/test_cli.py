@@ -17,16 +17,17 @@ def test_cli_index_search_report_classify(spark):
     assert spark.read.parquet(coll).count() == 200
     out = scratch_dir(spark, "cli-search")
     cli.main(["search", "--collection", coll, "--keywords", "der,les", "--category", "src3",
-              "--key", "doc_id", "--output", out], spark)
+              "--key", "doc_id", "--key-type", "bigint", "--output", out], spark)
     hits = spark.read.parquet(out)
     assert hits.filter(F.col("category") != "src3").count() == 0
     cat_out = scratch_dir(spark, "cli-bycat")
-    cli.main(["by-category", "--collection", coll, "--category", "src3", "--key", "doc_id", "--output", cat_out], spark)
+    cli.main(["by-category", "--collection", coll, "--category", "src3", "--key", "doc_id",
+              "--key-type", "bigint", "--output", cat_out], spark)
     bycat = spark.read.parquet(cat_out)
     assert bycat.count() == 10 and "content" not in bycat.columns
     rep = scratch_dir(spark, "cli-report")
     cli.main(["report", "--collection", coll, "--kind", "per-category", "--output", rep], spark)
-    assert spark.read.parquet(rep).count() == 10
+    assert spark.read.parquet(rep).count() == 20
     vec = scratch_dir(spark, "cli-vec")
     spark.createDataFrame([("money", [1.0, 0.0]), ("hotel", [0.0, 1.0])], "token string, vector array<float>") \
         .write.parquet(vec)

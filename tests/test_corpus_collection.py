@@ -12,14 +12,15 @@ def test_label_lines_and_parse_roundtrip(spark):
     lines = corpus.label_lines(ex).orderBy("doc_id")
     vals = [r["value"] for r in lines.collect()]
     assert vals == ["__label__World  world news", "__label__Sci/Tech  tech news", None,
-                    "__label__Business  multi\nline\r\nbody"]
+                    "__label__Business  multi line body"]
     path = scratch_dir(spark, "t-corpus")
     textio.write_lines(lines, path)
     back = textio.read_lines(spark, path)
     parsed = sorted((r["category"], r["content"]) for r in corpus.parse_lines(back).collect())
-    assert parsed == [("Business", "multi"), ("World", "world news")]
-    # Sci/Tech and the two continuation lines do not match
-    assert corpus.dropped_lines(back).first()["dropped"] == 3
+    assert parsed == [("Business", "multi line body"), ("World", "world news")]
+    # Sci/Tech does not match
+    assert corpus.dropped_lines(back).first()["dropped"] == 1
+    assert corpus.parse_lines(back, pattern=corpus.ANY_LABEL_PATTERN).count() == 3
 
 
 def test_parse_skips_blank_and_unlabelled(spark):
@@ -76,3 +77,12 @@ def test_word2vec_load_or_train_and_determinism(spark):
     assert v1 == v2 and "__label__world" in v1 and len(v1["a"]) == 8
     m3 = word2vec.train(word2vec.sentences(lines), vector_size=8, max_iter=2)
     assert {r["token"]: list(r["vector"]) for r in word2vec.vocabulary(m3).collect()} == v1
+
+
+def test_categories_that_look_like_numbers_or_nothing(spark):
+    path = scratch_dir(spark, "t-cats")
+    pages = spark.createDataFrame([("u1", "007"), ("u2", "12"), ("u3", ""), ("u4", None)], "url string, category string")
+    collection.save(pages, path)
+    assert sorted((r["url"], r["category"]) for r in collection.read(spark, path).collect()) == \
+        [("u1", "007"), ("u2", "12"), ("u3", ""), ("u4", None)]
+    assert [r["url"] for r in collection.read(spark, path, "").collect()] == ["u3"]

@@ -11,8 +11,9 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle_or_is_listed():
-    from adlens.plans.oracle import NO_ORACLE
-    assert set(E.queries()) == set(E.oracle_sql()) | set(NO_ORACLE)
+    from adlens.plans import catalog, oracle
+    assert set(catalog.QUERIES) == set(oracle.oracle_sql()) | set(oracle.NO_ORACLE)
+    assert set(catalog.QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_global_rank_matches_sorted_order(spark):

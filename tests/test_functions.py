@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from adlens.functions import (any_of, keyword_tokens, label_line, label_name, parse_label, rule_tag,
                               strip_ws, top_tokens, vector_tokens, with_token_counts)
-from adlens.functions.time import bucket_key, period_unit
+from adlens.functions.time import bucket, bucket_key, period_unit
 from adlens.functions.vector import cosine
 
 
@@ -75,8 +75,11 @@ def test_cosine_zero_vector_is_null(spark):
 def test_period_units_and_key(spark):
     assert period_unit("DAY") == "day" and period_unit("day") == "day"
     assert period_unit("week") == "hour" and period_unit(None) == "hour"
-    k = spark.sql("SELECT timestamp'2024-01-01 05:00:00' AS b").select(bucket_key("b").alias("k")).first()["k"]
-    assert k == "2024-01-01T05:00:00.000Z"
+    df = spark.sql("SELECT timestamp_ntz'2024-01-01 05:59:59' AS a, timestamp'2024-01-01 05:00:00Z' AS b, "
+                   "timestamp_ntz'1969-12-31 23:10:00' AS c")
+    for col, zoned, hour in (("a", False, "2024-01-01T05"), ("b", True, "2024-01-01T05"), ("c", False, "1969-12-31T23")):
+        k = df.select(bucket(col, "hour", zoned).alias("n")).select(bucket_key("n", "hour").alias("k")).first()["k"]
+        assert k == hour + ":00:00.000Z"
 
 
 def test_letter_rule_equals_full_tagger_on_letter_tokens(spark):
@@ -87,14 +90,3 @@ def test_letter_rule_equals_full_tagger_on_letter_tokens(spark):
     full = one(spark, F.filter(keyword_tokens("x"), lambda t: rule_tag(t).isin(list(RELEVANT_TAGS))), text)
     fast = one(spark, F.filter(letter_tokens("x"), lambda t: rule_keeps_letters(t)), text)
     assert full == fast
-
-
-def test_sql_rule_tagger_equals_column_tagger(spark):
-    from adlens.functions.text import rule_tag_sql, sql_string
-    toks = ["!!", "42", "running", "jumped", "quickly", "Paris", "house", "ÉLAN", "café", "--", "x"]
-    df = spark.createDataFrame([(toks,)], "a array<string>")
-    col_tags = df.select(F.transform("a", lambda t: rule_tag(t)).alias("r")).first()["r"]
-    sql_tags = df.select(F.expr(f"transform(a, t -> {rule_tag_sql('t')})").alias("r")).first()["r"]
-    assert col_tags == sql_tags
-    odd = "it's a \\ back'slash"
-    assert spark.sql(f"SELECT {sql_string(odd)} AS v").first()["v"] == odd

@@ -47,20 +47,25 @@ def test_lexicon_keeping_non_letter_tokens(spark):
     lex = spark.createDataFrame([("42", "NN"), ("!!", "JJ"), ("it's", "NN")], "token string, tag string")
     texts = ["42 42 go !! !! !! art"]
     assert kws(spark, texts, lexicon=lex) == [["!!", "42", "art", "go"]]
-    assert kws(spark, texts, lexicon=lex) == kws(spark, texts, lexicon=lex, max_lexicon_rows=0)
 
 
-def test_lexicon_join_path_equals_set_path(spark):
-    lex = spark.createDataFrame([("bank", "PRP"), ("quickly", "JJ"), ("art", "DT"), ("art", "NN")],
+def test_lexicon_entries_null_and_repeated(spark):
+    lex = spark.createDataFrame([("bank", None), (None, "NN"), ("art", "DT"), ("art", "NN"), ("zoo", "DT")],
                                 "token string, tag string")
-    texts = ["Bank bank bank quickly art", "art art quickly", None, "the and of", "x " * 12]
-    sets = kws(spark, texts, lexicon=lex)
-    joined = kws(spark, texts, lexicon=lex, max_lexicon_rows=0)
-    assert sets == joined
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
-    a = sorted(tuple(r) for r in keyword_counts(df, lexicon=lex).collect())
-    b = sorted(tuple(r) for r in keyword_counts(df, lexicon=lex, max_lexicon_rows=0).collect())
-    assert a == b
+    texts = ["bank hotel zoo art", None, "bank hotel zoo art"]
+    # No tag: the rules decide; several tags: the least (DT) counts.
+    assert kws(spark, texts, lexicon=lex) == [["bank", "hotel"], [], ["bank", "hotel"]]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.sampled_from(["bank", "zoo", "art", "quickly", "42", "!!"]), max_size=6), st.integers(0, 300))
+def test_lexicon_of_any_size_is_one_rule(spark, dropped, others):
+    lex = spark.createDataFrame([(t, "DT") for t in dropped] + [(f"w{i}", "NN") for i in range(others)],
+                                "token string, tag string")
+    text = "bank zoo art hotel zoo"
+    kept = [w for w in text.split() if w not in dropped]
+    want = sorted(set(kept), key=lambda w: (-kept.count(w), w))
+    assert kws(spark, [text, text], lexicon=lex) == [want, want]
 
 
 def test_keyword_counts(spark):

@@ -111,7 +111,7 @@ def test_lexicon_join_path_with_a_repeated_key(spark):
     lex = spark.createDataFrame([("art", "DT")], "token string, tag string")
     rows = [(1, "bank bank art hotel")] * 50 + [(2, "art gallery")]
     df = spark.createDataFrame(rows, "doc_id long, content string")
-    out = extract_keywords(df, lexicon=lex, max_lexicon_rows=0)
+    out = extract_keywords(df, lexicon=lex)
     got = {(r["doc_id"], tuple(r["keywords"])) for r in out.collect()}
     assert got == {(1, ("bank", "hotel")), (2, ("gallery",))}
     assert out.count() == 51

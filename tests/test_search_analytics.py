@@ -51,9 +51,10 @@ def test_hits_and_total(spark):
 def test_pages_per_category_nulls_and_limit(spark):
     rows = [(i, f"c{n:02d}") for n in range(11) for i in range(3)] + [(99, None)] * 5
     df = spark.createDataFrame(rows, "doc_id long, category string")
-    out = analytics.pages_per_category(df).collect()
+    out = analytics.pages_per_category(df, 10).collect()
     assert [r["category"] for r in out] == [f"c{n:02d}" for n in range(10)]
     assert all(r["count"] == 3 for r in out)
+    assert analytics.pages_per_category(df).count() == 11
 
 
 def test_top_keywords_per_category(spark):
@@ -111,3 +112,15 @@ def test_pages_per_period_equals_python_model(spark, minutes, unit):
         want.append((b.strftime("%Y-%m-%dT%H:%M:%S.000Z"), buckets.count(b)))
         b += step
     assert got == want
+
+
+def test_period_keys_are_utc_in_any_session_zone(spark):
+    df = spark.sql("SELECT timestamp'2024-01-10 01:30:00Z' AS timestamp UNION ALL SELECT timestamp'2024-01-10 03:30:00Z'")
+    ntz = spark.sql("SELECT timestamp_ntz'2024-03-10 01:30:00' AS timestamp UNION ALL "
+                    "SELECT timestamp_ntz'2024-03-10 03:30:00'")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = [[r["period"][:13] for r in analytics.pages_per_period(d, "hour").orderBy("period").collect()] for d in (df, ntz)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [["2024-01-10T01", "2024-01-10T02", "2024-01-10T03"], ["2024-03-10T01", "2024-03-10T02", "2024-03-10T03"]]
