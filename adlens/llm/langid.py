@@ -33,7 +33,7 @@ PENALTY = 3.0
 ROUNDS = 8
 SMOOTHING = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 120_000
 
 
 def words_of(text: str | None) -> list[str]:

@@ -5,8 +5,8 @@
    so ids never leave the task unless asked for.  The piece table is written once.
 2. The histogram of piece lengths (at most ``capacity`` rows, whatever the input) is packed on
    the driver: lengths go longest first, each into the shortest open pack that has room,
-   many at once, as packs are counted by pattern.  A rest that no open pack can hold opens a
-   new one.
+   many at once, as packs are counted by pattern.  A length that no open pack can hold opens
+   new ones.
 3. Patterns are joined back by rank: a slot of a pattern owns a range of ranks among the
    pieces of its length.  Ranks come from salted windows, so a length that most pieces
    have is spread; a slot is found by binary search in a table bounded by the histogram.
@@ -31,7 +31,7 @@ from adlens.llm.tables import materialize, rank_within
 
 CAPACITY = 2048
 END_ID = 1
-_CACHED_WORDS = 800_000
+_CACHED_WORDS = 250_000
 _RANK_BITS = 40
 
 
@@ -149,7 +149,13 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) ->
         left = histogram[length]
         while left:
             if not rooms or -rooms[0] < length:
-                put((length,), left, capacity - length)
+                # Only packs opened now can take this length: fill them one after another.
+                fit = capacity // length
+                full, rest = divmod(left, fit)
+                if full:
+                    put((length,) * fit, full, capacity - fit * length)
+                if rest:
+                    put((length,) * rest, 1, capacity - rest * length)
                 break
             room = -rooms[0]
             pattern, count = open_packs[room].pop()

@@ -1,0 +1,26 @@
+import corpus_pipeline
+from adlens.llm import langid, mixing, simhash, spans
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_keep_the_columns_and_their_decisions_take_effect(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    junk = spark.createDataFrame([(9001, "12 34 !!", "en", "src1", 8), (9002, None, None, None, None)], docs.schema)
+    docs = docs.unionByName(junk)
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        seen[name] = docs
+    assert seen["language_id"].count() == 200
+    first = {r["component_id"] for r in simhash.classes(seen["language_id"]).collect()}
+    assert {r["doc_id"] for r in seen["simhash_near_dedup"].collect()} == first
+    cut = {r["doc_id"]: r["text"] for r in spans.dedup(seen["simhash_near_dedup"]).collect()}
+    assert all(cut[r["doc_id"]] == r["text"] for r in seen["substring_dedup"].collect())
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(seen["substring_dedup"]).collect()}
+    assert seen["source_mix"].count() == sum(copies.values())
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.where("start = 0").count() == docs.count()
+    assert {r["lang_pred"] for r in langid.predict(junk, langid.train(docs)).collect()} == {"und"}
