@@ -1,4 +1,4 @@
-"""Size checks that guard every broadcast and every driver-side read in the library.
+"""Size checks that guard the broadcasts of the library.
 
 A side is broadcast only when its row count is proven below a bound (counting stops at
 the bound, so the check itself is cheap on a large side) and its row width is bounded by
@@ -28,27 +28,3 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, max_bytes: int = DEFAULT_BROA
     """``broadcast(df)`` if rows * row_bytes fits the budget, else ``df`` unchanged."""
     max_rows = max(1, max_bytes // max(1, row_bytes))
     return F.broadcast(df) if rows_fit(df, max_rows) else df
-
-
-def collect_bounded(df: DataFrame, max_rows: int, what: str) -> list:
-    """Collect a result whose size is bounded by construction; refuse if it is not."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"{what}: more than {max_rows} rows; refusing to bring it to the driver")
-    return rows
-
-
-def spread(df: DataFrame, target: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over ``target`` tasks (default: the cluster's parallelism), but only
-    when its scan yields fewer partitions than that.
-
-    CPU-heavy row-local text work needs enough tasks; a large table already has one
-    split per file block and is left as it is (no shuffle of the raw text).  Round-robin,
-    not hash on a key: a key that repeats in many rows must not land in one task.
-    """
-    if df.isStreaming:  # a stream's partitions come from its source
-        return df
-    target = target or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)

@@ -15,10 +15,10 @@ from pyspark.sql import types as T
 from adlens.functions.text import keyword_tokens
 from adlens.operators import analytics, corpus, keywords, search
 from adlens.operators.classify import CategoryModel
-from adlens.operators.sizing import spread
 from adlens.operators.vectors import category_vectors, doc_vectors
 from adlens.operators import word2vec
 from adlens.plans import standins
+from adlens.schemas import DEFAULT_CATEGORY_ORDER, UNKNOWN_CATEGORY
 from adlens.session import scratch_dir
 from adlens.sources import collection, text as textio
 from adlens.sources.stream import read_stream
@@ -43,7 +43,7 @@ def _joined(c: str, sep: str = ",") -> F.Column:
 
 
 def _keyworded(spark: SparkSession, sf_dir: str, lexicon: DataFrame | None = None) -> DataFrame:
-    return keywords.pages_with_keywords(spread(standins.linked_pages(spark, sf_dir)), "doc_id",
+    return keywords.pages_with_keywords(standins.linked_pages(spark, sf_dir), "doc_id",
                                         lexicon=lexicon)
 
 
@@ -69,7 +69,7 @@ def _hits(df: DataFrame) -> DataFrame:
 
 def q_tokenize(spark, sf_dir):
     """TX1 + TX4: the page's tokens of all classes, lower-cased, in text order."""
-    p = spread(standins.pages(spark, sf_dir))
+    p = standins.text_pages(spark, sf_dir)
     toks = F.transform(keyword_tokens("content"), lambda t: F.lower(t))
     return p.select("doc_id", toks.alias("_t")).select(
         "doc_id", F.size("_t").cast("bigint").alias("n_tokens"), F.array_join("_t", " ").alias("tokens"))
@@ -77,7 +77,7 @@ def q_tokenize(spark, sf_dir):
 
 def q_keyword_counts(spark, sf_dir):
     """AG1 + FI5/FI6: (doc_id, keyword, n)."""
-    return keywords.keyword_counts(spread(standins.pages(spark, sf_dir)), "doc_id", "content")
+    return keywords.keyword_counts(standins.text_pages(spark, sf_dir), "doc_id", "content")
 
 
 def q_keywords_top10(spark, sf_dir):
@@ -172,7 +172,7 @@ def _model(spark, sf_dir) -> CategoryModel:
 
 def q_doc_vector_norm(spark, sf_dir):
     """AG5/JN1: norm of each page's mean vector, rounded to 6 places."""
-    dv = doc_vectors(standins.pages(spark, sf_dir), standins.vocabulary(spark, sf_dir))
+    dv = doc_vectors(standins.text_pages(spark, sf_dir), standins.vocabulary(spark, sf_dir))
     return dv.select("doc_id", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 6)
                      .alias("norm"), "n_known")
 
@@ -187,14 +187,14 @@ def q_category_centroid(spark, sf_dir):
 
 def q_cosine_per_category(spark, sf_dir):
     """MA1/JN2: similarity of every page with every category centroid, rounded."""
-    res = _model(spark, sf_dir).transform(standins.pages(spark, sf_dir), with_similarities=True)
+    res = _model(spark, sf_dir).transform(standins.text_pages(spark, sf_dir), with_similarities=True)
     return res.select("doc_id", F.inline_outer("similarities")).filter(F.col("category").isNotNull()) \
         .select("doc_id", "category", F.round("similarity", 6).alias("similarity"))
 
 
 def q_classify(spark, sf_dir):
     """ML2/AG7: the category of each page."""
-    return _model(spark, sf_dir).transform(standins.pages(spark, sf_dir))
+    return _model(spark, sf_dir).transform(standins.text_pages(spark, sf_dir))
 
 
 def q_classify_bucketed(spark, sf_dir):
@@ -281,7 +281,7 @@ def q_union_collections(spark, sf_dir):
 
 def q_word2vec_vocab(spark, sf_dir):
     """ML1/FI7: fit Word2Vec on the page lines, return the learned vocabulary."""
-    lines = word2vec.text_lines(spread(standins.pages(spark, sf_dir)))
+    lines = word2vec.text_lines(standins.text_pages(spark, sf_dir))
     sents = word2vec.sentences(lines)
     model = word2vec.train(sents, num_partitions=spark.sparkContext.defaultParallelism)
     return word2vec.vocabulary(model).select("token")
@@ -290,15 +290,26 @@ def q_word2vec_vocab(spark, sf_dir):
 def q_w2v_classify(spark, sf_dir):
     """ML1 -> IO12 -> ML2: train word vectors on the labelled corpus file (label tokens
     included, as the reference trains on raw lines), save the model, load it back, and
-    classify every page with the learned vectors (no SQL oracle: training is iterative;
-    the check is on rows)."""
+    classify every page with the learned vectors.  Training is iterative, so the columns are
+    what any right model has: known tokens, vector length, a category of the dictionary, and
+    loaded vectors equal to the saved ones."""
     lines = _written_corpus(spark, sf_dir)
     path = scratch_dir(spark, "w2v-model")
-    word2vec.load_or_train(spark, path, lambda: word2vec.sentences(lines),
-                           num_partitions=spark.sparkContext.defaultParallelism)
+    saved = word2vec.vocabulary(word2vec.load_or_train(
+        spark, path, lambda: word2vec.sentences(lines), num_partitions=spark.sparkContext.defaultParallelism))
     learned = word2vec.vocabulary(word2vec.load_or_train(spark, path, None))  # loads the saved model
+    equal = saved.exceptAll(learned).isEmpty() and learned.exceptAll(saved).isEmpty()
     cats = standins.categories(standins.vocabulary(spark, sf_dir))
-    return CategoryModel(learned, cats).transform(standins.pages(spark, sf_dir))
+    model = CategoryModel(learned, cats)
+    return model.transform(standins.text_pages(spark, sf_dir), with_known=True).select(
+        "doc_id", "n_known", F.lit(model.sizes.dim == 100).alias("dimension_100"),
+        F.col("category").isin(*DEFAULT_CATEGORY_ORDER, UNKNOWN_CATEGORY).alias("in_dictionary"),
+        F.lit(equal).alias("reloaded_equal"))
+
+
+def q_classify_default(spark, sf_dir):
+    """ML3: pages classified by the built-in dictionary."""
+    return CategoryModel(standins.vocabulary(spark, sf_dir)).transform(standins.text_pages(spark, sf_dir))
 
 
 # --- streaming --------------------------------------------------------------------------
@@ -365,7 +376,7 @@ def q_classify_by_url(spark, sf_dir):
     """ML2 where keys repeat and are missing: the url is one of 50, or NULL for every tenth
     page; one row per page comes back."""
     url = F.when(F.col("doc_id") % 10 != 0, F.concat(F.lit("u"), (F.col("doc_id") % 50).cast("string")))
-    pages = standins.pages(spark, sf_dir).withColumn("url", url)
+    pages = standins.text_pages(spark, sf_dir).withColumn("url", url)
     return _model(spark, sf_dir).transform(pages, key="url")
 
 
@@ -393,6 +404,7 @@ QUERIES: dict[str, Query] = {
     "cosine_per_category": q_cosine_per_category,
     "classify": q_classify,
     "classify_bucketed": q_classify_bucketed,
+    "classify_default": q_classify_default,
     "label_lines": q_label_lines,
     "label_parse": q_label_parse,
     "label_parse_all": q_label_parse_all,

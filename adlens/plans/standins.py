@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from adlens.functions.text import is_stop_word
 from adlens.operators.ranking import global_rank
-from adlens.operators.sizing import maybe_broadcast, spread
+from adlens.operators.sizing import maybe_broadcast
 from adlens.operators.vectors import doc_token_counts
 from adlens.schemas import DEFAULT_CATEGORY_ORDER
 from adlens.session import materialize_path, scratch_dir
@@ -46,6 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def dealt(scan: DataFrame) -> DataFrame:
+    """A plain scan of fewer splits than cores (the test files are one row group each) dealt
+    round-robin to all cores; others as they are.  The splits of a scan are known without a job."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     none = F.lit(None).cast("string")
@@ -54,6 +61,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     none.alias("publishedAt"))
 
 
+def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` for work on the texts, in enough tasks."""
+    return dealt(pages(spark, sf_dir))
+
+
 def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` with ``url`` and the ``<title>`` of the web page of number doc_id modulo the
     number of web pages."""
@@ -61,7 +73,7 @@ def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = web.count()
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
     web = web.select("page_id", F.col("url").alias("_url"), title.alias("_title"))
-    docs = pages(spark, sf_dir).withColumn("page_id", F.pmod("doc_id", F.lit(n)))
+    docs = text_pages(spark, sf_dir).withColumn("page_id", F.pmod("doc_id", F.lit(n)))
     return docs.join(web, "page_id", "left").withColumns({"url": F.col("_url"), "title": F.col("_title")}) \
         .drop("page_id", "_url", "_title")
 
@@ -77,7 +89,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _build_vocabulary(spark: SparkSession, sf_dir: str) -> str:
-    docs = pages(spark, sf_dir)
+    docs = text_pages(spark, sf_dir)
     freq = (doc_token_counts(docs, "doc_id", "content")
             .filter(F.col("token").isNotNull() & ~is_stop_word("token"))
             .groupBy("token").agg(F.sum("tf").alias("n")))
@@ -108,7 +120,7 @@ def categories(vocab: DataFrame) -> DataFrame:
 
 def labelled_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, label int, text)``."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
     lab = table(spark, sf_dir, "labels").select(
         "doc_id", (F.col("quality") * 2 + F.col("toxic")).cast("int").alias("label"))
     return d.join(lab, "doc_id").select("doc_id", "label", "text")

@@ -12,7 +12,7 @@ def test_entry_runs(spark):
 
 def test_every_query_has_an_oracle_or_is_listed():
     from adlens.plans import catalog, oracle
-    assert set(catalog.QUERIES) == set(oracle.oracle_sql()) | set(oracle.NO_ORACLE)
+    assert set(catalog.QUERIES) == set(oracle.oracle_sql())
     assert set(catalog.QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 

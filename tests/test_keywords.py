@@ -89,7 +89,7 @@ def test_url_as_key_is_not_duplicated(spark):
     assert out.first()["keywords"] == ["bank", "art"]
 
 
-def test_rule_path_has_no_exchange_beyond_spread(spark):
+def test_rule_path_has_no_exchange(spark):
     df = spark.range(100).selectExpr("id AS doc_id", "concat('word ', id) AS content").repartition(8)
     plan = plan_text(extract_keywords(df), "simple")
     assert plan.count("Exchange") == 1  # only the test's own repartition

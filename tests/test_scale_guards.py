@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from adlens.operators.classify import classify
 from adlens.operators.keywords import extract_keywords
-from adlens.operators.sizing import collect_bounded, count_at_most, maybe_broadcast, spread
+from adlens.operators.sizing import count_at_most
 from adlens.operators.vectors import doc_vectors
 from adlens.sources.stream import kafka_sink_options, kafka_source_options
 from planutil import plan_text
@@ -18,12 +18,6 @@ def test_count_at_most_stops_at_bound(spark):
     assert count_at_most(df, 5000) == 1000
 
 
-def test_collect_bounded_refuses_large(spark):
-    with pytest.raises(ValueError):
-        collect_bounded(spark.range(20), 10, "x")
-    assert len(collect_bounded(spark.range(5), 10, "x")) == 5
-
-
 def vocab(spark):
     return spark.createDataFrame([(f"w{i}", [float(i), 1.0]) for i in range(50)], "token string, vector array<float>")
 
@@ -65,11 +59,25 @@ def test_results_unchanged_under_repartitioning(spark):
     assert one == many
 
 
-def test_spread_only_when_few_partitions(spark):
-    few = spark.range(100).coalesce(1)
-    assert spread(few, 4).rdd.getNumPartitions() == 4
-    many = spark.range(100).repartition(6)
-    assert spread(many, 4) is many
+def test_only_scans_of_few_splits_are_dealt_out(spark):
+    from adlens.plans.standins import dealt
+    cores = spark.sparkContext.defaultParallelism
+    assert dealt(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == cores
+    many = spark.range(0, 100, 1, cores + 2)
+    assert dealt(many) is many
+
+
+def test_centroid_blocks_give_the_same_categories(spark):
+    from adlens.operators.classify import CategoryModel
+    cats = spark.createDataFrame([(f"c{i:02d}", i % 4, f"w{i}") for i in range(12)],
+                                 "category string, ord int, keyword string")
+    one, many = CategoryModel(vocab(spark), cats), CategoryModel(vocab(spark), cats, block_bytes=400)
+    assert one.n_blocks == 1 and many.n_blocks > 1
+    rows = [sorted((r["doc_id"], r["category"], [tuple(s) for s in r["similarities"]])
+                   for r in m.transform(docs(spark), with_similarities=True).collect()) for m in (one, many)]
+    assert rows[0] == rows[1] and len(rows[0]) == 200 and len(rows[0][0][2]) == 12
+    plan = plan_text(one.transform(docs(spark)), "simple")
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_kafka_option_sets():
