@@ -2,12 +2,20 @@
 
 A text is cut, without loss, into sentences: after a word that ends in ``.``, ``!`` or ``?``,
 at line breaks, before a word with a capital A-Z or Latin-1 capital (a passage pasted into the
-middle of a sentence starts one), and after ``MAX_WORDS`` words.  Words are split by ASCII
-white space.  From every sentence forwards, and from every sentence backwards, the shortest
-run of at least ``sentences`` sentences with ``words`` words is hashed (XXH64 of its
-sentences' XXH64, A-Z lower-cased).  So any repeated passage of about twice ``words`` words is
-covered up to its last sentence, wherever it is pasted, and chance repeats of short phrases
-are not.
+middle of a sentence starts one), and, where ``MAX_WORDS`` words in a row have no such border,
+before the one of them with the least hash (the last of equal ones): a piece of a sentence
+begins there.  So a border follows from the words around it, never from where the border before
+lies, and no piece is longer than ``MAX_WORDS``.  Words are split by ASCII white space; in scripts
+written without spaces every character, with the marks after it, is a word.  From every piece
+forwards, and from every piece backwards, the shortest run is hashed (XXH64 of its pieces' XXH64,
+A-Z lower-cased) that touches at least ``sentences`` sentences and has ``words`` words, or has half
+as many words again.
+
+The borders of two copies of a passage agree from the first one in its words 2 to
+``MAX_WORDS`` + 1 to the last one in its last ``MAX_WORDS`` words.  So any repeated passage of
+1.5 ``words`` + 2 ``MAX_WORDS`` words (50) is found, wherever it is pasted and whatever it holds,
+but for at most ``MAX_WORDS`` words at either end where it starts or ends inside a sentence; chance
+repeats of short phrases are not.
 
 The first place of a run is the one in the smallest doc_id, and in it the first.  Later
 places in the same document are known in the row; for the others every document sends a
@@ -23,6 +31,8 @@ run never repeat.
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,23 +44,90 @@ from adlens.llm.tables import materialize
 
 SENTENCES = 2
 WORDS = 20
-MAX_WORDS = 24
+MAX_WORDS = 10
 _LAST = (1 << 63) - 1
 _EMPTY = np.zeros(0, np.int64)
+# Thai to Tibetan, Myanmar, Khmer, New Tai Lue and Tai Tham, CJK with kana and Yi, compatibility and full-width forms.
+_UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x2E80, 0x312F),
+             (0x3190, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF00, 0xFF9F))
+
+
+def _kinds() -> np.ndarray:
+    """Per code point of the basic plane: 1 a character that is a word, 2 a mark on one, 0 others."""
+    kinds = np.zeros(1 << 16, np.int8)
+    for low, high in _UNSPACED:
+        kinds[low:high + 1] = [2 if unicodedata.category(chr(c))[0] == "M" else 1 for c in range(low, high + 1)]
+    return kinds
+
+
+_KINDS = _kinds()
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _heads(a: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """True at the first byte of every word."""
+    solid = ~space
+    heads = solid.copy()
+    heads[1:] &= space[:-1]
+    lead = np.flatnonzero(a >= 0xE0)
+    if not len(lead):
+        return heads
+    at = np.flatnonzero((a & 0xC0) != 0x80)  # of code points
+    wide = np.append(a, np.zeros(3, np.uint8)).astype(np.int32)
+    b = wide[at]
+    point = (b & 15) << 12 | (wide[at + 1] & 63) << 6 | (wide[at + 2] & 63)
+    kind = np.where((b >= 0xE0) & (b < 0xF0), _KINDS[point & 0xFFFF], 0)
+    # Planes 2 and 3: further CJK ideographs.
+    kind[(b == 0xF0) & ((wide[at + 1] & 0x30) >= 0x20)] = 1
+    first = kind == 1
+    first[1:] |= (kind[1:] == 0) & (kind[:-1] > 0)  # a word of letters right after such characters
+    heads[at[first & solid[at]]] = True
+    return heads
+
+
+def _powers(n: int, known=[np.ones(1, np.uint64)]) -> np.ndarray:
+    """The first ``n`` powers of ``_FACTOR``, kept for the next text."""
+    if len(known[0]) < n:
+        more = np.full(max(n, 2 * len(known[0])), _FACTOR, np.uint64)
+        more[0] = 1
+        known[0] = np.multiply.accumulate(more)
+    return known[0][:n]
+
+
+def _word_hashes(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash, never 0, of every word's bytes, wherever the word is."""
+    n = len(lower)
+    powers = _powers(n + 1)
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * powers[:0:-1])])
+    # A byte at j weighs factor ** (n - j); a word is brought to the weights of a text's last bytes.
+    h = (upto[ends] - upto[starts]) * _inverses(n + 1)[n - ends]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ h >> np.uint64(32)) | np.uint64(1)
+
+
+def _inverses(n: int, known=[np.ones(1, np.uint64)]) -> np.ndarray:
+    if len(known[0]) < n:
+        more = np.full(max(n, 2 * len(known[0])), pow(int(_FACTOR), -1, 1 << 64), np.uint64)
+        more[0] = 1
+        known[0] = np.multiply.accumulate(more)
+    return known[0][:n]
 
 
 class Sentences:
-    """A UTF-8 text's sentences: ``begin`` (byte offset of each one's first word), ``end``
-    (after its last word) and ``words`` (their number)."""
+    """A UTF-8 text's sentences, long ones in pieces: ``begin`` (byte offset of each one's first
+    word), ``end`` (after its last word), ``words`` (their number) and ``new`` (false for a
+    piece that goes on with a sentence)."""
 
     def __init__(self, text: bytes):
         a = np.frombuffer(text, np.uint8)
         space = (a == 32) | ((a >= 9) & (a <= 13))
-        edges = np.flatnonzero(np.diff(space.view(np.int8), prepend=1, append=1))
-        starts, ends = edges[::2], edges[1::2]  # of words
+        heads = _heads(a, space)
+        starts = np.flatnonzero(heads)  # of words
         if not len(starts):
-            self.begin = self.end = self.words = _EMPTY
+            self.begin = self.end = self.words = self.new = _EMPTY
             return
+        ends = np.flatnonzero(np.append(space | heads, True)[1:] & ~space) + 1
         first, last = a[starts], a[ends - 1]
         second = a[np.minimum(starts + 1, len(a) - 1)]
         new = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
@@ -58,22 +135,30 @@ class Sentences:
         lines = np.searchsorted(np.flatnonzero(a == 10), starts)
         new[1:] |= lines[1:] > lines[:-1]
         new[0] = True
-        at = np.arange(len(starts))
-        new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % MAX_WORDS == 0
-        heads = np.flatnonzero(new)
+        if len(starts) >= MAX_WORDS:
+            value = np.where(new, np.uint64(0), _word_hashes(np.frombuffer(text.lower(), np.uint8), starts, ends))
+            windows = np.lib.stride_tricks.sliding_window_view(value, MAX_WORDS)
+            cut = new.copy()
+            cut[np.arange(len(windows)) + MAX_WORDS - 1 - windows[:, ::-1].argmin(axis=1)] = True
+        else:
+            cut = new
+        heads = np.flatnonzero(cut)
         after = np.append(heads[1:], len(starts))
-        self.begin, self.end, self.words = starts[heads], ends[after - 1], after - heads
+        self.begin, self.end, self.words, self.new = starts[heads], ends[after - 1], after - heads, new[heads]
 
     def runs(self, text: bytes, least: int, words: int):
-        """``(hashes, first sentences, sentences after the last)`` of the shortest runs
-        that start or end at any sentence, in text order."""
+        """``(hashes, first pieces, pieces after the last)`` of the shortest runs
+        that start or end at any piece, in text order."""
         n = len(self.words)
         total = np.concatenate([[0], np.cumsum(self.words)])
-        if n < least or total[-1] < words:
+        if total[-1] < words:
             return _EMPTY, _EMPTY, _EMPTY
-        at = np.arange(n)
-        ends = np.maximum(np.searchsorted(total, total[:-1] + words, "left"), at + least)
-        starts = np.minimum(np.searchsorted(total, total[1:] - words, "right") - 1, at + 1 - least)
+        at, many = np.arange(n), words * 3 // 2
+        of = np.cumsum(self.new) - 1  # sentence of every piece
+        ends = np.maximum(np.searchsorted(total, total[:-1] + words, "left"), np.searchsorted(of, of + least - 1, "left") + 1)
+        ends = np.minimum(ends, np.searchsorted(total, total[:-1] + many, "left"))
+        starts = np.minimum(np.searchsorted(total, total[1:] - words, "right"), np.searchsorted(of, of + 1 - least, "right")) - 1
+        starts = np.maximum(starts, np.searchsorted(total, total[1:] - many, "right") - 1)
         forward, backward = ends <= n, starts >= 0
         places = np.unique(np.concatenate([at[forward] << 32 | ends[forward], starts[backward] << 32 | at[backward] + 1]))
         first, after = places >> 32, places & 0xFFFFFFFF

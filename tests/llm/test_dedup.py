@@ -116,6 +116,37 @@ def test_a_passage_pasted_anywhere_stays_once(spark):
     assert got[1]["text"] == words(99, 80)
 
 
+def test_borders_follow_from_the_words_around_them():
+    rng = random.Random(8)
+    han = [chr(0x4E00 + n) for n in range(3000)]
+    for trial in range(200):
+        sep, some = (" ", [f"q{n}" for n in range(5 if trial % 3 else 9999)]) if trial % 2 else ("", han)
+        passage = rng.choices(some, k=rng.randrange(50, 80))
+        runs = []
+        for _ in range(2):
+            text = sep.join(rng.choices(some, k=rng.randrange(40)) + passage + rng.choices(some, k=rng.randrange(40))).encode()
+            s = spans.Sentences(text)
+            assert s.without(text, s.words < 0) == text and max(s.words) <= spans.MAX_WORDS
+            runs.append(set(s.runs(text, spans.SENTENCES, spans.WORDS)[0].tolist()))
+        assert runs[0] & runs[1], (trial, len(passage))
+
+
+def test_unpunctuated_windows_of_51_words_are_found(spark):
+    rng = random.Random(4)
+    source = words(1, 400).split()
+    rows = [(0, " ".join(source))]
+    for n in range(1, 30):
+        at = rng.randrange(340)
+        rows.append((n, " ".join([words(100 + n, rng.randrange(1, 40)), *source[at:at + 51], words(200 + n, rng.randrange(1, 40))])))
+    got = {r["doc_id"]: r["text"] for r in spans.dedup(docs(spark, rows)).collect()}
+    assert got[0] == rows[0][1]
+    known = set(source)
+    for n, text in rows[1:]:
+        left = got[n].split()
+        assert [w for w in left if w not in known] == [w for w in text.split() if w not in known]
+        assert len([w for w in left if w in known]) <= 2 * spans.MAX_WORDS
+
+
 def brute_removed(rows, least, need):
     """Sentence numbers removed, from the definition: every shortest run forwards and backwards."""
     seen, out = {}, {}
