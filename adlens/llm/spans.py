@@ -17,16 +17,18 @@ The borders of two copies of a passage agree from the first one in its words 2 t
 but for at most ``MAX_WORDS`` words at either end where it starts or ends inside a sentence; chance
 repeats of short phrases are not.
 
-The first place of a run is the one in the smallest doc_id, and in it the first.  Later
+The first place of a run is the one in the smallest document, and in it the first.  Later
 places in the same document are known in the row; for the others every document sends a
-run once to a global table of runs, which keeps the smallest doc_id (a partial aggregate, so a
+run once to a global table of runs, which keeps the smallest document (a partial aggregate, so a
 passage shared by a third of all documents is one row per task) and is joined back (a
-sort-merge join whose hot keys AQE splits).  Sentences covered by a non-first run are removed.
+sort-merge join whose hot keys AQE splits).  Pieces covered by a non-first run are removed.
 
-Null texts stay null, blank ones as they are; a null ``doc_id`` comes after all others.
-Rows that repeat a doc_id count as one document: a run they share is not a repeat among
-them, and what is removed by sentence number goes from each of them.  Shorter texts than a
-run never repeat.
+A document is known by its doc_id and a mark, in this order: a hash of the text, so different
+texts under one doc_id are documents of their own, while rows equal in both count as one
+(a run they share is not a repeat among them).  Rows with a null ``doc_id`` come after all
+others, each a document of its own: they are written once with a number as mark.
+
+Null texts stay null, blank ones as they are.  Shorter texts than a run never repeat.
 """
 
 from __future__ import annotations
@@ -183,36 +185,59 @@ def _first_places(hashes: np.ndarray) -> np.ndarray:
     return first
 
 
+def _marked(docs: DataFrame, doc: str, mark: str) -> DataFrame:
+    """``docs`` with two columns that tell documents apart, and order them."""
+    named = docs.where("doc_id is not null") \
+        .withColumns({doc: F.col("doc_id").cast("long"), mark: F.xxhash64("text")})
+    # Equal rows without an id have only their place; written, it is the same for every reader.
+    nameless = materialize(docs.where("doc_id is null")
+                           .withColumns({doc: F.lit(_LAST), mark: F.monotonically_increasing_id()}), "nameless")
+    return named.unionByName(nameless)
+
+
 def _run_table(docs: DataFrame, least: int, words: int) -> DataFrame:
-    """``(hash, doc, place)``: every run once per document, ``place`` = start and end in one long."""
+    """``docs(doc, mark, text)`` -> ``(hash, doc, mark, place)``: every run once per row,
+    ``place`` = start and end in one long."""
     def run(batches):
         for b in batches:
-            found = [[], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            found = [[], [], [], []]
+            for doc, mark, text in zip(*(c.to_pylist() for c in b.columns)):
                 if text:
                     hashes, first, after = Sentences(text).runs(text, least, words)
                     new = _first_places(hashes)
                     found[0].append(hashes[new])
                     found[1].append(np.full(int(new.sum()), doc, np.int64))
-                    found[2].append((first << 32 | after)[new])
+                    found[2].append(np.full(int(new.sum()), mark, np.int64))
+                    found[3].append((first << 32 | after)[new])
             if found[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["hash", "doc", "place"])
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"),
-                       F.col("text").cast("binary").alias("text")) \
-        .mapInArrow(run, "hash long, doc long, place long")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["hash", "doc", "mark", "place"])
+    return docs.mapInArrow(run, "hash long, doc long, mark long, place long")
+
+
+def _first_documents(table: DataFrame, several: bool) -> DataFrame:
+    """``(hash, first, first_mark)`` of the runs that more than one row has.  ``several``: a
+    doc can have several marks, of which the least counts."""
+    each = table.groupBy("hash", "doc").agg(F.min("mark").alias("mark"), F.count("*").alias("n")) if several \
+        else table.select("hash", "doc", "mark", F.lit(1).cast("long").alias("n"))
+    # One mark a doc is left here, so the least doc's is certain; all of it aggregates by hash.
+    return each.groupBy("hash").agg(F.min("doc").alias("first"), F.min_by("mark", "doc").alias("first_mark"),
+                                    F.sum("n").alias("n")).where("n > 1").drop("n")
 
 
 def dedup(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """The documents with ``text`` rewritten and two columns more: ``n_sentences`` and
-    ``n_removed``.  Other columns stay as they are; every row stays."""
-    table = _run_table(docs, least, words)
-    first = table.groupBy("hash").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
-    repeats = table.join(materialize(first.select("hash", "first"), "repeated-runs"), "hash") \
-        .where("doc > first").groupBy("doc").agg(F.collect_list("place").alias("places"))
-    names = _free(docs.columns, "_doc", "_places")
-    keyed = docs.withColumn(names[0], F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
-    joined = keyed.join(materialize(repeats.toDF(*names), "repeated-places"), names[0], "left") \
-        .select(*docs.columns, names[1])
+    ``n_removed`` (pieces).  Other columns stay as they are; every row stays."""
+    names = _free(docs.columns, "_doc", "_mark", "_places")
+    keyed = _marked(docs, names[0], names[1])
+    table = _run_table(keyed.select(F.col(names[0]).alias("doc"), F.col(names[1]).alias("mark"),
+                                    F.col("text").cast("binary").alias("text")), least, words)
+    several = bool(keyed.groupBy(names[0]).count().where("count > 1").take(1))
+    first = materialize(_first_documents(table, several), "repeated-runs")
+    # Rows equal in doc and mark send equal places: a set.
+    repeats = table.join(first, "hash").where("doc > first or doc = first and mark > first_mark") \
+        .groupBy("doc", "mark").agg(F.collect_set("place").alias("places"))
+    joined = keyed.join(materialize(repeats.toDF(*names), "repeated-places"), names[:2], "left") \
+        .select(*docs.columns, names[2])
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.IntegerType()),
                            T.StructField("n_removed", T.IntegerType())])

@@ -195,6 +195,22 @@ def test_sentences_are_lossless_and_odd_rows_stay(spark):
     assert out[0]["key"] == "k" and out[0]["_doc"] == 7
 
 
+def test_rows_without_or_with_a_repeated_id_are_documents_of_their_own(spark):
+    other = PASSAGE.replace("e", "o")
+    rows = [(None, f"{words(1, 40)}. {PASSAGE}"), (None, "Short one."), (None, f"{words(2, 30)}. {PASSAGE} {words(3, 30)}"),
+            (None, words(4, 90)), (None, words(4, 90)), (None, words(4, 90)),
+            (7, f"{words(5, 25)}. {other}"), (7, f"{other} {words(6, 35)}"), (7, words(7, 60)), (7, words(7, 60))]
+    got = [r["text"] for r in spans.dedup(docs(spark, rows)).collect()]
+    assert len(got) == len(rows)
+    for passage in (PASSAGE, other):
+        assert sum(passage in t for t in got) == 1
+    for seed, n in ((1, 40), (2, 30), (3, 30), (5, 25), (6, 35)):
+        assert sum(words(seed, n) in t for t in got) == 1
+    assert "Short one." in got
+    assert got.count(words(4, 90)) == 1 and got.count("") == 2  # copies without an id are repeats
+    assert got.count(words(7, 60)) == 2  # equal rows under one id are one document
+
+
 def test_queries_return_their_contract(spark):
     from adlens.llm.queries import QUERIES
     r = QUERIES["op7_simhash"](spark, "/root/testdata/sf0.001")
