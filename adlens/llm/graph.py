@@ -5,7 +5,9 @@ Nodes start with random neighbours; twice, in random order, batches of nodes sea
 greedily from the medoid for their nearest nodes, keep diverse edges by relaxed
 distance pruning (a candidate goes if a kept neighbour is ``alpha`` times nearer to it than the
 node is) and add the edges back.  The index is written as a table.  A query searches each shard
-by beam search; the nodes found are scored by cosine on the original vectors in double
+by beam search, with a beam that grows as the root of the shard's nodes, as recall would fall
+with a fixed one; shards hold up to ``SHARD_ROWS`` rows, for which this is measured, and more
+vectors make more shards; the nodes found are scored by cosine on the original vectors in double
 precision, and top lists merge in a tree.
 
 Vectors that are null, zero or hold null or non-finite components, and rows without an id,
@@ -14,6 +16,8 @@ take no part; vectors meet those of their own length only; a query never meets i
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,7 +28,9 @@ from adlens.llm.tables import materialize
 
 DEGREE = 24
 BUILD_BEAM = 48
-SEARCH_BEAM = 96
+SEARCH_BEAM = 96  # the least
+BEAM_ROOT = 3  # times the root of a shard's nodes
+SHARD_ROWS = 1 << 14
 ALPHA = 1.2
 WIDTH = 4
 BATCH = 256
@@ -142,10 +148,18 @@ def _index_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         "embedding": list(vectors), "neighbours": [row[row >= 0] for row in graph]})
 
 
+def shards_for(rows: int) -> int:
+    return V.shard_count(rows, 16, 1024, SHARD_ROWS)
+
+
+def beam_for(nodes: int, least: int = SEARCH_BEAM) -> int:
+    return max(least, math.ceil(BEAM_ROOT * math.sqrt(nodes)))
+
+
 def index(vectors: DataFrame) -> tuple[DataFrame, int]:
     """The written index, one row per distinct vector of a shard, and the number of shards."""
     rows = V.usable(vectors).where(F.exists("embedding", lambda x: x != 0))
-    shards = V.shard_count(rows.count(), 16, 1024, 1 << 17)
+    shards = shards_for(rows.count())
     built = V.sharded(rows, shards).groupBy("shard", "dim").applyInPandas(
         _index_shard, "shard int, dim int, node int, is_start boolean, ids array<long>, "
                       "embedding array<double>, neighbours array<int>")
@@ -165,7 +179,7 @@ def _search_cell(nodes: pd.DataFrame, asked: pd.DataFrame, k: int, beam: int) ->
         for at in range(0, len(asked), BATCH):
             part = asked.iloc[at:at + BATCH]
             q = np.stack(part["query"].to_list())
-            found, _ = beam_search(x, graph, start, _unit(q).astype(np.float32), beam)
+            found, _ = beam_search(x, graph, start, _unit(q).astype(np.float32), beam_for(len(nodes), beam))
             for own, vec, near in zip(part["query_id"], q, found):
                 near = near[near >= 0]
                 scores = vectors[near] @ vec / (np.sqrt((vectors[near] ** 2).sum(axis=1)) * np.sqrt(vec @ vec))

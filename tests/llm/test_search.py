@@ -1,6 +1,7 @@
 """Exact top-k and graph search against brute force."""
 
 import numpy as np
+import pandas as pd
 
 from adlens.llm import graph, topk
 from adlens.llm import vectors as V
@@ -90,6 +91,19 @@ def test_recall_over_the_whole_table(spark):
     assert len(got) == 40 and hits >= 0.9 * 200
 
 
+def test_recall_in_the_largest_shard():
+    rows = 1 << 14
+    for n in (10 ** 6, 14 * 10 ** 6, 10 ** 9):
+        assert n / graph.shards_for(n) <= rows
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(rows, 64)), rng.normal(size=(200, 64))  # random directions, the hard case
+    built = graph._index_shard(pd.DataFrame({"vec_id": np.arange(rows), "embedding": list(x), "shard": 0, "dim": 64}))
+    found = graph._search_cell(built, pd.DataFrame({"query_id": -1 - np.arange(200), "query": list(q)}), 5, graph.SEARCH_BEAM)
+    best = np.argsort(-(q @ (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).T), axis=1)[:, :5]
+    hits = sum(len(set(ids) & set(best[-1 - i].tolist())) for i, ids in found.groupby("query_id")["vec_id"])
+    assert hits >= 0.99 * best.size
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], DDL)
     assert topk.top_k(empty, 50, 5).count() == 0 and graph.nearest(empty, 50, 5).count() == 0
