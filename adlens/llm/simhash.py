@@ -26,9 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from adlens.llm.components import components
+from adlens.llm.spans import _free
 from adlens.llm.tables import materialize
 
 SEED = 42
@@ -53,14 +53,16 @@ def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, fp long)`` of every row."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, marks: bool = False) -> DataFrame:
+    """``(doc_id, fp long)`` of every row; ``marks``: and ``mark``, a hash of the text."""
     def run(batches):
         for b in batches:
             fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")) \
-        .mapInArrow(run, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]],
+                                             ["doc_id", "fp", *b.schema.names[2:]])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"),
+                       *([F.xxhash64("text").alias("mark")] if marks else [])) \
+        .mapInArrow(run, "doc_id long, fp long" + (", mark long" if marks else ""))
 
 
 def _distance(a: str, b: str):
@@ -103,33 +105,48 @@ def _narrow(variants: DataFrame, max_bits: int) -> DataFrame:
         .select("a", F.col("fp").alias("b"))
 
 
+def _members(marked: DataFrame, max_bits: int, hot_block: int) -> DataFrame:
+    """``(fp, first_id, root)`` of every distinct fingerprint: its smallest doc_id and its class."""
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    roots = components(links(distinct.select("fp"), max_bits, hot_block))
+    return materialize(distinct.join(roots, distinct["fp"] == roots["node"], "left")
+                       .select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "members")
+
+
 def classes(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = 2,
             hot_block: int = HOT_BLOCK) -> DataFrame:
     """``(doc_id, fp, component_id)`` of every row: ``component_id`` is the smallest doc_id
     that links reach from the document, itself included."""
     marked = materialize(fingerprints(docs, words), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), max_bits, hot_block))
-    member = materialize(distinct.join(roots, distinct["fp"] == roots["node"], "left")
-                         .select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "members")
+    member = _members(marked, max_bits, hot_block)
     smallest = materialize(member.groupBy("root").agg(F.min("first_id").alias("component_id")), "class-ids")
     named = materialize(member.join(smallest, "root").select("fp", "component_id"), "classes")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = 2) -> DataFrame:
-    """The documents with one document of each class left, the one with the smallest
-    ``doc_id``; columns as given.  Of rows that repeat this doc_id one stays, the one whose
-    text hashes lowest.  Rows without a doc_id cannot be named and stay.  Only ids, classes
-    and hashes are shuffled to decide; where few rows repeat an id, only those are compared."""
-    marks = classes(docs, words, max_bits).where("doc_id is not null")
-    first = materialize(marks.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")),
+    """The documents with one document of each class left, the least by ``doc_id`` and then a
+    hash of the text; columns as given.  A row without a doc_id does not give way to one that
+    has it, but of all such rows of a class one stays.  Of rows equal in doc_id and text any
+    one stays.  Only ids, classes and hashes are shuffled to decide; of rows to choose among,
+    each task sends one of every kind."""
+    mark = _free(docs.columns, "_mark")[0]
+    marked = materialize(fingerprints(docs, words, True), "marked-fingerprints")
+    least = marked.groupBy("fp").agg(
+        F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("named"),
+        F.min(F.when(F.col("doc_id").isNull(), F.col("mark"))).alias("nameless"))
+    first = materialize(least.join(_members(marked, max_bits, HOT_BLOCK).select("fp", "root"), "fp")
+                        .groupBy("root").agg(F.min("named").alias("named"), F.min("nameless").alias("nameless")),
                         "first-of-class")
-    named = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    repeats = materialize(first.where("copies > 1").select("doc_id"), "repeated-ids")
+    key = ["doc_id", mark]
+    chosen = first.where("named is not null").select("named.doc_id", F.col("named.mark").alias(mark))
+    rows = docs.withColumn(mark, F.xxhash64("text"))
+    named = rows.join(chosen, key, "left_semi").select(rows.columns)
+    repeats = materialize(marked.where("doc_id is not null").groupBy("doc_id", F.col("mark").alias(mark)).count()
+                          .where("count > 1").select(key).join(chosen, key, "left_semi"), "repeated-rows")
     if repeats.take(1):
-        same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        chosen = named.join(repeats, "doc_id", "left_semi").select(docs.columns) \
-            .withColumn("_nth", F.row_number().over(same)).where("_nth = 1").drop("_nth")
-        named = named.join(repeats, "doc_id", "left_anti").select(docs.columns).unionByName(chosen)
-    return named.unionByName(docs.where("doc_id is null"))
+        one = named.join(repeats, key, "left_semi").select(rows.columns).dropDuplicates(key)
+        named = named.join(repeats, key, "left_anti").select(rows.columns).unionByName(one)
+    nameless = rows.where("doc_id is null").dropDuplicates([mark]) \
+        .join(first.where("nameless is not null").select(F.col("nameless").alias(mark)), mark, "left_semi")
+    return named.select(docs.columns).unionByName(nameless.select(docs.columns))

@@ -82,6 +82,18 @@ def test_keep_first(spark):
     assert kept.columns == docs(spark, rows).columns
 
 
+def test_keep_first_decides_by_row(spark):
+    near = [f"w{n}" for n in range(400)]
+    two = " ".join(["other", *near[1:]])
+    assert 0 < (brute_fingerprint(" ".join(near)) ^ brute_fingerprint(two)).bit_count() <= 2
+    rows = [(None, "x y z")] * 5 + [(None, "quite another text")] + \
+        [(4, "one clean document of its own"), (4, "and one more under that id"), (4, "and one more under that id")] + \
+        [(6, "a first text alone in its class"), (2, " ".join(near)), (6, two)]
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in simhash.keep_first(docs(spark, rows)).collect())
+    assert kept == sorted([("None", "x y z"), ("None", "quite another text"), ("4", rows[6][1]), ("4", rows[7][1]),
+                           ("6", rows[9][1]), ("2", rows[10][1])])
+
+
 def test_empty_tables(spark):
     empty = docs(spark, [])
     assert simhash.classes(empty).count() == 0 and simhash.keep_first(empty).count() == 0
