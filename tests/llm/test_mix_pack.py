@@ -56,6 +56,22 @@ def test_pareto_draw_is_a_prefix_by_odds(spark):
     assert [x for _, x in t] == sorted((x for _, x in t), reverse=True)
 
 
+def test_rows_without_an_id_or_with_a_repeated_one_draw_each_on_their_own(spark):
+    rows = [(None, f"w{n} a b c", "a") for n in range(300)] + [(None, "x y z", "a")] * 200 + [(7, "p q r", "b")] * 300 + \
+        [(8, f"v{n} d", "b") for n in range(200)] + [(n, f"u{n} e f", "c") for n in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for share in (0.4, 0.7, 1.3):
+        taken, target = {}, {}
+        for r in mixing.mix(df, share=share).withColumn("source", F.col("source_size")).collect():
+            taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+            target[r["source"]] = r["target"]
+        assert len(target) == 3
+        for s in target:
+            assert abs(taken[s] - target[s]) <= 2 + 1e-6
+        words = mixing.mixed(df, share=share).groupBy("source").agg(F.sum(mixing.size_of(F.col("text"))).alias("n")).collect()
+        assert sorted(r["n"] for r in words) == sorted(taken.values())
+
+
 def test_mix_odd_rows(spark):
     ddl = "doc_id long, text string, source string, size int, factor string"
     rows = [(1, None, "a", 1, "x"), (2, "", "a", 1, "x"), (3, "one two", None, 1, "x"), (3, "one two", None, 1, "x"),
