@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import graph, langid, lm, mixing, packing, quality, simhash, spans, topk, toxicity
+from adlens.llm import (exchange, graph, langid, lm, mixing, packing, quality, repair, simhash, spans, topk,
+                        toxicity)
+from adlens.llm.oracle import ORACLE
 from adlens.llm.tables import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +74,16 @@ def q_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def q_golomb_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exchange.classes(table(spark, sf_dir, "documents")) \
+        .select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def q_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repair(conversations, repair.damage(conversations))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": q_substring_dedup,
     "op2_source_mix": q_source_mix,
@@ -83,6 +95,8 @@ QUERIES: dict[str, Query] = {
     "op7_simhash": q_simhash,
     "op9_lm_score": q_lm_score,
     "op10_langid": q_langid,
+    "op11_golomb_dedup": q_golomb_dedup,
+    "op13_conversation_repair": q_conversation_repair,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES", "vocabulary"]
