@@ -79,7 +79,26 @@ LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
 LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
+_TERMS = (r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term")
+OP12 = (
+    "WITH d AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents), "
+    f"t AS (SELECT doc_id, r, {_TERMS} FROM d), "
+    "c AS (SELECT doc_id, r, term, count(*) AS tf FROM t GROUP BY doc_id, r, term), "
+    "size_ AS (SELECT r, sum(tf)::BIGINT AS terms FROM c GROUP BY r), "
+    "total AS (SELECT count(*)::BIGINT AS docs, sum(terms)::BIGINT AS all_terms FROM size_), "
+    "freq AS (SELECT term, count(*) AS df FROM c GROUP BY term), "
+    "b AS (SELECT item_id, text, row_number() OVER () AS q FROM benchmark), "
+    f"i AS (SELECT item_id, q, {_TERMS} FROM b), "
+    "s AS (SELECT item_id, q, doc_id, r, sum(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT * "
+    "((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * terms * docs) // all_terms))))::BIGINT AS score "
+    "FROM i JOIN c USING (term) JOIN freq USING (term) JOIN size_ USING (r), total GROUP BY item_id, q, doc_id, r) "
+    "SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s "
+    "WHERE score > 0 QUALIFY rank <= 20"
+)
+
 ORACLE: dict[str, str] = {
     "op11_golomb_dedup": OP11,
+    "op12_lexical_search": OP12,
     "op13_conversation_repair": OP13,
 }

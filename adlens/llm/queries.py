@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import (exchange, graph, langid, lm, mixing, packing, quality, repair, simhash, spans, topk,
-                        toxicity)
+from adlens.llm import (exchange, graph, langid, lm, mixing, packing, quality, repair, signatures, simhash, spans,
+                        topk, toxicity)
 from adlens.llm.oracle import ORACLE
 from adlens.llm.tables import crc_mod, table
 
@@ -79,6 +79,10 @@ def q_golomb_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def q_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signatures.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def q_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return repair.repair(conversations, repair.damage(conversations))
@@ -96,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op9_lm_score": q_lm_score,
     "op10_langid": q_langid,
     "op11_golomb_dedup": q_golomb_dedup,
+    "op12_lexical_search": q_lexical_search,
     "op13_conversation_repair": q_conversation_repair,
 }
 
