@@ -29,7 +29,7 @@ from adlens.operators import analytics, corpus, keywords, search, word2vec
 from adlens.operators.classify import CategoryModel
 from adlens.schemas import COLLECTION
 from adlens.session import build_session
-from adlens.sources import collection, text as textio
+from adlens.sources import collection, keyword_index, text as textio
 from adlens.sources.stream import kafka_sink_options, kafka_source_options, read_stream
 from adlens.streaming import enrich
 
@@ -41,7 +41,13 @@ def _write(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def cmd_index(spark: SparkSession, a) -> None:
     pages = spark.read.parquet(a.pages)
     collection.initialize(spark, a.collection)
-    saved = collection.save(keywords.pages_with_keywords(pages, key=a.key), a.collection)
+    saved_pages = keywords.pages_with_keywords(pages, key=a.key)
+    saved = collection.save(saved_pages, a.collection, write_id=a.write_id)
+    if a.keyword_index:
+        # From the collection as it stands: an index of all committed pages, however often this job runs.
+        key = [] if a.key in COLLECTION.fieldNames() else [saved_pages.schema[a.key]]
+        held = collection.read(spark, a.collection, schema=collection.collection_schema(*key))
+        keyword_index.build(held, a.keyword_index, a.key)
     saved.show()
 
 
@@ -54,7 +60,11 @@ def _collection(spark: SparkSession, a) -> DataFrame:
 
 
 def cmd_search(spark: SparkSession, a) -> None:
-    res = search.search(_collection(spark, a), a.keywords.split(","), a.category)
+    words = a.keywords.split(",")
+    if a.keyword_index:
+        res = keyword_index.search(_collection(spark, a), a.keyword_index, a.key or "url", words, a.category)
+    else:
+        res = search.search(_collection(spark, a), words, a.category)
     search.total(res).show()
     _write(search.hits(res, a.key), a.output)
 
@@ -117,11 +127,14 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--pages", required=True)
     s.add_argument("--collection", required=True)
     s.add_argument("--key", default="url")
+    s.add_argument("--write-id", help="names this write: a job run again under it adds nothing")
+    s.add_argument("--keyword-index", help="also index the keywords here, by the key")
     s.set_defaults(fn=cmd_index)
 
     s = sub.add_parser("search")
     s.add_argument("--collection", required=True)
     s.add_argument("--keywords", required=True, help="comma-separated")
+    s.add_argument("--keyword-index", help="search through this index (needs --key)")
     s.add_argument("--category")
     s.add_argument("--key")
     s.add_argument("--key-type", default="string")

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adlens.functions.text import keyword_tokens
-from adlens.operators import analytics, corpus, keywords, search
+from adlens.operators import analytics, corpus, keywords, search, tagger
 from adlens.operators.classify import CategoryModel
 from adlens.operators.vectors import category_vectors, doc_vectors
 from adlens.operators import word2vec
 from adlens.plans import standins
 from adlens.schemas import DEFAULT_CATEGORY_ORDER, UNKNOWN_CATEGORY
 from adlens.session import scratch_dir
-from adlens.sources import collection, text as textio
+from adlens.sources import collection, keyword_index, text as textio
 from adlens.sources.stream import read_stream
 from adlens.streaming import enrich
 
@@ -35,6 +35,17 @@ LEXICON = (
     ("und", "CC"), ("el", "DT"), ("en", "IN"), ("y", "CC"), ("only", "JJ"), ("early", "JJ"),
 )
 
+# A lexicon of words with several tags (token, tag, cost), for tags in context.
+CONTEXT_LEXICON = (
+    ("la", "DT", 100), ("la", "PRP", 900), ("le", "DT", 100), ("le", "PRP", 900), ("les", "DT", 100), ("les", "PRP", 900),
+    ("que", "IN", 300), ("que", "PRP", 300), ("en", "IN", 200), ("en", "PRP", 700), ("die", "DT", 100), ("die", "VB", 1200),
+    ("der", "DT", 100), ("der", "PRP", 1100), ("that", "IN", 400), ("that", "DT", 400), ("thing", "NN", 100), ("thing", "VB", 1500),
+    ("in", "IN", 0), ("in", "RP", 1500), ("only", "JJ", 500), ("only", "RB", 300), ("and", "CC", 0), ("the", "DT", 0),
+    ("has", "VBZ", 100), ("un", "DT", 200), ("un", "CD", 900), ("des", "DT", 300), ("des", "IN", 500), ("con", "IN", 100),
+    ("con", "NN", 1200), ("de", "IN", 0), ("und", "CC", 0), ("y", "CC", 0), ("to", "IN", 200), ("to", "RP", 600),
+    ("on", "IN", 300), ("on", "RP", 500), ("on", "PRP", 800), ("el", "DT", 50), ("est", "VBZ", 300), ("est", "NN", 600),
+)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -60,6 +71,17 @@ def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
                            schema=collection.collection_schema(key))
 
 
+def _indexed(spark: SparkSession, sf_dir: str, words, category=None) -> DataFrame:
+    """A keyword search of the stored collection through its inverted index (built once, as it)."""
+    pages = _collection(spark, sf_dir)
+
+    def build() -> str:
+        path = scratch_dir(spark, "keyword-index")
+        keyword_index.build(pages, path, "doc_id")
+        return path
+    return keyword_index.search(pages, standins.stored(spark, sf_dir, "keyword-index", build), "doc_id", words, category)
+
+
 def _hits(df: DataFrame) -> DataFrame:
     return search.hits(df, "doc_id").select("doc_id", "url", "title", "category", "author",
                                             "publishedAt", _joined("keywords"))
@@ -101,6 +123,15 @@ def q_keywords_by_tag(spark, sf_dir):
     return _keyworded(spark, sf_dir, lexicon_df(spark)).select("doc_id", _joined("keywords"))
 
 
+def q_keywords_by_context(spark, sf_dir):
+    """TX3 with neighbours: top-10 keywords by tags in context, transitions learned from all pages."""
+    pages = standins.text_pages(spark, sf_dir)
+    words = spark.createDataFrame(list(CONTEXT_LEXICON), "token string, tag string, cost int")
+    learned = tagger.learn_transitions(pages, tagger.tagger(words))
+    found = tagger.extract_keywords(pages, tagger.tagger(words, learned))
+    return found.select("doc_id", _joined("keywords"))
+
+
 # --- search (over the stored collection) --------------------------------------------
 
 def q_by_category(spark, sf_dir):
@@ -109,8 +140,8 @@ def q_by_category(spark, sf_dir):
 
 
 def q_by_keywords(spark, sf_dir):
-    """FI2/AR1 + PR6: any of the keywords, on stored keywords."""
-    return _hits(search.by_keywords(_collection(spark, sf_dir), SEARCH_KEYWORDS))
+    """FI2/AR1 + PR6: any of the keywords, by the inverted index."""
+    return _hits(_indexed(spark, sf_dir, SEARCH_KEYWORDS))
 
 
 def q_search_both(spark, sf_dir):
@@ -119,8 +150,19 @@ def q_search_both(spark, sf_dir):
 
 
 def q_search_keywords_only(spark, sf_dir):
-    """FI4 + PR6: empty category means keyword-only."""
-    return _hits(search.search(_collection(spark, sf_dir), SEARCH_KEYWORDS, ""))
+    """FI4 + PR6: empty category means keyword-only; by the inverted index."""
+    return _hits(_indexed(spark, sf_dir, SEARCH_KEYWORDS, ""))
+
+
+def q_search_indexed(spark, sf_dir):
+    """FI3 + PR6: category and any keyword, by the inverted index."""
+    return _hits(_indexed(spark, sf_dir, SEARCH_KEYWORDS, SEARCH_CATEGORY))
+
+
+def q_keyword_postings(spark, sf_dir):
+    """The whole inverted index: pages of every keyword and category."""
+    found = keyword_index.postings(_collection(spark, sf_dir), "doc_id")
+    return found.groupBy("keyword", "category").agg(F.count("*").alias("pages"))
 
 
 def q_search_total(spark, sf_dir):
@@ -269,13 +311,52 @@ def q_union_collections(spark, sf_dir):
     bucketed = standins.bucketed_pages(spark, sf_dir)
     labelled = model.transform(bucketed)
     texts = bucketed.select("doc_id", "content")
-    collection.append_classified(texts.join(labelled, "doc_id").drop("doc_id"), path)
+    classified = texts.join(labelled, "doc_id").withColumn("millis", F.lit(1704067200000) + F.col("doc_id"))
+    collection.append_classified(classified.drop("doc_id"), path, timestamp="millis")
     collection.save(corpus.parse_lines(_written_corpus(spark, sf_dir)).select("category", "content"), path)
     back = collection.read(spark, path)
     return back.select("category", "content",
                        F.array_join("keywords", ",").alias("keywords"),
-                       F.col("timestamp").isNotNull().alias("stamped"))
-
+                       F.unix_millis("timestamp").alias("millis"))
+
+
+def q_classified_now(spark, sf_dir):
+    """IO6/DT3: classified documents are stamped with the time of the write."""
+    path = scratch_dir(spark, "now")
+    docs = standins.pages(spark, sf_dir).select("doc_id", "content", "category")
+    collection.append_classified(docs, path)
+    back = collection.read(spark, path, schema=collection.collection_schema(T.StructField("doc_id", T.LongType())))
+    age = F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("timestamp")
+    return back.select("doc_id", "category", age.between(0, 3600).alias("just_now"))
+
+
+def _event_times(spark, sf_dir) -> DataFrame:
+    """Events as documents whose timestamp is text: every seventh is no time, every eleventh is missing."""
+    e = standins.table(spark, sf_dir, "events")
+    iso = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    text = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("late on "), iso)).when(F.col("event_id") % 11 != 0, iso)
+    return e.select(F.col("event_id").cast("string").alias("url"), text.alias("timestamp"), F.lit("events").alias("category"))
+
+
+def q_typed_ingestion(spark, sf_dir):
+    """SO1: text timestamps are parsed; rows with a text that is no time are kept apart."""
+    path = scratch_dir(spark, "typed")
+    collection.save(_event_times(spark, sf_dir), path)
+    good = collection.read(spark, path).select("url", F.unix_seconds("timestamp").alias("seconds"), F.lit(None).cast("string").alias("rejected"))
+    bad = collection.rejects(spark, path).select(F.get_json_object("row", "$.url").alias("url"), F.lit(None).cast("long").alias("seconds"),
+                                                 "field")
+    return good.unionByName(bad.withColumnRenamed("field", "rejected"))
+
+
+def q_retried_save(spark, sf_dir):
+    """IO4/IO11: one save done twice under its write id, another beside it, then all compacted."""
+    path = scratch_dir(spark, "retried")
+    pages = standins.pages(spark, sf_dir)
+    collection.save(pages, path, write_id="pages-1")
+    again = collection.save(pages, path, write_id="pages-1").first()["rows"]
+    collection.save(pages.where("category = 'src3'"), path, write_id="pages-2")
+    collection.compact(spark, path)
+    return collection.read(spark, path).groupBy("category").agg(F.count("*").alias("pages")).withColumn("reported", F.lit(again).cast("long"))
 
 # --- model ------------------------------------------------------------------------------
 
@@ -391,6 +472,9 @@ QUERIES: dict[str, Query] = {
     "by_category": q_by_category,
     "by_keywords": q_by_keywords,
     "search_both": q_search_both,
+    "search_indexed": q_search_indexed,
+    "keyword_postings": q_keyword_postings,
+    "keywords_by_context": q_keywords_by_context,
     "search_keywords_only": q_search_keywords_only,
     "search_total": q_search_total,
     "pages_per_category": q_pages_per_category,
@@ -413,6 +497,9 @@ QUERIES: dict[str, Query] = {
     "first_n": q_first_n,
     "collection_roundtrip": q_collection_roundtrip,
     "union_collections": q_union_collections,
+    "classified_now": q_classified_now,
+    "typed_ingestion": q_typed_ingestion,
+    "retried_save": q_retried_save,
     "word2vec_vocab": q_word2vec_vocab,
     "stream_classify": q_stream_classify,
     "stream_keywords": q_stream_keywords,

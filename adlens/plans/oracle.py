@@ -17,6 +17,16 @@ LEXICON = (
     ("les", "DT"), ("des", "DT"), ("de", "IN"), ("Der", "DT"), ("der", "DT"), ("die", "DT"),
     ("und", "CC"), ("el", "DT"), ("en", "IN"), ("y", "CC"), ("only", "JJ"), ("early", "JJ"),
 )
+CONTEXT_LEXICON = (
+    ("la", "DT", 100), ("la", "PRP", 900), ("le", "DT", 100), ("le", "PRP", 900), ("les", "DT", 100), ("les", "PRP", 900),
+    ("que", "IN", 300), ("que", "PRP", 300), ("en", "IN", 200), ("en", "PRP", 700), ("die", "DT", 100), ("die", "VB", 1200),
+    ("der", "DT", 100), ("der", "PRP", 1100), ("that", "IN", 400), ("that", "DT", 400), ("thing", "NN", 100), ("thing", "VB", 1500),
+    ("in", "IN", 0), ("in", "RP", 1500), ("only", "JJ", 500), ("only", "RB", 300), ("and", "CC", 0), ("the", "DT", 0),
+    ("has", "VBZ", 100), ("un", "DT", 200), ("un", "CD", 900), ("des", "DT", 300), ("des", "IN", 500), ("con", "IN", 100),
+    ("con", "NN", 1200), ("de", "IN", 0), ("und", "CC", 0), ("y", "CC", 0), ("to", "IN", 200), ("to", "RP", 600),
+    ("on", "IN", 300), ("on", "RP", 500), ("on", "PRP", 800), ("el", "DT", 50), ("est", "VBZ", 300), ("est", "NN", 600),
+)
+RULE_TAGS = (".", "CD", "NN", "NNP", "RB", "VBD", "VBG")
 DEFAULT_CATEGORY_ORDER = ("health", "technology", "travel", "finance")
 DEFAULT_DICTIONARY = (
     ("health", ("medical", "health", "fitness", "wellness", "diet")),
@@ -88,6 +98,53 @@ def _keyword_ctes(lexicon: bool = False) -> str:
     )
 
 
+# Tokens of all classes in text order.
+TOKENS = (r"flatten(list_transform(regexp_extract_all(text, '\p{L}+|\p{Nd}+|[^\p{L}\p{Nd}\x09-\x0D ]+'), "
+          r"lambda x: CASE WHEN regexp_matches(x, '^[\p{L}\p{Nd}]') THEN [x] ELSE string_split(list_reduce("
+          r"string_split(x, ''), lambda a, c: a || CASE WHEN right(a, 1) = c THEN '' ELSE chr(1) END || c), "
+          r"chr(1)) END))")
+
+
+def _context_keywords() -> str:
+    """Transitions counted between tokens of one tag; the search over runs of ambiguous tokens, a token at
+    a time; the ten most frequent relevant tokens."""
+    words = ", ".join(f"({_strs([w])}, {_strs([t])}, {c})" for w, t, c in CONTEXT_LEXICON)
+    rules = ", ".join(f"({_strs([t])})" for t in RULE_TAGS)
+    return (
+        f"WITH RECURSIVE lex(token, tag, cost) AS (VALUES {words}), rules(tag) AS (VALUES {rules}),\n"
+        f"tok AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {TOKENS} AS l FROM documents)),\n"
+        "cand AS (SELECT doc_id, i, t, tag, cost FROM tok JOIN lex ON lex.token = tok.t UNION ALL "
+        f"SELECT doc_id, i, t, {_rule_tag('t')}, 0 FROM tok WHERE t NOT IN (SELECT token FROM lex)),\n"
+        "kind AS (SELECT doc_id, i, t, count(*) AS tags, min(tag) AS tag FROM cand GROUP BY doc_id, i, t),\n"
+        "line AS (SELECT doc_id, i, tags, tag FROM kind UNION ALL SELECT doc_id, 0, 1, '^' FROM kind GROUP BY doc_id "
+        "UNION ALL SELECT doc_id, max(i) + 1, 1, '$' FROM kind GROUP BY doc_id),\n"
+        "pair AS (SELECT a.tag AS before, b.tag AS tag, count(*) AS n FROM line a JOIN line b ON b.doc_id = a.doc_id AND b.i = a.i + 1 "
+        "WHERE a.tags = 1 AND b.tags = 1 GROUP BY a.tag, b.tag),\n"
+        "follow AS (SELECT count(*) + 1 AS k FROM (SELECT tag FROM lex UNION SELECT tag FROM rules)),\n"
+        "move AS (SELECT before, tag, round(-1000 * ln((n + 1) / (sum(n) OVER (PARTITION BY before) + k)))::BIGINT AS cost "
+        "FROM pair, follow),\n"
+        "many AS (SELECT c.doc_id, c.i, c.tag, c.cost FROM cand c JOIN kind k USING (doc_id, i) WHERE k.tags > 1),\n"
+        "run AS (SELECT doc_id, min(i) AS s, max(i) AS e FROM (SELECT doc_id, i, i - row_number() OVER "
+        "(PARTITION BY doc_id ORDER BY i) AS r FROM kind WHERE tags > 1) GROUP BY doc_id, r),\n"
+        "path AS (SELECT run.doc_id, s - 1 AS i, line.tag, {'c': 0::BIGINT, 'p': []::VARCHAR[]} AS best "
+        "FROM run JOIN line ON line.doc_id = run.doc_id AND line.i = s - 1\n"
+        "UNION ALL SELECT doc_id, i, tag, min(best) FROM (SELECT m.doc_id, m.i, m.tag, "
+        "{'c': p.best.c + coalesce(move.cost, 20000) + m.cost, 'p': list_append(p.best.p, m.tag)} AS best "
+        "FROM path p JOIN many m ON m.doc_id = p.doc_id AND m.i = p.i + 1 "
+        "LEFT JOIN move ON move.before = p.tag AND move.tag = m.tag) GROUP BY doc_id, i, tag),\n"
+        "done AS (SELECT run.doc_id, s, min({'c': p.best.c + coalesce(move.cost, 20000), 'p': p.best.p}) AS best "
+        "FROM run JOIN path p ON p.doc_id = run.doc_id AND p.i = run.e JOIN line ON line.doc_id = run.doc_id AND line.i = run.e + 1 "
+        "LEFT JOIN move ON move.before = p.tag AND move.tag = line.tag GROUP BY run.doc_id, s),\n"
+        "chosen AS (SELECT doc_id, i, tag FROM kind WHERE tags = 1 UNION ALL "
+        "SELECT doc_id, s + generate_subscripts(best.p, 1) - 1, unnest(best.p) FROM done),\n"
+        "kw AS (SELECT doc_id, lower(tok.t) AS keyword, count(*) AS n FROM chosen JOIN tok USING (doc_id, i) "
+        f"WHERE tag IN {TAGS} AND lower(tok.t) NOT IN {STOPS} GROUP BY 1, 2),\n"
+        "ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, keyword) AS rn FROM kw)\n"
+        "SELECT d.doc_id, coalesce(string_agg(r.keyword, ',' ORDER BY r.rn), '') AS keywords FROM documents d "
+        "LEFT JOIN ranked r ON r.doc_id = d.doc_id AND r.rn <= 10 GROUP BY d.doc_id"
+    )
+
+
 HIT_COLS = "doc_id, url, title, category, author, publishedAt, keywords"
 KW_MATCH = f"list_has_any(string_split(keywords, ','), {SEARCH_LIST})"
 
@@ -158,12 +215,8 @@ def oracle_sql() -> dict[str, str]:
     kw = "WITH " + _keyword_ctes()
     vec = "WITH " + VECTOR_CTES
     return {
-        "tokenize": r"SELECT doc_id, len(l)::BIGINT AS n_tokens, "
-                    r"array_to_string(list_transform(l, lambda x: lower(x)), ' ') AS tokens FROM (SELECT doc_id, "
-                    r"flatten(list_transform(regexp_extract_all(text, '\p{L}+|\p{Nd}+|[^\p{L}\p{Nd}\x09-\x0D ]+'), "
-                    r"lambda x: CASE WHEN regexp_matches(x, '^[\p{L}\p{Nd}]') THEN [x] ELSE string_split(list_reduce("
-                    r"string_split(x, ''), lambda a, c: a || CASE WHEN right(a, 1) = c THEN '' ELSE chr(1) END || c), "
-                    r"chr(1)) END)) AS l FROM documents)",
+        "tokenize": "SELECT doc_id, len(l)::BIGINT AS n_tokens, array_to_string(list_transform(l, lambda x: lower(x)), ' ') "
+                    f"AS tokens FROM (SELECT doc_id, {TOKENS} AS l FROM documents)",
         "keyword_counts": kw + " SELECT doc_id, keyword, n FROM kw_counts",
         "keywords_top10": kw + " SELECT doc_id, keywords FROM kw",
         "keywords_page": kw + " SELECT doc_id, url, title, content, category, author, publishedAt, keywords FROM kpages",
@@ -172,6 +225,10 @@ def oracle_sql() -> dict[str, str]:
         "by_keywords": kw + f" SELECT {HIT_COLS} FROM kpages WHERE {KW_MATCH}",
         "search_both": kw + f" SELECT {HIT_COLS} FROM kpages WHERE category = '{SEARCH_CATEGORY}' AND {KW_MATCH}",
         "search_keywords_only": kw + f" SELECT {HIT_COLS} FROM kpages WHERE {KW_MATCH}",
+        "search_indexed": kw + f" SELECT {HIT_COLS} FROM kpages WHERE category = '{SEARCH_CATEGORY}' AND {KW_MATCH}",
+        "keyword_postings": kw + " SELECT keyword, category, count(*) AS pages FROM (SELECT category, "
+                                 "unnest(string_split(keywords, ',')) AS keyword FROM kpages WHERE keywords <> '') GROUP BY 1, 2",
+        "keywords_by_context": _context_keywords(),
         "search_total": kw + f" SELECT count(*) AS total FROM kpages WHERE category = '{SEARCH_CATEGORY}' AND {KW_MATCH}",
         "pages_per_category": "SELECT source AS category, count(*) AS count FROM documents WHERE source IS NOT NULL "
                               "GROUP BY source",
@@ -217,10 +274,15 @@ def oracle_sql() -> dict[str, str]:
         "first_n": f"SELECT doc_id, source, n_chars FROM documents ORDER BY doc_id LIMIT {FIRST_N}",
         "collection_roundtrip": kw + f" SELECT {HIT_COLS} FROM kpages WHERE category = '{SEARCH_CATEGORY}'",
         "union_collections": "WITH " + _keyword_ctes() + ",\n" + VECTOR_CTES + ",\n" + LABEL_CTES + (
-            " SELECT category, content, keywords, false AS stamped FROM kpages"
-            " UNION ALL SELECT c.category, d.text AS content, NULL::VARCHAR AS keywords, true AS stamped"
+            " SELECT category, content, keywords, NULL::BIGINT AS millis FROM kpages"
+            " UNION ALL SELECT c.category, d.text AS content, NULL::VARCHAR AS keywords, 1704067200000 + doc_id AS millis"
             " FROM classified c JOIN documents d USING (doc_id)"
-            " UNION ALL SELECT category, content, NULL::VARCHAR AS keywords, false AS stamped FROM parsed"),
+            " UNION ALL SELECT category, content, NULL::VARCHAR AS keywords, NULL::BIGINT AS millis FROM parsed"),
+        "classified_now": "SELECT doc_id, source AS category, true AS just_now FROM documents",
+        "typed_ingestion": "SELECT event_id::VARCHAR AS url, CASE WHEN event_id % 7 <> 0 AND event_id % 11 <> 0 THEN "
+                           "epoch(date_trunc('second', ts))::BIGINT END AS seconds, CASE WHEN event_id % 7 = 0 THEN 'timestamp' END AS rejected FROM events",
+        "retried_save": "SELECT source AS category, count(*) + CASE WHEN source = 'src3' THEN count(*) ELSE 0 END AS pages, "
+                        "(SELECT count(*) FROM documents) AS reported FROM documents GROUP BY source",
         "word2vec_vocab": "WITH " + VECTOR_CTES.split(",\nfreq AS")[0] +
                           " SELECT token FROM tf GROUP BY token HAVING sum(n) >= 5",
         "stream_classify": vec + " SELECT doc_id, category FROM classified",

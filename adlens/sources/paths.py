@@ -1,11 +1,59 @@
-"""Path checks on any Hadoop file system."""
+"""Small file work on any Hadoop file system: checks, listings, little files written whole."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """True when ``path`` exists, even as an empty directory; other errors propagate."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names in a directory; none if it does not exist."""
+    fs, p = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a little file so that it is there whole or not at all: written aside, then renamed."""
+    fs, p = _fs(spark, path)
+    aside = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+    _, a = _fs(spark, aside)
+    stream = fs.create(a, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if not fs.rename(a, p):
+        fs.delete(a, False)
+        if not fs.exists(p):
+            raise OSError(f"cannot publish {path}")
