@@ -20,8 +20,8 @@ from adlens.operators import word2vec
 from adlens.plans import standins
 from adlens.schemas import DEFAULT_CATEGORY_ORDER, UNKNOWN_CATEGORY
 from adlens.session import scratch_dir
-from adlens.sources import collection, keyword_index, text as textio
-from adlens.sources.stream import read_stream
+from adlens.sources import collection, keyword_index, message_log, paths, text as textio
+from adlens.sources.stream import message_log_options, read_stream
 from adlens.streaming import enrich
 
 # Query parameters (the oracle uses the same values).
@@ -401,12 +401,16 @@ def _message_source(spark, sf_dir) -> str:
     return standins.stored(spark, sf_dir, "messages", lambda: _write_messages(spark, sf_dir))
 
 
-def _write_messages(spark, sf_dir) -> str:
-    src = scratch_dir(spark, "stream-src")
-    msgs = standins.pages(spark, sf_dir).select(
+def _page_messages(pages: DataFrame) -> DataFrame:
+    return pages.select(
         F.to_json(F.struct("doc_id", F.concat(F.lit("http://pages.test/"), "doc_id").alias("url"), "content",
                            F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("timestamp")))
         .alias("value"))
+
+
+def _write_messages(spark, sf_dir) -> str:
+    src = scratch_dir(spark, "stream-src")
+    msgs = _page_messages(standins.pages(spark, sf_dir))
     # Two micro-batches of `parallelism` files each (a topic's partitions play this role).
     msgs.repartition(2 * spark.sparkContext.defaultParallelism).write.mode("overwrite").text(src)
     return src
@@ -453,6 +457,49 @@ def q_stream_content_fn(spark, sf_dir):
     return spark.read.parquet(sink).select("url", "content", F.unix_seconds("timestamp").alias("seconds"))
 
 
+def _publish(spark, sf_dir, topic: str, third: int) -> None:
+    """A third of the pages as messages of the topic."""
+    message_log.register(spark)
+    msgs = _page_messages(standins.pages(spark, sf_dir).where(F.pmod("doc_id", F.lit(3)) == third))
+    msgs.write.format("message_log").mode("append").option("path", topic).save()
+
+
+def q_stream_from_latest(spark, sf_dir):
+    """IO1/ST1: a stream that starts at the latest offset skips the messages before it; stopped and
+    started again it goes on where it was."""
+    topic, sink, rejects, ckpt = (scratch_dir(spark, n) for n in ("log-topic", "log-out", "log-rejects", "log-ckpt"))
+
+    def go():
+        raw = read_stream(spark, "message_log", message_log_options(topic, "latest", group="keywords"))
+        for q in enrich.start_stateless(raw, sink, ckpt, rejects, lambda d: keywords.extract_keywords(d, "doc_id"),
+                                        schema_ddl=STREAM_DDL):
+            q.awaitTermination()
+    for third in range(3):
+        _publish(spark, sf_dir, topic, third)
+        go()
+    return spark.read.parquet(sink).select("doc_id", _joined("keywords"))
+
+
+def q_stream_message_sink(spark, sf_dir):
+    """IO2/ST2: classified messages into a topic; the last batch is run again after a failure (its commit
+    is lost), and each message is in the topic once."""
+    model = _model(spark, sf_dir)
+    topic, results, rejects, ckpt = (scratch_dir(spark, n) for n in ("in-topic", "out-topic", "out-rejects", "out-ckpt"))
+    _publish(spark, sf_dir, topic, 0)
+
+    def go():
+        raw = read_stream(spark, "message_log", message_log_options(topic, "earliest"))
+        enrich.start(raw, results, ckpt, rejects, schema_ddl=STREAM_DDL, sink_format="message_log",
+                     batch_fn=lambda b: model.transform(b, key="doc_id", carry=["url", "timestamp"])).awaitTermination()
+    go()
+    _publish(spark, sf_dir, topic, 1)
+    go()
+    paths.delete(spark, f"{ckpt}/commits/{max(int(n) for n in paths.names(spark, f'{ckpt}/commits') if n.isdigit())}")
+    go()
+    back = spark.read.format("message_log").option("path", results).load().selectExpr("CAST(value AS STRING) AS json")
+    return back.select(F.from_json("json", "doc_id bigint, url string, category string").alias("m")).select("m.*")
+
+
 def q_classify_by_url(spark, sf_dir):
     """ML2 where keys repeat and are missing: the url is one of 50, or NULL for every tenth
     page; one row per page comes back."""
@@ -463,6 +510,8 @@ def q_classify_by_url(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "stream_content_fn": q_stream_content_fn,
+    "stream_from_latest": q_stream_from_latest,
+    "stream_message_sink": q_stream_message_sink,
     "classify_by_url": q_classify_by_url,
     "tokenize": q_tokenize,
     "keyword_counts": q_keyword_counts,

@@ -286,5 +286,9 @@ def oracle_sql() -> dict[str, str]:
         "word2vec_vocab": "WITH " + VECTOR_CTES.split(",\nfreq AS")[0] +
                           " SELECT token FROM tf GROUP BY token HAVING sum(n) >= 5",
         "stream_classify": vec + " SELECT doc_id, category FROM classified",
+        "stream_from_latest": kw + " SELECT doc_id, keywords FROM kw JOIN documents USING (doc_id) "
+                              "WHERE text IS NOT NULL AND doc_id % 3 <> 0",
+        "stream_message_sink": vec + " SELECT doc_id, 'http://pages.test/' || doc_id AS url, category FROM classified "
+                               "JOIN documents USING (doc_id) WHERE text IS NOT NULL AND doc_id % 3 <> 2",
         "stream_keywords": kw + " SELECT doc_id, keywords FROM kw",
     }

@@ -18,7 +18,7 @@ Messages whose JSON does not parse (or has no ``content``) go to a rejects sink.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from adlens.schemas import STREAM_MESSAGE_DDL
+from adlens.sources import message_log
 
 
 def parse_messages(raw: DataFrame, schema_ddl: str = STREAM_MESSAGE_DDL) -> DataFrame:
@@ -45,13 +46,22 @@ def apply_content_fn(parsed: DataFrame, content_fn: Callable[[Column], Column])
     return parsed.withColumn("content", content_fn(F.col("content")))
 
 
+def run_name(checkpoint: str) -> str:
+    """A stream's name, told apart from others' by its checkpoint."""
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:32]
+
+
 def _write_batch(df: DataFrame, path: str, fmt: str, checkpoint: str, batch_id: int, options: dict) -> None:
     if fmt == "kafka":
         # At-least-once, as Kafka writes are; consumers dedupe on the message.
         to_messages(df).write.format("kafka").options(**options).save()
+    elif fmt == message_log.FORMAT:
+        # A batch is an epoch of its producer: replayed, it leaves each message once.
+        to_messages(df).write.format(fmt).mode("append").options(**{"producer": run_name(checkpoint)} | options) \
+            .option("path", path).option("epoch", str(batch_id)).save()
     else:
         df.write.mode("overwrite").format(fmt).options(**options) \
-            .save(f"{path.rstrip('/')}/run={zlib.crc32(checkpoint.encode()):08x}/batch={batch_id}")
+            .save(f"{path.rstrip('/')}/run={run_name(checkpoint)}/batch={batch_id}")
 
 
 def start(raw: DataFrame, sink_path: str, checkpoint: str, rejects_path: str,
@@ -91,15 +101,18 @@ def start_stateless(raw: DataFrame, sink_path: str, checkpoint: str, rejects_pat
                     sink_options: dict | None = None, trigger: dict | None = None,
                     query_name: str | None = None) -> tuple[StreamingQuery, StreamingQuery]:
     """ST1 for row-local transforms (keyword extraction, a content function): a plain
-    streaming projection into a file sink (exactly-once through the sink's commit log) or into
-    Kafka (``sink_options``; each row one JSON message).  Messages without ``content`` go to
+    streaming projection into a file sink (exactly-once through the sink's commit log), a message
+    log (likewise, by epochs) or Kafka (``sink_options``); in these each row is one JSON message.  Messages without ``content`` go to
     ``rejects_path`` by a query of their own.  Returns both queries."""
     trigger = trigger or {"availableNow": True}
     parsed = parse_messages(raw, schema_ddl)
     out = transform(parsed.filter(F.col("content").isNotNull()).drop("json"))
-    writer = (to_messages(out) if sink_format == "kafka" else out).writeStream.format(sink_format)
+    as_messages = sink_format in ("kafka", message_log.FORMAT)
+    writer = (to_messages(out) if as_messages else out).writeStream.format(sink_format)
     if sink_format != "kafka":
         writer = writer.option("path", sink_path)
+    if sink_format == message_log.FORMAT:
+        writer = writer.option("producer", run_name(checkpoint))
     writer = writer.options(**(sink_options or {})).option("checkpointLocation", f"{checkpoint.rstrip('/')}/results") \
         .outputMode("append").trigger(**trigger)
     if query_name:

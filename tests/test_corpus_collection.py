@@ -86,3 +86,33 @@ def test_categories_that_look_like_numbers_or_nothing(spark):
     assert sorted((r["url"], r["category"]) for r in collection.read(spark, path).collect()) == \
         [("u1", "007"), ("u2", "12"), ("u3", ""), ("u4", None)]
     assert [r["url"] for r in collection.read(spark, path, "").collect()] == ["u3"]
+
+
+def test_an_interrupted_model_save_is_trained_again(spark):
+    import pytest
+    from adlens.operators import word2vec
+    from adlens.sources import commits, paths
+    sents = word2vec.sentences(spark.createDataFrame([("a b c a b c d e",)] * 30, "value string"))
+    small = {"vector_size": 4, "max_iter": 1}
+    model = word2vec.train(sents, **small)
+    path = scratch_dir(spark, "t-half-model")
+
+    def cut(folder):
+        model.write().save(folder)
+        paths.delete(spark, folder + "/data")  # metadata is written first
+        raise RuntimeError("stopped")
+    with pytest.raises(RuntimeError):
+        commits.write_once(spark, path, "first", cut)
+    assert word2vec.load(spark, path) is None
+    calls = []
+    again = word2vec.load_or_train(spark, path, lambda: calls.append(1) or sents, **small)
+    assert len(calls) == 1 and word2vec.vocabulary(again).count() == 5
+    assert word2vec.vocabulary(word2vec.load_or_train(spark, path, None)).count() == 5
+
+    # A new version counts from when it is whole; what fails on the way leaves the old one.
+    more = word2vec.train(word2vec.sentences(spark.createDataFrame([("x y",)] * 30, "value string")), **small)
+    with pytest.raises(RuntimeError):
+        commits.write_once(spark, path, "second", cut, replaces=["first"])
+    assert word2vec.vocabulary(word2vec.load(spark, path)).count() == 5
+    word2vec.publish(more, path)
+    assert {r["token"] for r in word2vec.vocabulary(word2vec.load(spark, path)).collect()} == {"x", "y"}
