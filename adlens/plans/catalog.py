@@ -207,14 +207,23 @@ def q_json_fields(spark, sf_dir):
 
 # --- vectors and classification -------------------------------------------------------
 
-def _model(spark, sf_dir) -> CategoryModel:
+def _model(spark, sf_dir, gathered: bool = True) -> CategoryModel:
     vocab = standins.vocabulary(spark, sf_dir)
-    return CategoryModel(vocab, standins.categories(vocab))
+    return CategoryModel(vocab, standins.categories(vocab), gathered=gathered)
 
 
 def q_doc_vector_norm(spark, sf_dir):
     """AG5/JN1: norm of each page's mean vector, rounded to 6 places."""
-    dv = doc_vectors(standins.text_pages(spark, sf_dir), standins.vocabulary(spark, sf_dir))
+    dv = _model(spark, sf_dir).doc_vectors(standins.text_pages(spark, sf_dir))
+    return _norms(dv)
+
+
+def q_doc_vector_norm_joined(spark, sf_dir):
+    """AG5/JN1 as a vocabulary above the broadcast budget is worked: tokens joined, vectors summed by key."""
+    return _norms(doc_vectors(standins.text_pages(spark, sf_dir), standins.vocabulary(spark, sf_dir), max_broadcast_bytes=0))
+
+
+def _norms(dv: DataFrame) -> DataFrame:
     return dv.select("doc_id", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 6)
                      .alias("norm"), "n_known")
 
@@ -242,7 +251,7 @@ def q_classify(spark, sf_dir):
 def q_classify_bucketed(spark, sf_dir):
     """ML2 on the page table stored bucketed by key: the per-page aggregation reuses the
     scan's partitioning, so the plan has no shuffle (only the vocabulary broadcast)."""
-    return _model(spark, sf_dir).transform(standins.bucketed_pages(spark, sf_dir))
+    return _model(spark, sf_dir, gathered=False).transform(standins.bucketed_pages(spark, sf_dir))
 
 
 # --- corpus -----------------------------------------------------------------------------
@@ -305,7 +314,7 @@ def q_union_collections(spark, sf_dir):
     collection.initialize(spark, path)
     pages = _keyworded(spark, sf_dir)
     collection.save(pages.drop("doc_id"), path)
-    model = _model(spark, sf_dir)
+    model = _model(spark, sf_dir, gathered=False)
     # On the key-bucketed page table both the per-page sums and the join back to the
     # texts reuse the bucket partitioning: no page content is shuffled.
     bucketed = standins.bucketed_pages(spark, sf_dir)
@@ -447,6 +456,18 @@ def q_stream_classify(spark, sf_dir):
     return spark.read.parquet(sink).select("doc_id", "category")
 
 
+def q_stream_classify_stateless(spark, sf_dir):
+    """ST1/U1: the classifier as a plain streaming projection into a file sink (no foreachBatch)."""
+    model = _model(spark, sf_dir)
+    src = _message_source(spark, sf_dir)
+    sink, rejects, ckpt = (scratch_dir(spark, n) for n in ("plain-out", "plain-rejects", "plain-ckpt"))
+    raw = read_stream(spark, "text", _per_trigger(spark), path=src)
+    for q in enrich.start_stateless(raw, sink, ckpt, rejects, lambda d: model.transform(d, key="doc_id", carry=["url"]),
+                                    schema_ddl=STREAM_DDL):
+        q.awaitTermination()
+    return spark.read.parquet(sink).select("doc_id", "category")
+
+
 def q_stream_content_fn(spark, sf_dir):
     """PR4/U1: every message with a function (e becomes E) applied to its content; url and
     timestamp (as seconds) stay."""
@@ -510,6 +531,7 @@ def q_classify_by_url(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "stream_content_fn": q_stream_content_fn,
+    "stream_classify_stateless": q_stream_classify_stateless,
     "stream_from_latest": q_stream_from_latest,
     "stream_message_sink": q_stream_message_sink,
     "classify_by_url": q_classify_by_url,
@@ -533,6 +555,7 @@ QUERIES: dict[str, Query] = {
     "pages_per_day": q_pages_per_day,
     "json_fields": q_json_fields,
     "doc_vector_norm": q_doc_vector_norm,
+    "doc_vector_norm_joined": q_doc_vector_norm_joined,
     "category_centroid": q_category_centroid,
     "cosine_per_category": q_cosine_per_category,
     "classify": q_classify,

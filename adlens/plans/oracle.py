@@ -247,6 +247,11 @@ def oracle_sql() -> dict[str, str]:
             " SELECT d.doc_id, round(coalesce(sqrt(sum(dv.v * dv.v)), 0.0), 6) AS norm, "
             "coalesce(max(k.n_known), 0)::BIGINT AS n_known FROM documents d "
             "LEFT JOIN dv ON dv.doc_id = d.doc_id LEFT JOIN dv_known k ON k.doc_id = d.doc_id GROUP BY d.doc_id"),
+        "doc_vector_norm_joined": vec + (
+            " SELECT d.doc_id, round(coalesce(sqrt(sum(dv.v * dv.v)), 0.0), 6) AS norm, "
+            "coalesce(max(k.n_known), 0)::BIGINT AS n_known FROM documents d "
+            "LEFT JOIN dv ON dv.doc_id = d.doc_id LEFT JOIN dv_known k ON k.doc_id = d.doc_id GROUP BY d.doc_id"),
+        "stream_classify_stateless": vec + " SELECT doc_id, category FROM classified",
         "category_centroid": vec + " SELECT category, dim::BIGINT AS dim, round(value, 6) AS value FROM cv",
         "cosine_per_category": vec + " SELECT doc_id, category, round(similarity, 6) AS similarity FROM sims",
         "classify": vec + " SELECT doc_id, category FROM classified",
