@@ -4,11 +4,13 @@
   filter, lower, sort, run-length count, top-k).  The plan is scan -> project: no exchange,
   so it scales linearly with the table, and a long page or a repeated key costs only its
   own rows.
-* **With a lexicon** (``(token, tag)``, any size) - keywords depend on the text alone, so
-  each distinct text is worked once: its distinct tokens are joined to the lexicon (a plain
+* **With a lexicon** (``(token, tag)``) of up to ``MAX_ENTRIES`` tokens - two hashed ``IN`` tests, of the
+  tokens it keeps and of those it drops, before the rules: row by row likewise.
+* **With a larger one** - keywords depend on the text alone, so a text is known by its hash: the
+  (hash, token, count) rows of its distinct tokens are joined to the lexicon (a plain
   join; Spark broadcasts a small side and splits hot tokens), counted with map-side partials,
   cut to the top k by a window with a partial group limit, and joined back to all
-  pages by the text's hash.  Pages that share a key, or have none, stay rows of their own.
+  pages by the hash.  Pages that share a key, or have none, stay rows of their own.
 
 A lexicon entry overrides the rules for its token (original case).  Entries without a token
 or a tag are ignored; of several tags of a token the least counts.
@@ -16,6 +18,8 @@ or a tag are ignored; of several tags of a token the least counts.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +29,10 @@ from adlens.functions.text import (is_stop_word, keyword_tokens, letter_tokens,
 from adlens.schemas import KEYWORDS_PER_PAGE, PAGE_FIELDS, RELEVANT_TAGS
 
 
+# So many lexicon tokens at most are literals of the plan.
+MAX_ENTRIES = 20_000
+
+
 def _relevant(tag):
     return tag.isin(list(RELEVANT_TAGS))
 
@@ -44,9 +52,41 @@ def _lower_unstopped(tokens):
     return F.filter(F.transform(tokens, lambda t: F.lower(t)), lambda t: ~is_stop_word(t))
 
 
-def with_keyword_counts(pages: DataFrame, text: str = "content", out: str = "_kw_counts") -> DataFrame:
+class _Sets(NamedTuple):
+    """A lexicon's tokens by whether their tag can make a keyword."""
+    keep: list[str]
+    drop: list[str]
+
+
+def _resolved(lexicon: DataFrame) -> DataFrame:
+    return (lexicon.filter(F.col("token").isNotNull() & F.col("tag").isNotNull())
+            .groupBy(F.col("token").alias("_tok")).agg(F.min("tag").alias("_lex_tag")))
+
+
+def _sets(lexicon: DataFrame) -> _Sets | None:
+    """The lexicon as literals; None if it has over ``MAX_ENTRIES`` tokens."""
+    rows = _resolved(lexicon).limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        return None
+    kept = {r["_tok"] for r in rows if r["_lex_tag"] in RELEVANT_TAGS}
+    return _Sets(sorted(kept), sorted({r["_tok"] for r in rows} - kept))
+
+
+def _candidates_by(sets: _Sets, text_col: str):
+    """As ``_candidates``, a lexicon's tags before the rules."""
+    letters = all(t.isalpha() for t in sets.keep)  # then only letter runs can be kept
+    tokens = letter_tokens(text_col) if letters else keyword_tokens(text_col)
+
+    def kept(t):
+        by_rule = rule_keeps_letters(t) if letters else t.rlike(r"^\p{L}") & rule_keeps_letters(t)
+        return t.isin(sets.keep) | (by_rule & ~t.isin(sets.drop))
+    return _lower_unstopped(F.filter(tokens, kept))
+
+
+def with_keyword_counts(pages: DataFrame, text: str = "content", out: str = "_kw_counts",
+                        sets: _Sets | None = None) -> DataFrame:
     """AG1 as a column: ``out`` = ``array<struct<token, n>>`` of the page's keyword candidates."""
-    return with_token_counts(pages, _candidates(text), out)
+    return with_token_counts(pages, _candidates(text) if sets is None else _candidates_by(sets, text), out)
 
 
 def extract_keywords(pages: DataFrame, key: str = "doc_id", text: str = "content",
@@ -57,9 +97,16 @@ def extract_keywords(pages: DataFrame, key: str = "doc_id", text: str = "content
     Pages without any keyword get ``[]``.  ``lexicon`` is an optional ``(token, tag)``
     table looked up by the token's original case; tokens it lacks fall back to the rules.
     """
-    if lexicon is None:
-        counted = with_keyword_counts(pages, text, "_kw_counts")
+    sets = None if lexicon is None else _sets(lexicon)
+    if lexicon is None or sets is not None:
+        counted = with_keyword_counts(pages, text, "_kw_counts", sets)
         return counted.withColumn(out, top_tokens("_kw_counts", k)).drop("_kw_counts")
+    return joined_keywords(pages, lexicon, text, k, out)
+
+
+def joined_keywords(pages: DataFrame, lexicon: DataFrame, text: str = "content", k: int = KEYWORDS_PER_PAGE,
+                    out: str = "keywords") -> DataFrame:
+    """``extract_keywords`` with a lexicon of any size: joined, not a literal of the plan."""
     counts = _counts_by_text(pages, text, lexicon)
     w = Window.partitionBy("_text_hash").orderBy(F.desc("n"), F.asc("keyword"))
     top = (counts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
@@ -74,11 +121,12 @@ def extract_keywords(pages: DataFrame, key: str = "doc_id", text: str = "content
 def keyword_counts(pages: DataFrame, key: str = "doc_id", text: str = "content",
                    lexicon: DataFrame | None = None) -> DataFrame:
     """AG1: one row per (page, keyword) with its count ``n`` in that page."""
-    if lexicon is not None:
+    sets = None if lexicon is None else _sets(lexicon)
+    if lexicon is not None and sets is None:
         counts = _counts_by_text(pages, text, lexicon)
         return (pages.select(key, F.sha2(F.col(text), 256).alias("_text_hash"))
                 .join(counts, "_text_hash").select(key, "keyword", "n"))
-    counted = with_keyword_counts(pages.select(key, text), text, "_kw_counts")
+    counted = with_keyword_counts(pages.select(key, text), text, "_kw_counts", sets)
     # inline_outer: a plain inline makes the optimizer infer `size(array) > 0` and
     # push it to the scan, evaluating the whole extraction twice.
     return (counted.select(key, F.inline_outer("_kw_counts"))
@@ -88,13 +136,13 @@ def keyword_counts(pages: DataFrame, key: str = "doc_id", text: str = "content",
 
 def _counts_by_text(pages: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
     """``(_text_hash, keyword, n)`` of every distinct text."""
-    lex = (lexicon.filter(F.col("token").isNotNull() & F.col("tag").isNotNull())
-           .groupBy(F.col("token").alias("_tok")).agg(F.min("tag").alias("_lex_tag")))
-    texts = (pages.filter(F.col(text).isNotNull())
-             .groupBy(F.sha2(F.col(text), 256).alias("_text_hash")).agg(F.first(text).alias("_text")))
-    counted = with_token_counts(texts, keyword_tokens("_text"), "_tc")
+    lex = _resolved(lexicon)
+    hashed = pages.filter(F.col(text).isNotNull()).select(F.sha2(F.col(text), 256).alias("_text_hash"), F.col(text).alias("_text"))
+    counted = with_token_counts(hashed, keyword_tokens("_text"), "_tc")
+    # Of equal texts one row for each token stays; texts do not move.
     toks = (counted.select("_text_hash", F.inline_outer("_tc"))
-            .filter(F.col("token").isNotNull()).withColumnRenamed("token", "_tok"))
+            .filter(F.col("token").isNotNull())
+            .groupBy("_text_hash", F.col("token").alias("_tok")).agg(F.max("n").alias("n")))
     tagged = (toks.join(lex, "_tok", "left")
               .withColumn("_tag", F.coalesce("_lex_tag", rule_tag("_tok"))))
     cands = (tagged.filter(_relevant(F.col("_tag")))

@@ -19,7 +19,7 @@ from adlens.operators.vectors import category_vectors, doc_vectors
 from adlens.operators import word2vec
 from adlens.plans import standins
 from adlens.schemas import DEFAULT_CATEGORY_ORDER, UNKNOWN_CATEGORY
-from adlens.session import scratch_dir
+from adlens.session import materialize_path, scratch_dir
 from adlens.sources import collection, keyword_index, message_log, paths, text as textio
 from adlens.sources.stream import message_log_options, read_stream
 from adlens.streaming import enrich
@@ -53,9 +53,10 @@ def _joined(c: str, sep: str = ",") -> F.Column:
     return F.array_join(F.col(c), sep).alias(c)
 
 
-def _keyworded(spark: SparkSession, sf_dir: str, lexicon: DataFrame | None = None) -> DataFrame:
-    return keywords.pages_with_keywords(standins.linked_pages(spark, sf_dir), "doc_id",
-                                        lexicon=lexicon)
+def _keyworded(spark: SparkSession, sf_dir: str, lexicon: DataFrame | None = None, linked: bool = True) -> DataFrame:
+    """PR5; ``linked``: with url and title (a join to the web pages)."""
+    pages = standins.linked_pages(spark, sf_dir) if linked else standins.text_pages(spark, sf_dir)
+    return keywords.pages_with_keywords(pages, "doc_id", lexicon=lexicon)
 
 
 def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +105,7 @@ def q_keyword_counts(spark, sf_dir):
 
 def q_keywords_top10(spark, sf_dir):
     """TK1: the ten most frequent keywords per page."""
-    return _keyworded(spark, sf_dir).select("doc_id", _joined("keywords"))
+    return _keyworded(spark, sf_dir, linked=False).select("doc_id", _joined("keywords"))
 
 
 def q_keywords_page(spark, sf_dir):
@@ -120,7 +121,18 @@ def lexicon_df(spark) -> DataFrame:
 
 def q_keywords_by_tag(spark, sf_dir):
     """TX3 with a lexicon + FI6: top-10 keywords when a tag lexicon overrides the rules."""
-    return _keyworded(spark, sf_dir, lexicon_df(spark)).select("doc_id", _joined("keywords"))
+    return _keyworded(spark, sf_dir, lexicon_df(spark), linked=False).select("doc_id", _joined("keywords"))
+
+
+def q_keywords_by_large_lexicon(spark, sf_dir):
+    """TX3 as a lexicon too large for the plan is worked: the corpus's own words ending in -en, tagged
+    adverbs (so dropped), beside the small lexicon."""
+    pages = standins.text_pages(spark, sf_dir)
+    words = pages.select(F.explode_outer(keyword_tokens("content")).alias("token")).where("token LIKE '%en'").distinct()
+    lexicon = lexicon_df(spark).unionByName(words.join(lexicon_df(spark), "token", "left_anti").select("token", F.lit("RB").alias("tag")))
+    lexicon = spark.read.parquet(standins.stored(spark, sf_dir, "lexicon", lambda: materialize_path(lexicon, "lexicon")))
+    counts = keywords.joined_keywords(pages, lexicon)
+    return counts.select("doc_id", _joined("keywords"))
 
 
 def q_keywords_by_context(spark, sf_dir):
@@ -183,7 +195,7 @@ def q_pages_per_category_top10(spark, sf_dir):
 
 def q_top_keywords_per_category(spark, sf_dir):
     """AG3 (flagship): top 5 keywords per category over the keyworded pages."""
-    top = analytics.top_keywords_per_category(_keyworded(spark, sf_dir))
+    top = analytics.top_keywords_per_category(_keyworded(spark, sf_dir, linked=False))
     return top.select("category", _joined("keywords"))
 
 
@@ -540,6 +552,7 @@ QUERIES: dict[str, Query] = {
     "keywords_top10": q_keywords_top10,
     "keywords_page": q_keywords_page,
     "keywords_by_tag": q_keywords_by_tag,
+    "keywords_by_large_lexicon": q_keywords_by_large_lexicon,
     "by_category": q_by_category,
     "by_keywords": q_by_keywords,
     "search_both": q_search_both,

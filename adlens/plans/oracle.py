@@ -72,10 +72,11 @@ def _rule_tag(t: str) -> str:
             rf"WHEN regexp_matches({t}, '^\p{{Lu}}') THEN 'NNP' ELSE 'NN' END")
 
 
-def _keyword_ctes(lexicon: bool = False) -> str:
+def _keyword_ctes(lexicon: bool = False, large: bool = False) -> str:
     if lexicon:
         values = ", ".join(f"({_strs([a])}, {_strs([b])})" for a, b in LEXICON)
-        tag = f"coalesce(lx.tag, {_rule_tag('k.t')})"
+        more = "CASE WHEN suffix(k.t, 'en') THEN 'RB' END, " if large else ""
+        tag = f"coalesce(lx.tag, {more}{_rule_tag('k.t')})"
         cand = (f"lex(token, tag) AS (VALUES {values}),\n"
                 f"kw_cand AS (SELECT k.doc_id, lower(k.t) AS keyword FROM kw_tok k "
                 f"LEFT JOIN lex lx ON lx.token = k.t WHERE {tag} IN {TAGS} AND lower(k.t) NOT IN {STOPS}),\n")
@@ -221,6 +222,7 @@ def oracle_sql() -> dict[str, str]:
         "keywords_top10": kw + " SELECT doc_id, keywords FROM kw",
         "keywords_page": kw + " SELECT doc_id, url, title, content, category, author, publishedAt, keywords FROM kpages",
         "keywords_by_tag": "WITH " + _keyword_ctes(lexicon=True) + " SELECT doc_id, keywords FROM kw",
+        "keywords_by_large_lexicon": "WITH " + _keyword_ctes(lexicon=True, large=True) + " SELECT doc_id, keywords FROM kw",
         "by_category": kw + f" SELECT {HIT_COLS} FROM kpages WHERE category = '{SEARCH_CATEGORY}'",
         "by_keywords": kw + f" SELECT {HIT_COLS} FROM kpages WHERE {KW_MATCH}",
         "search_both": kw + f" SELECT {HIT_COLS} FROM kpages WHERE category = '{SEARCH_CATEGORY}' AND {KW_MATCH}",
