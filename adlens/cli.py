@@ -25,11 +25,11 @@ from pyspark.sql.types import StructType
 if __package__ in (None, ""):  # run as a file by spark-submit: make the package importable
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from adlens.operators import analytics, corpus, keywords, search, word2vec
+from adlens.operators import corpus, keywords, search, word2vec
 from adlens.operators.classify import CategoryModel
 from adlens.schemas import COLLECTION
 from adlens.session import build_session
-from adlens.sources import collection, keyword_index, text as textio
+from adlens.sources import collection, keyword_index, rollups, text as textio
 from adlens.sources.stream import kafka_sink_options, kafka_source_options, read_stream
 from adlens.streaming import enrich
 
@@ -74,13 +74,12 @@ def cmd_by_category(spark: SparkSession, a) -> None:
 
 
 def cmd_report(spark: SparkSession, a) -> None:
-    coll = collection.read(spark, a.collection)
     if a.kind == "per-category":
-        out = analytics.pages_per_category(coll)
+        out = rollups.pages_per_category(spark, a.collection)
     elif a.kind == "top-keywords":
-        out = analytics.top_keywords_per_category(coll)
+        out = rollups.top_keywords_per_category(spark, a.collection)
     else:
-        out = analytics.pages_per_period(coll, a.period)
+        out = rollups.pages_per_period(spark, a.collection, a.period)
     _write(out, a.output)
 
 

@@ -20,7 +20,7 @@ from adlens.operators import word2vec
 from adlens.plans import standins
 from adlens.schemas import DEFAULT_CATEGORY_ORDER, UNKNOWN_CATEGORY
 from adlens.session import materialize_path, scratch_dir
-from adlens.sources import collection, keyword_index, message_log, paths, text as textio
+from adlens.sources import collection, keyword_index, message_log, paths, rollups, text as textio
 from adlens.sources.stream import message_log_options, read_stream
 from adlens.streaming import enrich
 
@@ -207,6 +207,39 @@ def q_pages_per_day(spark, sf_dir):
     return analytics.pages_per_period(standins.timestamped(spark, sf_dir), "DAY")
 
 
+def _grown(spark, sf_dir) -> str:
+    """A collection saved in three writes, one of them twice, with its counts kept; two are compacted."""
+    def build() -> str:
+        path = scratch_dir(spark, "grown")
+        pages = _keyworded(spark, sf_dir, linked=False).withColumn(
+            "timestamp", F.lit(1704067200000) + F.col("doc_id") * 977_000)
+        for part, write_id in ((0, "first"), (1, "second"), (1, "second")):
+            rollups.save(pages.where(F.pmod("doc_id", F.lit(3)) == part), path, write_id)
+        collection.compact(spark, path)
+        collection.save(pages.where(F.pmod("doc_id", F.lit(3)) == 2), path)  # its counts are taken by the next report
+        return path
+    return standins.stored(spark, sf_dir, "grown", build)
+
+
+def q_rollup_per_category(spark, sf_dir):
+    """AG2 from the counts kept at each write."""
+    return rollups.pages_per_category(spark, _grown(spark, sf_dir))
+
+
+def q_rollup_top_keywords(spark, sf_dir):
+    """AG3 from the counts kept at each write."""
+    return rollups.top_keywords_per_category(spark, _grown(spark, sf_dir)).select("category", _joined("keywords"))
+
+
+def q_rollup_per_hour(spark, sf_dir):
+    """AG4 from the counts kept at each write."""
+    return rollups.pages_per_period(spark, _grown(spark, sf_dir), "hour")
+
+
+def q_rollup_per_day(spark, sf_dir):
+    return rollups.pages_per_period(spark, _grown(spark, sf_dir), "day")
+
+
 def q_json_fields(spark, sf_dir):
     """PR1-PR3/JS1: message bytes -> string -> from_json -> flattened field."""
     ev = standins.table(spark, sf_dir, "events")
@@ -409,6 +442,13 @@ def q_w2v_classify(spark, sf_dir):
         F.lit(equal).alias("reloaded_equal"))
 
 
+def q_classify_many(spark, sf_dir):
+    """AG7/JN2 with many categories: every vocabulary word is one of its own; the page's is the nearest."""
+    vocab = standins.vocabulary(spark, sf_dir)
+    cats = vocab.select(F.col("token").alias("category"), F.lit(0).alias("ord"), F.col("token").alias("keyword"))
+    return CategoryModel(vocab, cats).transform(standins.text_pages(spark, sf_dir))
+
+
 def q_classify_default(spark, sf_dir):
     """ML3: pages classified by the built-in dictionary."""
     return CategoryModel(standins.vocabulary(spark, sf_dir)).transform(standins.text_pages(spark, sf_dir))
@@ -566,6 +606,10 @@ QUERIES: dict[str, Query] = {
     "top_keywords_per_category": q_top_keywords_per_category,
     "pages_per_hour": q_pages_per_hour,
     "pages_per_day": q_pages_per_day,
+    "rollup_per_category": q_rollup_per_category,
+    "rollup_top_keywords": q_rollup_top_keywords,
+    "rollup_per_hour": q_rollup_per_hour,
+    "rollup_per_day": q_rollup_per_day,
     "json_fields": q_json_fields,
     "doc_vector_norm": q_doc_vector_norm,
     "doc_vector_norm_joined": q_doc_vector_norm_joined,
@@ -574,6 +618,7 @@ QUERIES: dict[str, Query] = {
     "classify": q_classify,
     "classify_bucketed": q_classify_bucketed,
     "classify_default": q_classify_default,
+    "classify_many": q_classify_many,
     "label_lines": q_label_lines,
     "label_parse": q_label_parse,
     "label_parse_all": q_label_parse_all,

@@ -202,9 +202,12 @@ LABEL_CTES = (
 )
 
 
-def _period(unit: str) -> str:
+TIMED = "(SELECT make_timestamp(1704067200000000 + doc_id * 977000000) AS ts FROM documents)"
+
+
+def _period(unit: str, rows: str = "events") -> str:
     return (
-        f"WITH b AS (SELECT date_trunc('{unit}', ts) AS bucket, count(*) AS count FROM events "
+        f"WITH b AS (SELECT date_trunc('{unit}', ts) AS bucket, count(*) AS count FROM {rows} "
         "WHERE ts IS NOT NULL GROUP BY 1), "
         f"r AS (SELECT unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 {unit.upper()})) AS bucket FROM b) "
         "SELECT strftime(r.bucket, '%Y-%m-%dT%H:%M:%S.000Z') AS period, coalesce(b.count, 0)::BIGINT AS count "
@@ -215,6 +218,12 @@ def _period(unit: str) -> str:
 def oracle_sql() -> dict[str, str]:
     kw = "WITH " + _keyword_ctes()
     vec = "WITH " + VECTOR_CTES
+    top_keywords = (
+            ", ex AS (SELECT category, unnest(string_split(keywords, ',')) AS keyword FROM kpages "
+            "WHERE keywords <> '' AND category IS NOT NULL), "
+            "c AS (SELECT category, keyword, count(*) AS pages FROM ex GROUP BY category, keyword), "
+            "r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY pages DESC, keyword) AS rn FROM c) "
+            "SELECT category, string_agg(keyword, ',' ORDER BY rn) AS keywords FROM r WHERE rn <= 5 GROUP BY category")
     return {
         "tokenize": "SELECT doc_id, len(l)::BIGINT AS n_tokens, array_to_string(list_transform(l, lambda x: lower(x)), ' ') "
                     f"AS tokens FROM (SELECT doc_id, {TOKENS} AS l FROM documents)",
@@ -236,12 +245,11 @@ def oracle_sql() -> dict[str, str]:
                               "GROUP BY source",
         "pages_per_category_top10": "SELECT source AS category, count(*) AS count FROM documents "
                                     "WHERE source IS NOT NULL GROUP BY source ORDER BY count DESC, category LIMIT 10",
-        "top_keywords_per_category": kw + (
-            ", ex AS (SELECT category, unnest(string_split(keywords, ',')) AS keyword FROM kpages "
-            "WHERE keywords <> '' AND category IS NOT NULL), "
-            "c AS (SELECT category, keyword, count(*) AS pages FROM ex GROUP BY category, keyword), "
-            "r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY pages DESC, keyword) AS rn FROM c) "
-            "SELECT category, string_agg(keyword, ',' ORDER BY rn) AS keywords FROM r WHERE rn <= 5 GROUP BY category"),
+        "top_keywords_per_category": kw + top_keywords,
+        "rollup_per_category": "SELECT source AS category, count(*) AS count FROM documents WHERE source IS NOT NULL GROUP BY source",
+        "rollup_top_keywords": kw + top_keywords,
+        "rollup_per_hour": _period("hour", TIMED),
+        "rollup_per_day": _period("day", TIMED),
         "pages_per_hour": _period("hour"),
         "pages_per_day": _period("day"),
         "json_fields": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
@@ -257,6 +265,8 @@ def oracle_sql() -> dict[str, str]:
         "category_centroid": vec + " SELECT category, dim::BIGINT AS dim, round(value, 6) AS value FROM cv",
         "cosine_per_category": vec + " SELECT doc_id, category, round(similarity, 6) AS similarity FROM sims",
         "classify": vec + " SELECT doc_id, category FROM classified",
+        "classify_many": "WITH " + _vector_ctes("SELECT token AS category, 0 AS ord, token AS keyword FROM vocab") +
+                         " SELECT doc_id, category FROM classified",
         "classify_default": "WITH " + _vector_ctes(DICTIONARY_CATS) + " SELECT doc_id, category FROM classified",
         # Words seen five times in the training lines are the model's vocabulary.
         "w2v_classify": "WITH " + VECTOR_CTES.split(",\nfreq AS")[0] + ",\n" + LABEL_CTES + (

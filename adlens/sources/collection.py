@@ -151,22 +151,23 @@ def append_classified(docs: DataFrame, path: str, content: str = "content", cate
     return save(shaped, path, "classified", write_id)
 
 
-def _read_writes(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    folders = sorted(commits.current(spark, path).values())
+def _read_writes(spark: SparkSession, path: str, schema: T.StructType, writes: list[str] | None = None) -> DataFrame:
+    folders = sorted(f for i, f in commits.current(spark, path).items() if writes is None or i in writes)
     if not folders:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("basePath", path).parquet(*folders).select(*schema.fieldNames())
 
 
 def read(spark: SparkSession, path: str, category: str | None = None,
-         schema: T.StructType | None = None) -> DataFrame:
-    """IO5: the committed rows of the collection, optionally restricted to one category (partition pruning).
+         schema: T.StructType | None = None, writes: list[str] | None = None) -> DataFrame:
+    """IO5: the committed rows of the collection (of some writes only, if their ids are given),
+    optionally restricted to one category (partition pruning).
 
     The scan is planned from ``schema`` (default: the fixed fields; see
     ``collection_schema`` for extra ones), so no footer is read and a category such as
     ``007`` stays a string.
     """
-    df = _read_writes(spark, path, schema or collection_schema())
+    df = _read_writes(spark, path, schema or collection_schema(), writes)
     if category is not None:
         df = df.filter(F.col("category") == F.lit(category or EMPTY_CATEGORY))
     return df.withColumn(
