@@ -126,9 +126,8 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = 2,
 
 def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = 2) -> DataFrame:
     """The documents with one document of each class left, the least by ``doc_id`` and then a
-    hash of the text; columns as given.  A row without a doc_id does not give way to one that
-    has it, but of all such rows of a class one stays.  Of rows equal in doc_id and text any
-    one stays.  Only ids, classes and hashes are shuffled to decide; of rows to choose among,
+    hash of the text; columns as given.  A row without a doc_id gives way to any that has one; of
+    a class of such rows one stays.  Of rows equal in doc_id and text any one stays.  Only ids, classes and hashes are shuffled to decide; of rows to choose among,
     each task sends one of every kind."""
     mark = _free(docs.columns, "_mark")[0]
     marked = materialize(fingerprints(docs, words, True), "marked-fingerprints")
@@ -147,6 +146,6 @@ def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = 2) -
     if repeats.take(1):
         one = named.join(repeats, key, "left_semi").select(rows.columns).dropDuplicates(key)
         named = named.join(repeats, key, "left_anti").select(rows.columns).unionByName(one)
-    nameless = rows.where("doc_id is null").dropDuplicates([mark]) \
-        .join(first.where("nameless is not null").select(F.col("nameless").alias(mark)), mark, "left_semi")
+    alone = first.where("nameless is not null and named is null").select(F.col("nameless").alias(mark))
+    nameless = rows.where("doc_id is null").join(alone, mark, "left_semi").select(rows.columns).dropDuplicates([mark])
     return named.select(docs.columns).unionByName(nameless.select(docs.columns))

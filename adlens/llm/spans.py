@@ -225,8 +225,9 @@ def _first_documents(table: DataFrame, several: bool) -> DataFrame:
 
 
 def dedup(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """The documents with ``text`` rewritten and two columns more: ``n_sentences`` and
-    ``n_removed`` (pieces).  Other columns stay as they are; every row stays."""
+    """The documents with ``text`` rewritten and two columns more, the last: ``n_sentences`` and
+    ``n_removed`` (pieces), lengthened by ``_`` where a column has the name.  Other columns stay as
+    they are; every row stays."""
     names = _free(docs.columns, "_doc", "_mark", "_places")
     keyed = _marked(docs, names[0], names[1])
     table = _run_table(keyed.select(F.col(names[0]).alias("doc"), F.col(names[1]).alias("mark"),
@@ -239,8 +240,8 @@ def dedup(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFr
     joined = keyed.join(materialize(repeats.toDF(*names), "repeated-places"), names[:2], "left") \
         .select(*docs.columns, names[2])
     at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.IntegerType()),
-                           T.StructField("n_removed", T.IntegerType())])
+    counted = _free(docs.columns, "n_sentences", "n_removed")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.IntegerType()) for n in counted)])
 
     def cut(batches):
         for b in batches:

@@ -78,7 +78,7 @@ def test_fewer_bits(spark):
 def test_keep_first(spark):
     rows = [(5, "a b c d"), (3, "a b c d"), (3, "a b c d"), (9, "other words entirely here"), (None, "a b c d")]
     kept = simhash.keep_first(docs(spark, rows))
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "9", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "9"]  # the row without an id gives way
     assert kept.columns == docs(spark, rows).columns
 
 
@@ -100,6 +100,17 @@ def test_empty_tables(spark):
     assert spans.dedup(empty).count() == 0
 
 
+def test_columns_named_as_the_counts(spark):
+    rows = spark.createDataFrame([(1, f"{PASSAGE}", 7, 8), (2, f"{words(1, 40)}. {PASSAGE}", 5, 6)],
+                                 "doc_id long, text string, n_removed int, N_sentences int")
+    got = spans.dedup(rows)
+    assert got.columns == [*rows.columns, "n_sentences_", "n_removed_"]
+    assert {(r["doc_id"], r["n_removed"]) for r in got.collect()} == {(1, 7), (2, 5)}
+    import corpus_pipeline
+    kept = corpus_pipeline.repeated_spans(spark, rows, "")
+    assert kept.columns == rows.columns and kept.where("doc_id = 2").first()["n_removed"] == 5
+
+
 def test_components_of_chains_stars_and_rings(spark):
     rng = random.Random(5)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 30)] + [(300, 301), (301, 302), (302, 300), (7, 7)]
