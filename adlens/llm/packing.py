@@ -186,13 +186,13 @@ def slots(packs: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to the (written) pieces."""
+    """``sequence_id`` and ``offset`` of the written pieces; ``_position``, a number of its own for each
+    piece, deals even equal pieces (empty documents, repeated rows) to different windows."""
     lengths = cut.groupBy("length").count().collect()  # at most `capacity` rows
     histogram = {r["length"]: r["count"] for r in lengths}
     table = cut.sparkSession.sparkContext.broadcast(slots(shortest_pack_first(histogram, capacity)))
-    order = ["doc_id", "start", "ids_crc32"]
-    ranked = rank_within(cut, "length", order, sum(histogram.values()), "rank")
-    names = cut.columns
+    ranked = rank_within(cut, "length", ["_position"], sum(histogram.values()), "rank")
+    names = [c for c in cut.columns if c != "_position"]
 
     def run(batches):
         slot = table.value
@@ -203,7 +203,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in names), pa.array(slot[at, 2] + rank - slot[at, 1]), pa.array(slot[at, 3])],
                 [*names, "sequence_id", "offset"])
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields)
+    schema = ", ".join(f"{n} {cut.schema[n].dataType.simpleString()}" for n in names)
     return ranked.select(*names, "rank").mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
@@ -211,7 +211,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
          with_ids: bool = False) -> DataFrame:
     """Every piece of every document with its place: ``(doc_id, start, length, ids_crc32,
     doc_tokens[, ids], sequence_id, offset)``."""
-    return place(materialize(pieces(docs, vocabulary, capacity, end_id, with_ids), "pieces"), capacity)
+    cut = pieces(docs, vocabulary, capacity, end_id, with_ids).withColumn("_position", F.monotonically_increasing_id())
+    return place(materialize(cut, "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -27,7 +27,8 @@ def rank_within(df: DataFrame, key: str, order: list[str], rows: int, rank: str)
 
     A key may hold most of the table, so its rows are first dealt into about sqrt(rows)
     salts; rows are numbered inside (key, salt) and shifted by the sizes of the salts
-    before.  No window sees more than about sqrt(rows) rows of one key.
+    before.  No window sees more than about sqrt(rows) rows of one key, if ``order`` tells
+    rows apart (by a written position, for instance): rows equal in it share a salt.
     """
     salts = max(1, math.isqrt(max(rows, 1)))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))

@@ -155,3 +155,13 @@ def test_little_padding(spark):
     full = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).selectExpr(
         "sum(n) AS used", "sum(CASE WHEN bit_count(n) = 1 THEN n ELSE 2048 END) AS padded").first()
     assert full["used"] > 0.98 * full["padded"]
+
+
+def test_equal_rows_are_dealt_to_many_windows(spark):
+    from pyspark.sql import functions as F
+    from adlens.llm.tables import rank_within
+    same = spark.range(4000).select(F.lit(7).alias("length"), F.lit(None).cast("long").alias("doc_id"), F.col("id").alias("_position"))
+    ranked = rank_within(same, "length", ["_position"], 4000, "rank")
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(4000))
+    salts = same.select(F.pmod(F.xxhash64("_position"), F.lit(63)).alias("s")).groupBy("s").count().agg(F.max("count")).first()[0]
+    assert salts < 120
