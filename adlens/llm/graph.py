@@ -166,11 +166,16 @@ def index(vectors: DataFrame) -> tuple[DataFrame, int]:
     return materialize(built, "graph-index"), shards
 
 
+def _even(vectors: np.ndarray) -> np.ndarray:
+    """Vectors scaled by powers of two, so that no square overflows; cosines keep every bit."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def _search_cell(nodes: pd.DataFrame, asked: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
     out = {"query_id": [], "shard": [], "vec_id": [], "score": []}
     if len(nodes) and len(asked):
         nodes = nodes.sort_values("node")
-        vectors = np.stack(nodes["embedding"].to_list())
+        vectors = _even(np.stack(nodes["embedding"].to_list()))
         x = _unit(vectors).astype(np.float32)
         graph = np.full((len(nodes), DEGREE), -1, np.int32)
         for i, near in enumerate(nodes["neighbours"]):
@@ -178,7 +183,7 @@ def _search_cell(nodes: pd.DataFrame, asked: pd.DataFrame, k: int, beam: int) ->
         start, copies = int(nodes["is_start"].to_numpy().argmax()), nodes["ids"].to_list()
         for at in range(0, len(asked), BATCH):
             part = asked.iloc[at:at + BATCH]
-            q = np.stack(part["query"].to_list())
+            q = _even(np.stack(part["query"].to_list()))
             found, _ = beam_search(x, graph, start, _unit(q).astype(np.float32), beam_for(len(nodes), beam))
             for own, vec, near in zip(part["query_id"], q, found):
                 near = near[near >= 0]

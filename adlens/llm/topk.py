@@ -5,8 +5,10 @@ tiles of bounded size and selects each query's ``k`` highest (ties to the smalle
 top lists merge in a tree over shards.  Products run in float64, which is exact while
 dim * max * max stays under 2^53, and else in Python integers, held to the range of a long.
 
-Vectors that are null or hold null or non-finite components, and rows without an id, take no
-part; vectors meet those of their own length only; a query never meets rows of its id.
+Vectors that are null or hold null or non-finite components (also once scaled), and rows without an id,
+take no part; vectors meet those of their own length only; a query never meets rows of its id.
+Rows that repeat an id are candidates each, and of a query's the least vector asks; an empty table
+gives no rows.  Other columns than ``vec_id`` and ``embedding`` are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from adlens.llm import vectors as V
 
@@ -33,7 +36,7 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def top_k(vectors: DataFrame, every: int, k: int, scale: float = SCALE) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for every row whose id is divisible by ``every``."""
-    rows = V.usable(vectors)
+    rows = V.usable(vectors).where(F.forall("embedding", lambda x: F.abs(x * scale) < float("inf")))
     queries = V.queries_of(rows, every)
     shards = V.shard_count(rows.count(), 4, 512, 1 << 16)
     tiles = V.tile_count(queries.count())

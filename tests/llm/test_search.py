@@ -107,3 +107,20 @@ def test_recall_in_the_largest_shard():
 def test_empty(spark):
     empty = spark.createDataFrame([], DDL)
     assert topk.top_k(empty, 50, 5).count() == 0 and graph.nearest(empty, 50, 5).count() == 0
+
+
+def test_components_near_the_ends_of_a_double(spark):
+    from adlens.llm import graph, topk
+    rows = [(0, [1e200, 2e200]), (1, [1e200, 1e200]), (2, [-3e-200, 1e-200]), (3, [1.0, 2.0]), (4, [1e306, 1.0]), (5, [0.5, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    near = {r["vec_id"]: r["score"] for r in graph.nearest(df, every=50, k=5).collect()}
+    assert abs(near[3] - 1) < 1e-12 and abs(near[1] - 3 / 10 ** .5) < 1e-12 and abs(near[2] - -1 / (5 ** .5 * 10 ** .5)) < 1e-12
+    best = topk.top_k(df, every=50, k=5).collect()
+    assert 4 not in {r["vec_id"] for r in best} and len(best) == 4  # 256 * 1e306 is not finite
+
+
+def test_other_columns_do_not_clash(spark):
+    from adlens.llm import graph, topk
+    df = spark.createDataFrame([(i, [1.0, float(i)], 1, 2, "q", 3) for i in range(60)],
+                               "vec_id long, embedding array<double>, shard int, tile int, query string, dim int")
+    assert topk.top_k(df, every=50, k=5).count() == 10 and graph.nearest(df, every=50, k=5).count() == 10
