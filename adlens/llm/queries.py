@@ -20,6 +20,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _held_out(m: int, remainder: int):
+    """Rows that nothing is learned from: of this remainder, or without an id."""
+    return F.coalesce(crc_mod("doc_id", m) == remainder, F.lit(True)).alias("held_out")
+
+
 def q_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without sentences that repeat from an earlier place."""
     return spans.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -41,7 +46,7 @@ def q_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
     return toxicity.score(docs, model).select(
-        "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
+        "doc_id", _held_out(5, 0), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -53,7 +58,7 @@ def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
     return quality.score(docs, model).select(
-        "doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score",
+        "doc_id", _held_out(4, 2), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
@@ -64,14 +69,14 @@ def q_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1)
-    return scored.withColumn("held_out", crc_mod("doc_id", 5) == 1)
+    return scored.withColumn("held_out", _held_out(5, 1))
 
 
 def q_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(crc_mod("doc_id", 5) != 0))
     return langid.predict(docs, model).select(
-        "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+        "doc_id", _held_out(5, 0), "lang_pred", "score")
 
 
 def q_golomb_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
