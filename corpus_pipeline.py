@@ -7,6 +7,7 @@ last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from adlens.llm import langid, mixing, packing, simhash, spans
 from adlens.llm.queries import vocabulary
@@ -26,7 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated spans; a document of which nothing is left goes."""
     cut = spans.dedup(docs)
-    return cut.where("n_removed is null or n_removed < n_sentences or n_sentences = 0").select(docs.columns)
+    pieces, gone = (F.col(c) for c in cut.columns[-2:])
+    return cut.where(gone.isNull() | (gone < pieces) | (pieces == 0)).select(docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
