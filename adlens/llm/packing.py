@@ -85,8 +85,10 @@ class WordTokenizer:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        if len(self.words) > _CACHED_WORDS or len(self.pieces) > _CACHED_WORDS:
+        # Words are many forms of fewer pieces: pieces outlive the words that are forgotten.
+        if len(self.words) > _CACHED_WORDS:
             self.words.clear()
+        if len(self.pieces) > _CACHED_WORDS:
             self.pieces.clear()
         words = text.replace("\n", " ").split(" ")
         found = list(map(self.words.get, words))
