@@ -93,7 +93,7 @@ OP12 = (
     "s AS (SELECT item_id, q, doc_id, r, sum(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT * "
     "((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * terms * docs) // all_terms))))::BIGINT AS score "
     "FROM i JOIN c USING (term) JOIN freq USING (term) JOIN size_ USING (r), total GROUP BY item_id, q, doc_id, r) "
-    "SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s "
+    "SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s "
     "WHERE score > 0 QUALIFY rank <= 20"
 )
 
