@@ -7,11 +7,14 @@ distance pruning (a candidate goes if a kept neighbour is ``alpha`` times nearer
 node is) and add the edges back.  The index is written as a table.  A query searches each shard
 by beam search, with a beam that grows as the root of the shard's nodes, as recall would fall
 with a fixed one; shards hold up to ``SHARD_ROWS`` rows, for which this is measured, and more
-vectors make more shards; the nodes found are scored by cosine on the original vectors in double
+vectors make more shards; the shard's graph is held and queries stream past it
+(``vectors.cells``); the nodes found are scored by cosine on the original vectors in double
 precision, and top lists merge in a tree.
 
 Vectors that are null, zero or hold null or non-finite components, and rows without an id,
 take no part; vectors meet those of their own length only; a query never meets its own id.
+Rows that repeat an id are candidates each (equal rows at most ``k`` times), and of a query's the least
+vector asks; an empty table gives no rows.  Other columns than ``vec_id`` and ``embedding`` are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,19 +152,20 @@ def _index_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         "embedding": list(vectors), "neighbours": [row[row >= 0] for row in graph]})
 
 
-def shards_for(rows: int) -> int:
-    return V.shard_count(rows, 16, 1024, SHARD_ROWS)
+def shards_for(rows: int, room: int = SHARD_ROWS) -> int:
+    return V.shard_count(rows, 16, 1024, min(room, SHARD_ROWS))
 
 
 def beam_for(nodes: int, least: int = SEARCH_BEAM) -> int:
     return max(least, math.ceil(BEAM_ROOT * math.sqrt(nodes)))
 
 
-def index(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """The written index, one row per distinct vector of a shard, and the number of shards."""
+def index(vectors: DataFrame, copies: int = DEGREE) -> tuple[DataFrame, int]:
+    """The written index, one row per distinct vector of a shard, and the number of shards.
+    Rows equal in id and vector are listed ``copies`` times at most, enough for as many neighbours."""
     rows = V.usable(vectors).where(F.exists("embedding", lambda x: x != 0))
-    shards = shards_for(rows.count())
-    built = V.sharded(rows, shards).groupBy("shard", "dim").applyInPandas(
+    shards = shards_for(*V.measure(rows))
+    built = V.sharded(V.at_most(rows, copies), shards).groupBy("shard", "dim").applyInPandas(
         _index_shard, "shard int, dim int, node int, is_start boolean, ids array<long>, "
                       "embedding array<double>, neighbours array<int>")
     return materialize(built, "graph-index"), shards
@@ -171,25 +176,30 @@ def _even(vectors: np.ndarray) -> np.ndarray:
     return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
 
 
-def _search_cell(nodes: pd.DataFrame, asked: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
-    out = {"query_id": [], "shard": [], "vec_id": [], "score": []}
-    if len(nodes) and len(asked):
+class Shard:
+    """One shard's graph, ready to be searched."""
+
+    def __init__(self, nodes: pd.DataFrame):
         nodes = nodes.sort_values("node")
-        vectors = _even(np.stack(nodes["embedding"].to_list()))
-        x = _unit(vectors).astype(np.float32)
-        graph = np.full((len(nodes), DEGREE), -1, np.int32)
+        self.vectors = _even(np.stack(nodes["embedding"].to_list()))
+        self.x = _unit(self.vectors).astype(np.float32)
+        self.graph = np.full((len(nodes), DEGREE), -1, np.int32)
         for i, near in enumerate(nodes["neighbours"]):
-            graph[i, :len(near)] = near
-        start, copies = int(nodes["is_start"].to_numpy().argmax()), nodes["ids"].to_list()
+            self.graph[i, :len(near)] = near
+        self.start, self.copies = int(nodes["is_start"].to_numpy().argmax()), nodes["ids"].to_list()
+        self.shard = int(nodes["shard"].iloc[0])
+
+    def nearest(self, asked: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
+        out, most = {"query_id": [], "shard": [], "vec_id": [], "score": []}, max(k, DEGREE)
         for at in range(0, len(asked), BATCH):
             part = asked.iloc[at:at + BATCH]
             q = _even(np.stack(part["query"].to_list()))
-            found, _ = beam_search(x, graph, start, _unit(q).astype(np.float32), beam_for(len(nodes), beam))
+            found, _ = beam_search(self.x, self.graph, self.start, _unit(q).astype(np.float32), beam_for(len(self.x), beam))
             for own, vec, near in zip(part["query_id"], q, found):
                 near = near[near >= 0]
-                scores = vectors[near] @ vec / (np.sqrt((vectors[near] ** 2).sum(axis=1)) * np.sqrt(vec @ vec))
-                # Of a node's copies the k + 1 smallest ids are enough: one may be the query's own.
-                ids = [copies[i][:k + 1] for i in near]
+                scores = self.vectors[near] @ vec / (np.sqrt((self.vectors[near] ** 2).sum(axis=1)) * np.sqrt(vec @ vec))
+                # Of a node's copies the k smallest ids but the query's own (listed ``most`` times at most) are enough.
+                ids = [self.copies[i][:k + most] for i in near]
                 score = np.repeat(scores, [len(i) for i in ids])
                 ids = np.concatenate(ids)
                 score, ids = score[ids != own], ids[ids != own]
@@ -197,23 +207,31 @@ def _search_cell(nodes: pd.DataFrame, asked: pd.DataFrame, k: int, beam: int) ->
                 out["query_id"] += [own] * len(top)
                 out["vec_id"] += ids[top].tolist()
                 out["score"] += score[top].tolist()
-        out["shard"] = [int(nodes["shard"].iloc[0])] * len(out["score"])
-    return pd.DataFrame(out).astype({"query_id": "int64", "shard": "int64", "vec_id": "int64", "score": "float64"})
+        out["shard"] = [self.shard] * len(out["score"])
+        return pd.DataFrame(out).astype({"query_id": "int64", "shard": "int64", "vec_id": "int64", "score": "float64"})
+
+
+def _search_cell(nodes: pd.DataFrame, asked: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
+    return Shard(nodes).nearest(asked, k, beam)
+
+
+_NODE = ["shard", "node", "is_start", "ids", "embedding", "neighbours"]
 
 
 def search(index_rows: DataFrame, shards: int, asked: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
     """``asked(query_id, query, dim)`` -> ``(query_id, rank, vec_id, score)``."""
-    tiles = V.tile_count(asked.count())
-    keys = ["shard", "tile", "dim"]
-    left = V.each(index_rows, tiles, "tile").groupBy(*keys)
-    right = V.each(V.tiled(asked, tiles), shards, "shard").groupBy(*keys)
-    lists = left.cogroup(right).applyInPandas(lambda a, b: _search_cell(a, b, k, beam),
-                                              "query_id long, shard long, vec_id long, score double")
+    def hold(pieces):
+        return Shard(pa.Table.from_batches([p.select(_NODE) for p in pieces]).to_pandas())
+
+    def answer(shard, piece):
+        found = shard.nearest(piece.select(["query_id", "query"]).to_pandas(), k, beam)
+        yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+    lists = V.cells(index_rows, asked, shards, hold, answer, "query_id long, shard long, vec_id long, score double")
     return V.tree_merge(lists, shards, k)
 
 
 def nearest(vectors: DataFrame, every: int, k: int) -> DataFrame:
     """The ``k`` nearest found of every row whose id is divisible by ``every``."""
     rows = V.usable(vectors).where(F.exists("embedding", lambda x: x != 0))
-    index_rows, shards = index(vectors)
+    index_rows, shards = index(vectors, k)
     return search(index_rows, shards, V.queries_of(rows, every), k)

@@ -124,3 +124,27 @@ def test_other_columns_do_not_clash(spark):
     df = spark.createDataFrame([(i, [1.0, float(i)], 1, 2, "q", 3) for i in range(60)],
                                "vec_id long, embedding array<double>, shard int, tile int, query string, dim int")
     assert topk.top_k(df, every=50, k=5).count() == 10 and graph.nearest(df, every=50, k=5).count() == 10
+
+
+def test_sums_beyond_a_long_rank_by_their_exact_value(spark):
+    from adlens.llm import topk
+    big = 2.0 ** 60
+    rows = [(0, [big, 1.0]), (3, [big, 0.0]), (2, [2 * big, 0.0]), (1, [4 * big, 0.0]), (4, [-big, 0.0]), (5, [-2 * big, 0.0]), (6, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r["vec_id"] for r in topk.top_k(df, every=50, k=6, scale=1.0).orderBy("rank").collect()]
+    assert got == [1, 2, 3, 6, 4, 5]
+
+
+def test_equal_rows_fill_a_list_and_no_more_than_that(spark):
+    from adlens.llm import graph, topk
+    rows = [(50, [1.0, 0.0])] + [(7, [1.0, 0.5])] * 400 + [(i, [0.5, float(i)]) for i in range(1, 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert V.at_most(V.usable(df), 5).count() == 11
+    assert [r["vec_id"] for r in topk.top_k(df, every=50, k=5).collect()] == [7] * 5
+    assert [r["vec_id"] for r in graph.nearest(df, every=50, k=5).collect()] == [7] * 5
+    asked = spark.createDataFrame([(7, [1.0, 0.5])] * 9 + [(8, [1.0, 0.5])] * 9, "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in graph.nearest(asked, every=7, k=5).collect()] == [8] * 5
+
+
+def test_candidates_travel_once_per_million_queries():
+    assert [V.tile_count(n) for n in (0, 1000, 20_000_000)] == [1, 1, 20]
