@@ -3,7 +3,8 @@
 Training counts character trigrams of words (with word borders) per language over a
 bounded sample of labelled documents: ``per_language`` documents of each language on
 average, dealt by a hash of the id.  A word's likelihood under a language is the product
-of its trigrams' smoothed probabilities.
+of its trigrams' smoothed probabilities.  Every language and every trigram of the sample is learned, so
+the model's size follows from the sample: (trigram, language) pairs that occur, without zeros.
 
 A document is a bag of words, each drawn from one of its languages: expectation
 maximisation estimates the languages' proportions.  This is done for the best language
@@ -13,7 +14,11 @@ selected set's largest proportion; ``score`` is that proportion, drawn towards 1
 languages in short texts.  All documents of a batch are solved together in numpy.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text when no
-labelled document was given.  Texts are used whole; repeated rows get equal results.
+labelled document with a letter was given.  Texts are used whole; every row has its own result, rows
+without an id or with a repeated one too, and equal texts get equal results; of languages that are
+equally likely the first by code point is predicted.  An empty table gives no rows.
+``predict`` reads ``doc_id`` and ``text`` alone and ``keep_known`` passes all columns on, so none can
+clash.  In training, rows without text or language are left out, and rows that share an id are drawn together.
 """
 
 from __future__ import annotations
@@ -26,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adlens.operators.sizing import maybe_broadcast
+
 PER_LANGUAGE = 4000
-MAX_LANGUAGES = 1000
-MAX_GRAMS = 200_000
 PENALTY = 3.0
 ROUNDS = 8
 SMOOTHING = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE_WORDS = 120_000
+_CACHE_CELLS = 1 << 24  # words times languages
+_BATCH_CHARS, _BATCH_CELLS = 1_000_000, 50_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -48,18 +55,11 @@ def grams_of(word: str) -> list[str]:
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
-    """Model from ``labelled(doc_id, text, lang)``; rows without text or language are left out.
-
-    Languages beyond the ``MAX_LANGUAGES`` most frequent and trigrams beyond the
-    ``MAX_GRAMS`` most frequent of the sample are not learned (bounds of the model's size).
-    """
+    """Model from ``labelled(doc_id, text, lang)``; rows without text or language are left out."""
     known = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return {"langs": [], "grams": {}, "logp": np.zeros((1, 0))}
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
+    shares = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
-    sample = known.where(draw < share[F.col("lang")]).select("lang", "text")
+    sample = known.join(maybe_broadcast(shares, row_bytes=32), "lang").where(draw < F.col("share")).select("lang", "text")
 
     def count(batches):
         words = collections.defaultdict(collections.Counter)
@@ -75,35 +75,57 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
                 [pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()),
                  pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
 
-    langs = sorted(r["lang"] for r in counts)
-    found = sample.mapInArrow(count, "lang string, gram string, n long")
-    top = found.groupBy("gram").agg(F.sum("n").alias("all"), *[
-        F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)])
-    rows = top.orderBy(F.desc("all"), "gram").limit(MAX_GRAMS).collect()
-    table = np.array([[r[f"n{i}"] for i in range(len(langs))] for r in rows], float).reshape(len(rows), len(langs))
-    table = np.vstack([table, np.zeros(len(langs))]) + SMOOTHING  # last row: a trigram never seen
-    return {"langs": langs, "grams": {r["gram"]: i for i, r in enumerate(rows)},
-            "logp": np.log(table / table.sum(axis=0))}
+    found = sample.mapInArrow(count, "lang string, gram string, n long") \
+        .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(set(found.column("lang").to_pylist()))
+    grams = {g: i for i, g in enumerate(sorted(set(found.column("gram").to_pylist())))}
+    place = {x: i for i, x in enumerate(langs)}
+    lang = np.array([place[x] for x in found.column("lang").to_pylist()], np.int32)
+    gram = np.array([grams[g] for g in found.column("gram").to_pylist()], np.int64)
+    n = found.column("n").to_numpy().astype(float)
+    order = np.lexsort((lang, gram))
+    total = np.bincount(lang, weights=n, minlength=len(langs)) + SMOOTHING * (len(grams) + 1)  # one trigram never seen
+    return {"langs": langs, "grams": grams, "floor": np.log(SMOOTHING / total), "lang": lang[order],
+            "gain": np.log((n[order] + SMOOTHING) / SMOOTHING),
+            "ends": np.cumsum(np.bincount(gram, minlength=len(grams) + 1))}
+
+
+def sparse(logp: np.ndarray) -> dict:
+    """A dense table of log probabilities (trigrams by languages, the last row for one never seen) in the
+    model's form: ``floor`` of a language, and what a trigram adds to it where it occurs."""
+    gain = logp - logp[-1]
+    row, lang = np.nonzero(gain)
+    return {"floor": logp[-1], "lang": lang, "gain": gain[row, lang], "ends": np.cumsum(np.bincount(row, minlength=len(logp)))}
 
 
 class Scorer:
     """Scores batches of texts; remembers the likelihoods of words it has met."""
 
     def __init__(self, model: dict):
-        self.langs, self.grams, self.logp = model["langs"], model["grams"], model["logp"]
+        self.langs, self.grams = model["langs"], model["grams"]
+        table = sparse(model["logp"]) if "logp" in model else model
+        self.floor, self.lang, self.gain, self.ends = (table[x] for x in ("floor", "lang", "gain", "ends"))
+        self.sizes = np.diff(self.ends, prepend=0)
         self._forget()
 
     def _forget(self):
         self.rows: dict[str, int] = {}
         self.likelihoods = np.empty((1024, len(self.langs)))
 
-    def _row(self, word: str) -> int:
-        i = self.rows[word] = len(self.rows)
-        if i == len(self.likelihoods):
-            self.likelihoods = np.resize(self.likelihoods, (2 * i, len(self.langs)))
-        unseen = len(self.logp) - 1
-        self.likelihoods[i] = self.logp[[self.grams.get(g, unseen) for g in grams_of(word)]].sum(axis=0)
-        return i
+    def _learn(self, words: list[str]) -> None:
+        """Likelihoods of words not met before."""
+        first, kinds, unseen = len(self.rows), len(self.langs), len(self.grams)
+        self.rows.update(zip(words, range(first, first + len(words))))
+        if len(self.rows) > len(self.likelihoods):
+            self.likelihoods = np.concatenate([self.likelihoods, np.empty((len(self.rows), kinds))])
+        parts = [grams_of(w) for w in words]
+        each = np.array([len(p) for p in parts])
+        gram = np.array([self.grams.get(g, unseen) for p in parts for g in p])
+        n = self.sizes[gram]
+        at = np.repeat(self.ends[gram] - np.cumsum(n), n) + np.arange(n.sum())
+        cell = np.repeat(np.repeat(np.arange(len(words)), each), n) * kinds + self.lang[at]
+        gains = np.bincount(cell, weights=self.gain[at], minlength=len(words) * kinds)
+        self.likelihoods[first:len(self.rows)] = gains.reshape(-1, kinds) + each[:, None] * self.floor
 
     def _mix(self, lik, top, n, starts, sizes, allowed):
         """Proportions and log likelihood of each document over its ``allowed`` languages."""
@@ -117,22 +139,25 @@ class Scorer:
         return share, np.add.reduceat(n * (np.log(mass) + top), starts)
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        if len(self.rows) > _CACHE_WORDS:
+        if len(self.rows) > min(_CACHE_WORDS, _CACHE_CELLS // max(1, len(self.langs))):
             self._forget()
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if not self.langs:
             return langs, scores
-        which, ids, n, sizes = [], [], [], []
+        which, words, n, sizes = [], [], [], []
         for d, text in enumerate(texts):
             bag = collections.Counter(words_of(text))
             if bag:
                 which.append(d)
                 sizes.append(len(bag))
-                at = list(map(self.rows.get, bag))
-                ids += at if None not in at else [self._row(w) if i is None else i for w, i in zip(bag, at)]
+                words += bag
                 n += bag.values()
         if not which:
             return langs, scores
+        ids = list(map(self.rows.get, words))
+        if None in ids:
+            self._learn(list(dict.fromkeys(w for w, i in zip(words, ids) if i is None)))
+            ids = list(map(self.rows.get, words))
         sizes, n = np.array(sizes), np.array(n, float)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         logs = self.likelihoods[np.array(ids)]
@@ -173,11 +198,12 @@ def _scored(docs: DataFrame, model: dict, emit, schema):
 
     def run(batches):
         score = Scorer(shared.value)
+        room = min(_BATCH_CHARS, _BATCH_CELLS // max(1, len(score.langs)))
         for b in batches:
             texts, at = b.column("text").to_pylist(), 0
-            while at < len(texts):  # about a million characters at once
+            while at < len(texts):  # about a million characters at once, fewer with many languages
                 end, chars = at, 0
-                while end < len(texts) and (end == at or chars < 1_000_000):
+                while end < len(texts) and (end == at or chars < room):
                     chars += len(texts[end] or "")
                     end += 1
                 yield emit(b.slice(at, end - at), *score(texts[at:end]))

@@ -135,3 +135,78 @@ def test_seating():
     # Expected tables of one dish, one by one: pull 1, discount 0.
     mean = np.mean([lm.seat(np.full(1000, 16), np.ones(1000), 0.0, rng)])
     assert abs(mean - sum(1 / (i + 1) for i in range(16))) < 0.15
+
+
+def slow_language(train_rows, text):
+    """The method of operator 10 in plain Python: ``(language, score)``."""
+    counts = {}
+    for t, lang in train_rows:
+        for w in langid.words_of(t):
+            for i in range(len(w)):
+                counts.setdefault(lang, Counter())[f" {w} "[i:i + 3]] += 1
+    langs, grams = sorted(counts), {g for c in counts.values() for g in c}
+    total = {x: sum(counts[x].values()) + 0.5 * (len(grams) + 1) for x in langs}
+    bag = Counter(langid.words_of(text))
+    log = {w: {x: sum(math.log((counts[x][f" {w} "[i:i + 3]] + 0.5) / total[x]) for i in range(len(w))) for x in langs} for w in bag}
+    n = sum(bag.values())
+
+    def fit(some):
+        share = {x: 1 / len(some) for x in some}
+        for _ in range(langid.ROUNDS):
+            new = dict.fromkeys(some, 0.0)
+            for w, m in bag.items():
+                top = max(log[w].values())
+                joint = {x: share[x] * math.exp(log[w][x] - top) for x in some}
+                for x in some:
+                    new[x] += m * joint[x] / (sum(joint.values()) + 1e-300) / n
+            share = new
+        return share, sum(m * (max(log[w].values()) + math.log(sum(share[x] * math.exp(log[w][x] - max(log[w].values())) for x in some) + 1e-300))
+                          for w, m in bag.items())
+    full, _ = fit(langs)
+    alone = {x: sum(m * log[w][x] for w, m in bag.items()) for x in langs}
+    first = max(langs, key=lambda x: alone[x])
+    order = [first] + sorted((x for x in langs if x != first), key=lambda x: -full[x])
+    value, chosen = alone[first], first
+    for k in range(2, len(langs) + 1):
+        if full[order[k - 1]] <= 0.005:
+            break
+        share, ll = fit(order[:k])
+        if ll - langid.PENALTY * (k - 1) * math.log(n + 1) > value:
+            value, chosen = ll - langid.PENALTY * (k - 1) * math.log(n + 1), max(order[:k], key=lambda x: share[x])
+    return chosen, (full[chosen] * n + 1 / len(langs)) / (n + 1)
+
+
+def test_language_id_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000").orderBy("doc_id").limit(90)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    learn = [(t, x) for i, t, x in rows if i % 2 and t is not None and x is not None]
+    mixed = [(i, t) for i, t, _ in rows if i % 2 == 0] + [(9000 + n, " ".join(t[:400] for t, _ in learn[n:n + 3])) for n in range(12)]
+    model = langid.train(docs.where("doc_id % 2 = 1"))
+    got = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(mixed, "doc_id long, text string"), model).collect()}
+    for i, text in mixed:
+        if langid.words_of(text):
+            lang, score = slow_language(learn, text)
+            assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-6
+        else:
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+
+
+def test_a_small_language_beside_a_million_foreign_trigrams(spark):
+    rng = np.random.default_rng(3)
+    signs = np.array([chr(c) for c in range(0x4E00, 0x4E00 + 400)])
+    large = [(i, "".join(rng.choice(signs, 1200)), "zz") for i in range(1000)]
+    small = [(5000 + i, "".join(chr(0x10D0 + c) if c < 33 else " " for c in rng.integers(0, 38, 400)), "ka") for i in range(40)]
+    rows = spark.createDataFrame(large + small, "doc_id long, text string, lang string")
+    model = langid.train(rows.where("doc_id < 5020"))
+    assert len(model["grams"]) > 10 ** 6
+    got = {r["lang_pred"] for r in langid.predict(rows.where("doc_id >= 5020"), model).collect()}
+    assert got == {"ka"}
+
+
+def test_many_languages_are_learned(spark):
+    rows = spark.createDataFrame([(i, chr(0x4E00 + i) * 3 + " " + chr(0x4E00 + i) * 2, f"l{i:04d}") for i in range(1500)],
+                                 "doc_id long, text string, lang string")
+    model = langid.train(rows)
+    assert len(model["langs"]) == 1500
+    got = langid.predict(rows.where("doc_id % 50 = 7").union(rows.limit(1)), model).collect()
+    assert all(r["lang_pred"] == f"l{r['doc_id']:04d}" for r in got)
