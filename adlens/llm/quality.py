@@ -11,6 +11,9 @@ average): their features are written once, every round each partition improves t
 mini-batch AdaGrad, and the partitions' models are averaged.
 
 Null and empty texts score by the empty features.  Without labelled rows of both kinds scores are 0.5.
+Texts are scored whole, every row for itself, rows without an id or with a repeated one too; equal texts
+score the same; an empty table gives no rows.  Other columns than ``doc_id`` and ``text`` are not read,
+so none can clash.  In training, of rows that share an id the least text counts, and of its labels the larger.
 """
 
 from __future__ import annotations

@@ -15,9 +15,11 @@ def draw(key: str):
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, rows: int) -> DataFrame:
     """``(doc_id, text, y)`` of about ``rows`` labelled training documents (all, if fewer),
-    chosen by a hash of the id.  Only these documents' texts are kept from the scan."""
+    chosen by a hash of the id, one row an id (the least text).  Only these documents' texts are kept
+    from the scan.  Rows without an id, text or label are never chosen."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(training) \
         .groupBy("doc_id").agg(F.max(label).alias("y"))
     share = min(1.0, rows / max(1, known.count()))
     chosen = maybe_broadcast(known.where(draw("sample") < share), row_bytes=64)
-    return docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id")
+    return docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id") \
+        .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))

@@ -1,6 +1,7 @@
 """Toxicity by a weighted lexicon and Aho-Corasick (operator 5).
 
-Texts are folded: lower case, homoglyphs and digit or sign substitutions to Latin letters
+Texts are folded: compatibility forms (full-width, mathematical, ligatures) to plain letters, marks on
+Latin, Greek and Cyrillic letters dropped, lower case, homoglyphs and digit or sign substitutions to Latin letters
 (signs only before a letter or digit, so trailing decoration stays punctuation), then words
 joined by single spaces.  The lexicon has whole words and word beginnings of 4 to 6
 letters; both are patterns of one automaton (`` word `` and `` begi``).  A word counts once, with the
@@ -9,17 +10,23 @@ heaviest entry that starts at it, unless an exception phrase covers it.
 Entries, weights and exceptions are learned from a bounded sample of labelled training documents
 (``SAMPLE`` = 20,000, two thirds of them; an entry needs ``LEAST`` toxic documents and a
 log odds of ``MIN_WEIGHT``): the weight is the log odds of the entry's document frequencies, and a pair of words
-that holds an entry but occurs in clean documents only is an exception.  On the other
+that holds an entry but occurs in clean documents only (three at least) is an exception.  All that
+pass are kept; the sample bounds their number.  On the other
 third a logistic curve is fitted to the hit weight, the weight per word (normalised by
 length) and their presence; it gives the score.
 
-Null and empty texts have no hits; without labelled rows every score is 0.5.
+Null and empty texts have no hits and score by that; without labelled rows of both kinds every score
+is 0.5.  Texts are scored whole, every row for itself, rows without an id or with a repeated one too;
+equal texts score the same; an empty table gives no rows.  Other columns than ``doc_id`` and ``text``
+are not read, so none can clash.  In training, of rows that share an id the least text counts, and of
+its labels the larger.
 """
 
 from __future__ import annotations
 
 import collections
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -27,22 +34,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlens.llm.samples import draw, labelled_sample
+from adlens.llm.tables import materialize
 
 SAMPLE = 20_000
-MAX_ENTRIES = 5_000
-MAX_EXCEPTIONS = 5_000
 LEAST = 6
 MIN_WEIGHT = 1.5
 PREFIXES = (4, 5, 6)
 
 # Letters that look like Latin ones, and digits and signs put for letters.
-HOMOGLYPHS = dict(zip("аеорсухкмтнвіјѕԁɡһӏαοερντκιυχβ", "aeopcyxkmthbijsdghlaoepvtkiuxb"))
-SUBSTITUTIONS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
+HOMOGLYPHS = dict(zip("аеорсухкмтнвіјѕԁɡһӏαοερντκιυχβıøłđ", "aeopcyxkmthbijsdghlaoepvtkiuxbiold"))
+SUBSTITUTIONS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g"}
 SIGNS = {"@": "a", "$": "s", "!": "i"}
 # Harmless phrases that hold a word often listed as an insult.
 EXCEPTIONS = ("clown fish", "trash can", "trash bin", "killer whale", "stupid simple")
 
 _FOLD = tuple((HOMOGLYPHS | SUBSTITUTIONS).items())
+_MARKS = re.compile("[\u0300-\u036f]+")
 _SIGN = re.compile(r"[@$!](?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -50,6 +57,8 @@ _WORD = re.compile(r"[^\W_]+")
 def fold(text: str | None) -> list[str]:
     if not text:
         return []
+    if not text.isascii():
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text.lower()))
     low = _SIGN.sub(lambda m: SIGNS[m.group()], text.lower())
     # No letter put in is one replaced, so the order is free; on texts beyond ASCII this is faster than translate.
     for mark, letter in _FOLD:
@@ -118,15 +127,14 @@ def _counts(sample: DataFrame, units):
 def train(docs: DataFrame, labels: DataFrame, training, rows: int = SAMPLE) -> dict:
     """Model from ``labels(doc_id, toxic)`` rows for which ``training`` holds."""
     sc = docs.sparkSession.sparkContext
-    sample = labelled_sample(docs, labels, "toxic", training, rows)
+    sample = materialize(labelled_sample(docs, labels, "toxic", training, rows), "toxicity-sample")
     learn, fit = sample.where(draw("part") < 2 / 3), sample.where(draw("part") >= 2 / 3)
     totals = {r["y"]: r["n"] for r in learn.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return {"weights": {}, "exceptions": [], "curve": [0.0] * 4}
     odds = F.log((F.col("toxic") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (totals[0] + 1.0))
     entries = _counts(learn, lambda t: units_of(fold(t))).where(F.col("toxic") >= LEAST) \
-        .withColumn("weight", odds).where(F.col("weight") >= MIN_WEIGHT) \
-        .orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "unit").limit(MAX_ENTRIES).collect()
+        .withColumn("weight", odds).where(F.col("weight") >= MIN_WEIGHT).collect()
     weights = {r["unit"]: float(r["weight"]) for r in entries}
     plain = sc.broadcast(weights)
 
@@ -142,8 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, training, rows: int = SAMPLE) -> d
                 found.update(" ".join(words[j:j + 2]) for j in (i - 1, i) if j >= 0 and j + 2 <= len(words))
             at += len(w) + 1
         return found
-    clean = _counts(learn, pairs).where("toxic = 0 and clean >= 3").orderBy(F.desc("clean"), "unit") \
-        .limit(MAX_EXCEPTIONS).collect()
+    clean = _counts(learn, pairs).where("toxic = 0 and clean >= 3").collect()
     model = {"weights": weights, "exceptions": sorted({*EXCEPTIONS, *(r["unit"] for r in clean)})}
     shared = sc.broadcast(model)
 

@@ -210,3 +210,92 @@ def test_many_languages_are_learned(spark):
     assert len(model["langs"]) == 1500
     got = langid.predict(rows.where("doc_id % 50 = 7").union(rows.limit(1)), model).collect()
     assert all(r["lang_pred"] == f"l{r['doc_id']:04d}" for r in got)
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, score double, y int, share double, held_out string, unit string"
+
+
+def odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, " \n\t"), (5, "the and of"), (5, "the and of"), (5, "something else"), (None, "the and of"),
+            (None, None), (6, "word and word. " * 40_000), (7, "́\u0000 ퟿ \U0001d400")]
+    return spark.createDataFrame([(i, t, None, None, None, 2.0, 3, 4.0, "x", "u") for i, t in rows], CLASH)
+
+
+def check_odd_rows(spark, score):
+    out = score(odd_rows(spark))
+    assert out.columns == ["doc_id", "score"] and out.count() == 10
+    got = out.collect()
+    assert all(0 <= r["score"] <= 1 for r in got)
+    scores = {}
+    for r in got:
+        scores.setdefault(r["doc_id"], []).append(r["score"])
+    assert len(set(scores[5])) <= 2 and scores[1] == scores[2]  # null as empty; equal texts score the same
+    assert set(scores[5]) & set(scores[None]) and set(scores[None]) & set(scores[1])
+    assert score(odd_rows(spark).limit(0)).count() == 0
+
+
+def test_odd_rows_with_trained_models(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    odd_labels = labels.select("doc_id", "toxic", "quality").unionByName(
+        spark.createDataFrame([(None, 1, 1), (5, None, None), (5, 7, -1), (1, 1, 1)], "doc_id long, toxic int, quality int")
+        .select("doc_id", F.col("toxic").cast(labels.schema["toxic"].dataType).alias("toxic"),
+                F.col("quality").cast(labels.schema["quality"].dataType).alias("quality")))
+    extra = docs.select("doc_id", "text").unionByName(odd_rows(spark).select("doc_id", "text"))
+    model = toxicity.train(extra, odd_labels, F.lit(True))
+    assert model["weights"]
+    check_odd_rows(spark, lambda d: toxicity.score(d, model))
+    table = quality.train(extra, odd_labels, F.lit(True), rounds=2)
+    assert table is not None
+    check_odd_rows(spark, lambda d: quality.score(d, table))
+
+
+def test_sample_holds_one_row_of_an_id(spark):
+    from adlens.llm.samples import labelled_sample
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (2, None), (None, "d"), (3, "e")] + [(4, "x")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (3, None), (4, 1)], "doc_id long, toxic int")
+    got = sorted(map(tuple, labelled_sample(docs, labels, "toxic", F.lit(True), 10).collect()))
+    assert got == [(1, "a", 1), (2, "c", 0), (4, "x", 1)]
+
+
+def slow_hits(words, weights, exceptions):
+    """Weights that count, by trying every entry at every word."""
+    line, total, at = f" {' '.join(words)} ", 0.0, 0
+    spared = [(m, m + len(p) + 2) for p in exceptions for m in range(len(line)) if line.startswith(f" {p} ", m)]
+    for w in words:
+        best = max((x for e, x in weights.items() if line.startswith(e, at)), default=0.0)
+        if not any(a <= at < b - 0 for a, b in spared):
+            total += best
+        at += len(w) + 1
+    return total
+
+
+def test_toxicity_against_plain_python(spark):
+    from adlens.llm.samples import draw
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(docs, labels, F.lit(True))
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "toxic", (draw("part") < 2 / 3).alias("learn")).collect()
+    n, seen = Counter(), {0: Counter(), 1: Counter()}
+    for r in rows:
+        if r["learn"] and r["text"] is not None and r["toxic"] in (0, 1):
+            n[r["toxic"]] += 1
+            words = toxicity.fold(r["text"])
+            seen[r["toxic"]].update({f" {w} " for w in words} | {" " + w[:k] for w in words for k in (4, 5, 6) if len(w) >= k})
+    want = {}
+    for e, c in seen[1].items():
+        odds = math.log((c + .5) / (n[1] + 1)) - math.log((seen[0][e] + .5) / (n[0] + 1))
+        if c >= toxicity.LEAST and odds >= toxicity.MIN_WEIGHT:
+            want[e] = odds
+    assert model["weights"].keys() == want.keys() and all(abs(model["weights"][e] - x) < 1e-9 for e, x in want.items())
+    curve = np.array(model["curve"])
+    few = [r for r in rows if r["text"] and len(r["text"]) < 1500][:80]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for r in few:
+        words = toxicity.fold(r["text"])
+        w = slow_hits(words, model["weights"], model["exceptions"])
+        x = np.array([1, w > 0, math.log1p(w), math.log1p(1000 * w / (len(words) + 20))], float)
+        assert abs(got[r["doc_id"]] - 1 / (1 + math.exp(-(x @ curve)))) < 1e-9
+
+
+def test_folding_of_disguised_letters():
+    assert toxicity.fold("ｉｄｉｏｔ 𝐢𝐝𝐢𝐨𝐭 ìdíöt ıdıot ĬDĬOT 1d1oт") == ["idiot"] * 6
+    assert toxicity.fold("wi66le u9ly") == ["wiggle", "ugly"]
