@@ -1,18 +1,20 @@
 """Hierarchical Pitman-Yor language model (operator 9).
 
 Words (A-Z lower-cased, split on ASCII space) and an end token are drawn from the
-restaurant of their context, the word before; contexts are hashed to ``CONTEXTS`` restaurants,
-so frequent words have their own and rare ones share.  All of them share one
+restaurant of their context, the word before; every word has a restaurant of its own, known by the
+word's 64-bit hash.  All of them share one
 parent restaurant over words, whose base is uniform over the known words and one unknown.
 
 The data are dealt by word.  A task tokenizes a block of documents and sends each bucket of
 words its (word, context, document, count) entries as arrays; a bucket merges what all blocks sent
-into one row, written once.  Everything after is a map over these rows:
+into one row of a table bucketed by it, so that nothing but totals moves afterwards:
 
 * Gibbs sweeps: every dish's tables are redrawn by seating its customers again, given the
   tables of all others in its restaurant as of the sweep before (one by one, and in a crowd by
   groups of a sixteenth of those seated).  A word's seating in all its restaurants and in the
-  parent is local to its bucket; only table totals per restaurant are summed between sweeps.
+  parent is local to its bucket.  Table totals per restaurant are exchanged between sweeps: a bucket
+  sends its restaurants' tables to their owners (by hash of the context), which add them up and return
+  to every bucket the totals of the restaurants it has.
 * Scores: a pair's predictive probability, averaged over the sweeps after ``BURN``, is
   logged and summed per document, with the base score on the way.
 
@@ -21,18 +23,23 @@ with the sweeps'.  Which words these are is taken from a sample; it sets the lay
 No count is cut off: all training tokens are seated and all tokens of all texts are scored.
 
 Null and blank texts are the end token alone.  Rows are told apart by their place, so null
-and repeated doc_ids are scored each; with no training row every known count is 0.
+and repeated doc_ids are scored each, and equal texts get equal scores; with no training row every known
+count is 0; an empty table gives no rows.  Other columns than ``doc_id`` and ``text`` (and those of
+``training``) are not read, so none can clash.
 """
 
 from __future__ import annotations
 
+import collections
 import contextlib
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +48,6 @@ from adlens.llm.samples import draw
 from adlens.llm.tables import materialize
 from adlens.session import scratch_dir
 
-CONTEXTS = 1 << 14
 STRENGTH = 1.0
 SWEEPS = 3
 BURN = 1
@@ -49,6 +55,8 @@ BLOCK_TOKENS = 450_000
 BLOCK_DOCS = 1 << 15
 BUCKET_TOKENS = 1_000_000
 HOT_SAMPLE_DOCS = 2_000
+OWNER_BUCKETS = 8  # buckets' worth of contexts an owner adds up
+MAX_FILES = 50_000
 _END, _START = b"\n", b"\r"  # no word holds these
 _SEED = 11
 
@@ -75,8 +83,24 @@ def _batches_of(spark, rows: int):
 
 # --- dealing -------------------------------------------------------------------------------
 
-_PARTS = ("words", "pairs_of", "contexts", "entries_of", "docs_of", "counts", "docs", "own", "own_tokens")
-_SENT = "bucket int, first long, " + ", ".join(f"{p} binary" for p in _PARTS) + ", own_ids array<long>"
+_KINDS = dict(words="u8", pairs_of="i4", contexts="u8", context_of="u4", entries_of="i4", docs_of="u2", counts="i4",
+              docs="u2", own="i8", own_tokens="i8")
+_SENT = "bucket int, first long, sent binary, own_ids array<long>"
+
+
+def _packed(parts: list[np.ndarray]) -> bytes:
+    """Arrays, one for each of ``_KINDS``, as one compressed value."""
+    sizes = np.array([len(x) for x in parts], np.int64).tobytes()
+    return zstandard.compress(sizes + b"".join(x.astype(k).tobytes() for x, k in zip(parts, _KINDS.values())), 1)
+
+
+def _unpacked(value: bytes) -> dict[str, np.ndarray]:
+    data, out = zstandard.decompress(value), {}
+    at = 8 * len(_KINDS)
+    for size, (name, kind) in zip(np.frombuffer(data, np.int64, len(_KINDS)).tolist(), _KINDS.items()):
+        out[name] = np.frombuffer(data, kind, size, at)
+        at += out[name].nbytes
+    return out
 
 
 def _block(rows, ids, trains, texts, buckets: int, hot: np.ndarray):
@@ -91,15 +115,13 @@ def _block(rows, ids, trains, texts, buckets: int, hot: np.ndarray):
     code, kinds = coded.indices.to_numpy(), coded.dictionary.to_pylist()
     hashes = np.fromiter(map(_hash, kinds), np.uint64, len(kinds))
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    before = np.empty(len(code), np.int64)
-    as_context = (hashes % CONTEXTS).astype(np.int64)
-    before[1:] = as_context[code[:-1]]
-    before[np.cumsum([0, *sizes[:-1]])] = _hash(_START) % CONTEXTS
     word = hashes[code]
-    spread = np.where(np.isin(hashes, hot)[code], before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
-    bucket = ((word ^ spread) >> np.uint64(20)) % np.uint64(buckets)
+    before = np.append(np.uint64(0), word[:-1])
+    before[np.cumsum([0, *sizes[:-1]])] = _hash(_START)
+    spread = np.where(np.isin(hashes, hot)[code], before * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+    bucket = (((word ^ spread) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((doc, before, word, bucket))
-    word, before, doc, bucket = word[order], before[order], doc[order], bucket[order].astype(np.int64)
+    word, before, doc, bucket = word[order], before[order], doc[order], bucket[order]
 
     new_word = np.append(True, (word[1:] != word[:-1]) | (bucket[1:] != bucket[:-1]))
     new_pair = new_word | np.append(True, before[1:] != before[:-1])
@@ -108,18 +130,19 @@ def _block(rows, ids, trains, texts, buckets: int, hot: np.ndarray):
     counts = np.diff(np.append(at, len(doc)))
     entry_bucket, entry_doc, entry_word, entry_pair = bucket[at], doc[at], new_word[at], new_pair[at]
     owner = rows % buckets
-    edges = np.searchsorted(entry_bucket, np.arange(buckets + 1))
-    for b in np.unique(np.append(bucket, owner)).tolist():
-        cut = slice(edges[b], edges[b + 1])
+    by_owner, sizes = np.argsort(owner, kind="stable"), np.array(sizes, np.int64)
+    present = np.unique(np.append(entry_bucket, owner))
+    edges = np.searchsorted(entry_bucket, [present, present + 1])
+    owned = np.searchsorted(owner[by_owner], [present, present + 1])
+    for b, first, last, own_first, own_last in zip(present.tolist(), *edges.tolist(), *owned.tolist()):
+        cut, mine = slice(first, last), by_owner[own_first:own_last]
         begins_pair, begins_word = np.flatnonzero(entry_pair[cut]), np.flatnonzero(entry_word[cut])
         pair_at = np.flatnonzero(entry_word[cut][begins_pair])
         seen, local = np.unique(entry_doc[cut], return_inverse=True)
-        n = edges[b + 1] - edges[b]
-        mine = owner == b
-        yield b, [word[at[cut]][begins_word], np.diff(np.append(pair_at, len(begins_pair))).astype(np.int32),
-                  before[at[cut]][begins_pair].astype(np.uint16), np.diff(np.append(begins_pair, n)).astype(np.int32),
-                  local.astype(np.uint16), counts[cut].astype(np.int32), (seen << 1 | trains[seen]).astype(np.uint16),
-                  rows[mine], np.array(sizes, np.int64)[mine]], [ids[i] for i in np.flatnonzero(mine)]
+        contexts, context_of = np.unique(before[at[cut]][begins_pair], return_inverse=True)
+        yield b, _packed([word[at[cut]][begins_word], np.diff(np.append(pair_at, len(begins_pair))), contexts, context_of,
+                          np.diff(np.append(begins_pair, last - first)), local, counts[cut], seen << 1 | trains[seen],
+                          rows[mine], sizes[mine]]), [ids[i] for i in mine]
 
 
 def _deal(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
@@ -134,8 +157,8 @@ def _deal(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 lst.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.int32()), pa.array(np.full(len(out), rows[0])),
-                 *(pa.array([o[1][i].tobytes() for o in out], pa.binary()) for i in range(len(_PARTS))),
-                 pa.array([o[2] for o in out], pa.list_(pa.int64()))], ["bucket", "first", *_PARTS, "own_ids"])
+                 pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.list_(pa.int64()))],
+                ["bucket", "first", "sent", "own_ids"])
         for b in batches:
             for doc_id, text, train in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 held[0].append(doc_id)
@@ -151,21 +174,22 @@ def _deal(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, _SENT)
 
 
-_ROW = ("bucket int, word_hot binary, word_pairs binary, pair_context binary, pair_train binary, "
-        "word_train binary, doc_rows binary, doc_entries binary, entry_pair binary, entry_count binary, "
-        "own binary, own_tokens binary, own_ids array<long>, tokens long, words long")
+_SEATS = "bucket int, word_hot binary, word_pairs binary, contexts binary, pair_context binary, pair_train binary, word_train binary"
+_ROW = _SEATS + (", doc_rows binary, doc_entries binary, entry_pair binary, entry_count binary, "
+                 "own binary, own_tokens binary, own_ids array<long>, tokens long, words long")
 
 
 def _merge(hot: np.ndarray):
     """What all blocks sent to a bucket -> one row of merged arrays."""
-    kinds = dict(words="u8", pairs_of="i4", contexts="u2", entries_of="i4", docs_of="u2", counts="i4",
-                 docs="u2", own="i8", own_tokens="i8")
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sent = {p: [np.frombuffer(x, kinds[p]) for x in pdf[p]] for p in _PARTS}
+        blocks = [_unpacked(x) for x in pdf["sent"]]
+        sent = {p: [x[p] for x in blocks] for p in _KINDS}
         words, word_of = np.unique(np.concatenate([np.repeat(w, n) for w, n in zip(sent["words"], sent["pairs_of"])]),
                                    return_inverse=True)
-        keys, pair_of = np.unique(word_of.astype(np.int64) * CONTEXTS + np.concatenate(sent["contexts"]), return_inverse=True)
+        contexts = np.unique(np.concatenate(sent["contexts"]))
+        context_of = np.concatenate([np.searchsorted(contexts, c)[i] for c, i in zip(sent["contexts"], sent["context_of"])])
+        many = max(1, len(contexts))
+        keys, pair_of = np.unique(word_of.astype(np.int64) * many + context_of, return_inverse=True)
         shift = np.concatenate([[0], np.cumsum([len(d) for d in sent["docs"]])])
         doc = np.concatenate([d + s for d, s in zip(sent["docs_of"], shift)]).astype(np.int32)
         pair = np.repeat(pair_of.astype(np.int32), np.concatenate(sent["entries_of"]))
@@ -173,7 +197,7 @@ def _merge(hot: np.ndarray):
         rows = np.repeat(pdf["first"].to_numpy(), [len(d) for d in sent["docs"]]) + (coded >> 1)
         train = coded & 1
         pair_train = np.bincount(pair, weights=count * train[doc], minlength=len(keys)).astype(np.int64)
-        pair_word = keys // CONTEXTS
+        pair_word = keys // many
         word_train = np.bincount(pair_word, weights=pair_train, minlength=len(words)).astype(np.int64)
         order = np.argsort(doc, kind="stable")
         at = np.searchsorted(hot, words) if len(hot) else np.zeros(len(words), np.int64)
@@ -183,7 +207,8 @@ def _merge(hot: np.ndarray):
             "bucket": pdf["bucket"].iloc[0],
             "word_hot": np.where(is_hot, at, -1).astype(np.int32).tobytes(),
             "word_pairs": np.bincount(pair_word, minlength=len(words)).astype(np.int32).tobytes(),
-            "pair_context": (keys % CONTEXTS).astype(np.uint16).tobytes(), "pair_train": pair_train.tobytes(),
+            "contexts": contexts.tobytes(),
+            "pair_context": (keys % many).astype(np.uint32).tobytes(), "pair_train": pair_train.tobytes(),
             "word_train": word_train.tobytes(), "doc_rows": rows.tobytes(),
             "doc_entries": np.bincount(doc, minlength=len(rows)).astype(np.int32).tobytes(),
             "entry_pair": pair[order].tobytes(), "entry_count": count[order].tobytes(),
@@ -211,21 +236,50 @@ def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng) -> np.nd
     return tables
 
 
+_REPLY = "bucket int, owner int, turn int, tables binary, guests binary, sums_at array<int>, sums_a array<double>, sums_b array<double>"
+
+
 class Bucket:
     """One bucket's words and pairs, seated sweep by sweep.
 
-    ``history`` holds the totals after each sweep so far; seating is deterministic, so any
-    task can redo a bucket's sweeps from them."""
+    ``replies`` are the totals of its restaurants after each sweep so far; seating is deterministic, so
+    any task can redo a bucket's sweeps from them."""
 
-    def __init__(self, row: dict, plan: dict):
-        self.n, self.plan = row["bucket"], plan
+    def __init__(self, row: dict, plan: dict, replies: pd.DataFrame):
+        self.n, self.plan = int(row["bucket"]), plan
         self.hot = np.frombuffer(row["word_hot"], np.int32)
         self.of = np.repeat(np.arange(len(self.hot)), np.frombuffer(row["word_pairs"], np.int32))
-        self.context = np.frombuffer(row["pair_context"], np.uint16).astype(np.int64)
+        self.contexts = np.frombuffer(row["contexts"], np.uint64)
+        self.context = np.frombuffer(row["pair_context"], np.uint32).astype(np.int64)
         self.customers = np.frombuffer(row["pair_train"], np.int64)
         self.tables = (self.customers > 0).astype(np.int64)
+        self.owner = (self.contexts >> np.uint64(8)) % np.uint64(plan["owners"])
+        self.by_owner = np.argsort(self.owner, kind="stable")
+        nothing = np.zeros(len(self.contexts))  # stays where the bucket has no restaurant to ask about
+        self.guests, self.totals = nothing, collections.defaultdict(lambda: nothing)  # turn -> tables of each restaurant
+        for turn, part in replies.sort_values(["turn", "owner"]).groupby("turn"):
+            self.totals[turn] = self._placed(part["tables"])
+            if turn == 0:
+                self.guests = self._placed(part["guests"])
         self._parent(None, 0)
 
+    def _placed(self, parts) -> np.ndarray:
+        out = np.zeros(len(self.contexts))
+        out[self.by_owner] = np.concatenate([np.frombuffer(zstandard.decompress(x), np.int64) for x in parts])
+        return out
+
+    def messages(self, turn: int) -> dict:
+        """What its restaurants' owners are sent: contexts, tables and at first customers."""
+        tables = np.bincount(self.context, weights=self.tables, minlength=len(self.contexts)).astype(np.int64)
+        guests = np.bincount(self.context, weights=self.customers, minlength=len(self.contexts)).astype(np.int64)
+        owners, at = np.unique(self.owner[self.by_owner], return_index=True)
+        out = {"owner": owners.astype(np.int32).tolist(), "contexts": [], "tables": [], "guests": []}
+        for mine in np.split(self.by_owner, at[1:]) if len(owners) else ():
+            out["contexts"].append(self.contexts[mine].tobytes())
+            out["tables"].append(zstandard.compress(tables[mine].tobytes(), 1))
+            out["guests"].append(zstandard.compress(guests[mine].tobytes(), 1) if turn == 0 else None)
+        return out
+
     def _parent(self, totals: dict | None, turn: int) -> None:
         """Seats the tables of all contexts in the parent restaurant."""
         self.served = np.bincount(self.of, weights=self.tables, minlength=len(self.hot)).astype(np.int64)
@@ -243,58 +297,84 @@ class Bucket:
     def base(self, totals: dict) -> np.ndarray:
         """Parent's probability of each word."""
         kept = np.maximum(self.served - self.plan["d0"] * self.root, 0.0)
-        return (kept + totals["root_pull"]) / (STRENGTH + totals["served"])
+        return (kept + totals["root_pull"]) / (self.plan["strength"] + totals["served"])
 
     def sweep(self, totals: dict, turn: int) -> None:
         self._parent(totals, turn)
-        pull = (STRENGTH + self.plan["d1"] * totals["tables"][self.context]) * self.base(totals)[self.of]
+        pull = (self.plan["strength"] + self.plan["d1"] * self.totals[turn][self.context]) * self.base(totals)[self.of]
         self.tables = seat(self.customers, pull, self.plan["d1"], np.random.default_rng([_SEED, turn, self.n, 1]))
 
     def probability(self, totals: dict, turn: int) -> np.ndarray:
         """Predictive probability of every pair given the seating and its totals."""
         self._parent(totals, turn)
-        d, guests = self.plan["d1"], STRENGTH + self.plan["guests"][self.context]
+        d, guests = self.plan["d1"], self.plan["strength"] + self.guests[self.context]
         own = np.maximum(self.customers - d * self.tables, 0.0)
-        back = STRENGTH + d * totals["tables"][self.context]
+        back = self.plan["strength"] + d * self.totals[turn][self.context]
         return (own + back * self.base(totals)[self.of]) / guests
 
 
-def _totals(state: DataFrame, sc, plan: dict, history: list[dict], hot: int) -> dict:
-    """Sums of the seating after the sweeps of ``history``: at most a row per restaurant and
-    hot word comes back."""
-    shared = sc.broadcast((plan, history))
+_MESSAGE = ("owner int, bucket int, contexts binary, tables binary, guests binary, "
+            "sums_at array<int>, sums_a array<double>, sums_b array<double>")
+_FEW = 6  # sums beside those of hot words
 
-    def run(batches):
+
+def _swept(shared, turn: int):
+    """A bucket after the sweeps so far: messages to the owners of its restaurants, and a row of sums."""
+    def run(state: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        if not len(state):
+            return pd.DataFrame(columns=["owner", "bucket", "contexts", "tables", "guests", "sums_at", "sums_a", "sums_b"])
         plan, history = shared.value
-        tables, guests = np.zeros(CONTEXTS), np.zeros(CONTEXTS)
-        hot_tables, hot_train, few = np.zeros(hot), np.zeros(hot), np.zeros(6)
-        for b in batches:
-            for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
-                bucket = Bucket(row, plan)
-                for turn, totals in enumerate(history):
-                    bucket.sweep(totals, turn)
-                tables += np.bincount(bucket.context, weights=bucket.tables, minlength=CONTEXTS)
-                guests += np.bincount(bucket.context, weights=bucket.customers, minlength=CONTEXTS)
-                served = np.bincount(bucket.of, weights=bucket.tables, minlength=len(bucket.hot))
-                split = bucket.hot >= 0
-                np.add.at(hot_tables, bucket.hot[split], served[split])
-                np.add.at(hot_train, bucket.hot[split], np.frombuffer(row["word_train"], np.int64)[split])
-                few += [served.sum(), bucket.root[~split].sum(), (bucket.customers == 1).sum(), (bucket.customers == 2).sum(),
-                        (served[~split] == 1).sum(), (served[~split] == 2).sum()]
-        kind = [0] * CONTEXTS + [1] * hot + [2] * 6
-        at = [*range(CONTEXTS), *range(hot), *range(6)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kind, pa.int32()), pa.array(at, pa.int32()), pa.array(np.concatenate([tables, hot_tables, few])),
-             pa.array(np.concatenate([guests, hot_train, np.zeros(6)]))], ["kind", "at", "a", "b"])
-    need = state.select("bucket", "word_hot", "word_pairs", "pair_context", "pair_train", "word_train")
-    rows = need.mapInArrow(run, "kind int, at int, a double, b double") \
-        .groupBy("kind", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
-    out = [(np.zeros(n), np.zeros(n)) for n in (CONTEXTS, hot, 6)]
+        row = state.iloc[0]
+        bucket = Bucket(row, plan, replies)
+        for t, totals in enumerate(history):
+            bucket.sweep(totals, t)
+        served = np.bincount(bucket.of, weights=bucket.tables, minlength=len(bucket.hot))
+        split = bucket.hot >= 0
+        few = [served.sum(), bucket.root[~split].sum(), (bucket.customers == 1).sum(), (bucket.customers == 2).sum(),
+               (served[~split] == 1).sum(), (served[~split] == 2).sum()]
+        out = bucket.messages(turn)
+        n = len(out["owner"])
+        train = np.frombuffer(row["word_train"], np.int64)[split]
+        return pd.DataFrame({
+            "owner": [*out["owner"], -1 - bucket.n], "bucket": bucket.n, "contexts": [*out["contexts"], None],
+            "tables": [*out["tables"], None], "guests": [*out["guests"], None],
+            "sums_at": [None] * n + [[*range(_FEW), *(bucket.hot[split] + _FEW).tolist()]],
+            "sums_a": [None] * n + [[*map(float, few), *served[split].tolist()]],
+            "sums_b": [None] * n + [[0.0] * _FEW + train.astype(float).tolist()]})
+    return run
+
+
+def _owned(turn: int):
+    """An owner's restaurants: adds up what the buckets sent and answers each; sums pass through."""
+    def run(sent: pd.DataFrame) -> pd.DataFrame:
+        out = sent.drop(columns="contexts").assign(turn=turn)
+        if int(sent["owner"].iloc[0]) < 0:
+            return out
+        contexts = [np.frombuffer(x, np.uint64) for x in sent["contexts"]]
+        found, at = np.unique(np.concatenate(contexts), return_inverse=True)
+        ends = np.cumsum([len(x) for x in contexts])[:-1]
+        for name in ("tables", "guests") if turn == 0 else ("tables",):
+            parts = np.concatenate([np.frombuffer(zstandard.decompress(x), np.int64) for x in sent[name]])
+            total = np.bincount(at, weights=parts, minlength=len(found)).astype(np.int64)[at]
+            out[name] = [zstandard.compress(x.tobytes(), 1) for x in np.split(total, ends)]
+        return out
+    return run
+
+
+def _exchange(state: DataFrame, replies: DataFrame, sc, plan: dict, history: list[dict], hot: int) -> tuple[DataFrame, dict]:
+    """The replies after the sweeps of ``history``, written, and the sums over all buckets: at most
+    a row per hot word comes back."""
+    turn = len(history)
+    need = state.select(*[c.split()[0] for c in _SEATS.split(", ")])
+    sent = need.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(_swept(sc.broadcast((plan, history)), turn), _MESSAGE)
+    new = materialize(sent.groupBy("owner").applyInPandas(_owned(turn), _REPLY), "lm-totals")
+    rows = new.where("owner < 0").select(F.explode(F.arrays_zip("sums_at", "sums_a", "sums_b")).alias("s")) \
+        .groupBy("s.sums_at").agg(F.sum("s.sums_a").alias("a"), F.sum("s.sums_b").alias("b")).collect()
+    a, b = np.zeros(_FEW + hot), np.zeros(_FEW + hot)
     for r in rows:
-        out[r["kind"]][0][r["at"]], out[r["kind"]][1][r["at"]] = r["a"], r["b"]
-    (tables, guests), (hot_tables, hot_train), (few, _) = out
-    return {"tables": tables, "guests": guests, "hot": hot_tables.astype(np.int64), "hot_train": hot_train.astype(np.int64),
-            "served": few[0], "root": few[1], "few": few}
+        a[r["sums_at"]], b[r["sums_at"]] = r["a"], r["b"]
+    return new.where("owner >= 0"), {"hot": a[_FEW:].astype(np.int64), "hot_train": b[_FEW:].astype(np.int64),
+                                     "served": a[0], "root": a[1], "few": a[:_FEW]}
 
 
 def _discount(one: float, two: float) -> float:
@@ -305,7 +385,7 @@ def _with_root(totals: dict, plan: dict, turn: int) -> dict:
     """Adds what the parent restaurant needs: hot words' tables in it, and the pull of its base."""
     start = np.full(len(totals["hot"]), plan["pull0"])
     totals["hot_root"] = seat(totals["hot"], start, plan["d0"], np.random.default_rng([_SEED, turn]))
-    totals["root_pull"] = (STRENGTH + plan["d0"] * (totals["root"] + totals["hot_root"].sum())) / (plan["words"] + 1)
+    totals["root_pull"] = (plan["strength"] + plan["d0"] * (totals["root"] + totals["hot_root"].sum())) / (plan["words"] + 1)
     plan["pull0"] = totals["root_pull"]
     return totals
 
@@ -320,93 +400,90 @@ def _hot_words(docs: DataFrame, rows: int, buckets: int) -> np.ndarray:
     return np.array(sorted({_hash(r["w"].encode()) for r in found if r["w"]} | {_hash(_END)}), np.uint64)
 
 
-def score(docs: DataFrame, training: Column, sweeps: int = SWEEPS, burn: int = BURN) -> DataFrame:
+def score(docs: DataFrame, training: Column, sweeps: int = SWEEPS, burn: int = BURN, strength: float = STRENGTH,
+          discount: float | None = None) -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` of every row;
-    the model learns from rows for which ``training`` holds.  Scores are log10."""
+    the model learns from rows for which ``training`` holds.  Scores are log10.  Without a
+    ``discount`` each level's is estimated from the dishes with one and two customers."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"),
                        F.coalesce(training, F.lit(False)).alias("train"))
     size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     buckets = max(12, (size["bytes"] or 0) // 6 // BUCKET_TOKENS)
     hot = _hot_words(rows, size["n"], buckets)
-    path = scratch_dir(docs.sparkSession, "lm-buckets")
+    spark, name = docs.sparkSession, f"adlens_lm_{uuid.uuid4().hex[:12]}"
     merged = _deal(rows, buckets, hot).groupBy("bucket").applyInPandas(_merge(hot), _ROW)
-    with _batches_of(docs.sparkSession, 500):
-        merged.write.option("compression", "zstd").parquet(path)
-    state = docs.sparkSession.read.parquet(path)
-
-    plan = {"d0": 0.5, "d1": 0.5, "words": 0, "pull0": 1.0, "guests": np.zeros(CONTEXTS)}
-    with _batches_of(docs.sparkSession, 1):
-        plan, history = _sampled(state, sc, plan, len(hot), sweeps)
-        parts = _document_sums(state, sc, plan, history, burn, buckets)
-        docs_ = materialize(parts.groupBy("row").agg(
+    try:
+        with _batches_of(spark, 500):
+            merged.write.bucketBy(min(buckets, MAX_FILES), "bucket").sortBy("bucket").format("parquet") \
+                .option("path", scratch_dir(spark, "lm-buckets")).option("compression", "zstd").saveAsTable(name)
+        state = spark.table(name)
+        plan = {"d0": 0.5, "d1": 0.5, "words": 0, "pull0": 1.0, "strength": strength, "discount": discount, "owners": max(12, buckets // OWNER_BUCKETS)}
+        plan, history, replies = _sampled(state, sc, plan, len(hot), sweeps)
+        docs_ = materialize(_document_sums(state, replies, sc, plan, history, burn, buckets).groupBy("row").agg(
             F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
             F.sum("base_score").alias("base_score"), F.sum("score").alias("score")), "lm-scores")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return docs_.select("doc_id", "n_tokens", "n_known", F.lit(plan["tokens"]).cast("long").alias("train_tokens"),
                         "base_score", "score")
 
 
-def _sampled(state: DataFrame, sc, plan: dict, hot: int, sweeps: int) -> tuple[dict, list[dict]]:
-    """The model's constants and the totals after each sweep."""
-    first = _totals(state, sc, plan, [], hot)
+def _sampled(state: DataFrame, sc, plan: dict, hot: int, sweeps: int) -> tuple[dict, list[dict], DataFrame]:
+    """The model's constants, the sums after each sweep, and the replies of all sweeps by bucket."""
+    none = state.sparkSession.createDataFrame([], _REPLY)
+    replies, first = _exchange(state, none, sc, plan, [], hot)
     known = state.agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
-    plan |= {"tokens": int(known["n"] or 0), "words": int(known["v"] or 0) + int((first["hot_train"] > 0).sum()), "guests": first["guests"],
+    plan |= {"tokens": int(known["n"] or 0), "words": int(known["v"] or 0) + int((first["hot_train"] > 0).sum()),
              "d1": _discount(*first["few"][2:4]), "d0": _discount(*first["few"][4:6])}
-    plan["pull0"] = STRENGTH / (plan["words"] + 1)
+    if plan["discount"] is not None:
+        plan |= {"d0": plan["discount"], "d1": plan["discount"]}
+    plan["pull0"] = plan["strength"] / (plan["words"] + 1)
     history = [_with_root(first, plan, 0)]
     for turn in range(1, sweeps + 1):
-        history.append(_with_root(_totals(state, sc, plan, history, hot), plan, turn))
-    return plan, history
+        new, totals = _exchange(state, replies, sc, plan, history, hot)
+        replies = replies.unionByName(new)
+        history.append(_with_root(totals, plan, turn))
+    return plan, history, replies
 
 
-def _document_sums(state: DataFrame, sc, plan: dict, history: list[dict], burn: int, buckets: int) -> DataFrame:
-    """Per task and document: sums over the words of the task's buckets; and every document
+def _document_sums(state: DataFrame, replies: DataFrame, sc, plan: dict, history: list[dict], burn: int, buckets: int) -> DataFrame:
+    """Per bucket and document: sums over the bucket's words; and every document
     once with its id.  Tasks take several buckets each, about the root of their number, so
-    that a document comes back few times; beyond 300 tasks that is bounded by its distinct words."""
+    that Spark's partial sums come back few times; beyond 300 tasks that is bounded by a document's distinct words."""
     shared = sc.broadcast((plan, history))
 
-    def run(batches):
-        plan, history = shared.value
-        hot_train, held = history[0]["hot_train"], (np.zeros(0, np.int64), np.zeros((0, 3)))
-        for b in batches:
-            for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
-                bucket, kept = Bucket(row, plan), []
-                for turn, totals in enumerate(history):
-                    if turn > burn or turn == len(history) - 1:
-                        kept.append(bucket.probability(totals, turn))
-                    if turn < len(history) - 1:
-                        bucket.sweep(totals, turn)
-                logs = np.log10(np.mean(kept, axis=0))
-                train = np.frombuffer(row["word_train"], np.int64).copy()
-                split = bucket.hot >= 0
-                train[split] = hot_train[bucket.hot[split]]
-                base = np.log10((train + 0.5) / (plan["tokens"] + 0.5 * (plan["words"] + 1)))
-                docs = np.frombuffer(row["doc_rows"], np.int64)
-                sizes = np.frombuffer(row["doc_entries"], np.int32)
-                pair, count = np.frombuffer(row["entry_pair"], np.int32), np.frombuffer(row["entry_count"], np.int32)
-                of = np.repeat(np.arange(len(docs)), sizes)
-                word = bucket.of[pair]
-                sums = [np.bincount(of, weights=count * v, minlength=len(docs)) for v in (train[word] > 0, base[word], logs[pair])]
-                own = np.frombuffer(row["own"], np.int64)
-                held = _added(held, (docs, np.stack(sums, axis=1)))
-                zero = np.zeros(len(own))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), pa.array(row["own_ids"], pa.int64()), pa.array(np.frombuffer(row["own_tokens"], np.int64)),
-                     pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], _SUMS)
-        docs, sums = held
-        none = pa.nulls(len(docs), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(docs), none, none, pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1]), pa.array(sums[:, 2])], _SUMS)
+    def run(state: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        if not len(state):
+            return pd.DataFrame(columns=_SUMS)
+        (plan, history), row = shared.value, state.iloc[0]
+        bucket, kept = Bucket(row, plan, replies), []
+        for turn, totals in enumerate(history):
+            if turn > burn or turn == len(history) - 1:
+                kept.append(bucket.probability(totals, turn))
+            if turn < len(history) - 1:
+                bucket.sweep(totals, turn)
+        logs = np.log10(np.mean(kept, axis=0))
+        train = np.frombuffer(row["word_train"], np.int64).copy()
+        split = bucket.hot >= 0
+        train[split] = history[0]["hot_train"][bucket.hot[split]]
+        base = np.log10((train + 0.5) / (plan["tokens"] + 0.5 * (plan["words"] + 1)))
+        sizes = np.frombuffer(row["doc_entries"], np.int32)
+        pair, count = np.frombuffer(row["entry_pair"], np.int32), np.frombuffer(row["entry_count"], np.int32)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        word = bucket.of[pair]
+        known, base_sum, log_sum = (np.bincount(of, weights=count * v, minlength=len(sizes)) for v in (train[word] > 0, base[word], logs[pair]))
+        own, none = np.frombuffer(row["own"], np.int64), np.zeros(len(row["own"]) // 8)
+        docs = np.frombuffer(row["doc_rows"], np.int64)
+        return pd.DataFrame({
+            "row": np.concatenate([own, docs]),
+            "doc_id": pd.array([*row["own_ids"], *[None] * len(docs)], "Int64"),
+            "n_tokens": pd.array([*np.frombuffer(row["own_tokens"], np.int64).tolist(), *[None] * len(docs)], "Int64"),
+            "n_known": np.concatenate([none, known]).astype(np.int64),
+            "base_score": np.concatenate([none, base_sum]), "score": np.concatenate([none, log_sum])})
     tasks = max(12, math.isqrt(buckets), buckets // 300)
-    return state.coalesce(tasks).mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double")
-
-
-def _added(a, b):
-    """Sums by document of two lists of (documents, sums)."""
-    docs, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
-    out = np.zeros((len(docs), 3))
-    np.add.at(out, at, np.concatenate([a[1], b[1]]))
-    return docs, out
+    return state.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(
+        run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double").coalesce(tasks)
 
 
 _SUMS = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"]

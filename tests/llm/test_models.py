@@ -299,3 +299,45 @@ def test_toxicity_against_plain_python(spark):
 def test_folding_of_disguised_letters():
     assert toxicity.fold("ｉｄｉｏｔ 𝐢𝐝𝐢𝐨𝐭 ìdíöt ıdıot ĬDĬOT 1d1oт") == ["idiot"] * 6
     assert toxicity.fold("wi66le u9ly") == ["wiggle", "ugly"]
+
+
+def restaurants(rows, train):
+    """Customers of every (word before, word), learned and scored, in plain Python."""
+    pairs = {i: [] for i, _ in rows}
+    learned = Counter()
+    for i, t in rows:
+        before = "\r"
+        for w in [*(t or "").lower().split(), "\n"]:
+            pairs[i].append((before, w))
+            learned[before, w] += train[i]
+            before = w
+    return pairs, {k: n for k, n in learned.items() if n}
+
+
+def test_language_model_score_against_plain_python(spark):
+    """With next to no pull each dish keeps one table a restaurant, so scores follow from counts alone."""
+    rows = [(i, f"a b a{i % 3} c{i % 5} a b") for i in range(40)] + [(100, "a b zz"), (101, ""), (102, "b a a b")]
+    train = {i: i < 40 and i % 4 != 1 for i, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weak = 1e-12
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, F.expr("doc_id < 40 and doc_id % 4 <> 1"), strength=weak, discount=0.0).collect()}
+    pairs, learned = restaurants(rows, train)
+    guests, served = Counter(), Counter()
+    for (before, w), n in learned.items():
+        guests[before] += n
+        served[w] += 1
+    total = sum(served.values())
+
+    def probability(before, w):
+        base = (served[w] + weak / (len(served) + 1)) / (weak + total)
+        return (learned.get((before, w), 0) + weak * base) / (weak + guests[before])
+    for i, _ in rows:
+        assert abs(got[i] - sum(math.log10(probability(*p)) for p in pairs[i])) < 1e-9
+
+
+def test_every_context_has_a_restaurant_of_its_own(spark):
+    # 30,000 contexts, each always followed by the same word: known pairs stay sure at any number of contexts.
+    rows = [(i, " ".join(f"w{j} x{j} w{j} x{j}" for j in range(100 * i, 100 * i + 100))) for i in range(300)]
+    docs = spark.createDataFrame(rows + [(1000, "w5 x5"), (1001, "w5 x6")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, F.expr("doc_id < 1000")).collect()}
+    assert got[1000] > got[1001] + 2
