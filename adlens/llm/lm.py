@@ -55,6 +55,7 @@ BLOCK_TOKENS = 450_000
 BLOCK_DOCS = 1 << 15
 BUCKET_TOKENS = 1_000_000
 HOT_SAMPLE_DOCS = 2_000
+COMMON_WORDS = 1 << 16  # of a sample, sent by number; any other by its hash
 OWNER_BUCKETS = 8  # buckets' worth of contexts an owner adds up
 MAX_FILES = 50_000
 _END, _START = b"\n", b"\r"  # no word holds these
@@ -83,27 +84,44 @@ def _batches_of(spark, rows: int):
 
 # --- dealing -------------------------------------------------------------------------------
 
-_KINDS = dict(words="u8", pairs_of="i4", contexts="u8", context_of="u4", entries_of="i4", docs_of="u2", counts="i4",
-              docs="u2", own="i8", own_tokens="i8")
+_PARTS = ("words", "words_", "contexts", "contexts_", "pairs_of", "context_of", "entries_of", "docs_of", "counts", "docs", "own", "own_tokens")
 _SENT = "bucket int, first long, sent binary, own_ids array<long>"
 
 
-def _packed(parts: list[np.ndarray]) -> bytes:
-    """Arrays, one for each of ``_KINDS``, as one compressed value."""
-    sizes = np.array([len(x) for x in parts], np.int64).tobytes()
-    return zstandard.compress(sizes + b"".join(x.astype(k).tobytes() for x, k in zip(parts, _KINDS.values())), 1)
+def _small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in the least width that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
-def _unpacked(value: bytes) -> dict[str, np.ndarray]:
-    data, out = zstandard.decompress(value), {}
-    at = 8 * len(_KINDS)
-    for size, (name, kind) in zip(np.frombuffer(data, np.int64, len(_KINDS)).tolist(), _KINDS.items()):
-        out[name] = np.frombuffer(data, kind, size, at)
-        at += out[name].nbytes
+def _packed(parts: list[np.ndarray]) -> bytes:
+    """Arrays of whole numbers from 0 as one compressed value."""
+    parts = [_small(x) for x in parts]
+    head = np.array([(len(x), x.itemsize) for x in parts], np.int64).tobytes()
+    # Bytes of equal weight side by side compress best.
+    return zstandard.compress(head + b"".join(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in parts), 1)
+
+
+def _unpacked(value: bytes, parts: int) -> list[np.ndarray]:
+    data, out, at = zstandard.decompress(value), [], 16 * parts
+    for size, width in np.frombuffer(data, np.int64, 2 * parts).reshape(-1, 2).tolist():
+        planes = np.frombuffer(data, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(f"u{width}").reshape(size))
+        at += size * width
     return out
 
 
-def _block(rows, ids, trains, texts, buckets: int, hot: np.ndarray):
+def _coded(hashes: np.ndarray, common: np.ndarray) -> list[np.ndarray]:
+    """Ascending distinct hashes: steps between the numbers of common ones and between the others."""
+    at = np.searchsorted(common, hashes)
+    known = common[np.minimum(at, len(common) - 1)] == hashes if len(common) else np.zeros(len(hashes), bool)
+    return [np.diff(at[known], prepend=0), np.diff(hashes[~known], prepend=np.uint64(0))]
+
+
+def _decoded(steps: np.ndarray, others: np.ndarray, common: np.ndarray) -> np.ndarray:
+    return np.sort(np.concatenate([common[np.cumsum(steps, dtype=np.int64)], np.cumsum(others, dtype=np.uint64)]))
+
+
+def _block(rows, ids, trains, texts, buckets: int, hot: np.ndarray, common: np.ndarray):
     """The block's entries, one output row per bucket."""
     words, sizes = [], []
     for t in texts:
@@ -140,19 +158,20 @@ def _block(rows, ids, trains, texts, buckets: int, hot: np.ndarray):
         pair_at = np.flatnonzero(entry_word[cut][begins_pair])
         seen, local = np.unique(entry_doc[cut], return_inverse=True)
         contexts, context_of = np.unique(before[at[cut]][begins_pair], return_inverse=True)
-        yield b, _packed([word[at[cut]][begins_word], np.diff(np.append(pair_at, len(begins_pair))), contexts, context_of,
+        yield b, _packed([*_coded(word[at[cut]][begins_word], common), *_coded(contexts, common),
+                          np.diff(np.append(pair_at, len(begins_pair))), context_of,
                           np.diff(np.append(begins_pair, last - first)), local, counts[cut], seen << 1 | trains[seen],
                           rows[mine], sizes[mine]]), [ids[i] for i in mine]
 
 
-def _deal(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+def _deal(docs: DataFrame, buckets: int, hot: np.ndarray, common: np.ndarray) -> DataFrame:
     """``docs(doc_id, text binary, train)`` -> entries by bucket."""
     def run(batches):
         first, held, tokens, n = TaskContext.get().partitionId() << 36, ([], [], []), 0, 0
 
         def flush():
             rows = np.arange(first + n - len(held[0]), first + n)
-            out = list(_block(rows, held[0], np.array(held[1], bool), held[2], buckets, hot))
+            out = list(_block(rows, held[0], np.array(held[1], bool), held[2], buckets, hot, common))
             for lst in held:
                 lst.clear()
             return pa.RecordBatch.from_arrays(
@@ -179,15 +198,19 @@ _ROW = _SEATS + (", doc_rows binary, doc_entries binary, entry_pair binary, entr
                  "own binary, own_tokens binary, own_ids array<long>, tokens long, words long")
 
 
-def _merge(hot: np.ndarray):
+def _merge(hot: np.ndarray, common: np.ndarray):
     """What all blocks sent to a bucket -> one row of merged arrays."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks = [_unpacked(x) for x in pdf["sent"]]
-        sent = {p: [x[p] for x in blocks] for p in _KINDS}
+        blocks = [_unpacked(x, len(_PARTS)) for x in pdf["sent"]]
+        sent = {p: [x[i] for x in blocks] for i, p in enumerate(_PARTS)}
+        for p in ("words", "contexts"):
+            sent[p] = [_decoded(a, b, common) for a, b in zip(sent[p], sent.pop(p + "_"))]
+        for p in ("docs_of", "counts", "docs", "own", "own_tokens"):
+            sent[p] = [x.astype(np.int64 if p.startswith("own") else np.int32) for x in sent[p]]
         words, word_of = np.unique(np.concatenate([np.repeat(w, n) for w, n in zip(sent["words"], sent["pairs_of"])]),
                                    return_inverse=True)
         contexts = np.unique(np.concatenate(sent["contexts"]))
-        context_of = np.concatenate([np.searchsorted(contexts, c)[i] for c, i in zip(sent["contexts"], sent["context_of"])])
+        context_of = np.concatenate([np.searchsorted(contexts, c)[i] if len(c) else np.zeros(0, np.int64) for c, i in zip(sent["contexts"], sent["context_of"])])
         many = max(1, len(contexts))
         keys, pair_of = np.unique(word_of.astype(np.int64) * many + context_of, return_inverse=True)
         shift = np.concatenate([[0], np.cumsum([len(d) for d in sent["docs"]])])
@@ -236,7 +259,7 @@ def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng) -> np.nd
     return tables
 
 
-_REPLY = "bucket int, owner int, turn int, tables binary, guests binary, sums_at array<int>, sums_a array<double>, sums_b array<double>"
+_REPLY = "bucket int, owner int, turn int, slots binary, tables binary, guests binary, sums_at array<int>, sums_a array<double>, sums_b array<double>"
 
 
 class Bucket:
@@ -260,24 +283,27 @@ class Bucket:
         for turn, part in replies.sort_values(["turn", "owner"]).groupby("turn"):
             self.totals[turn] = self._placed(part["tables"])
             if turn == 0:
-                self.guests = self._placed(part["guests"])
+                self.slots = part["slots"].tolist()
+                if "guests" in part:
+                    self.guests = self._placed(part["guests"])
         self._parent(None, 0)
 
     def _placed(self, parts) -> np.ndarray:
         out = np.zeros(len(self.contexts))
-        out[self.by_owner] = np.concatenate([np.frombuffer(zstandard.decompress(x), np.int64) for x in parts])
+        out[self.by_owner] = np.concatenate([_unpacked(x, 1)[0] for x in parts])
         return out
 
     def messages(self, turn: int) -> dict:
-        """What its restaurants' owners are sent: contexts, tables and at first customers."""
+        """What its restaurants' owners are sent: contexts (later their places with the owner), tables
+        and at first customers."""
         tables = np.bincount(self.context, weights=self.tables, minlength=len(self.contexts)).astype(np.int64)
         guests = np.bincount(self.context, weights=self.customers, minlength=len(self.contexts)).astype(np.int64)
         owners, at = np.unique(self.owner[self.by_owner], return_index=True)
         out = {"owner": owners.astype(np.int32).tolist(), "contexts": [], "tables": [], "guests": []}
-        for mine in np.split(self.by_owner, at[1:]) if len(owners) else ():
-            out["contexts"].append(self.contexts[mine].tobytes())
-            out["tables"].append(zstandard.compress(tables[mine].tobytes(), 1))
-            out["guests"].append(zstandard.compress(guests[mine].tobytes(), 1) if turn == 0 else None)
+        for i, mine in enumerate(np.split(self.by_owner, at[1:]) if len(owners) else ()):
+            out["contexts"].append(_packed([np.diff(self.contexts[mine], prepend=np.uint64(0))]) if turn == 0 else self.slots[i])
+            out["tables"].append(_packed([tables[mine]]))
+            out["guests"].append(_packed([guests[mine]]) if turn == 0 else None)
         return out
 
     def _parent(self, totals: dict | None, turn: int) -> None:
@@ -347,16 +373,21 @@ def _swept(shared, turn: int):
 def _owned(turn: int):
     """An owner's restaurants: adds up what the buckets sent and answers each; sums pass through."""
     def run(sent: pd.DataFrame) -> pd.DataFrame:
-        out = sent.drop(columns="contexts").assign(turn=turn)
+        out = sent.rename(columns={"contexts": "slots"}).assign(turn=turn)
         if int(sent["owner"].iloc[0]) < 0:
             return out
-        contexts = [np.frombuffer(x, np.uint64) for x in sent["contexts"]]
-        found, at = np.unique(np.concatenate(contexts), return_inverse=True)
-        ends = np.cumsum([len(x) for x in contexts])[:-1]
+        steps = [_unpacked(x, 1)[0] for x in sent["contexts"]]
+        ends = np.cumsum([len(x) for x in steps])[:-1]
+        at = np.concatenate([np.cumsum(x, dtype=np.uint64 if turn == 0 else np.int64) for x in steps])
+        if turn == 0:
+            at = np.unique(at, return_inverse=True)[1]
+            out["slots"] = [_packed([np.diff(x, prepend=0)]) for x in np.split(at, ends)]
+        else:
+            out["slots"] = None
         for name in ("tables", "guests") if turn == 0 else ("tables",):
-            parts = np.concatenate([np.frombuffer(zstandard.decompress(x), np.int64) for x in sent[name]])
-            total = np.bincount(at, weights=parts, minlength=len(found)).astype(np.int64)[at]
-            out[name] = [zstandard.compress(x.tobytes(), 1) for x in np.split(total, ends)]
+            parts = np.concatenate([_unpacked(x, 1)[0] for x in sent[name]])
+            total = np.bincount(at, weights=parts).astype(np.int64)[at]
+            out[name] = [_packed([x]) for x in np.split(total, ends)]
         return out
     return run
 
@@ -366,7 +397,7 @@ def _exchange(state: DataFrame, replies: DataFrame, sc, plan: dict, history: lis
     a row per hot word comes back."""
     turn = len(history)
     need = state.select(*[c.split()[0] for c in _SEATS.split(", ")])
-    sent = need.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(_swept(sc.broadcast((plan, history)), turn), _MESSAGE)
+    sent = need.groupBy("bucket").cogroup(replies.select("bucket", "owner", "turn", "slots", "tables").groupBy("bucket")).applyInPandas(_swept(sc.broadcast((plan, history)), turn), _MESSAGE)
     new = materialize(sent.groupBy("owner").applyInPandas(_owned(turn), _REPLY), "lm-totals")
     rows = new.where("owner < 0").select(F.explode(F.arrays_zip("sums_at", "sums_a", "sums_b")).alias("s")) \
         .groupBy("s.sums_at").agg(F.sum("s.sums_a").alias("a"), F.sum("s.sums_b").alias("b")).collect()
@@ -390,14 +421,17 @@ def _with_root(totals: dict, plan: dict, turn: int) -> dict:
     return totals
 
 
-def _hot_words(docs: DataFrame, rows: int, buckets: int) -> np.ndarray:
-    """Hashes of words that hold over an eighth of a bucket's share in a sample of documents."""
+def _frequent(docs: DataFrame, rows: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """From a sample of documents: hashes of words that hold over an eighth of a bucket's share, and of the
+    ``COMMON_WORDS`` most frequent.  They set layout and coding, not results."""
     share = min(1.0, HOT_SAMPLE_DOCS / max(1, rows))
     sample = docs.where(draw("hot") < share).select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"[\x20\x09-\x0D]+")).alias("w"))
-    counts = sample.groupBy("w").count()
+    counts = sample.where("w <> ''").groupBy("w").count()
+    found = counts.orderBy(F.desc("count"), "w").limit(max(COMMON_WORDS, 8 * buckets)).toArrow()
     total = counts.agg(F.sum("count")).first()[0] or 0
-    found = counts.where(F.col("count") > total / (8 * buckets)).select("w").collect()
-    return np.array(sorted({_hash(r["w"].encode()) for r in found if r["w"]} | {_hash(_END)}), np.uint64)
+    words, n = [_hash(w.encode()) for w in found.column("w").to_pylist()], found.column("count").to_pylist()
+    hot = {h for h, m in zip(words, n) if m > total / (8 * buckets)} | {_hash(_END)}
+    return np.array(sorted(hot), np.uint64), np.array(sorted({*words[:COMMON_WORDS], _hash(_END), _hash(_START)}), np.uint64)
 
 
 def score(docs: DataFrame, training: Column, sweeps: int = SWEEPS, burn: int = BURN, strength: float = STRENGTH,
@@ -410,9 +444,9 @@ def score(docs: DataFrame, training: Column, sweeps: int = SWEEPS, burn: int = B
                        F.coalesce(training, F.lit(False)).alias("train"))
     size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     buckets = max(12, (size["bytes"] or 0) // 6 // BUCKET_TOKENS)
-    hot = _hot_words(rows, size["n"], buckets)
+    hot, common = _frequent(rows, size["n"], buckets)
     spark, name = docs.sparkSession, f"adlens_lm_{uuid.uuid4().hex[:12]}"
-    merged = _deal(rows, buckets, hot).groupBy("bucket").applyInPandas(_merge(hot), _ROW)
+    merged = _deal(rows, buckets, hot, common).groupBy("bucket").applyInPandas(_merge(hot, common), _ROW)
     try:
         with _batches_of(spark, 500):
             merged.write.bucketBy(min(buckets, MAX_FILES), "bucket").sortBy("bucket").format("parquet") \
@@ -482,7 +516,8 @@ def _document_sums(state: DataFrame, replies: DataFrame, sc, plan: dict, history
             "n_known": np.concatenate([none, known]).astype(np.int64),
             "base_score": np.concatenate([none, base_sum]), "score": np.concatenate([none, log_sum])})
     tasks = max(12, math.isqrt(buckets), buckets // 300)
-    return state.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(
+    need = replies.select("bucket", "owner", "turn", "slots", "tables", "guests")
+    return state.groupBy("bucket").cogroup(need.groupBy("bucket")).applyInPandas(
         run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double").coalesce(tasks)
 
 
