@@ -53,7 +53,7 @@ SWEEPS = 3
 BURN = 1
 BLOCK_TOKENS = 450_000
 BLOCK_DOCS = 1 << 15
-BUCKET_TOKENS = 1_000_000
+BUCKET_TOKENS = 600_000
 HOT_SAMPLE_DOCS = 2_000
 COMMON_WORDS = 1 << 16  # of a sample, sent by number; any other by its hash
 OWNER_BUCKETS = 8  # buckets' worth of contexts an owner adds up
@@ -84,8 +84,8 @@ def _batches_of(spark, rows: int):
 
 # --- dealing -------------------------------------------------------------------------------
 
-_PARTS = ("words", "words_", "contexts", "contexts_", "pairs_of", "context_of", "entries_of", "docs_of", "counts", "docs", "own", "own_tokens")
-_SENT = "bucket int, first long, sent binary, own_ids array<long>"
+_PARTS = ("words", "words_", "contexts", "contexts_", "pairs_of", "context_of", "entries_of", "docs_of", "counts", "docs", "own", "own_tokens", "own_ids", "own_unnamed")
+_SENT = "bucket int, first long, sent binary"
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -110,6 +110,10 @@ def _unpacked(value: bytes, parts: int) -> list[np.ndarray]:
     return out
 
 
+def _column(value: bytes) -> np.ndarray:
+    return _unpacked(value, 1)[0].astype(np.int64)
+
+
 def _coded(hashes: np.ndarray, common: np.ndarray) -> list[np.ndarray]:
     """Ascending distinct hashes: steps between the numbers of common ones and between the others."""
     at = np.searchsorted(common, hashes)
@@ -149,6 +153,8 @@ def _block(rows, ids, trains, texts, buckets: int, hot: np.ndarray, common: np.n
     entry_bucket, entry_doc, entry_word, entry_pair = bucket[at], doc[at], new_word[at], new_pair[at]
     owner = rows % buckets
     by_owner, sizes = np.argsort(owner, kind="stable"), np.array(sizes, np.int64)
+    unnamed = np.array([x is None for x in ids])
+    named = np.array([x or 0 for x in ids], np.int64).view(np.uint64)
     present = np.unique(np.append(entry_bucket, owner))
     edges = np.searchsorted(entry_bucket, [present, present + 1])
     owned = np.searchsorted(owner[by_owner], [present, present + 1])
@@ -161,7 +167,7 @@ def _block(rows, ids, trains, texts, buckets: int, hot: np.ndarray, common: np.n
         yield b, _packed([*_coded(word[at[cut]][begins_word], common), *_coded(contexts, common),
                           np.diff(np.append(pair_at, len(begins_pair))), context_of,
                           np.diff(np.append(begins_pair, last - first)), local, counts[cut], seen << 1 | trains[seen],
-                          rows[mine], sizes[mine]]), [ids[i] for i in mine]
+                          rows[mine], sizes[mine], named[mine], unnamed[mine]])
 
 
 def _deal(docs: DataFrame, buckets: int, hot: np.ndarray, common: np.ndarray) -> DataFrame:
@@ -176,8 +182,7 @@ def _deal(docs: DataFrame, buckets: int, hot: np.ndarray, common: np.ndarray) ->
                 lst.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.int32()), pa.array(np.full(len(out), rows[0])),
-                 pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.list_(pa.int64()))],
-                ["bucket", "first", "sent", "own_ids"])
+                 pa.array([o[1] for o in out], pa.binary())], ["bucket", "first", "sent"])
         for b in batches:
             for doc_id, text, train in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 held[0].append(doc_id)
@@ -195,7 +200,7 @@ def _deal(docs: DataFrame, buckets: int, hot: np.ndarray, common: np.ndarray) ->
 
 _SEATS = "bucket int, word_hot binary, word_pairs binary, contexts binary, pair_context binary, pair_train binary, word_train binary"
 _ROW = _SEATS + (", doc_rows binary, doc_entries binary, entry_pair binary, entry_count binary, "
-                 "own binary, own_tokens binary, own_ids array<long>, tokens long, words long")
+                 "own binary, tokens long, words long")
 
 
 def _merge(hot: np.ndarray, common: np.ndarray):
@@ -205,8 +210,8 @@ def _merge(hot: np.ndarray, common: np.ndarray):
         sent = {p: [x[i] for x in blocks] for i, p in enumerate(_PARTS)}
         for p in ("words", "contexts"):
             sent[p] = [_decoded(a, b, common) for a, b in zip(sent[p], sent.pop(p + "_"))]
-        for p in ("docs_of", "counts", "docs", "own", "own_tokens"):
-            sent[p] = [x.astype(np.int64 if p.startswith("own") else np.int32) for x in sent[p]]
+        for p in ("docs_of", "counts", "docs"):
+            sent[p] = [x.astype(np.int32) for x in sent[p]]
         words, word_of = np.unique(np.concatenate([np.repeat(w, n) for w, n in zip(sent["words"], sent["pairs_of"])]),
                                    return_inverse=True)
         contexts = np.unique(np.concatenate(sent["contexts"]))
@@ -225,18 +230,16 @@ def _merge(hot: np.ndarray, common: np.ndarray):
         order = np.argsort(doc, kind="stable")
         at = np.searchsorted(hot, words) if len(hot) else np.zeros(len(words), np.int64)
         is_hot = (hot[np.minimum(at, len(hot) - 1)] == words) if len(hot) else np.zeros(len(words), bool)
-        own, own_tokens = np.concatenate(sent["own"]), np.concatenate(sent["own_tokens"])
         return pd.DataFrame([{
             "bucket": pdf["bucket"].iloc[0],
-            "word_hot": np.where(is_hot, at, -1).astype(np.int32).tobytes(),
-            "word_pairs": np.bincount(pair_word, minlength=len(words)).astype(np.int32).tobytes(),
-            "contexts": contexts.tobytes(),
-            "pair_context": (keys % many).astype(np.uint32).tobytes(), "pair_train": pair_train.tobytes(),
-            "word_train": word_train.tobytes(), "doc_rows": rows.tobytes(),
-            "doc_entries": np.bincount(doc, minlength=len(rows)).astype(np.int32).tobytes(),
-            "entry_pair": pair[order].tobytes(), "entry_count": count[order].tobytes(),
-            "own": own.tobytes(), "own_tokens": own_tokens.tobytes(),
-            "own_ids": [x for ids in pdf["own_ids"] for x in ids],
+            "word_hot": _packed([np.where(is_hot, at + 1, 0)]),
+            "word_pairs": _packed([np.bincount(pair_word, minlength=len(words))]),
+            "contexts": _packed([np.diff(contexts, prepend=np.uint64(0))]),
+            "pair_context": _packed([keys % many]), "pair_train": _packed([pair_train]),
+            "word_train": _packed([word_train]), "doc_rows": _packed([rows]),
+            "doc_entries": _packed([np.bincount(doc, minlength=len(rows))]),
+            "entry_pair": _packed([pair[order]]), "entry_count": _packed([count[order]]),
+            "own": _packed([np.concatenate(sent[p]) for p in ("own", "own_tokens", "own_ids", "own_unnamed")]),
             "tokens": int(word_train.sum()), "words": int(((word_train > 0) & ~is_hot).sum())}])
     return run
 
@@ -270,11 +273,10 @@ class Bucket:
 
     def __init__(self, row: dict, plan: dict, replies: pd.DataFrame):
         self.n, self.plan = int(row["bucket"]), plan
-        self.hot = np.frombuffer(row["word_hot"], np.int32)
-        self.of = np.repeat(np.arange(len(self.hot)), np.frombuffer(row["word_pairs"], np.int32))
-        self.contexts = np.frombuffer(row["contexts"], np.uint64)
-        self.context = np.frombuffer(row["pair_context"], np.uint32).astype(np.int64)
-        self.customers = np.frombuffer(row["pair_train"], np.int64)
+        self.hot = _column(row["word_hot"]) - 1
+        self.of = np.repeat(np.arange(len(self.hot)), _column(row["word_pairs"]))
+        self.contexts = np.cumsum(_unpacked(row["contexts"], 1)[0], dtype=np.uint64)
+        self.context, self.customers = _column(row["pair_context"]), _column(row["pair_train"])
         self.tables = (self.customers > 0).astype(np.int64)
         self.owner = (self.contexts >> np.uint64(8)) % np.uint64(plan["owners"])
         self.by_owner = np.argsort(self.owner, kind="stable")
@@ -360,7 +362,7 @@ def _swept(shared, turn: int):
                (served[~split] == 1).sum(), (served[~split] == 2).sum()]
         out = bucket.messages(turn)
         n = len(out["owner"])
-        train = np.frombuffer(row["word_train"], np.int64)[split]
+        train = _column(row["word_train"])[split]
         return pd.DataFrame({
             "owner": [*out["owner"], -1 - bucket.n], "bucket": bucket.n, "contexts": [*out["contexts"], None],
             "tables": [*out["tables"], None], "guests": [*out["guests"], None],
@@ -498,21 +500,21 @@ def _document_sums(state: DataFrame, replies: DataFrame, sc, plan: dict, history
             if turn < len(history) - 1:
                 bucket.sweep(totals, turn)
         logs = np.log10(np.mean(kept, axis=0))
-        train = np.frombuffer(row["word_train"], np.int64).copy()
+        train = _column(row["word_train"])
         split = bucket.hot >= 0
         train[split] = history[0]["hot_train"][bucket.hot[split]]
         base = np.log10((train + 0.5) / (plan["tokens"] + 0.5 * (plan["words"] + 1)))
-        sizes = np.frombuffer(row["doc_entries"], np.int32)
-        pair, count = np.frombuffer(row["entry_pair"], np.int32), np.frombuffer(row["entry_count"], np.int32)
-        of = np.repeat(np.arange(len(sizes)), sizes)
+        sizes, count, pair = _column(row["doc_entries"]), _unpacked(row["entry_count"], 1)[0], _unpacked(row["entry_pair"], 1)[0]
+        of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         word = bucket.of[pair]
         known, base_sum, log_sum = (np.bincount(of, weights=count * v, minlength=len(sizes)) for v in (train[word] > 0, base[word], logs[pair]))
-        own, none = np.frombuffer(row["own"], np.int64), np.zeros(len(row["own"]) // 8)
-        docs = np.frombuffer(row["doc_rows"], np.int64)
+        own, tokens, ids, unnamed = _unpacked(row["own"], 4)
+        none, rest = np.zeros(len(own)), np.zeros(len(sizes), np.int64)
+        absent = np.ones(len(sizes), bool)
         return pd.DataFrame({
-            "row": np.concatenate([own, docs]),
-            "doc_id": pd.array([*row["own_ids"], *[None] * len(docs)], "Int64"),
-            "n_tokens": pd.array([*np.frombuffer(row["own_tokens"], np.int64).tolist(), *[None] * len(docs)], "Int64"),
+            "row": np.concatenate([own.astype(np.int64), _column(row["doc_rows"])]),
+            "doc_id": pd.arrays.IntegerArray(np.concatenate([ids.astype(np.uint64).view(np.int64), rest]), np.concatenate([unnamed > 0, absent])),
+            "n_tokens": pd.arrays.IntegerArray(np.concatenate([tokens.astype(np.int64), rest]), np.concatenate([unnamed > 1, absent])),
             "n_known": np.concatenate([none, known]).astype(np.int64),
             "base_score": np.concatenate([none, base_sum]), "score": np.concatenate([none, log_sum])})
     tasks = max(12, math.isqrt(buckets), buckets // 300)

@@ -338,6 +338,6 @@ def test_language_model_score_against_plain_python(spark):
 def test_every_context_has_a_restaurant_of_its_own(spark):
     # 30,000 contexts, each always followed by the same word: known pairs stay sure at any number of contexts.
     rows = [(i, " ".join(f"w{j} x{j} w{j} x{j}" for j in range(100 * i, 100 * i + 100))) for i in range(300)]
-    docs = spark.createDataFrame(rows + [(1000, "w5 x5"), (1001, "w5 x6")], "doc_id long, text string")
+    docs = spark.createDataFrame(rows + [(1000, "w5 x5"), (1001, "w5 x6"), (-(2 ** 62) - 1, "w7 x7"), (None, "w8 x8")], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in lm.score(docs, F.expr("doc_id < 1000")).collect()}
-    assert got[1000] > got[1001] + 2
+    assert got[1000] > got[1001] + 2 and -(2 ** 62) - 1 in got and None in got
