@@ -58,6 +58,7 @@ HOT_SAMPLE_DOCS = 2_000
 COMMON_WORDS = 1 << 16  # of a sample, sent by number; any other by its hash
 OWNER_BUCKETS = 8  # buckets' worth of contexts an owner adds up
 MAX_FILES = 50_000
+HELD_DOCS = 1 << 20
 _END, _START = b"\n", b"\r"  # no word holds these
 _SEED = 11
 
@@ -484,14 +485,14 @@ def _sampled(state: DataFrame, sc, plan: dict, hot: int, sweeps: int) -> tuple[d
 
 
 def _document_sums(state: DataFrame, replies: DataFrame, sc, plan: dict, history: list[dict], burn: int, buckets: int) -> DataFrame:
-    """Per bucket and document: sums over the bucket's words; and every document
+    """Per task and document: sums over the words of the task's buckets; and every document
     once with its id.  Tasks take several buckets each, about the root of their number, so
-    that Spark's partial sums come back few times; beyond 300 tasks that is bounded by a document's distinct words."""
+    that a document comes back few times; beyond 300 tasks that is bounded by its distinct words."""
     shared = sc.broadcast((plan, history))
 
     def run(state: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(state):
-            return pd.DataFrame(columns=_SUMS)
+            return pd.DataFrame(columns=["sums", "own"])
         (plan, history), row = shared.value, state.iloc[0]
         bucket, kept = Bucket(row, plan, replies), []
         for turn, totals in enumerate(history):
@@ -508,19 +509,44 @@ def _document_sums(state: DataFrame, replies: DataFrame, sc, plan: dict, history
         of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         word = bucket.of[pair]
         known, base_sum, log_sum = (np.bincount(of, weights=count * v, minlength=len(sizes)) for v in (train[word] > 0, base[word], logs[pair]))
-        own, tokens, ids, unnamed = _unpacked(row["own"], 4)
-        none, rest = np.zeros(len(own)), np.zeros(len(sizes), np.int64)
-        absent = np.ones(len(sizes), bool)
-        return pd.DataFrame({
-            "row": np.concatenate([own.astype(np.int64), _column(row["doc_rows"])]),
-            "doc_id": pd.arrays.IntegerArray(np.concatenate([ids.astype(np.uint64).view(np.int64), rest]), np.concatenate([unnamed > 0, absent])),
-            "n_tokens": pd.arrays.IntegerArray(np.concatenate([tokens.astype(np.int64), rest]), np.concatenate([unnamed > 1, absent])),
-            "n_known": np.concatenate([none, known]).astype(np.int64),
-            "base_score": np.concatenate([none, base_sum]), "score": np.concatenate([none, log_sum])})
+        return pd.DataFrame({"sums": [_packed([_column(row["doc_rows"]), known.astype(np.int64), base_sum.view(np.uint64),
+                                               log_sum.view(np.uint64)])], "own": [row["own"]]})
+
+    def added(batches):
+        """A task's buckets together; given up whenever ``HELD_DOCS`` documents are held."""
+        held = np.zeros(0, np.int64), np.zeros((0, 3))
+        for b in batches:
+            for sums, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                docs, known, base, logs = _unpacked(sums, 4)
+                wide = [x.astype(np.uint64).view(np.float64) for x in (base, logs)]
+                held = _added(held, (docs.astype(np.int64), np.stack([known, *wide], axis=1)))
+                rows, tokens, ids, unnamed = _unpacked(own, 4)
+                zero = np.zeros(len(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows.astype(np.int64)), pa.array(ids.astype(np.uint64).view(np.int64), mask=unnamed > 0),
+                     pa.array(tokens.astype(np.int64)), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], _SUMS)
+                if len(held[0]) >= HELD_DOCS:
+                    yield _given(held)
+                    held = np.zeros(0, np.int64), np.zeros((0, 3))
+        yield _given(held)
     tasks = max(12, math.isqrt(buckets), buckets // 300)
     need = replies.select("bucket", "owner", "turn", "slots", "tables", "guests")
-    return state.groupBy("bucket").cogroup(need.groupBy("bucket")).applyInPandas(
-        run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double").coalesce(tasks)
+    return state.groupBy("bucket").cogroup(need.groupBy("bucket")).applyInPandas(run, "sums binary, own binary") \
+        .coalesce(tasks).mapInArrow(added, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+
+def _added(a, b):
+    """Sums by document of two lists of (documents, sums)."""
+    docs, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    both = np.concatenate([a[1], b[1]])
+    return docs, np.stack([np.bincount(at, weights=x, minlength=len(docs)) for x in both.T], axis=1)
+
+
+def _given(held) -> pa.RecordBatch:
+    docs, sums = held
+    none = pa.nulls(len(docs), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(docs), none, none, pa.array(sums[:, 0].astype(np.int64)),
+                                       pa.array(sums[:, 1]), pa.array(sums[:, 2])], _SUMS)
 
 
 _SUMS = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"]
