@@ -539,7 +539,7 @@ def _added(a, b):
     """Sums by document of two lists of (documents, sums)."""
     docs, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
     both = np.concatenate([a[1], b[1]])
-    return docs, np.stack([np.bincount(at, weights=x, minlength=len(docs)) for x in both.T], axis=1)
+    return docs, np.stack([np.bincount(at, weights=x, minlength=len(docs)) for x in both.T], axis=1).astype(float)
 
 
 def _given(held) -> pa.RecordBatch:
