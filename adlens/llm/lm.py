@@ -457,9 +457,10 @@ def score(docs: DataFrame, training: Column, sweeps: int = SWEEPS, burn: int = B
         state = spark.table(name)
         plan = {"d0": 0.5, "d1": 0.5, "words": 0, "pull0": 1.0, "strength": strength, "discount": discount, "owners": max(12, buckets // OWNER_BUCKETS)}
         plan, history, replies = _sampled(state, sc, plan, len(hot), sweeps)
-        docs_ = materialize(_document_sums(state, replies, sc, plan, history, burn, buckets).groupBy("row").agg(
-            F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-            F.sum("base_score").alias("base_score"), F.sum("score").alias("score")), "lm-scores")
+        with _batches_of(spark, 1):
+            docs_ = materialize(_document_sums(state, replies, sc, plan, history, burn, buckets).groupBy("row").agg(
+                F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+                F.sum("base_score").alias("base_score"), F.sum("score").alias("score")), "lm-scores")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     return docs_.select("doc_id", "n_tokens", "n_known", F.lit(plan["tokens"]).cast("long").alias("train_tokens"),
@@ -490,37 +491,13 @@ def _document_sums(state: DataFrame, replies: DataFrame, sc, plan: dict, history
     that a document comes back few times; beyond 300 tasks that is bounded by its distinct words."""
     shared = sc.broadcast((plan, history))
 
-    def run(state: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        if not len(state):
-            return pd.DataFrame(columns=["sums", "own"])
-        (plan, history), row = shared.value, state.iloc[0]
-        bucket, kept = Bucket(row, plan, replies), []
-        for turn, totals in enumerate(history):
-            if turn > burn or turn == len(history) - 1:
-                kept.append(bucket.probability(totals, turn))
-            if turn < len(history) - 1:
-                bucket.sweep(totals, turn)
-        logs = np.log10(np.mean(kept, axis=0))
-        train = _column(row["word_train"])
-        split = bucket.hot >= 0
-        train[split] = history[0]["hot_train"][bucket.hot[split]]
-        base = np.log10((train + 0.5) / (plan["tokens"] + 0.5 * (plan["words"] + 1)))
-        sizes, count, pair = _column(row["doc_entries"]), _unpacked(row["entry_count"], 1)[0], _unpacked(row["entry_pair"], 1)[0]
-        of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        word = bucket.of[pair]
-        known, base_sum, log_sum = (np.bincount(of, weights=count * v, minlength=len(sizes)) for v in (train[word] > 0, base[word], logs[pair]))
-        return pd.DataFrame({"sums": [_packed([_column(row["doc_rows"]), known.astype(np.int64), base_sum.view(np.uint64),
-                                               log_sum.view(np.uint64)])], "own": [row["own"]]})
-
-    def added(batches):
-        """A task's buckets together; given up whenever ``HELD_DOCS`` documents are held."""
+    def run(batches):
+        """A task's buckets one after another, added up; given up whenever ``HELD_DOCS`` documents are held."""
         held = np.zeros(0, np.int64), np.zeros((0, 3))
         for b in batches:
-            for sums, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                docs, known, base, logs = _unpacked(sums, 4)
-                wide = [x.astype(np.uint64).view(np.float64) for x in (base, logs)]
-                held = _added(held, (docs.astype(np.int64), np.stack([known, *wide], axis=1)))
-                rows, tokens, ids, unnamed = _unpacked(own, 4)
+            for row in b.to_pylist():
+                held = _added(held, _bucket_sums(row, *shared.value, burn))
+                rows, tokens, ids, unnamed = _unpacked(row["own"], 4)
                 zero = np.zeros(len(rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows.astype(np.int64)), pa.array(ids.astype(np.uint64).view(np.int64), mask=unnamed > 0),
@@ -530,9 +507,31 @@ def _document_sums(state: DataFrame, replies: DataFrame, sc, plan: dict, history
                     held = np.zeros(0, np.int64), np.zeros((0, 3))
         yield _given(held)
     tasks = max(12, math.isqrt(buckets), buckets // 300)
-    need = replies.select("bucket", "owner", "turn", "slots", "tables", "guests")
-    return state.groupBy("bucket").cogroup(need.groupBy("bucket")).applyInPandas(run, "sums binary, own binary") \
-        .coalesce(tasks).mapInArrow(added, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double")
+    # Dealt as the table's buckets are, so that only replies move.
+    heard = replies.repartition(min(buckets, MAX_FILES), "bucket").groupBy("bucket").agg(
+        F.collect_list(F.struct(*_HEARD)).alias("replies"))
+    return state.join(heard.hint("merge"), "bucket", "left").coalesce(tasks) \
+        .mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+
+def _bucket_sums(row: dict, plan: dict, history: list[dict], burn: int) -> tuple[np.ndarray, np.ndarray]:
+    """The documents a bucket's words occur in, and their known tokens, base score and score there."""
+    bucket, kept = Bucket(row, plan, pd.DataFrame(row["replies"] or [], columns=_HEARD)), []
+    for turn, totals in enumerate(history):
+        if turn > burn or turn == len(history) - 1:
+            kept.append(bucket.probability(totals, turn))
+        if turn < len(history) - 1:
+            bucket.sweep(totals, turn)
+    logs = np.log10(np.mean(kept, axis=0))
+    train = _column(row["word_train"])
+    split = bucket.hot >= 0
+    train[split] = history[0]["hot_train"][bucket.hot[split]]
+    base = np.log10((train + 0.5) / (plan["tokens"] + 0.5 * (plan["words"] + 1)))
+    sizes, count, pair = _column(row["doc_entries"]), _unpacked(row["entry_count"], 1)[0], _unpacked(row["entry_pair"], 1)[0]
+    of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    by_pair = train[bucket.of] > 0, base[bucket.of], logs
+    sums = [np.bincount(of, weights=count * x[pair], minlength=len(sizes)) for x in by_pair]
+    return _column(row["doc_rows"]), np.stack(sums, axis=1)
 
 
 def _added(a, b):
@@ -550,6 +549,7 @@ def _given(held) -> pa.RecordBatch:
 
 
 _SUMS = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"]
+_HEARD = ["owner", "turn", "slots", "tables", "guests"]
 
 
 def perplexity(scored: DataFrame, *groups: str) -> DataFrame:
