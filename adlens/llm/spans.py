@@ -7,8 +7,8 @@ before the one of them with the least hash (the last of equal ones): a piece of
 begins there.  So a border follows from the words around it, never from where the border before
 lies, and no piece is longer than ``MAX_WORDS``.  Words are split by ASCII white space; in scripts
 written without spaces every character, with the marks after it, is a word.  From every piece
-forwards, and from every piece backwards, the shortest run is hashed (XXH64 of its pieces' XXH64,
-A-Z lower-cased) that touches at least ``sentences`` sentences and has ``words`` words, or has half
+forwards, and from every piece backwards, the shortest run is hashed (96 bits of XXH3 over its pieces'
+XXH64, A-Z lower-cased, so that texts of 10^13 runs have no chance repeats) that touches at least ``sentences`` sentences and has ``words`` words, or has half
 as many words again.
 
 The borders of two copies of a passage agree from the first one in its words 2 to
@@ -18,8 +18,8 @@ but for at most ``MAX_WORDS`` words at either end where it starts or ends inside
 repeats of short phrases are not.
 
 The first place of a run is the one in the smallest document, and in it the first.  Later
-places in the same document are known in the row; for the others every document sends a
-run once to a global table of runs, which keeps the smallest document (a partial aggregate, so a
+places in the same document are known in the row; for the others every document writes a
+run once to a global table of runs, of which an aggregate keeps the smallest document (a partial aggregate, so a
 passage shared by a third of all documents is one row per task) and is joined back (a
 sort-merge join whose hot keys AQE splits).  Pieces covered by a non-first run are removed.
 
@@ -63,19 +63,26 @@ def _kinds() -> np.ndarray:
 
 
 _KINDS = _kinds()
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_FACTOR = 0x9E3779B97F4A7C15
+_BLOCK = 1 << 16  # bytes of a text whose words are found and hashed at a time
 
 
 def _heads(a: np.ndarray, space: np.ndarray) -> np.ndarray:
     """True at the first byte of every word."""
-    solid = ~space
-    heads = solid.copy()
+    heads = ~space
     heads[1:] &= space[:-1]
-    lead = np.flatnonzero(a >= 0xE0)
-    if not len(lead):
-        return heads
-    at = np.flatnonzero((a & 0xC0) != 0x80)  # of code points
-    wide = np.append(a, np.zeros(3, np.uint8)).astype(np.int32)
+    for low in range(0, len(a), _BLOCK):
+        if (a[low:low + _BLOCK] >= 0xE0).any() or (a[max(0, low - 4):low] >= 0xE0).any():
+            at = _unspaced(a, low)
+            heads[at[~space[at]]] = True
+    return heads
+
+
+def _unspaced(a: np.ndarray, low: int) -> np.ndarray:
+    """Where words begin in the block from ``low`` on, by scripts without spaces."""
+    start = max(0, low - 4)  # a code point before the block's first is in it
+    at = np.flatnonzero((a[start:low + _BLOCK] & 0xC0) != 0x80)
+    wide = np.append(a[start:low + _BLOCK + 3], np.zeros(3, np.uint8)).astype(np.int32)
     b = wide[at]
     point = (b & 15) << 12 | (wide[at + 1] & 63) << 6 | (wide[at + 2] & 63)
     kind = np.where((b >= 0xE0) & (b < 0xF0), _KINDS[point & 0xFFFF], 0)
@@ -83,39 +90,54 @@ def _heads(a: np.ndarray, space: np.ndarray) -> np.ndarray:
     kind[(b == 0xF0) & ((wide[at + 1] & 0x30) >= 0x20)] = 1
     first = kind == 1
     first[1:] |= (kind[1:] == 0) & (kind[:-1] > 0)  # a word of letters right after such characters
-    heads[at[first & solid[at]]] = True
-    return heads
+    found = at[first] + start
+    return found[found >= low]
 
 
-def _powers(n: int, known=[np.ones(1, np.uint64)]) -> np.ndarray:
-    """The first ``n`` powers of ``_FACTOR``, kept for the next text."""
-    if len(known[0]) < n:
-        more = np.full(max(n, 2 * len(known[0])), _FACTOR, np.uint64)
-        more[0] = 1
-        known[0] = np.multiply.accumulate(more)
-    return known[0][:n]
+def _powers_of(factor: int) -> np.ndarray:
+    """The powers 0 to ``_BLOCK`` of a factor."""
+    powers = np.full(_BLOCK + 1, factor, np.uint64)
+    powers[0] = 1
+    return np.multiply.accumulate(powers)
 
 
-def _word_hashes(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash, never 0, of every word's bytes, wherever the word is."""
+_POWERS, _INVERSES = _powers_of(_FACTOR), _powers_of(pow(_FACTOR, -1, 1 << 64))
+
+
+def _sums(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of at most ``_BLOCK`` bytes: every word's bytes weighed by their distance from its end."""
     n = len(lower)
-    powers = _powers(n + 1)
-    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * powers[:0:-1])])
-    # A byte at j weighs factor ** (n - j); a word is brought to the weights of a text's last bytes.
-    h = (upto[ends] - upto[starts]) * _inverses(n + 1)[n - ends]
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * _POWERS[n:0:-1])])
+    # A byte at j weighs factor ** (n - j); a word is brought to the weights of the block's last bytes.
+    return (upto[ends] - upto[starts]) * _INVERSES[n - ends]
+
+
+def _long_sum(lower: np.ndarray) -> int:
+    """``_sums`` of one word of any length."""
+    h = 0
+    for low in range(0, len(lower), _BLOCK):
+        part = lower[low:low + _BLOCK]
+        h = h * int(_POWERS[len(part)]) + int(_sums(part, np.zeros(1, int), np.array([len(part)]))[0])
+    return h & (1 << 64) - 1
+
+
+def _word_hashes(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash, never 0, of every word's bytes, wherever the word is; in blocks of whole words."""
+    h, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        low = starts[at]
+        after = int(np.searchsorted(ends, low + _BLOCK, "right"))
+        if after > at:
+            h[at:after] = _sums(lower[low:ends[after - 1]], starts[at:after] - low, ends[at:after] - low)
+        else:
+            after = at + 1
+            h[at] = _long_sum(lower[low:ends[at]])
+        at = after
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return (h ^ h >> np.uint64(32)) | np.uint64(1)
 
 
-def _inverses(n: int, known=[np.ones(1, np.uint64)]) -> np.ndarray:
-    if len(known[0]) < n:
-        more = np.full(max(n, 2 * len(known[0])), pow(int(_FACTOR), -1, 1 << 64), np.uint64)
-        more[0] = 1
-        known[0] = np.multiply.accumulate(more)
-    return known[0][:n]
-
-
 class Sentences:
     """A UTF-8 text's sentences, long ones in pieces: ``begin`` (byte offset of each one's first
     word), ``end`` (after its last word), ``words`` (their number) and ``new`` (false for a
@@ -149,12 +171,12 @@ class Sentences:
         self.begin, self.end, self.words, self.new = starts[heads], ends[after - 1], after - heads, new[heads]
 
     def runs(self, text: bytes, least: int, words: int):
-        """``(hashes, first pieces, pieces after the last)`` of the shortest runs
-        that start or end at any piece, in text order."""
+        """``(hashes, checks, first pieces, pieces after the last)`` of the shortest runs
+        that start or end at any piece, in text order: 64 and 32 bits of one hash."""
         n = len(self.words)
         total = np.concatenate([[0], np.cumsum(self.words)])
         if total[-1] < words:
-            return _EMPTY, _EMPTY, _EMPTY
+            return _EMPTY, _EMPTY.astype(np.int32), _EMPTY, _EMPTY
         at, many = np.arange(n), words * 3 // 2
         of = np.cumsum(self.new) - 1  # sentence of every piece
         ends = np.maximum(np.searchsorted(total, total[:-1] + words, "left"), np.searchsorted(of, of + least - 1, "left") + 1)
@@ -167,9 +189,9 @@ class Sentences:
         lower = text.lower()
         digest = xxhash.xxh64_digest
         digests = b"".join([digest(lower[x:y]) for x, y in zip(self.begin.tolist(), self.end.tolist())])
-        whole = xxhash.xxh64_intdigest
-        hashes = [whole(digests[x:y]) for x, y in zip((8 * first).tolist(), (8 * after).tolist())]
-        return np.array(hashes, np.uint64).view(np.int64), first, after
+        whole = xxhash.xxh3_128_digest
+        both = b"".join([whole(digests[x:y]) for x, y in zip((8 * first).tolist(), (8 * after).tolist())])
+        return np.frombuffer(both, np.int64)[::2].copy(), np.frombuffer(both, np.int32)[2::4].copy(), first, after
 
     def without(self, text: bytes, gone: np.ndarray) -> bytes:
         """The text without the marked sentences, each with the white space after it."""
@@ -196,32 +218,41 @@ def _marked(docs: DataFrame, doc: str, mark: str) -> DataFrame:
 
 
 def _run_table(docs: DataFrame, least: int, words: int) -> DataFrame:
-    """``docs(doc, mark, text)`` -> ``(hash, doc, mark, place)``: every run once per row,
-    ``place`` = start and end in one long."""
+    """``docs(doc, mark, text)`` -> ``(hash, check, doc, mark, place)``: every run once per row,
+    ``place`` = start and end in one long.  Rows without a hash tell of a row itself: places of runs
+    it had before, and the number of its pieces as ``-1 - pieces``."""
     def run(batches):
         for b in batches:
-            found = [[], [], [], []]
+            found, empty = [], []
             for doc, mark, text in zip(*(c.to_pylist() for c in b.columns)):
                 if text:
-                    hashes, first, after = Sentences(text).runs(text, least, words)
+                    cut = Sentences(text)
+                    hashes, checks, first, after = cut.runs(text, least, words)
                     new = _first_places(hashes)
-                    found[0].append(hashes[new])
-                    found[1].append(np.full(int(new.sum()), doc, np.int64))
-                    found[2].append(np.full(int(new.sum()), mark, np.int64))
-                    found[3].append((first << 32 | after)[new])
-            if found[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["hash", "doc", "mark", "place"])
-    return docs.mapInArrow(run, "hash long, doc long, mark long, place long")
+                    place = first << 32 | after
+                    again = np.append(place[~new], -1 - len(cut.words))
+                    n = len(place) - len(again) + 1
+                    found.append((np.append(hashes[new], np.zeros(len(again), np.int64)),
+                                  np.append(checks[new], np.zeros(len(again), np.int32)),
+                                  np.full(n + len(again), doc, np.int64), np.full(n + len(again), mark, np.int64),
+                                  np.append(place[new], again)))
+                    empty.append(np.arange(n + len(again)) >= n)
+            if found:
+                hashes, *others = (np.concatenate(c) for c in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes, mask=np.concatenate(empty)), *map(pa.array, others)],
+                                                 ["hash", "check", "doc", "mark", "place"])
+    return docs.mapInArrow(run, "hash long, check int, doc long, mark long, place long")
 
 
 def _first_documents(table: DataFrame, several: bool) -> DataFrame:
-    """``(hash, first, first_mark)`` of the runs that more than one row has.  ``several``: a
+    """``(hash, check, first, first_mark)`` of the runs that more than one row has.  ``several``: a
     doc can have several marks, of which the least counts."""
-    each = table.groupBy("hash", "doc").agg(F.min("mark").alias("mark"), F.count("*").alias("n")) if several \
-        else table.select("hash", "doc", "mark", F.lit(1).cast("long").alias("n"))
+    runs = table.where("hash is not null")
+    each = runs.groupBy("hash", "check", "doc").agg(F.min("mark").alias("mark"), F.count("*").alias("n")) if several \
+        else runs.select("hash", "check", "doc", "mark", F.lit(1).cast("long").alias("n"))
     # One mark a doc is left here, so the least doc's is certain; all of it aggregates by hash.
-    return each.groupBy("hash").agg(F.min("doc").alias("first"), F.min_by("mark", "doc").alias("first_mark"),
-                                    F.sum("n").alias("n")).where("n > 1").drop("n")
+    return each.groupBy("hash", "check").agg(F.min("doc").alias("first"), F.min_by("mark", "doc").alias("first_mark"),
+                                             F.sum("n").alias("n")).where("n > 1").drop("n")
 
 
 def dedup(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
@@ -230,12 +261,13 @@ def dedup(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFr
     they are; every row stays."""
     names = _free(docs.columns, "_doc", "_mark", "_places")
     keyed = _marked(docs, names[0], names[1])
-    table = _run_table(keyed.select(F.col(names[0]).alias("doc"), F.col(names[1]).alias("mark"),
-                                    F.col("text").cast("binary").alias("text")), least, words)
+    table = materialize(_run_table(keyed.select(F.col(names[0]).alias("doc"), F.col(names[1]).alias("mark"),
+                                                F.col("text").cast("binary").alias("text")), least, words), "runs")
     several = bool(keyed.groupBy(names[0]).count().where("count > 1").take(1))
     first = materialize(_first_documents(table, several), "repeated-runs")
     # Rows equal in doc and mark send equal places: a set.
-    repeats = table.join(first, "hash").where("doc > first or doc = first and mark > first_mark") \
+    repeats = table.join(first, ["hash", "check"]).where("doc > first or doc = first and mark > first_mark") \
+        .select("doc", "mark", "place").unionByName(table.where("hash is null").select("doc", "mark", "place")) \
         .groupBy("doc", "mark").agg(F.collect_set("place").alias("places"))
     joined = keyed.join(materialize(repeats.toDF(*names), "repeated-places"), names[:2], "left") \
         .select(*docs.columns, names[2])
@@ -247,7 +279,7 @@ def dedup(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFr
         for b in batches:
             texts, counts, removed = [], [], []
             for text, places in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(b.num_columns - 1)):
-                text, n, gone = _clean(text, places.values, least, words)
+                text, n, gone = _clean(text, places.values)
                 texts.append(text)
                 counts.append(n)
                 removed.append(gone)
@@ -258,22 +290,19 @@ def dedup(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFr
     return joined.mapInArrow(cut, schema)
 
 
-def _clean(text: bytes | None, places, least: int, words: int):
-    if not text:
+def _clean(text: bytes | None, places):
+    """The text without the pieces in ``places``, its pieces and those that went."""
+    if not text or places is None:
         return text, 0, 0
-    found = Sentences(text)
-    gone = np.zeros(len(found.words) + 1, np.int64)
-    hashes, first, after = found.runs(text, least, words)
-    again = ~_first_places(hashes)
-    if places is not None:
-        marked = places.to_numpy(zero_copy_only=False)
-        first, after = np.append(first[again], marked >> 32), np.append(after[again], marked & 0xFFFFFFFF)
-    else:
-        first, after = first[again], after[again]
-    np.add.at(gone, first, 1)
-    np.add.at(gone, np.minimum(after, len(found.words)), -1)
+    marked = places.to_numpy(zero_copy_only=False)
+    pieces, marked = -1 - int(marked.min()), marked[marked >= 0]
+    if not len(marked):
+        return text, pieces, 0
+    gone = np.zeros(pieces + 1, np.int64)
+    np.add.at(gone, marked >> 32, 1)
+    np.add.at(gone, marked & 0xFFFFFFFF, -1)
     gone = np.cumsum(gone)[:-1] > 0
-    return (found.without(text, gone) if gone.any() else text), len(gone), int(gone.sum())
+    return Sentences(text).without(text, gone), pieces, int(gone.sum())
 
 
 def _free(taken: list[str], *names: str) -> list[str]:
