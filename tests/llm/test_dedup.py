@@ -239,3 +239,83 @@ def test_queries_return_their_contract(spark):
     r = QUERIES["op7_simhash"](spark, "/root/testdata/sf0.001")
     assert r.columns == ["doc_id", "fingerprint", "component_id"] and r.filter(F.length("fingerprint") == 16).count() == 200
     assert QUERIES["op1_substring_dedup"](spark, "/root/testdata/sf0.001").count() == 200
+
+
+def plain_pieces(text):
+    """Pieces of an ASCII text by the stated rules, word by word: (words, begins a sentence)."""
+    def value(w):
+        h = 0
+        for b in w.lower().encode():
+            h = h * 0x9E3779B97F4A7C15 + (b + 1) * 0x9E3779B97F4A7C15
+        h &= (1 << 64) - 1
+        h ^= h >> 29
+        h = h * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+        return (h ^ h >> 32) | 1
+    said, new = [], []
+    for line in text.split("\n"):
+        for i, w in enumerate(line.split()):
+            new.append(i == 0 or w[0].isupper() or said[-1][-1] in ".!?")
+            said.append(w)
+    values, cut = [0 if n else value(w) for w, n in zip(said, new)], list(new)
+    for a in range(len(said) - spans.MAX_WORDS + 1):
+        window = values[a:a + spans.MAX_WORDS]
+        cut[a + max(i for i, v in enumerate(window) if v == min(window))] = True
+    heads = [i for i, c in enumerate(cut) if c]
+    return [(said[a:b], new[a]) for a, b in zip(heads, [*heads[1:], len(said)])]
+
+
+def plain_removed(rows, least, need):
+    """Pieces removed from every text, by comparing the words of runs themselves."""
+    places, removed = {}, {}
+    for i, text in sorted(rows):
+        pieces = plain_pieces(text)
+        removed[i] = (len(pieces), set())
+
+        def enough(a, b):
+            size = sum(len(p) for p, _ in pieces[a:b])
+            touched = 1 + sum(new for _, new in pieces[a + 1:b])
+            return size >= need and touched >= least or size >= need * 3 // 2
+        ends = range(1, len(pieces) + 1)
+        runs = {(a, next(b for b in ends if b > a and enough(a, b))) for a in range(len(pieces)) if enough(a, len(pieces))}
+        runs |= {(max(a for a in range(b) if enough(a, b)), b) for b in ends if enough(0, b)}
+        for a, b in sorted(runs):
+            places.setdefault(tuple(" ".join(p).lower() for p, _ in pieces[a:b]), []).append((i, a, b))
+    for found in places.values():
+        for i, a, b in found[1:]:
+            removed[i][1].update(range(a, b))
+    return {i: (n, len(gone)) for i, (n, gone) in removed.items()}
+
+
+def test_removed_pieces_equal_plain_python(spark):
+    rng = random.Random(12)
+    shared = [words(n, rng.randrange(5, 70)) for n in range(8)] + [PASSAGE]
+    rows = []
+    for i in range(40):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            parts += [words(1000 * i + len(parts), rng.randrange(0, 20)), rng.choice(shared), rng.choice(["", ".", "!\n", " Then", "\n"])]
+        rows.append((i, " ".join(parts)))
+    got = {r["doc_id"]: (r["n_sentences"], r["n_removed"]) for r in spans.dedup(docs(spark, rows)).collect()}
+    assert got == plain_removed(rows, spans.SENTENCES, spans.WORDS)
+    assert sum(gone for _, gone in got.values()) > 100
+
+
+def test_blocks_of_a_text_change_nothing(monkeypatch):
+    rng = random.Random(6)
+    text = " ".join(rng.choice(["ab", "x" * 500, "Été", "日本語のab文", "\n", "க்க", "end.", "𠀀𠀁z"]) for _ in range(400)).encode()
+    whole = spans.Sentences(text)
+    for block in (64, 65, 67, 1000):
+        monkeypatch.setattr(spans, "_BLOCK", block)
+        cut = spans.Sentences(text)
+        for name in ("begin", "end", "words", "new"):
+            assert (getattr(cut, name) == getattr(whole, name)).all()
+
+
+def test_memory_of_a_very_long_text():
+    import tracemalloc
+    text = b" ".join(b"w%d" % (n % 1000) for n in range(2_000_000))
+    tracemalloc.start()
+    spans.Sentences(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * len(text), peak / len(text)
