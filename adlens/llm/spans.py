@@ -245,12 +245,13 @@ def _run_table(docs: DataFrame, least: int, words: int) -> DataFrame:
 
 
 def _first_documents(table: DataFrame, several: bool) -> DataFrame:
-    """``(hash, check, first, first_mark)`` of the runs that more than one row has.  ``several``: a
-    doc can have several marks, of which the least counts."""
+    """``(hash, check, first)`` of the runs that more than one row has; where a doc can have
+    ``several`` marks, ``first_mark``, its least, too."""
     runs = table.where("hash is not null")
-    each = runs.groupBy("hash", "check", "doc").agg(F.min("mark").alias("mark"), F.count("*").alias("n")) if several \
-        else runs.select("hash", "check", "doc", "mark", F.lit(1).cast("long").alias("n"))
+    if not several:
+        return runs.groupBy("hash", "check").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # One mark a doc is left here, so the least doc's is certain; all of it aggregates by hash.
+    each = runs.groupBy("hash", "check", "doc").agg(F.min("mark").alias("mark"), F.count("*").alias("n"))
     return each.groupBy("hash", "check").agg(F.min("doc").alias("first"), F.min_by("mark", "doc").alias("first_mark"),
                                              F.sum("n").alias("n")).where("n > 1").drop("n")
 
@@ -266,10 +267,13 @@ def dedup(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFr
     several = bool(keyed.groupBy(names[0]).count().where("count > 1").take(1))
     first = materialize(_first_documents(table, several), "repeated-runs")
     # Rows equal in doc and mark send equal places: a set.
-    repeats = table.join(first, ["hash", "check"]).where("doc > first or doc = first and mark > first_mark") \
-        .select("doc", "mark", "place").unionByName(table.where("hash is null").select("doc", "mark", "place")) \
-        .groupBy("doc", "mark").agg(F.collect_set("place").alias("places"))
-    joined = keyed.join(materialize(repeats.toDF(*names), "repeated-places"), names[:2], "left") \
+    # Where every doc is one row its mark needs not travel.
+    known, later = (["doc", "mark"], "doc > first or doc = first and mark > first_mark") if several else (["doc"], "doc > first")
+    repeats = table.select("hash", "check", *known, "place").join(first, ["hash", "check"]).where(later) \
+        .select(*known, "place").unionByName(table.where("hash is null").select(*known, "place")) \
+        .groupBy(*known).agg(F.collect_set("place").alias("places"))
+    of = names[:len(known)]
+    joined = keyed.join(materialize(repeats.toDF(*of, names[2]), "repeated-places"), of, "left") \
         .select(*docs.columns, names[2])
     at = docs.columns.index("text")
     counted = _free(docs.columns, "n_sentences", "n_removed")
