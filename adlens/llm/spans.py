@@ -163,7 +163,9 @@ class Sentences:
             value = np.where(new, np.uint64(0), _word_hashes(np.frombuffer(text.lower(), np.uint8), starts, ends))
             windows = np.lib.stride_tricks.sliding_window_view(value, MAX_WORDS)
             cut = new.copy()
-            cut[np.arange(len(windows)) + MAX_WORDS - 1 - windows[:, ::-1].argmin(axis=1)] = True
+            for low in range(0, len(windows), _BLOCK):
+                part = windows[low:low + _BLOCK]
+                cut[low + np.arange(len(part)) + MAX_WORDS - 1 - part[:, ::-1].argmin(axis=1)] = True
         else:
             cut = new
         heads = np.flatnonzero(cut)

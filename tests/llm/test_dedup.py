@@ -318,4 +318,4 @@ def test_memory_of_a_very_long_text():
     spans.Sentences(text)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 30 * len(text), peak / len(text)
+    assert peak < 15 * len(text), peak / len(text)
