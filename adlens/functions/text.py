@@ -54,20 +54,21 @@ def vector_tokens(text) -> Column:
     return F.coalesce(F.filter(parts, lambda x: x != ""), F.array().cast("array<string>"))
 
 
-def rule_tag(token) -> Column:
+def rule_tag(token, named=F.lit) -> Column:
     """TX3 default tagger: a part-of-speech tag from the token's own shape.
 
     Punctuation runs get ``.``, digit runs ``CD``; then ``-ing`` VBG, ``-ed`` VBD,
     ``-ly`` RB, capitalised NNP, anything else NN.  Used for tokens a lexicon lacks.
+    ``named`` makes the column of a tag's name (another value for it, for instance).
     """
     t = _col(token)
-    return (F.when(~t.rlike(r"[\p{L}\p{Nd}]"), F.lit("."))
-            .when(t.rlike(r"^\p{Nd}+$"), F.lit("CD"))
-            .when(t.endswith("ing"), F.lit("VBG"))
-            .when(t.endswith("ed"), F.lit("VBD"))
-            .when(t.endswith("ly"), F.lit("RB"))
-            .when(t.rlike(r"^\p{Lu}"), F.lit("NNP"))
-            .otherwise(F.lit("NN")))
+    return (F.when(~t.rlike(r"[\p{L}\p{Nd}]"), named("."))
+            .when(t.rlike(r"^\p{Nd}+$"), named("CD"))
+            .when(t.endswith("ing"), named("VBG"))
+            .when(t.endswith("ed"), named("VBD"))
+            .when(t.endswith("ly"), named("RB"))
+            .when(t.rlike(r"^\p{Lu}"), named("NNP"))
+            .otherwise(named("NN")))
 
 
 def rule_keeps_letters(token) -> Column:

@@ -20,7 +20,6 @@ that both have one tag are counted over the whole table.
 
 from __future__ import annotations
 
-import functools
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -82,9 +81,8 @@ def _ints(values) -> Column:
 
 
 def _rule_number(t: Tagger, token: Column) -> Column:
-    tag = rule_tag(token)
-    return functools.reduce(lambda c, name: c.when(tag == name, F.lit(t.tags.index(name))), RULE_TAGS[1:],
-                            F.when(tag == RULE_TAGS[0], F.lit(t.tags.index(RULE_TAGS[0]))))
+    # The rules are tried once a token: a comparison with each tag's name would try them for each name.
+    return rule_tag(token, lambda name: F.lit(t.tags.index(name)))
 
 
 def _with_classes(texts: DataFrame, t: Tagger, text: str) -> DataFrame:
@@ -95,7 +93,9 @@ def _with_classes(texts: DataFrame, t: Tagger, text: str) -> DataFrame:
             found = F.lit(-1)
             for n, tokens in enumerate(t.tokens):
                 found = F.when(token.isin(tokens), F.lit(n)).otherwise(found)
-            return found
+            # Most tokens are in no class: one test finds that out.
+            every = [x for tokens in t.tokens for x in tokens]
+            return F.when(token.isin(every), found).otherwise(F.lit(-1)) if every else found
         return texts.withColumn("_class", F.transform("_tok", class_of))
     # The lexicon's join moves (hash, token) pairs; the classes found come back to the texts by hash.
     texts = texts.withColumn("_hash", F.sha2(F.col(text), 256))

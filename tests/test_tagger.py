@@ -112,3 +112,10 @@ def test_a_lexicon_without_ambiguous_tokens_and_an_empty_one(spark):
     assert tagged(spark, t, ["la casa"])[0] == (["la", "casa"], ["DT", "NN"])
     t = T.tagger(spark.createDataFrame([], "token string, tag string, cost int"))
     assert tagged(spark, t, ["la Casa 9"])[0] == (["la", "Casa", "9"], ["NN", "NNP", "CD"])
+
+
+def test_the_rules_are_tried_once_a_token(spark):
+    t = T.tagger(*frames(spark))
+    plan = plan_text(T.with_context_tags(spark.createDataFrame([(1, "la run")], "doc_id long, content string"), t), "extended")
+    optimized = plan.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert 1 <= optimized.count(r"^\p{Nd}+$") <= 2
