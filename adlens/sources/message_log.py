@@ -39,6 +39,8 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
 
 FORMAT = "message_log"
 SCHEMA = "value binary, producer string, epoch long"
+# About so many bytes of messages are read at once, and are a row group of a segment.
+_BATCH_BYTES = 8 * 1024 * 1024
 _SEGMENT = pa.schema([("value", pa.binary())])
 _ROWS = pa.schema([("value", pa.binary()), ("producer", pa.string()), ("epoch", pa.int64())])
 
@@ -92,7 +94,10 @@ class _Topic:
 
     def read_segment(self, s: Segment) -> Iterator[pa.RecordBatch]:
         with self.fs.open_input_file(f"{self.root}/{s.producer}/segments/{s.name}") as f:
-            for b in pq.ParquetFile(f).iter_batches(columns=["value"]):
+            file = pq.ParquetFile(f)
+            stored = [file.metadata.row_group(i) for i in range(file.metadata.num_row_groups)]
+            rows = min((g.num_rows * _BATCH_BYTES // max(1, g.total_byte_size) for g in stored), default=1)
+            for b in file.iter_batches(batch_size=min(max(1, rows), 1 << 16), columns=["value"]):
                 n = b.num_rows
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.binary()), pa.array([s.producer] * n, pa.string()),
                                                   pa.array([s.epoch] * n, pa.int64())], schema=_ROWS)
@@ -105,9 +110,11 @@ class _Topic:
                 continue
             if writer is None:
                 self.fs.create_dir(f"{self.root}/{producer}/segments")
-                writer = pq.ParquetWriter(self.fs.open_output_stream(f"{self.root}/{producer}/segments/{name}"), _SEGMENT)
+                writer = pq.ParquetWriter(self.fs.open_output_stream(f"{self.root}/{producer}/segments/{name}"), _SEGMENT, use_dictionary=False)
             value = b.column(b.schema.get_field_index("value")).cast(pa.binary())
-            writer.write_batch(pa.RecordBatch.from_arrays([value], schema=_SEGMENT))
+            rows = max(1, b.num_rows * _BATCH_BYTES // max(1, value.nbytes))
+            for at in range(0, b.num_rows, rows):
+                writer.write_batch(pa.RecordBatch.from_arrays([value.slice(at, rows)], schema=_SEGMENT))
         if writer is None:
             return None
         writer.close()

@@ -139,3 +139,14 @@ def test_options_that_make_no_sense(spark):
         df.write.format("message_log").mode("append").options(path=topic, producer="../x").save()
     with pytest.raises(Exception, match="latest or earliest"):
         run(spark, topic, *(scratch_dir(spark, n) for n in ("o1", "o2", "o3")), starting_offsets="soon")
+
+
+def test_long_messages_are_read_in_small_batches(tmp_path):
+    import pyarrow as pa
+    from adlens.sources import message_log as M
+    topic = M._Topic(str(tmp_path))
+    values = [b"x" * (1 << 20)] * 40
+    name = topic.write_segment("p", iter([pa.record_batch({"value": values})]))
+    read = list(topic.read_segment(M.Segment("p", 0, name)))
+    assert max(b.nbytes for b in read) < 3 * M._BATCH_BYTES
+    assert [v for b in read for v in b.column(0).to_pylist()] == values
