@@ -6,11 +6,11 @@
   own rows.
 * **With a lexicon** (``(token, tag)``) of up to ``MAX_ENTRIES`` tokens - two hashed ``IN`` tests, of the
   tokens it keeps and of those it drops, before the rules: row by row likewise.
-* **With a larger one** - keywords depend on the text alone, so a text is known by its hash: the
-  (hash, token, count) rows of its distinct tokens are joined to the lexicon (a plain
-  join; Spark broadcasts a small side and splits hot tokens), counted with map-side partials,
-  cut to the top k by a window with a partial group limit, and joined back to all
-  pages by the hash.  Pages that share a key, or have none, stay rows of their own.
+* **With a larger one** - keywords depend on the text alone, so a text is known by its hash.  Texts'
+  counted tokens are dealt into groups of bounded size (``groups``); the distinct tokens of a group are
+  joined to the lexicon (a plain join; Spark broadcasts a small side), and the tags found come to the
+  group's texts, which are counted and cut to the top k there.  Keywords join back to all pages by
+  the hash.  Pages that share a key, or have none, stay rows of their own.
 
 A lexicon entry overrides the rules for its token (original case).  Entries without a token
 or a tag are ignored; of several tags of a token the least counts.
@@ -20,12 +20,16 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlens.functions.arrays import top_tokens, with_token_counts
 from adlens.functions.text import (is_stop_word, keyword_tokens, letter_tokens,
-                                   rule_keeps_letters, rule_tag)
+                                   rule_keeps_letters)
+from adlens.operators import groups
 from adlens.schemas import KEYWORDS_PER_PAGE, PAGE_FIELDS, RELEVANT_TAGS
 
 
@@ -107,13 +111,8 @@ def extract_keywords(pages: DataFrame, key: str = "doc_id", text: str = "content
 def joined_keywords(pages: DataFrame, lexicon: DataFrame, text: str = "content", k: int = KEYWORDS_PER_PAGE,
                     out: str = "keywords") -> DataFrame:
     """``extract_keywords`` with a lexicon of any size: joined, not a literal of the plan."""
-    counts = _counts_by_text(pages, text, lexicon)
-    w = Window.partitionBy("_text_hash").orderBy(F.desc("n"), F.asc("keyword"))
-    top = (counts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-           .groupBy("_text_hash")
-           .agg(F.transform(F.sort_array(F.collect_list(F.struct("_rn", "keyword"))),
-                            lambda r: r["keyword"]).alias(out)))
-    return (pages.withColumn("_text_hash", F.sha2(F.col(text), 256)).join(top, "_text_hash", "left")
+    top = _counts_by_text(pages, text, lexicon, k).select("_text_hash", F.col("_counts.token").alias(out))
+    return (pages.withColumn("_text_hash", _hash(text)).join(top, "_text_hash", "left")
             .drop("_text_hash")
             .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>"))))
 
@@ -124,8 +123,8 @@ def keyword_counts(pages: DataFrame, key: str = "doc_id", text: str = "content",
     sets = None if lexicon is None else _sets(lexicon)
     if lexicon is not None and sets is None:
         counts = _counts_by_text(pages, text, lexicon)
-        return (pages.select(key, F.sha2(F.col(text), 256).alias("_text_hash"))
-                .join(counts, "_text_hash").select(key, "keyword", "n"))
+        return (pages.select(key, _hash(text).alias("_text_hash"))
+                .join(counts, "_text_hash").select(key, F.inline("_counts")).withColumnRenamed("token", "keyword"))
     counted = with_keyword_counts(pages.select(key, text), text, "_kw_counts", sets)
     # inline_outer: a plain inline makes the optimizer infer `size(array) > 0` and
     # push it to the scan, evaluating the whole extraction twice.
@@ -134,21 +133,58 @@ def keyword_counts(pages: DataFrame, key: str = "doc_id", text: str = "content",
             .select(key, F.col("token").alias("keyword"), "n"))
 
 
-def _counts_by_text(pages: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
-    """``(_text_hash, keyword, n)`` of every distinct text."""
-    lex = _resolved(lexicon)
-    hashed = pages.filter(F.col(text).isNotNull()).select(F.sha2(F.col(text), 256).alias("_text_hash"), F.col(text).alias("_text"))
+def _hash(text: str):
+    return F.unhex(F.sha2(F.col(text), 256))
+
+
+def _counts_by_text(pages: DataFrame, text: str, lexicon: DataFrame, k: int | None = None) -> DataFrame:
+    """``(_text_hash, _counts array<struct<token, n>>)`` of every distinct text: its keywords, or the ``k`` most
+    frequent, by count, then token."""
+    lex = _resolved(lexicon).select("_tok", _relevant(F.col("_lex_tag")).alias("_keep"))
+    hashed = pages.filter(F.col(text).isNotNull()).select(_hash(text).alias("_text_hash"), F.col(text).alias("_text"))
     counted = with_token_counts(hashed, keyword_tokens("_text"), "_tc")
-    # Of equal texts one row for each token stays; texts do not move.
-    toks = (counted.select("_text_hash", F.inline_outer("_tc"))
-            .filter(F.col("token").isNotNull())
-            .groupBy("_text_hash", F.col("token").alias("_tok")).agg(F.max("n").alias("n")))
-    tagged = (toks.join(lex, "_tok", "left")
-              .withColumn("_tag", F.coalesce("_lex_tag", rule_tag("_tok"))))
-    cands = (tagged.filter(_relevant(F.col("_tag")))
-             .select("_text_hash", F.lower("_tok").alias("keyword"), F.col("n").alias("_n"))
-             .filter(~is_stop_word("keyword")))
-    return cands.groupBy("_text_hash", "keyword").agg(F.sum("_n").alias("n"))
+
+    # Stop words go at once.  A word is null where it is the token itself; n is negative where the rules drop the token.
+    ruled = lambda r: r["token"].rlike(r"^\p{L}") & rule_keeps_letters(r["token"])
+    left = counted.select("_text_hash", F.filter("_tc", lambda r: ~is_stop_word(F.lower(r["token"]))).alias("_tc"))
+    texts = groups.dealt(left.select(
+        "_text_hash", F.col("_tc.token").alias("_tokens"),
+        F.transform("_tc", lambda r: F.nullif(F.lower(r["token"]), r["token"])).alias("_words"),
+        F.transform("_tc", lambda r: F.when(ruled(r), r["n"]).otherwise(-r["n"]).cast("int")).alias("_n"),
+        (F.size("_tc").cast("long") * 40 + 64).alias("_weight")), "_weight")
+    needed = texts.select("_group", F.explode("_tokens").alias("_token")).distinct()
+    found = needed.join(lex, F.col("_token") == F.col("_tok")).select(F.col("_group").alias("_of"), "_tok", "_keep")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        n = left.num_rows
+        if not n:
+            return left.select(["_text_hash"]).append_column("_counts", pa.array([], kind))
+        lists = left.column("_tokens").chunk(0)
+        tokens, times = lists.flatten(), left.column("_n").chunk(0).flatten().to_numpy(zero_copy_only=False)
+        keep = times > 0
+        if right.num_rows:  # the lexicon's tag before the rules'
+            place = pc.fill_null(pc.index_in(tokens, value_set=right.column("_tok").chunk(0)), -1).to_numpy(zero_copy_only=False)
+            keep = np.where(place >= 0, right.column("_keep").chunk(0).to_numpy(zero_copy_only=False).astype(bool)[place], keep)
+        page = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+        words = pa.table({"page": page, "token": pc.coalesce(left.column("_words").chunk(0).flatten(), tokens),
+                          "n": np.abs(times).astype(np.int64)}).filter(pa.array(keep))
+        words = words.group_by(["page", "token"]).aggregate([("n", "sum")]) \
+            .sort_by([("page", "ascending"), ("n_sum", "descending"), ("token", "ascending")]).combine_chunks()
+        page = words.column("page").to_numpy()
+        if k is not None:
+            first = np.flatnonzero(np.diff(page, prepend=-1))
+            rank = np.arange(len(page)) - np.repeat(first, np.diff(np.append(first, len(page))))
+            words, page = words.filter(pa.array(rank < k)).combine_chunks(), page[rank < k]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(page, minlength=n))]).astype(np.int32))
+        pairs = pa.StructArray.from_arrays([pa.concat_arrays([pa.array([], pa.string()), *words.column("token").chunks]),
+                                            pa.concat_arrays([pa.array([], pa.int64()), *words.column("n_sum").chunks])], ["token", "n"])
+        return pa.table([left.column("_text_hash"), pa.ListArray.from_arrays(offsets, pairs)], names=["_text_hash", "_counts"])
+
+    kind = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())]))
+    done = texts.groupBy("_group").cogroup(found.groupBy("_of")).applyInArrow(run, "_text_hash binary, _counts array<struct<token:string,n:bigint>>")
+    # Equal texts have equal keywords.
+    return done.groupBy("_text_hash").agg(F.first("_counts").alias("_counts"))
 
 
 def pages_with_keywords(pages: DataFrame, key: str = "doc_id", k: int = KEYWORDS_PER_PAGE,

@@ -110,3 +110,23 @@ def test_properties_against_python(spark, docs):
         want = [w for w, _ in sorted(c.items(), key=lambda kv: (-kv[1], kv[0]))][:10]
         assert k == want
         assert len(k) <= 10 and not set(k) & set(STOP_WORDS)
+
+
+def test_a_joined_lexicon_in_many_groups(spark, monkeypatch):
+    from adlens.operators import groups
+    from adlens.operators.keywords import joined_keywords, keyword_counts
+    rows = [(i, " ".join(f"{'Art' if j % 3 else 'art'} w{'abcdef'[(i * j) % 6]} quickly 42 !! the Été" for j in range(1 + i % 9))) for i in range(60)]
+    rows += [(100, None), (101, ""), (None, "art art"), (None, "art art"), (102, "the of")]
+    pages = spark.createDataFrame(rows, "doc_id long, content string")
+    lexicon = spark.createDataFrame([("art", "DT"), ("wa", "RB"), ("quickly", "NN"), ("42", "NN"), ("x", None)], "token string, tag string")
+    pick = lambda df: sorted(((r["doc_id"], tuple(r["keywords"])) for r in df.collect()), key=str)
+    want = pick(extract_keywords(pages, lexicon=lexicon))
+    assert pick(joined_keywords(pages, lexicon)) == want
+    monkeypatch.setattr(groups.dealt, "__defaults__", (500,))
+    found = joined_keywords(pages, lexicon)
+    assert pick(found) == want
+    plan = plan_text(found, "simple")
+    assert "FlatMapCoGroupsInArrow" in plan and "Window" not in plan  # tokens are not shuffled beside their text's hash
+    few = [tuple(r) for r in keyword_counts(pages, lexicon=lexicon).collect()]
+    monkeypatch.setattr("adlens.operators.keywords.MAX_ENTRIES", 1)
+    assert sorted(few, key=str) == sorted([tuple(r) for r in keyword_counts(pages, lexicon=lexicon).collect()], key=str)
