@@ -122,7 +122,8 @@ def learn_transitions(texts: DataFrame, t: Tagger, text: str = "content") -> Dat
     one added to every count, from neighbours that both have one tag (begin and end count as such)."""
     names = F.array(*[F.lit(n) for n in [*t.tags, BEGIN, END]])
     line = F.concat(_ints([len(t.tags)]), "_tag", _ints([len(t.tags) + 1]))
-    lined = _with_single(texts, t, text).where(F.size("_tok") > 0).select(line.alias("_line"))
+    # A filter on the tokens would be pushed to the scan and tokenize every text twice.
+    lined = _with_single(texts, t, text).select(F.when(F.size("_tok") > 0, line).alias("_line"))
     pairs = lined.select(F.explode_outer(F.zip_with(
         F.slice("_line", 1, F.size("_line") - 1), F.slice("_line", 2, F.size("_line") - 1),
         lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("_pair")).where("_pair.a IS NOT NULL AND _pair.b IS NOT NULL")
