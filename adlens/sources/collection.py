@@ -84,8 +84,11 @@ def conform(df: DataFrame) -> DataFrame:
         if unsure:
             bad.append(F.when(F.col(f.name).isNotNull() & value.isNull(), F.lit(f.name)))
     extra = [c for c in df.columns if c not in COLLECTION.fieldNames()]
-    named = [F.coalesce(*bad).alias("_bad"), F.to_json(F.struct(*df.columns)).alias("_row")] if bad else []
-    return df.select(*cols, *extra, *named)
+    if not bad:
+        return df.select(*cols, *extra)
+    # Only a rejected row is kept as JSON: beside all others it would double what is written.
+    row = F.when(F.coalesce(*bad).isNotNull(), F.to_json(F.struct(*df.columns)))
+    return df.select(*cols, *extra, F.coalesce(*bad).alias("_bad"), row.alias("_row"))
 
 
 def _observed_rows(obs: Observation, spark: SparkSession, folder: str) -> int:
