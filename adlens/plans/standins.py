@@ -29,6 +29,10 @@ from adlens.session import materialize_path, scratch_dir
 from adlens.sources.pages import save_bucketed
 
 
+# Bytes of a web page's url and title, and the most of them that are broadcast.
+_LINK_BYTES = 256
+MAX_LINK_BYTES = 64 * 1024 * 1024
+
 # Stored inputs built by this application: (application id, sf_dir, kind) -> path or name.
 _STORED: dict[tuple[str, str, str], str] = {}
 
@@ -74,6 +78,8 @@ def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
     web = web.select("page_id", F.col("url").alias("_url"), title.alias("_title"))
     docs = text_pages(spark, sf_dir).withColumn("page_id", F.pmod("doc_id", F.lit(n)))
+    # Links above the broadcast's bound are hashed: texts then move once, but are not sorted.
+    web = F.broadcast(web) if n * _LINK_BYTES <= MAX_LINK_BYTES else web.hint("shuffle_hash")
     return docs.join(web, "page_id", "left").withColumns({"url": F.col("_url"), "title": F.col("_title")}) \
         .drop("page_id", "_url", "_title")
 

@@ -116,3 +116,25 @@ def test_an_interrupted_model_save_is_trained_again(spark):
     assert word2vec.vocabulary(word2vec.load(spark, path)).count() == 5
     word2vec.publish(more, path)
     assert {r["token"] for r in word2vec.vocabulary(word2vec.load(spark, path)).collect()} == {"x", "y"}
+
+
+def test_only_rejected_rows_are_kept_as_json(spark):
+    from adlens.sources import collection
+    df = spark.createDataFrame([("u1", "a", "2024-01-01 00:00:00"), ("u2", "a", "no time")], "url string, category string, timestamp string")
+    rows = {r["url"]: (r["_bad"], r["_row"]) for r in collection.conform(df).collect()}
+    assert rows["u1"] == (None, None)
+    assert rows["u2"][0] == "timestamp" and '"url":"u2"' in rows["u2"][1]
+
+
+def test_linked_pages_sort_no_texts(spark, monkeypatch):
+    from adlens.plans import standins
+    from conftest import SF_SMALL
+    from planutil import plan_text
+    pick = lambda df: sorted((r["doc_id"], r["url"], r["title"]) for r in df.collect())
+    small = standins.linked_pages(spark, SF_SMALL)
+    assert "BroadcastHashJoin" in plan_text(small, "simple")
+    monkeypatch.setattr(standins, "MAX_LINK_BYTES", 0)
+    large = standins.linked_pages(spark, SF_SMALL)
+    plan = plan_text(large, "simple")
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert pick(large) == pick(small)
