@@ -1,3 +1,5 @@
+import pyarrow as pa
+
 import corpus_pipeline
 from adlens.llm import langid, mixing, simhash, spans
 
@@ -24,3 +26,20 @@ def test_stages_keep_the_columns_and_their_decisions_take_effect(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.where("start = 0").count() == docs.count()
     assert {r["lang_pred"] for r in langid.predict(junk, langid.train(docs)).collect()} == {"und"}
+
+
+def test_texts_cross_to_python_in_small_batches(spark):
+    docs = spark.range(0, 2000, 1, 1).selectExpr("id as doc_id", "concat(id, repeat(' word', 2000)) as text", "'s' as source", "'en' as lang")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        kept = corpus_pipeline.language(spark, docs, "")
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["size", "rows"])
+        met = kept.mapInArrow(sizes, "size long, rows long").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sum(r["rows"] for r in met) == 2000
+    assert max(r["size"] for r in met) < 1.1 * corpus_pipeline.BATCH_BYTES
