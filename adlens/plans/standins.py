@@ -20,10 +20,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.functions.text import is_stop_word
+from adlens.functions.text import is_stop_word, vector_tokens
 from adlens.operators.ranking import global_rank
 from adlens.operators.sizing import maybe_broadcast
-from adlens.operators.vectors import doc_token_counts
 from adlens.schemas import DEFAULT_CATEGORY_ORDER
 from adlens.session import materialize_path, scratch_dir
 from adlens.sources.pages import save_bucketed
@@ -94,11 +93,15 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(stored(spark, sf_dir, "vocabulary", lambda: _build_vocabulary(spark, sf_dir)))
 
 
+def token_frequencies(docs: DataFrame, text: str = "content") -> DataFrame:
+    """``(token, n)``: how often every TX2 token but the stop words occurs in all the texts.  Tokens are counted as
+    they are read; counts of single pages, which their sum needs not, cost more than the tokens do."""
+    return (docs.select(F.explode(vector_tokens(text)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+            .filter(~is_stop_word("token")))
+
+
 def _build_vocabulary(spark: SparkSession, sf_dir: str) -> str:
-    docs = text_pages(spark, sf_dir)
-    freq = (doc_token_counts(docs, "doc_id", "content")
-            .filter(F.col("token").isNotNull() & ~is_stop_word("token"))
-            .groupBy("token").agg(F.sum("tf").alias("n")))
+    freq = token_frequencies(text_pages(spark, sf_dir))
     ranked = global_rank(freq, [F.desc("n"), F.asc("token")], "rank")
     emb = table(spark, sf_dir, "embeddings").select(
         (F.col("vec_id") + 1).alias("rank"), F.col("embedding").alias("vector"), "label")
